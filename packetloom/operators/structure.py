@@ -77,14 +77,17 @@ def pdf_features(payload: Column) -> Column:
     def count(test) -> Column:
         return F.size(F.filter(objects, test)).cast("double")
 
+    def containing(needle: str) -> Column:
+        return count(lambda o: F.contains(o, F.lit(needle)))
+
     keys: dict[str, Column] = {}
     for needle, feature in fv.PDF_KEYS:
-        hits = count(lambda o, n=needle: F.contains(o, F.lit(n)))
+        hits = containing(needle)
         keys[feature] = keys[feature] + hits if feature in keys else hits
     pairs = {
         "object_count": F.size(objects).cast("double") + 1.0,
         "page_count": count(lambda o: F.rlike(o, F.lit(r"/Type\s*/Page(?![A-Za-z])"))),
-        "stream_count": count(lambda o: F.contains(o, F.lit("stream"))),
+        "stream_count": containing("stream"),
         **keys,
     }
     flat = [part for name, value in pairs.items() for part in (F.lit(name), value)]

@@ -86,7 +86,7 @@ def _pii_score(spans: Column) -> Column:
 
 def _pii_findings(spans: Column) -> Column:
     return F.concat(*[
-        F.transform(spans[entity], lambda _, label=f"PII Detected: {entity} ({shown})": F.lit(label))
+        F.array_repeat(F.lit(f"PII Detected: {entity} ({shown})"), F.size(spans[entity]))
         for entity, _, shown in fv.PII_ENTITIES])
 
 
@@ -95,11 +95,11 @@ pattern = register(Detector("pattern", pii_spans, _pii_score, _pii_findings))
 
 def pii_table(df: DataFrame, key: str, text: Column) -> DataFrame:
     """One row (key, entity, span) per span of personal data."""
+    def rows(entity: str) -> Column:
+        return F.transform(F.col("s")[entity], lambda span: F.struct(F.lit(entity).alias("entity"), span.alias("span")))
+
     spans = df.select(key, pii_spans(text).alias("s"))
-    return spans.select(key, F.explode(F.concat(*[
-        F.transform(F.col("s")[entity], lambda span, name=entity: F.struct(
-            F.lit(name).alias("entity"), span.alias("span")))
-        for entity, *_ in fv.PII_ENTITIES])).alias("hit")).select(key, "hit.entity", "hit.span")
+    return spans.select(key, F.inline(F.concat(*[rows(entity) for entity, *_ in fv.PII_ENTITIES])))
 
 
 # --- fixed context floor --------------------------------------------------

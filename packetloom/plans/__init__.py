@@ -1,0 +1,6 @@
+"""Plans that combine operators, and the named queries."""
+
+
+def load_queries() -> None:
+    """Import the query modules, which register themselves."""
+    from packetloom.plans import payload_queries, rule_queries, text_queries  # noqa: F401
