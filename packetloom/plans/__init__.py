@@ -3,4 +3,4 @@
 
 def load_queries() -> None:
     """Import the query modules, which register themselves."""
-    from packetloom.plans import payload_queries, rule_queries, text_queries  # noqa: F401
+    from packetloom.plans import payload_queries, rule_queries, telemetry_queries, text_queries  # noqa: F401
