@@ -40,7 +40,8 @@ def _score(found: Column) -> Column:
     suspicious = F.size(F.filter(found["producers"], lambda p: p["suspicious"]))
     hits = (F.size(found["leaks"]) + found["gps"].cast("int") + suspicious + found["revisions"].cast("int"))
     unknown = F.size(found["producers"]) - suspicious
-    return F.least(F.lit(fv.METADATA_CAP), F.lit(fv.METADATA_HIT) * hits + F.lit(fv.METADATA_UNKNOWN) * unknown)
+    score = F.least(F.lit(fv.METADATA_CAP), F.lit(fv.METADATA_HIT) * hits + F.lit(fv.METADATA_UNKNOWN) * unknown)
+    return F.when(found.isNotNull(), score)
 
 
 def _findings(found: Column) -> Column:

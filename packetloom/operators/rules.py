@@ -7,6 +7,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from packetloom import fixed_values as fv
 from packetloom.functions.strings import strip
@@ -51,7 +52,7 @@ def _grams_of(text: str | None) -> list[str]:
     return list({text[i:i + n] for n in range(1, _ANCHOR + 1) for i in range(len(text) - n + 1)} | {""})
 
 
-@F.arrow_udf("array<string>")
+@F.arrow_udf(T.ArrayType(T.StringType()))
 def _grams(text: pa.Array) -> pa.Array:
     return pa.array([_grams_of(value.as_py()) for value in text], pa.list_(pa.string()))
 

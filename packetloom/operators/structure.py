@@ -8,6 +8,7 @@ import zipfile
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from packetloom import fixed_values as fv
 from packetloom.functions.payload import as_latin1, byte_literal
@@ -29,7 +30,7 @@ def _list_container(data: bytes) -> list[dict] | None:
         return None
 
 
-@F.arrow_udf("array<struct<entry_name: string, entry_text: string>>")
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("entry_name", T.StringType()), T.StructField("entry_text", T.StringType())])))
 def _container_entries(payload: pa.Array) -> pa.Array:
     return pa.array([_list_container(value.as_py()) if value.is_valid else None for value in payload], _ENTRIES)
 

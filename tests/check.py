@@ -64,7 +64,7 @@ if __name__ == "__main__":
         try:
             outcome, took, detail = compare(spark, con, sf_dir, name, function, sqls.get(name))
         except Exception as error:  # noqa: BLE001
-            outcome, took, detail = f"ERROR {type(error).__name__}: {str(error)[:700]}", 0.0, []
+            outcome, took, detail = f"ERROR {type(error).__name__}: {str(error)[:400]}", 0.0, []
         bad += not outcome.startswith(("ok", "rows"))
         print(f"{name:24s} {took:6.2f}s {outcome}", flush=True)
         if not outcome.startswith("ok"):
