@@ -13,9 +13,11 @@ from packetloom.operators.detector import Detector, register
 _FLAGS = "(?iU)"
 
 
-def bucket_hits(text: Column) -> Column:
-    """Array with the number of matching patterns per keyword bucket."""
-    low = F.lower(text)
+def bucket_hits(low: Column) -> Column:
+    """Number of matching patterns per keyword bucket of a lower-case text.
+
+    A regex runs only on texts that contain a literal part of it.
+    """
     hits = []
     for (_, patterns), guards in zip(fv.KEYWORD_BUCKETS, fv.KEYWORD_GUARDS):
         tests = [F.contains(low, F.lit(guard)) & F.rlike(low, F.lit(_FLAGS + regex))
@@ -50,4 +52,4 @@ def _findings(hits: Column) -> Column:
     return labels_where(*per_bucket, chosen)
 
 
-content = register(Detector("content", bucket_hits, _score, _findings))
+content = register(Detector("content", bucket_hits, _score, _findings, lambda text: {"low": F.lower(text)}))

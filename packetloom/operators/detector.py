@@ -1,8 +1,9 @@
 """Detector plug-ins.
 
 A detector turns one input column into a struct (score, findings). It is
-declared in three parts so that Spark evaluates the costly part once:
-``signals`` does the matching, ``score`` and ``findings`` only read it.
+declared in parts so that Spark evaluates each costly piece once per row:
+``prepare`` derives shared inputs such as the lower-case text, ``signals``
+does the matching on them, ``score`` and ``findings`` only read the signals.
 """
 
 from __future__ import annotations
@@ -14,12 +15,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _as_is(column: Column) -> dict[str, Column]:
+    return {"input": column}
+
+
 @dataclass(frozen=True)
 class Detector:
     module: str
-    signals: Callable[[Column], Column]
+    signals: Callable[..., Column]     # takes the prepared columns as keywords
     score: Callable[[Column], Column]
     findings: Callable[[Column], Column]
+    prepare: Callable[[Column], dict[str, Column]] = _as_is
 
 
 REGISTRY: dict[str, Detector] = {}
@@ -37,20 +43,19 @@ def detect(df: DataFrame, inputs: dict[str, Column], where: Column | None = None
     ``inputs`` maps module names to the column each one reads. Rows outside
     ``where`` are not matched. A detector that yields nothing scores 0.
     """
-    def guarded(module: str, column: Column) -> Column:
-        signals = REGISTRY[module].signals(column)
-        return signals if where is None else F.when(where, signals)
-
-    scratch = {module: f"_{module}_signals" for module in inputs}
-    df = df.withColumns({scratch[m]: guarded(m, column) for m, column in inputs.items()})
-    df = df.withColumns({
-        module: F.struct(
-            F.coalesce(REGISTRY[module].score(F.col(name)), F.lit(0.0)).alias("score"),
-            F.coalesce(REGISTRY[module].findings(F.col(name)), F.array().cast("array<string>")).alias("findings"),
-        )
-        for module, name in scratch.items()
-    })
-    return df.drop(*scratch.values())
+    kept = [F.col(c) for c in df.columns]
+    prepared = {module: REGISTRY[module].prepare(F.when(where, column) if where is not None else column)
+                for module, column in inputs.items()}
+    names = {(module, part): f"_{module}_{part}" for module, parts in prepared.items() for part in parts}
+    df = df.select(*kept, *[prepared[m][part].alias(name) for (m, part), name in names.items()])
+    signals = {module: REGISTRY[module].signals(**{part: F.col(names[module, part]) for part in parts})
+               for module, parts in prepared.items()}
+    df = df.select(*kept, *[column.alias(f"_{module}") for module, column in signals.items()])
+    none = F.array().cast("array<string>")
+    return df.select(*kept, *[
+        F.struct(F.coalesce(REGISTRY[m].score(F.col(f"_{m}")), F.lit(0.0)).alias("score"),
+                 F.coalesce(REGISTRY[m].findings(F.col(f"_{m}")), none).alias("findings")).alias(m)
+        for m in inputs])
 
 
 def long_form(df: DataFrame, key: str, modules: list[str]) -> DataFrame:

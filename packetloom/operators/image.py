@@ -14,9 +14,10 @@ _NONE = "array<string>"
 # --- text read from the image --------------------------------------------
 ocr = register(Detector(
     "ocr",
-    lambda text: F.filter(F.array(*[F.lit(w) for w in fv.OCR_KEYWORDS]), lambda w: F.contains(F.lower(text), w)),
+    lambda low: F.filter(F.array(*[F.lit(w) for w in fv.OCR_KEYWORDS]), lambda w: F.contains(low, w)),
     lambda words: F.when(F.size(words) > 0, fv.OCR_SCORE).otherwise(0.0),
     lambda words: F.transform(words, lambda w: F.concat(F.lit("Sensitive keyword detected: "), w)),
+    lambda text: {"low": F.lower(text)},
 ))
 
 
@@ -29,7 +30,7 @@ def lsb_density(pixels: Column) -> Column:
 
 stego = register(Detector(
     "stego",
-    lambda pixels: F.abs(lsb_density(pixels) - F.lit(0.5)),
+    lambda input: F.abs(lsb_density(input) - F.lit(0.5)),
     lambda distance: F.when(distance < fv.STEGO_DISTANCE, fv.STEGO_SCORE).otherwise(0.0),
     lambda distance: F.when(distance < fv.STEGO_DISTANCE, F.array(F.lit(fv.STEGO_FINDING))).otherwise(F.array().cast(_NONE)),
 ))
@@ -67,7 +68,7 @@ def _label_findings(signals: Column) -> Column:
 
 # Input: struct (label, confidence, ocr_score).
 semantic_clip = register(Detector(
-    "semantic_clip", lambda signals: signals,
+    "semantic_clip", lambda input: input,
     lambda s: label_score(s["label"], s["confidence"], s["ocr_score"]), _label_findings))
 
 

@@ -10,14 +10,17 @@ from packetloom.functions.strings import contains_any
 from packetloom.operators.detector import Detector, register
 
 
-def metadata_signals(meta: Column) -> Column:
+def _haystack(meta: Column) -> dict[str, Column]:
+    lines = F.transform(F.map_entries(meta), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return {"meta": meta, "haystack": F.array_join(lines, "\n")}
+
+
+def metadata_signals(meta: Column, haystack: Column) -> Column:
     """Path leaks, GPS, producer judgements and tracked changes of a map.
 
     The map entry ``has_revisions`` holds the text ``True`` when the document
     has tracked changes.
     """
-    lines = F.transform(F.map_entries(meta), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    haystack = F.array_join(lines, "\n")
     low = F.lower(haystack)
     leaks = F.concat(*[
         F.when(F.contains(low, F.lit(guard)), F.regexp_extract_all(haystack, F.lit(regex), F.lit(0)))
@@ -57,7 +60,7 @@ def _findings(found: Column) -> Column:
     )
 
 
-metadata = register(Detector("metadata", metadata_signals, _score, _findings))
+metadata = register(Detector("metadata", metadata_signals, _score, _findings, _haystack))
 
 
 def office_metadata(entries: Column) -> Column:

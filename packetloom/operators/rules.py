@@ -18,8 +18,9 @@ _EQUAL = {"ip_src": F.lower, "ip_dst": F.lower, "port": lambda c: c}
 _COLUMN = {"ip_src": "source_ip", "ip_dst": "destination_ip", "port": "port",
            "domain": "destination_ip", "keyword": "text_content"}
 _SUBSTRING = ("domain", "keyword")
-# Above this many substring rules the literal chain gives way to a join.
+# Above this many enabled rules the chain of literals gives way to joins.
 CHAIN_LIMIT = 256
+_RANK_TYPE = "struct<priority:int,seq:int,id:string,action:string,match_type:string,value:string>"
 _ANCHOR = 3
 
 
@@ -39,11 +40,16 @@ def _rank_literal(rule: Row) -> Column:
                       for name in ("priority", "seq", "id", "action", "match_type", "value")])
 
 
-def _chain(rules: list[Row], texts: dict[str, Column]) -> Column:
-    """First rule, in order, whose value occurs in its text."""
-    tests = [F.when(F.contains(texts[r["match_type"]], F.lit(r["value"].strip().lower())), _rank_literal(r))
-             for r in sorted(rules, key=lambda r: (r["priority"], r["seq"]))]
-    return F.coalesce(*tests)
+def _test(rule: Row, fields: dict[str, Column]) -> Column:
+    value = F.lit(rule["value"].strip().lower())
+    field = fields[rule["match_type"]]
+    return F.contains(field, value) if rule["match_type"] in _SUBSTRING else field == value
+
+
+def _chain(rules: list[Row], fields: dict[str, Column]) -> Column:
+    """First rule, in order, that matches; tests stop at the first hit."""
+    ordered = sorted(rules, key=lambda r: (r["priority"], r["seq"]))
+    return F.coalesce(*[F.when(_test(r, fields), _rank_literal(r)) for r in ordered])
 
 
 def _grams_of(text: str | None) -> list[str]:
@@ -74,39 +80,33 @@ def substring_matches(df: DataFrame, key: str, ranked: DataFrame, kind: str) ->
 def match_rules(df: DataFrame, rules: DataFrame, key: str = "id", chain_limit: int = CHAIN_LIMIT) -> DataFrame:
     """Add ``rule``: the winning rule of each event, or null.
 
+    A short rule list becomes one chain of literal tests in priority order:
+    no join, no shuffle, usable on streams. Longer lists are split by kind.
     Address and port rules are equality joins against one row per compared
-    value, so they never multiply events and Spark broadcasts them while they
-    are small. Domain and keyword rules are substring tests: a short list
-    becomes a chain of literals (no shuffle, usable on streams), a long one
-    is joined by anchors.
+    value, so they never multiply events; domain and keyword rules, which are
+    substring tests, are joined by anchors.
     """
-    ranked = _ranked(rules)
     known = rows_if_small(rules.select(*RULE_TABLE.fieldNames()).filter("enabled"))
     if known is not None:
-        # Inlined rows give the planner an exact size for its broadcast choice.
-        ranked = _ranked(df.sparkSession.createDataFrame(known, RULE_TABLE)) if known else ranked
-    kinds = {r["match_type"] for r in known} if known is not None else set(_COLUMN)
-    found: list[str] = []
+        known = [r for r in known if r["match_type"] in _COLUMN]
+        if not known:
+            return df.withColumn("rule", F.lit(None).cast(_RANK_TYPE))
+        if len(known) <= chain_limit:
+            df = df.withColumns({"_src": F.lower("source_ip"), "_dst": F.lower("destination_ip"), "_text": F.lower("text_content")})
+            fields = {"ip_src": F.col("_src"), "ip_dst": F.col("_dst"), "domain": F.col("_dst"),
+                      "port": F.col("port"), "keyword": F.col("_text")}
+            return df.withColumn("rule", _chain(known, fields)).drop("_src", "_dst", "_text")
+    ranked, found = _ranked(rules), []
     for kind, fold in _EQUAL.items():
-        if kind in kinds:
-            best = ranked.filter(F.col("match_type") == kind).groupBy("_v").agg(F.min("_rank").alias(f"_rule_{kind}"))
-            df = df.join(best, fold(F.col(_COLUMN[kind])) == F.col("_v"), "left").drop("_v")
-            found.append(f"_rule_{kind}")
-    short = [r for r in known if r["match_type"] in _SUBSTRING] if known is not None else None
-    if short is not None and len(short) <= chain_limit:
-        if short:
-            df = df.withColumns({"_host": F.lower("destination_ip"), "_text": F.lower("text_content")})
-            df = df.withColumn("_rule_text", _chain(short, {"domain": F.col("_host"), "keyword": F.col("_text")}))
-            df = df.drop("_host", "_text")
-            found.append("_rule_text")
-    else:
-        for kind in _SUBSTRING:
-            if kind in kinds:
-                df = df.join(substring_matches(df, key, ranked, kind), key, "left")
-                found.append(f"_rule_{kind}")
-    winner = F.least(*[F.col(c) for c in found]) if len(found) > 1 else F.col(found[0]) if found else \
-        F.lit(None).cast("struct<priority:int,seq:int,id:string,action:string,match_type:string,value:string>")
-    return df.withColumn("rule", winner).drop(*found)
+        best = ranked.filter(F.col("match_type") == kind).groupBy("_v").agg(F.min("_rank").alias(f"_rule_{kind}"))
+        # The row count was checked above; without that check Spark decides by size.
+        best = F.broadcast(best) if known is not None else best
+        df = df.join(best, fold(F.col(_COLUMN[kind])) == F.col("_v"), "left").drop("_v")
+        found.append(f"_rule_{kind}")
+    for kind in _SUBSTRING:
+        df = df.join(substring_matches(df, key, ranked, kind), key, "left")
+        found.append(f"_rule_{kind}")
+    return df.withColumn("rule", F.least(*found)).drop(*found)
 
 
 def rule_verdict(rule: Column) -> dict[str, Column]:

@@ -31,8 +31,8 @@ def signature_pack(rules: list[dict], module: str = "malware") -> Detector:
     A rule is a dict with name, severity, description, starts and any_of; see
     ``fixed_values.SIGNATURES``. Packs can be joined by adding the lists.
     """
-    def signals(payload: Column) -> Column:
-        return F.array(*[signature_test(payload, rule) for rule in rules])
+    def signals(input: Column) -> Column:
+        return F.array(*[signature_test(input, rule) for rule in rules])
 
     def score(flags: Column) -> Column:
         critical = [flags[i] for i, rule in enumerate(rules) if rule["severity"] == "critical"]

@@ -139,4 +139,4 @@ def _findings(signals: Column) -> Column:
 
 
 # Input: struct (features map, anomaly double or null).
-structure = register(Detector("structure", lambda signals: signals, _score, _findings))
+structure = register(Detector("structure", lambda input: input, _score, _findings))

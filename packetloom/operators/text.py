@@ -14,14 +14,18 @@ from packetloom.session import rows_if_small
 
 
 # --- secrets and remote code execution -----------------------------------
-def secret_flags(text: Column) -> Column:
+def _with_lower(text: Column) -> dict[str, Column]:
+    return {"text": text, "low": F.lower(text)}
+
+
+def secret_flags(text: Column, low: Column) -> Column:
     """Boolean array: one flag per secret pattern, then the RCE flag.
 
     Every regex runs only on rows that contain a literal part of it.
     """
     flags = []
     for _, guard, lowered, pattern in fv.SECRET_PATTERNS:
-        test = contains_any(F.lower(text), fv.GENERIC_SECRET_WORDS) if lowered else F.contains(text, F.lit(guard))
+        test = contains_any(low, fv.GENERIC_SECRET_WORDS) if lowered else F.contains(text, F.lit(guard))
         flags.append(test & F.rlike(text, F.lit(pattern)))
     return F.array(*flags, contains_any(text, fv.RCE_MARKERS))
 
@@ -37,7 +41,7 @@ def _code_findings(flags: Column) -> Column:
     return labels_where(*[(flags[i], name) for i, name in enumerate(names)])
 
 
-code = register(Detector("code", secret_flags, _code_score, _code_findings))
+code = register(Detector("code", secret_flags, _code_score, _code_findings, _with_lower))
 
 
 # --- personal data --------------------------------------------------------
@@ -61,21 +65,25 @@ def iban_valid(iban: Column) -> Column:
     return remainder == 1
 
 
-def pii_spans(text: Column) -> Column:
+def _with_digits(text: Column) -> dict[str, Column]:
+    """All numeric entities have two digits at most one separator apart."""
+    return {"text": text, "digits": F.rlike(text, F.lit("[0-9][ -]?[0-9]"))}
+
+
+def pii_spans(text: Column, digits: Column) -> Column:
     """Struct with the valid spans of every entity, in text order."""
     def spans(entity: str, guard: Column) -> Column:
         found = F.regexp_extract_all(text, F.lit(fv.PII_PATTERNS[entity]), F.lit(0))
         return F.when(guard, found).otherwise(F.array().cast("array<string>"))
 
-    digit_run = F.rlike(text, F.lit("[0-9]"))
-    cards = F.filter(spans("CREDIT_CARD", digit_run),
+    cards = F.filter(spans("CREDIT_CARD", digits),
                      lambda span: luhn_valid(F.regexp_replace(span, "[^0-9]", "")))
     return F.struct(
-        spans("PHONE_NUMBER", digit_run).alias("PHONE_NUMBER"),
+        spans("PHONE_NUMBER", digits).alias("PHONE_NUMBER"),
         spans("EMAIL_ADDRESS", F.contains(text, F.lit("@"))).alias("EMAIL_ADDRESS"),
-        F.filter(spans("IBAN", digit_run), iban_valid).alias("IBAN"),
+        F.filter(spans("IBAN", digits), iban_valid).alias("IBAN"),
         cards.alias("CREDIT_CARD"),
-        spans("US_SSN", digit_run).alias("US_SSN"),
+        spans("US_SSN", digits & F.contains(text, F.lit("-"))).alias("US_SSN"),
     )
 
 
@@ -90,7 +98,7 @@ def _pii_findings(spans: Column) -> Column:
         for entity, _, shown in fv.PII_ENTITIES])
 
 
-pattern = register(Detector("pattern", pii_spans, _pii_score, _pii_findings))
+pattern = register(Detector("pattern", pii_spans, _pii_score, _pii_findings, _with_digits))
 
 
 def pii_table(df: DataFrame, key: str, text: Column) -> DataFrame:
@@ -98,13 +106,14 @@ def pii_table(df: DataFrame, key: str, text: Column) -> DataFrame:
     def rows(entity: str) -> Column:
         return F.transform(F.col("s")[entity], lambda span: F.struct(F.lit(entity).alias("entity"), span.alias("span")))
 
-    spans = df.select(key, pii_spans(text).alias("s"))
+    prepared = df.select(key, *[column.alias(name) for name, column in _with_digits(text).items()])
+    spans = prepared.select(key, pii_spans(F.col("text"), F.col("digits")).alias("s"))
     return spans.select(key, F.inline(F.concat(*[rows(entity) for entity, *_ in fv.PII_ENTITIES])))
 
 
 # --- fixed context floor --------------------------------------------------
 context = register(Detector(
-    "context", lambda text: F.lit(True), lambda _: F.lit(fv.CONTEXT_SCORE),
+    "context", lambda input: F.lit(True), lambda _: F.lit(fv.CONTEXT_SCORE),
     lambda _: F.array().cast("array<string>")))
 
 
@@ -147,7 +156,7 @@ def _nlp_findings(match: Column) -> Column:
         .otherwise(F.array().cast("array<string>"))
 
 
-nlp = register(Detector("nlp", lambda match: match, _nlp_score, _nlp_findings))
+nlp = register(Detector("nlp", lambda input: input, _nlp_score, _nlp_findings))
 
 
 # --- redaction ------------------------------------------------------------

@@ -68,7 +68,7 @@ def context_score(spark, sf):
 @query("keyword_buckets", f"""WITH {sp.DOCS}, {sp.CONTENT} SELECT doc_id, h0, h1, h2, h3, h4, coalesce(label, '') AS label, content_score AS score,
   {sp.CONTENT_FINDINGS} AS findings FROM content""")
 def keyword_buckets(spark, sf):
-    docs = dv.documents_x(spark, sf).withColumn("hits", bucket_hits(F.col("text")))
+    docs = dv.documents_x(spark, sf).withColumn("low", F.lower("text")).withColumn("hits", bucket_hits(F.col("low")))
     best = best_bucket(F.col("hits"))
     found = detect(docs, {"content": F.col("text")})
     return found.select("doc_id", *[F.col("hits")[i].alias(f"h{i}") for i in range(5)],

@@ -73,3 +73,13 @@ def rows_if_small(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> list[Row] | N
     """
     rows = df.limit(limit + 1).collect()
     return rows if len(rows) <= limit else None
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a table with few input splits to all cores.
+
+    A table of many files already has more splits than cores and is returned
+    as it is, so large inputs are never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df

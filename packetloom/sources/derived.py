@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.schemas import RULE_TABLE
+from packetloom.session import spread
 
 # Planted strings: every second row of 26 is planted by doc_id % 13.
 TEXT_X = """CASE WHEN doc_id % 26 >= 13 THEN text
@@ -62,6 +63,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts, spread over all cores when its files are few."""
+    return spread(table(spark, sf_dir, name))
+
+
 def rules(spark: SparkSession) -> DataFrame:
     rows = [(*r, "", 0, "", i) for i, r in enumerate(RULES)]
     return spark.createDataFrame(rows, RULE_TABLE)
@@ -73,7 +79,7 @@ def allowlist(spark: SparkSession) -> DataFrame:
 
 def documents_x(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text, payload) with planted strings."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(TEXT_X).alias("text"))
+    docs = texts(spark, sf_dir, "documents").select("doc_id", F.expr(TEXT_X).alias("text"))
     return docs.withColumn("payload", F.col("text").cast("binary"))
 
 
@@ -94,7 +100,7 @@ def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "documents").count()
     docs = documents_x(spark, sf_dir).select("doc_id", "text")
     events = events_x(spark, sf_dir).withColumn("doc_id", F.col("event_id") % F.lit(n))
-    return events.join(docs, "doc_id").select(
+    return spread(events).join(docs, "doc_id").select(
         "id", "ts", "source_ip", "destination_ip", "port", "proto", "content_type",
         F.col("text").alias("text_content"), F.col("text").cast("binary").alias("payload"))
 
@@ -138,7 +144,7 @@ def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         ' >>\nendobj\n2 0 obj\n<< /Type /Pages /Count 1 >>\nendobj\n3 0 obj\n<< /Type /Page >>\nendobj\n',
         CASE WHEN doc_id % 8 = 0 THEN '9 0 obj\n<< /S /JavaScript /JS (x) >>\nendobj\n' ELSE '' END,
         '4 0 obj\n<< /Length 1 >>\nstream\n', replace(text, 'obj', 'o_j'), '\nendstream\nendobj\ntrailer\n%%EOF')""")
-    return table(spark, sf_dir, "documents").select("doc_id", body.cast("binary").alias("payload"))
+    return texts(spark, sf_dir, "documents").select("doc_id", body.cast("binary").alias("payload"))
 
 
 def office_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,5 +172,5 @@ def office_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out.append(data[:20] if doc_id % 11 == 0 else data)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "payload": out})
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.mapInPandas(pack, "doc_id bigint, payload binary")
