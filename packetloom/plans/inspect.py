@@ -41,25 +41,26 @@ def inspect_documents(df: DataFrame, payload: str = "payload", meta: str | None
     with the text of PDFs. Without ``forest`` the structure score is its hard
     rule alone, and no entropy has to be computed.
     """
-    data = F.col(payload)
-    df = df.withColumn("_entries", container_entries(data if where is None else F.when(where, data)))
+    # Rows outside `where` carry a null payload, so nothing is computed for them.
+    df = df.withColumn("_data", F.col(payload) if where is None else F.when(where, F.col(payload)))
+    data = F.col("_data")
+    df = df.withColumn("_entries", container_entries(data))
     body = F.get(F.filter("_entries", lambda e: e["entry_name"] == "word/document.xml"), F.lit(0))["entry_text"]
     is_pdf, is_zip = F.startswith(data, byte_literal("%PDF")), F.startswith(data, byte_literal("PK\x03\x04"))
     text = (F.when(is_pdf, F.col(extracted) if extracted else F.lit(""))
             .when(is_zip, F.coalesce(markup_text(body), F.lit(""))).otherwise(plain_document_text(data)))
     office = office_metadata(F.col("_entries"))
-    metadata = F.coalesce(F.col(meta), office) if meta else office
-    entropy = byte_entropy(data if where is None else F.when(where, data)) if forest else None
-    features = structure_features(data, F.col("_entries"), entropy)
-    df = df.withColumns({"_doc_text": text, "_meta": metadata, "_features": features if where is None else F.when(where, features)})
+    features = structure_features(data, F.col("_entries"), byte_entropy(data) if forest else None)
+    df = df.withColumns({"_doc_text": text, "_meta": F.coalesce(F.col(meta), office) if meta else office,
+                         "_features": F.when(data.isNotNull(), features)})
     anomaly = forest_anomaly(df.sparkSession, forest, feature_vector(F.col("_features"))) if forest else F.lit(0.0)
     df = df.withColumn("_anomaly", anomaly)
     df = detect(df, {
         "structure": F.struct(F.col("_features").alias("features"), F.col("_anomaly").alias("anomaly")),
-        "content": F.col("_doc_text"), "malware": data, "metadata": F.col("_meta")}, where)
+        "content": F.col("_doc_text"), "malware": data, "metadata": F.col("_meta")})
     if intel is not None:
         df = with_hash_intel(df, data, intel).drop("intel_score")
-    return document_verdict(df).drop("_entries", "_doc_text", "_meta", "_features", "_anomaly")
+    return document_verdict(df).drop("_data", "_entries", "_doc_text", "_meta", "_features", "_anomaly")
 
 
 def traffic_verdict(traffic: DataFrame, rules: DataFrame, image_verdicts: DataFrame | None = None) -> DataFrame:

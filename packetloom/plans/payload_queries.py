@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from packetloom.functions.network import dns_text, endpoints, http_message, ipv4_tuple, is_tls, real_destination, tls_sni
 from packetloom.functions.payload import (byte_entropy, is_obfuscated, mentions_ftp_credentials, needs_entropy, route_payload,
                                           sniff_type, triage)
+from packetloom.operators.reassembly import reassemble
 from packetloom.plans import sql_parts as sp
 from packetloom.plans.registry import query
 from packetloom.sources import derived as dv
@@ -160,3 +161,12 @@ def dns(spark, sf):
 def ftp(spark, sf):
     tail = F.expr("CASE doc_id % 14 WHEN 0 THEN 'USER bob' WHEN 1 THEN 'PASS x' WHEN 2 THEN 'user bob' ELSE '' END").cast("binary")
     return dv.documents_x(spark, sf).select("doc_id", mentions_ftp_credentials(F.concat("payload", tail)).alias("credentials"))
+
+
+@query("http_reassembly", """SELECT conv_id AS conn_id, CASE WHEN role = 'user' THEN 'outbound' ELSE 'inbound' END AS direction,
+  row_number() OVER (PARTITION BY conv_id, role = 'user' ORDER BY turn) - 1 AS message, 'h' || (conv_id % 7) || '.example.com' AS host,
+  octet_length(encode(text)) AS content_length, text AS body, false AS flushed FROM conversations""")
+def http_reassembly(spark, sf):
+    messages = reassemble(dv.chunks(spark, sf)).withColumn("m", http_message(F.col("data")))
+    return messages.select("conn_id", "direction", "message", F.element_at("m.headers", "host").alias("host"), "m.content_length",
+                           F.col("m.body").cast("string").alias("body"), "flushed")

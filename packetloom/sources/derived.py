@@ -137,6 +137,17 @@ def flow_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.timestamp_add("MILLISECOND", ms, F.lit("2024-01-01").cast("timestamp_ntz")).alias("ts"))
 
 
+def chunks(spark: SparkSession, sf_dir: str, size: int = 200) -> DataFrame:
+    """Conversations as HTTP messages, cut into chunks of ``size`` bytes."""
+    head = F.expr("""concat('POST /c/', conv_id, ' HTTP/1.1', '\r\n', 'Host: h', conv_id % 7, '.example.com', '\r\n',
+        'Content-Length: ', octet_length(text), '\r\n\r\n', text)""")
+    message = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("conn_id"), F.expr("if(role = 'user', 'outbound', 'inbound')").alias("direction"), "turn", head.cast("binary").alias("m"))
+    cuts = message.withColumn("i", F.explode(F.expr(f"sequence(0, cast((octet_length(m) - 1) div {size} as int))")))
+    return cuts.select("conn_id", "direction", (F.col("turn") * 10_000 + F.col("i")).alias("seq"),
+                       F.expr(f"substring(m, i * {size} + 1, {size})").alias("data"))
+
+
 def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minimal PDFs around the documents; keys are planted by doc_id."""
     body = F.expr("""concat('%PDF-1.4\n1 0 obj\n<< /Type /Catalog',
