@@ -163,9 +163,12 @@ def ftp(spark, sf):
     return dv.documents_x(spark, sf).select("doc_id", mentions_ftp_credentials(F.concat("payload", tail)).alias("credentials"))
 
 
-@query("http_reassembly", """SELECT conv_id AS conn_id, CASE WHEN role = 'user' THEN 'outbound' ELSE 'inbound' END AS direction,
+REASSEMBLY_SQL = """SELECT conv_id AS conn_id, CASE WHEN role = 'user' THEN 'outbound' ELSE 'inbound' END AS direction,
   row_number() OVER (PARTITION BY conv_id, role = 'user' ORDER BY turn) - 1 AS message, 'h' || (conv_id % 7) || '.example.com' AS host,
-  octet_length(encode(text)) AS content_length, text AS body, false AS flushed FROM conversations""")
+  octet_length(encode(text)) AS content_length, text AS body, false AS flushed FROM conversations"""
+
+
+@query("http_reassembly", REASSEMBLY_SQL)
 def http_reassembly(spark, sf):
     messages = reassemble(dv.chunks(spark, sf)).withColumn("m", http_message(F.col("data")))
     return messages.select("conn_id", "direction", "message", F.element_at("m.headers", "host").alias("host"), "m.content_length",

@@ -27,6 +27,16 @@ _VERDICT = f"""{sp.DOCS}, {sp.EVENTS}, {sp.TRAFFIC}, {sp.RULE_ROWS}, {sp.MATCHED
     CASE WHEN rule_id IS NOT NULL THEN 'R-' || rule_id ELSE 'AI-ANALYSIS' END AS rule_label FROM j)"""
 
 
+# Log rows of the traffic when only rules and text detectors are asked.
+TEXT_TRAFFIC_SQL = f"""{sp.DOCS}, {sp.EVENTS}, {sp.TRAFFIC}, {sp.RULE_ROWS}, {sp.MATCHED}, {_TEXT_SCORES},
+  tv AS (SELECT id, source_ip AS src, destination_ip AS dst, CASE WHEN rule_id IS NOT NULL THEN 'R-' || rule_id ELSE 'AI-ANALYSIS' END AS rule,
+    CASE WHEN rule_id IS NOT NULL THEN action WHEN content_type = 'text' AND text_hi > 0.5 THEN 'block' ELSE 'allow' END AS status,
+    CASE WHEN rule_id IS NOT NULL THEN {_BY_RULE} WHEN content_type = 'text' THEN {_TEXT_JUDGE} ELSE 'safe' END AS risk_level,
+    CASE WHEN rule_id IS NOT NULL THEN 'Static rule match (' || match_type || '=' || rule_value || '): ' || upper(action)
+      WHEN content_type = 'text' THEN 'Max threat score ' || text_hi ELSE 'No threats detected' END AS reason FROM m JOIN ts USING (doc_id)),
+  tl AS (SELECT *, CASE status WHEN 'block' THEN 'BLOCK' ELSE 'ALLOW' END AS level FROM tv)"""
+
+
 def judged_traffic(spark, sf):
     images = image_results(spark, sf).select(F.col("image_id").alias("id"), "status", "risk_level", "reason")
     return traffic_verdict(dv.traffic(spark, sf), dv.rules(spark), images)

@@ -63,6 +63,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The files of a table as a stream."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str, stream: bool) -> DataFrame:
+    return table_stream(spark, sf_dir, name) if stream else table(spark, sf_dir, name)
+
+
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of long texts, spread over all cores when its files are few."""
     return spread(table(spark, sf_dir, name))
@@ -83,15 +93,15 @@ def documents_x(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("payload", F.col("text").cast("binary"))
 
 
-def events_x(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events_x(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Events as connection-level traffic, without a body."""
-    return table(spark, sf_dir, "events").select(
+    return _read(spark, sf_dir, "events", stream).select(
         F.col("event_id").alias("id"), "ts", F.expr(SOURCE_IP).alias("source_ip"), F.expr(DESTINATION).alias("destination_ip"),
         F.expr(PORT).alias("port"), F.expr(PROTO).alias("proto"), F.expr(CONTENT_TYPE).alias("content_type"),
         F.expr(STATUS).alias("status"), F.expr(REASON).alias("reason"), "value", "user_id", "event_id")
 
 
-def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
+def traffic(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Events with the planted document ``event_id % number of documents`` as body.
 
     Every document serves about the same number of events, so the join has
@@ -99,8 +109,8 @@ def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     n = table(spark, sf_dir, "documents").count()
     docs = documents_x(spark, sf_dir).select("doc_id", "text")
-    events = events_x(spark, sf_dir).withColumn("doc_id", F.col("event_id") % F.lit(n))
-    return spread(events).join(docs, "doc_id").select(
+    events = events_x(spark, sf_dir, stream).withColumn("doc_id", F.col("event_id") % F.lit(n))
+    return (events if stream else spread(events)).join(docs, "doc_id").select(
         "id", "ts", "source_ip", "destination_ip", "port", "proto", "content_type",
         F.col("text").alias("text_content"), F.col("text").cast("binary").alias("payload"))
 
@@ -117,8 +127,8 @@ def latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("service"), F.col("event_id").alias("id"), "ts", F.col("value").alias("ms"))
 
 
-def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+def packets(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+    return _read(spark, sf_dir, "events", stream).select(
         F.expr(SOURCE_IP).alias("src"), (F.col("user_id") % 50).cast("int").alias("sport"),
         F.expr(DESTINATION).alias("dst"), F.expr(PORT).cast("int").alias("dport"),
         F.expr("CASE event_id % 5 WHEN 3 THEN 17 WHEN 4 THEN 1 ELSE 6 END").alias("proto"),
@@ -130,18 +140,18 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 FLOW_MS = "CASE WHEN (user_id % 10) % 2 = 0 THEN event_id * 15 ELSE event_id * 40 END"
 
 
-def flow_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flow_packets(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     ms = F.expr(FLOW_MS)
-    return table(spark, sf_dir, "events").select(
+    return _read(spark, sf_dir, "events", stream).select(
         (F.col("user_id") % 10).alias("k"), F.col("event_id").alias("id"),
         F.timestamp_add("MILLISECOND", ms, F.lit("2024-01-01").cast("timestamp_ntz")).alias("ts"))
 
 
-def chunks(spark: SparkSession, sf_dir: str, size: int = 200) -> DataFrame:
+def chunks(spark: SparkSession, sf_dir: str, size: int = 200, stream: bool = False) -> DataFrame:
     """Conversations as HTTP messages, cut into chunks of ``size`` bytes."""
     head = F.expr("""concat('POST /c/', conv_id, ' HTTP/1.1', '\r\n', 'Host: h', conv_id % 7, '.example.com', '\r\n',
         'Content-Length: ', octet_length(text), '\r\n\r\n', text)""")
-    message = table(spark, sf_dir, "conversations").select(
+    message = _read(spark, sf_dir, "conversations", stream).select(
         F.col("conv_id").alias("conn_id"), F.expr("if(role = 'user', 'outbound', 'inbound')").alias("direction"), "turn", head.cast("binary").alias("m"))
     cuts = message.withColumn("i", F.explode(F.expr(f"sequence(0, cast((octet_length(m) - 1) div {size} as int))")))
     return cuts.select("conn_id", "direction", (F.col("turn") * 10_000 + F.col("i")).alias("seq"),
