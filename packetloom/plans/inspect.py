@@ -109,17 +109,19 @@ def gateway_verdict(messages: DataFrame, rules: DataFrame) -> DataFrame:
     sniffed = messages.withColumn("_kind", sniff_type(F.col("payload")))
     sniffed = sniffed.withColumn("_entropy", byte_entropy(needs_entropy(F.col("payload"), F.col("_kind"))))
     decision, service = triage(F.col("payload"), F.col("_kind"), F.col("_entropy"))
-    decided = sniffed.withColumns({"gateway": decision, "content_type": F.coalesce(service, F.lit("unknown"))})
+    decided = sniffed.withColumns({"_gateway": decision, "content_type": F.coalesce(service, F.lit("unknown"))})
     decided = decided.withColumn("text_content", F.when(F.col("content_type") == "text", plain_document_text(F.col("payload"))).otherwise(""))
-    executable = F.col("_kind") == "executable"
-    stopped = decided.filter("gateway = 'block'").withColumns({
-        "status": F.lit("block"), "risk_level": F.lit("high"), "rule_label": F.lit("GATEWAY"),
-        "reason": F.when(executable, "Executable detected").otherwise("High entropy text")})
-    passed = decided.filter("gateway = 'allow'").withColumns({
-        "status": F.lit("allow"), "risk_level": F.lit("safe"), "rule_label": F.lit("GATEWAY"), "reason": F.lit(fv.DEFAULT_REASON)})
-    asked = traffic_verdict(decided.filter("gateway = 'inspect'").select(*messages.columns), rules)
-    columns = ["id", "ts", "source_ip", "destination_ip", "proto", "status", "risk_level", "reason", "rule_label"]
-    return stopped.select(*columns).unionByName(passed.select(*columns)).unionByName(asked.select(*columns))
+    # One pass over all rows: what triage decided replaces the later verdict.
+    judged = traffic_verdict(decided, rules)
+    stopped, passed = F.col("_gateway") == "block", F.col("_gateway") == "allow"
+    reason = F.when(F.col("_kind") == "executable", "Executable detected").otherwise("High entropy text")
+
+    def final(name: str, when_stopped: Column | str, when_passed: str) -> Column:
+        return F.when(stopped, when_stopped).when(passed, when_passed).otherwise(F.col(name)).alias(name)
+
+    return judged.select(
+        "id", "ts", "source_ip", "destination_ip", "proto", final("status", "block", "allow"), final("risk_level", "high", "safe"),
+        final("reason", reason, fv.DEFAULT_REASON), final("rule_label", "GATEWAY", "GATEWAY"))
 
 
 def packet_verdict(packets: DataFrame, rules: DataFrame, keys: tuple[str, ...]) -> DataFrame:
