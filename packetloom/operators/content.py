@@ -2,54 +2,59 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from packetloom import fixed_values as fv
 from packetloom.functions.strings import fixed2, labels_where
-from packetloom.operators.detector import Detector, register
+from packetloom.operators.detector import Columns, Detector, register
 
 # Matching ignores case, and \b, \d, \s follow Unicode.
 _FLAGS = "(?iU)"
 
 
-def bucket_hits(low: Column) -> Column:
+def bucket_hits(low: Column) -> Columns:
     """Number of matching patterns per keyword bucket of a lower-case text.
 
     A regex runs only on texts that contain a literal part of it.
     """
-    hits = []
-    for (_, patterns), guards in zip(fv.KEYWORD_BUCKETS, fv.KEYWORD_GUARDS):
-        tests = [F.contains(low, F.lit(guard)) & F.rlike(low, F.lit(_FLAGS + regex))
+    hits = {}
+    for i, ((_, patterns), guards) in enumerate(zip(fv.KEYWORD_BUCKETS, fv.KEYWORD_GUARDS)):
+        tests = [(F.contains(low, F.lit(guard)) & F.rlike(low, F.lit(_FLAGS + regex))).cast("int")
                  for regex, guard in zip(patterns, guards)]
-        hits.append(sum((test.cast("int") for test in tests[1:]), tests[0].cast("int")))
-    return F.array(*hits)
+        hits[f"h{i}"] = reduce(add, tests)
+    return hits
 
 
-def _bucket_score(hits: Column) -> Column:
+def bucket_score(hits: Column) -> Column:
     return F.when(hits > 0, F.least(F.lit(fv.KEYWORD_CAP), F.lit(fv.KEYWORD_BASE) + F.lit(fv.KEYWORD_STEP) * (hits - 1))).otherwise(0.0)
 
 
-def best_bucket(hits: Column) -> Column:
-    """Struct (label, score) of the highest bucket; the first wins a tie."""
-    scored = [F.struct(_bucket_score(hits[i]).alias("score"), F.lit(-i).alias("order"), F.lit(label).alias("label"))
-              for i, (label, _) in enumerate(fv.KEYWORD_BUCKETS)]
-    return F.greatest(*scored)
+def best_hits(**hits: Column) -> Column:
+    """Hits of the best bucket; more hits never score less."""
+    return F.greatest(*hits.values())
+
+
+def best_label(**hits: Column) -> Column:
+    """Label of the first bucket with the highest score, null without hits."""
+    best = bucket_score(best_hits(**hits))
+    return F.coalesce(*[F.when((count > 0) & (bucket_score(count) == best), F.lit(label))
+                        for count, (label, _) in zip(hits.values(), fv.KEYWORD_BUCKETS)])
 
 
-def _score(hits: Column) -> Column:
-    best = best_bucket(hits)
-    return F.when(best["label"].isin(*fv.SENSITIVE_DOCUMENT_CLASSES), best["score"]).otherwise(0.0)
+def _score(**hits: Column) -> Column:
+    return F.when(best_label(**hits).isin(*fv.SENSITIVE_DOCUMENT_CLASSES), bucket_score(best_hits(**hits))).otherwise(0.0)
 
 
-def _findings(hits: Column) -> Column:
-    best = best_bucket(hits)
-    per_bucket = [
-        (hits[i] > 0, F.concat(F.lit(f"Keyword bucket '{label}' matched "), hits[i].cast("string"), F.lit(" pattern(s)")))
-        for i, (label, _) in enumerate(fv.KEYWORD_BUCKETS)]
-    chosen = (F.lit(True) & (best["score"] > 0) & best["label"].isin(*fv.SENSITIVE_DOCUMENT_CLASSES),
-              F.concat(F.lit("Sensitive content (keywords): "), best["label"], F.lit(" ("), fixed2(best["score"]), F.lit(")")))
-    return labels_where(*per_bucket, chosen)
+def _findings(**hits: Column) -> Column:
+    label = best_label(**hits)
+    per_bucket = [(count > 0, F.concat(F.lit(f"Keyword bucket '{name}' matched "), count.cast("string"), F.lit(" pattern(s)")))
+                  for count, (name, _) in zip(hits.values(), fv.KEYWORD_BUCKETS)]
+    chosen = F.concat(F.lit("Sensitive content (keywords): "), label, F.lit(" ("), fixed2(bucket_score(best_hits(**hits))), F.lit(")"))
+    return labels_where(*per_bucket, (label.isin(*fv.SENSITIVE_DOCUMENT_CLASSES), chosen))
 
 
-content = register(Detector("content", bucket_hits, _score, _findings, lambda text: {"low": F.lower(text)}))
+content = register(Detector("content", _score, _findings, bucket_hits, lambda input: {"low": F.lower(input)}))

@@ -1,9 +1,11 @@
 """Detector plug-ins.
 
-A detector turns one input column into a struct (score, findings). It is
-declared in parts so that Spark evaluates each costly piece once per row:
-``prepare`` derives shared inputs such as the lower-case text, ``signals``
-does the matching on them, ``score`` and ``findings`` only read the signals.
+A detector turns its input into the columns ``<module>_score`` and
+``<module>_findings``. It is declared in parts, each a set of flat columns, so
+that Spark evaluates every costly piece once per row: ``prepare`` derives
+shared inputs such as the lower-case text, ``signals`` does the matching on
+them, ``score`` and ``findings`` only read the signals. Flat columns matter:
+fields taken from a struct or array would be merged back into each use.
 """
 
 from __future__ import annotations
@@ -14,18 +16,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+Columns = dict[str, Column]
 
-def _as_is(column: Column) -> dict[str, Column]:
-    return {"input": column}
+
+def _as_is(**inputs: Column) -> Columns:
+    return inputs
 
 
 @dataclass(frozen=True)
 class Detector:
     module: str
-    signals: Callable[..., Column]     # takes the prepared columns as keywords
-    score: Callable[[Column], Column]
-    findings: Callable[[Column], Column]
-    prepare: Callable[[Column], dict[str, Column]] = _as_is
+    score: Callable[..., Column]               # takes the signals as keywords
+    findings: Callable[..., Column]            # takes the signals as keywords
+    signals: Callable[..., Columns] = _as_is   # takes the prepared columns as keywords
+    prepare: Callable[..., Columns] = _as_is   # takes the inputs as keywords
 
 
 REGISTRY: dict[str, Detector] = {}
@@ -37,30 +41,34 @@ def register(detector: Detector) -> Detector:
     return detector
 
 
-def detect(df: DataFrame, inputs: dict[str, Column], where: Column | None = None) -> DataFrame:
-    """Add a column ``<module>`` of struct (score, findings) per detector.
+def detect(df: DataFrame, inputs: dict[str, Column | Columns], where: Column | None = None) -> DataFrame:
+    """Add ``<module>_score`` and ``<module>_findings`` for every module.
 
-    ``inputs`` maps module names to the column each one reads. Rows outside
-    ``where`` are not matched. A detector that yields nothing scores 0.
+    ``inputs`` maps a module to the column it reads, or to several columns by
+    name. Rows outside ``where`` are not matched. A detector that yields
+    nothing scores 0.
     """
     kept = [F.col(c) for c in df.columns]
-    prepared = {module: REGISTRY[module].prepare(F.when(where, column) if where is not None else column)
-                for module, column in inputs.items()}
-    names = {(module, part): f"_{module}_{part}" for module, parts in prepared.items() for part in parts}
-    df = df.select(*kept, *[prepared[m][part].alias(name) for (m, part), name in names.items()])
-    signals = {module: REGISTRY[module].signals(**{part: F.col(names[module, part]) for part in parts})
-               for module, parts in prepared.items()}
-    df = df.select(*kept, *[column.alias(f"_{module}") for module, column in signals.items()])
+
+    def stage(frame: DataFrame, columns: dict[str, Columns], suffix: str) -> tuple[DataFrame, dict[str, Columns]]:
+        names = {(m, part): f"_{m}_{part}_{suffix}" for m, parts in columns.items() for part in parts}
+        frame = frame.select(*kept, *[columns[m][part].alias(name) for (m, part), name in names.items()])
+        return frame, {m: {part: F.col(names[m, part]) for part in parts} for m, parts in columns.items()}
+
+    given = {m: value if isinstance(value, dict) else {"input": value} for m, value in inputs.items()}
+    if where is not None:
+        given = {m: {part: F.when(where, column) for part, column in parts.items()} for m, parts in given.items()}
+    df, prepared = stage(df, {m: REGISTRY[m].prepare(**parts) for m, parts in given.items()}, "in")
+    df, signals = stage(df, {m: REGISTRY[m].signals(**parts) for m, parts in prepared.items()}, "hit")
     none = F.array().cast("array<string>")
-    return df.select(*kept, *[
-        F.struct(F.coalesce(REGISTRY[m].score(F.col(f"_{m}")), F.lit(0.0)).alias("score"),
-                 F.coalesce(REGISTRY[m].findings(F.col(f"_{m}")), none).alias("findings")).alias(m)
-        for m in inputs])
+    return df.select(*kept, *[column for m, parts in signals.items() for column in (
+        F.coalesce(REGISTRY[m].score(**parts), F.lit(0.0)).alias(f"{m}_score"),
+        F.coalesce(REGISTRY[m].findings(**parts), none).alias(f"{m}_findings"))])
 
 
 def long_form(df: DataFrame, key: str, modules: list[str]) -> DataFrame:
     """One row (key, module, score, findings) per event and module."""
     return df.select(key, F.inline(F.array(*[
-        F.struct(F.lit(m).alias("module"), F.col(m)["score"].alias("score"), F.col(m)["findings"].alias("findings"))
+        F.struct(F.lit(m).alias("module"), F.col(f"{m}_score").alias("score"), F.col(f"{m}_findings").alias("findings"))
         for m in modules
     ])))

@@ -14,10 +14,10 @@ _NONE = "array<string>"
 # --- text read from the image --------------------------------------------
 ocr = register(Detector(
     "ocr",
-    lambda low: F.filter(F.array(*[F.lit(w) for w in fv.OCR_KEYWORDS]), lambda w: F.contains(low, w)),
     lambda words: F.when(F.size(words) > 0, fv.OCR_SCORE).otherwise(0.0),
     lambda words: F.transform(words, lambda w: F.concat(F.lit("Sensitive keyword detected: "), w)),
-    lambda text: {"low": F.lower(text)},
+    lambda low: {"words": F.filter(F.array(*[F.lit(w) for w in fv.OCR_KEYWORDS]), lambda w: F.contains(low, w))},
+    lambda input: {"low": F.lower(input)},
 ))
 
 
@@ -30,9 +30,9 @@ def lsb_density(pixels: Column) -> Column:
 
 stego = register(Detector(
     "stego",
-    lambda input: F.abs(lsb_density(input) - F.lit(0.5)),
     lambda distance: F.when(distance < fv.STEGO_DISTANCE, fv.STEGO_SCORE).otherwise(0.0),
     lambda distance: F.when(distance < fv.STEGO_DISTANCE, F.array(F.lit(fv.STEGO_FINDING))).otherwise(F.array().cast(_NONE)),
+    lambda input: {"distance": F.abs(lsb_density(input) - F.lit(0.5))},
 ))
 
 
@@ -57,24 +57,22 @@ def label_score(label: Column, confidence: Column, ocr_score: Column) -> Column:
             .otherwise(0.0))
 
 
-def _label_findings(signals: Column) -> Column:
-    label, score = signals["label"], label_score(signals["label"], signals["confidence"], signals["ocr_score"])
-    seen = F.concat(F.lit("Classified as: "), label, F.lit(" ("), fixed2(signals["confidence"]), F.lit(")"))
+def _label_findings(label: Column, confidence: Column, ocr_score: Column) -> Column:
+    score = label_score(label, confidence, ocr_score)
+    seen = F.concat(F.lit("Classified as: "), label, F.lit(" ("), fixed2(confidence), F.lit(")"))
     risk = (F.when(score == fv.IDENTITY_SCORE, F.concat(F.lit("CRITICAL: PII/NSFW Detected '"), label, F.lit("' (Strict Block)")))
             .when(score == fv.SENSITIVE_CONFIRMED, F.concat(F.lit("CRITICAL: Sensitive Visual '"), label, F.lit("' + Sensitive Text Match")))
             .when(score == fv.SENSITIVE_ALONE, F.concat(F.lit("WARNING: Sensitive Visual '"), label, F.lit("' detected (No text confirmation)"))))
     return F.when(label.isNotNull(), F.array_compact(F.array(seen, risk)))
 
 
-# Input: struct (label, confidence, ocr_score).
-semantic_clip = register(Detector(
-    "semantic_clip", lambda input: input,
-    lambda s: label_score(s["label"], s["confidence"], s["ocr_score"]), _label_findings))
+# Inputs: label, confidence and ocr_score.
+semantic_clip = register(Detector("semantic_clip", label_score, _label_findings))
 
 
 # --- detected objects -----------------------------------------------------
 def object_results(boxes: DataFrame) -> DataFrame:
-    """(image_id, object_detection) from (image_id, box, class_id, name, conf).
+    """Object score and findings from (image_id, box, class_id, name, conf).
 
     Only boxes that give a finding are kept before the shuffle. The boxes of
     one image come from one model call, so a group is small by nature.
@@ -84,7 +82,6 @@ def object_results(boxes: DataFrame) -> DataFrame:
                .when(F.col("conf") > fv.OBJECT_MIN, F.concat(F.lit("Detected Object: "), "name")))
     hits = boxes.select("image_id", "box", F.when(risky, fv.DEVICE_SCORE).otherwise(0.0).alias("score"),
                         finding.alias("finding")).filter("finding is not null")
-    return hits.groupBy("image_id").agg(F.struct(
-        F.max("score").alias("score"),
-        F.transform(F.array_sort(F.collect_list(F.struct("box", "finding"))), lambda b: b["finding"]).alias("findings"),
-    ).alias("object_detection"))
+    return hits.groupBy("image_id").agg(
+        F.max("score").alias("object_detection_score"),
+        F.transform(F.array_sort(F.collect_list(F.struct("box", "finding"))), lambda b: b["finding"]).alias("object_detection_findings"))

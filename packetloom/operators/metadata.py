@@ -7,60 +7,59 @@ from pyspark.sql import functions as F
 
 from packetloom import fixed_values as fv
 from packetloom.functions.strings import contains_any
-from packetloom.operators.detector import Detector, register
+from packetloom.operators.detector import Columns, Detector, register
 
 
-def _haystack(meta: Column) -> dict[str, Column]:
-    lines = F.transform(F.map_entries(meta), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return {"meta": meta, "haystack": F.array_join(lines, "\n")}
+def _haystack(input: Column) -> Columns:
+    lines = F.transform(F.map_entries(input), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return {"meta": input, "haystack": F.array_join(lines, "\n")}
 
 
-def metadata_signals(meta: Column, haystack: Column) -> Column:
-    """Path leaks, GPS, producer judgements and tracked changes of a map.
+def metadata_signals(meta: Column, haystack: Column) -> Columns:
+    """Path leaks, GPS, odd producers and tracked changes of a metadata map.
 
     The map entry ``has_revisions`` holds the text ``True`` when the document
     has tracked changes.
     """
+    none = F.array().cast("array<string>")
     low = F.lower(haystack)
-    leaks = F.concat(*[
-        F.when(F.contains(low, F.lit(guard)), F.regexp_extract_all(haystack, F.lit(regex), F.lit(0)))
-        .otherwise(F.array().cast("array<string>"))
-        for regex, guard in fv.PATH_LEAK_PATTERNS])
+    leaks = [F.when(F.contains(low, F.lit(guard)), F.regexp_extract_all(haystack, F.lit(regex), F.lit(0))).otherwise(none)
+             for regex, guard in fv.PATH_LEAK_PATTERNS]
     values = F.array_compact(F.array(*[F.element_at(meta, key) for key in fv.PRODUCER_KEYS]))
     judged = F.transform(values, lambda value: F.struct(
         value.alias("value"),
         contains_any(F.lower(value), fv.SUSPICIOUS_PRODUCERS).alias("suspicious"),
         contains_any(F.lower(value), fv.KNOWN_PRODUCERS).alias("known")))
-    return F.when(F.size(meta) > 0, F.struct(
-        leaks.alias("leaks"),
-        (F.contains(haystack, F.lit("GPSLatitude")) | F.contains(haystack, F.lit("GPSLongitude"))).alias("gps"),
-        F.filter(judged, lambda p: p["suspicious"] | ~p["known"]).alias("producers"),
-        F.coalesce(F.element_at(meta, "has_revisions") == "True", F.lit(False)).alias("revisions"),
-    ))
-
-
-def _score(found: Column) -> Column:
-    suspicious = F.size(F.filter(found["producers"], lambda p: p["suspicious"]))
-    hits = (F.size(found["leaks"]) + found["gps"].cast("int") + suspicious + found["revisions"].cast("int"))
-    unknown = F.size(found["producers"]) - suspicious
+    return {
+        "leaks": F.concat(*leaks),
+        "gps": F.contains(haystack, F.lit("GPSLatitude")) | F.contains(haystack, F.lit("GPSLongitude")),
+        "producers": F.filter(judged, lambda p: p["suspicious"] | ~p["known"]),
+        "revisions": F.coalesce(F.element_at(meta, "has_revisions") == "True", F.lit(False)),
+    }
+
+
+def _score(leaks: Column, gps: Column, producers: Column, revisions: Column) -> Column:
+    suspicious = F.size(F.filter(producers, lambda p: p["suspicious"]))
+    hits = F.size(leaks) + gps.cast("int") + suspicious + revisions.cast("int")
+    unknown = F.size(producers) - suspicious
     score = F.least(F.lit(fv.METADATA_CAP), F.lit(fv.METADATA_HIT) * hits + F.lit(fv.METADATA_UNKNOWN) * unknown)
-    return F.when(found.isNotNull(), score)
+    return F.when(leaks.isNotNull() & producers.isNotNull(), score)
 
 
-def _findings(found: Column) -> Column:
+def _findings(leaks: Column, gps: Column, producers: Column, revisions: Column) -> Column:
     def only(test: Column, text: str) -> Column:
         return F.when(test, F.array(F.lit(text))).otherwise(F.array().cast("array<string>"))
 
     return F.concat(
-        F.transform(found["leaks"], lambda hit: F.concat(F.lit("Local path leak: "), hit)),
-        only(found["gps"], "GPS coordinates embedded in document metadata"),
-        F.transform(found["producers"], lambda p: F.concat(
+        F.transform(leaks, lambda hit: F.concat(F.lit("Local path leak: "), hit)),
+        only(gps, "GPS coordinates embedded in document metadata"),
+        F.transform(producers, lambda p: F.concat(
             F.when(p["suspicious"], "Suspicious producer: ").otherwise("Unrecognised producer/creator: "), p["value"])),
-        only(found["revisions"], "Document contains tracked changes / revision history"),
+        only(revisions, "Document contains tracked changes / revision history"),
     )
 
 
-metadata = register(Detector("metadata", metadata_signals, _score, _findings, _haystack))
+metadata = register(Detector("metadata", _score, _findings, metadata_signals, _haystack))
 
 
 def office_metadata(entries: Column) -> Column:

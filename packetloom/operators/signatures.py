@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom import fixed_values as fv
 from packetloom.functions.payload import byte_literal, has_bytes
 from packetloom.functions.strings import fixed2, labels_where
-from packetloom.operators.detector import Detector, register
+from packetloom.operators.detector import Columns, Detector, register
 
 
 def signature_test(payload: Column, rule: dict) -> Column:
     """Condition of one signature as a byte-search expression."""
-    found = None
-    for group in rule["any_of"]:
-        together = None
-        for text in group:
-            test = has_bytes(payload, text)
-            together = test if together is None else together & test
-        found = together if found is None else found | together
+    found = reduce(or_, [reduce(and_, [has_bytes(payload, text) for text in group]) for group in rule["any_of"]])
     if rule.get("starts"):
         found = F.startswith(payload, byte_literal(rule["starts"])) & found
     return found
@@ -31,25 +28,20 @@ def signature_pack(rules: list[dict], module: str = "malware") -> Detector:
     A rule is a dict with name, severity, description, starts and any_of; see
     ``fixed_values.SIGNATURES``. Packs can be joined by adding the lists.
     """
-    def signals(input: Column) -> Column:
-        return F.array(*[signature_test(input, rule) for rule in rules])
-
-    def score(flags: Column) -> Column:
-        critical = [flags[i] for i, rule in enumerate(rules) if rule["severity"] == "critical"]
-        result = F
-        if critical:
-            any_critical = critical[0]
-            for flag in critical[1:]:
-                any_critical = any_critical | flag
-            result = result.when(any_critical, fv.SIGNATURE_CRITICAL_SCORE)
-        return result.when(F.exists(flags, lambda hit: hit), fv.SIGNATURE_SCORE).otherwise(0.0)
-
-    def findings(flags: Column) -> Column:
+    def signals(input: Column) -> Columns:
+        return {f"rule{i}": signature_test(input, rule) for i, rule in enumerate(rules)}
+
+    def score(**flags: Column) -> Column:
+        critical = [flag for flag, rule in zip(flags.values(), rules) if rule["severity"] == "critical"]
+        result = F.when(reduce(or_, critical), fv.SIGNATURE_CRITICAL_SCORE) if critical else F
+        return result.when(reduce(or_, flags.values()), fv.SIGNATURE_SCORE).otherwise(0.0)
+
+    def findings(**flags: Column) -> Column:
         return labels_where(*[
-            (flags[i], f"YARA: {rule['name']} ({rule['severity'] or 'match'}) — {rule['description']}")
-            for i, rule in enumerate(rules)])
+            (flag, f"YARA: {rule['name']} ({rule['severity'] or 'match'}) — {rule['description']}")
+            for flag, rule in zip(flags.values(), rules)])
 
-    return Detector(module, signals, score, findings)
+    return Detector(module, score, findings, signals)
 
 
 malware = register(signature_pack(fv.SIGNATURES))
@@ -67,8 +59,8 @@ def with_hash_intel(df: DataFrame, payload: Column, intel: DataFrame, key: str =
     joined = df.withColumn("_sha", F.sha2(payload, 256)).join(bad, "_sha", "left").drop("_sha")
     score = F.coalesce(F.col("_intel"), F.lit(0.0))
     note = F.concat(F.lit("VirusTotal: malicious detections found (score="), fixed2(score), F.lit(")"))
-    return joined.withColumn("malware", F.struct(
-        F.greatest(F.col("malware")["score"], score).alias("score"),
-        F.when(score > 0, F.array_append(F.col("malware")["findings"], note))
-        .otherwise(F.col("malware")["findings"]).alias("findings"),
-    )).withColumn("intel_score", score).drop("_intel")
+    return joined.withColumns({
+        "malware_score": F.greatest("malware_score", score),
+        "malware_findings": F.when(score > 0, F.array_append("malware_findings", note)).otherwise(F.col("malware_findings")),
+        "intel_score": score,
+    }).drop("_intel")

@@ -125,18 +125,18 @@ def _triggered(features: Column) -> Column:
         F.when(F.element_at(features, name) != 0, F.lit(name)) for name in sorted(fv.HARD_STRUCTURE_FEATURES)]))
 
 
-def _score(signals: Column) -> Column:
-    hard = F.when(F.size(_triggered(signals["features"])) > 0, fv.HARD_STRUCTURE_SCORE).otherwise(0.0)
-    return F.greatest(F.coalesce(signals["anomaly"], F.lit(0.0)), hard)
+def _score(features: Column, anomaly: Column) -> Column:
+    hard = F.when(F.size(_triggered(features)) > 0, fv.HARD_STRUCTURE_SCORE).otherwise(0.0)
+    return F.greatest(F.coalesce(anomaly, F.lit(0.0)), hard)
 
 
-def _findings(signals: Column) -> Column:
-    listed, hard = _listed(signals["features"]), _triggered(signals["features"])
+def _findings(features: Column, anomaly: Column) -> Column:
+    listed, hard = _listed(features), _triggered(features)
     none = F.array().cast("array<string>")
     return F.concat(
         F.when(F.size(listed) > 0, F.array(F.concat(F.lit("Structural features: "), F.array_join(listed, ", ")))).otherwise(none),
         F.when(F.size(hard) > 0, F.array(F.concat(F.lit("Hard-rule structure trigger: "), F.array_join(hard, ", ")))).otherwise(none))
 
 
-# Input: struct (features map, anomaly double or null).
-structure = register(Detector("structure", lambda input: input, _score, _findings))
+# Inputs: features (map) and anomaly (double or null).
+structure = register(Detector("structure", _score, _findings))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -9,39 +12,37 @@ from pyspark.sql import functions as F
 
 from packetloom import fixed_values as fv
 from packetloom.functions.strings import contains_any, fixed2, labels_where
-from packetloom.operators.detector import Detector, register
+from packetloom.operators.detector import Columns, Detector, register
 from packetloom.session import rows_if_small
 
 
 # --- secrets and remote code execution -----------------------------------
-def _with_lower(text: Column) -> dict[str, Column]:
-    return {"text": text, "low": F.lower(text)}
+def _text_and_lower(input: Column) -> Columns:
+    return {"text": input, "low": F.lower(input)}
 
 
-def secret_flags(text: Column, low: Column) -> Column:
-    """Boolean array: one flag per secret pattern, then the RCE flag.
+def code_flags(text: Column, low: Column) -> Columns:
+    """One flag per secret pattern and the flag ``rce``.
 
     Every regex runs only on rows that contain a literal part of it.
     """
-    flags = []
-    for _, guard, lowered, pattern in fv.SECRET_PATTERNS:
+    flags = {}
+    for i, (_, guard, lowered, pattern) in enumerate(fv.SECRET_PATTERNS):
         test = contains_any(low, fv.GENERIC_SECRET_WORDS) if lowered else F.contains(text, F.lit(guard))
-        flags.append(test & F.rlike(text, F.lit(pattern)))
-    return F.array(*flags, contains_any(text, fv.RCE_MARKERS))
+        flags[f"secret{i}"] = test & F.rlike(text, F.lit(pattern))
+    return {**flags, "rce": contains_any(text, fv.RCE_MARKERS)}
 
 
-def _code_score(flags: Column) -> Column:
-    n = len(fv.SECRET_PATTERNS)
-    return (F.when(F.exists(F.slice(flags, 1, n), lambda hit: hit), fv.SECRET_SCORE)
-            .when(flags[n], fv.RCE_SCORE).otherwise(0.0))
+def _code_score(rce: Column, **secrets: Column) -> Column:
+    return F.when(reduce(or_, secrets.values()), fv.SECRET_SCORE).when(rce, fv.RCE_SCORE).otherwise(0.0)
 
 
-def _code_findings(flags: Column) -> Column:
-    names = [f"Secret Detected: {name}" for name, *_ in fv.SECRET_PATTERNS] + [fv.RCE_FINDING]
-    return labels_where(*[(flags[i], name) for i, name in enumerate(names)])
+def _code_findings(rce: Column, **secrets: Column) -> Column:
+    names = [f"Secret Detected: {name}" for name, *_ in fv.SECRET_PATTERNS]
+    return labels_where(*zip(secrets.values(), names), (rce, fv.RCE_FINDING))
 
 
-code = register(Detector("code", secret_flags, _code_score, _code_findings, _with_lower))
+code = register(Detector("code", _code_score, _code_findings, code_flags, _text_and_lower))
 
 
 # --- personal data --------------------------------------------------------
@@ -65,56 +66,55 @@ def iban_valid(iban: Column) -> Column:
     return remainder == 1
 
 
-def _with_digits(text: Column) -> dict[str, Column]:
+def _text_and_digits(input: Column) -> Columns:
     """All numeric entities have two digits at most one separator apart."""
-    return {"text": text, "digits": F.rlike(text, F.lit("[0-9][ -]?[0-9]"))}
+    return {"text": input, "digits": F.rlike(input, F.lit("[0-9][ -]?[0-9]"))}
 
 
-def pii_spans(text: Column, digits: Column) -> Column:
-    """Struct with the valid spans of every entity, in text order."""
+def pii_spans(text: Column, digits: Column) -> Columns:
+    """The valid spans of every entity, in text order."""
     def spans(entity: str, guard: Column) -> Column:
         found = F.regexp_extract_all(text, F.lit(fv.PII_PATTERNS[entity]), F.lit(0))
         return F.when(guard, found).otherwise(F.array().cast("array<string>"))
 
-    cards = F.filter(spans("CREDIT_CARD", digits),
-                     lambda span: luhn_valid(F.regexp_replace(span, "[^0-9]", "")))
-    return F.struct(
-        spans("PHONE_NUMBER", digits).alias("PHONE_NUMBER"),
-        spans("EMAIL_ADDRESS", F.contains(text, F.lit("@"))).alias("EMAIL_ADDRESS"),
-        F.filter(spans("IBAN", digits), iban_valid).alias("IBAN"),
-        cards.alias("CREDIT_CARD"),
-        spans("US_SSN", digits & F.contains(text, F.lit("-"))).alias("US_SSN"),
-    )
+    return {
+        "PHONE_NUMBER": spans("PHONE_NUMBER", digits),
+        "EMAIL_ADDRESS": spans("EMAIL_ADDRESS", F.contains(text, F.lit("@"))),
+        "IBAN": F.filter(spans("IBAN", digits), iban_valid),
+        "CREDIT_CARD": F.filter(spans("CREDIT_CARD", digits), lambda span: luhn_valid(F.regexp_replace(span, "[^0-9]", ""))),
+        "US_SSN": spans("US_SSN", digits & F.contains(text, F.lit("-"))),
+    }
 
 
-def _pii_score(spans: Column) -> Column:
+def _pii_score(**spans: Column) -> Column:
     return F.greatest(F.lit(0.0), *[
         F.when(F.size(spans[entity]) > 0, score).otherwise(0.0) for entity, score, _ in fv.PII_ENTITIES])
 
 
-def _pii_findings(spans: Column) -> Column:
+def _pii_findings(**spans: Column) -> Column:
     return F.concat(*[
         F.array_repeat(F.lit(f"PII Detected: {entity} ({shown})"), F.size(spans[entity]))
         for entity, _, shown in fv.PII_ENTITIES])
 
 
-pattern = register(Detector("pattern", pii_spans, _pii_score, _pii_findings, _with_digits))
+pattern = register(Detector("pattern", _pii_score, _pii_findings, pii_spans, _text_and_digits))
 
 
 def pii_table(df: DataFrame, key: str, text: Column) -> DataFrame:
     """One row (key, entity, span) per span of personal data."""
     def rows(entity: str) -> Column:
-        return F.transform(F.col("s")[entity], lambda span: F.struct(F.lit(entity).alias("entity"), span.alias("span")))
+        return F.transform(F.col(entity), lambda span: F.struct(F.lit(entity).alias("entity"), span.alias("span")))
 
-    prepared = df.select(key, *[column.alias(name) for name, column in _with_digits(text).items()])
-    spans = prepared.select(key, pii_spans(F.col("text"), F.col("digits")).alias("s"))
-    return spans.select(key, F.inline(F.concat(*[rows(entity) for entity, *_ in fv.PII_ENTITIES])))
+    prepared = df.select(key, *[column.alias(name) for name, column in _text_and_digits(text).items()])
+    spans = pii_spans(F.col("text"), F.col("digits"))
+    found = prepared.select(key, *[column.alias(entity) for entity, column in spans.items()])
+    return found.select(key, F.inline(F.concat(*[rows(entity) for entity in spans])))
 
 
 # --- fixed context floor --------------------------------------------------
 context = register(Detector(
-    "context", lambda input: F.lit(True), lambda _: F.lit(fv.CONTEXT_SCORE),
-    lambda _: F.array().cast("array<string>")))
+    "context", lambda input: F.lit(fv.CONTEXT_SCORE), lambda input: F.array().cast("array<string>"),
+    prepare=lambda input: {"input": F.lit(True)}))
 
 
 # --- similarity to concept vectors ---------------------------------------
@@ -143,20 +143,21 @@ def best_concept(df: DataFrame, vector: str, concepts: DataFrame) -> DataFrame:
     return df.withColumn("_closest", closest(vector)).select("*", "_closest.*").drop("_closest")
 
 
-def _nlp_score(match: Column) -> Column:
+def _nlp_score(similarity: Column, concept: Column) -> Column:
     (high, high_score), (low, low_score) = fv.SEMANTIC_HIGH, fv.SEMANTIC_LOW
-    return F.when(match["similarity"] > high, high_score).when(match["similarity"] > low, low_score).otherwise(0.0)
+    return F.when(similarity > high, high_score).when(similarity > low, low_score).otherwise(0.0)
 
 
-def _nlp_findings(match: Column) -> Column:
-    shown = fixed2(match["similarity"])
-    return F.when(match["similarity"] > fv.SEMANTIC_HIGH[0], F.array(F.concat(
-        F.lit("Semantic Threat Detected: '"), match["concept"], F.lit("' (Confidence: "), shown, F.lit(")")))) \
-        .when(match["similarity"] > fv.SEMANTIC_LOW[0], F.array(F.concat(F.lit("Potential Semantic Risk ("), shown, F.lit(")")))) \
+def _nlp_findings(similarity: Column, concept: Column) -> Column:
+    shown = fixed2(similarity)
+    return F.when(similarity > fv.SEMANTIC_HIGH[0], F.array(F.concat(
+        F.lit("Semantic Threat Detected: '"), concept, F.lit("' (Confidence: "), shown, F.lit(")")))) \
+        .when(similarity > fv.SEMANTIC_LOW[0], F.array(F.concat(F.lit("Potential Semantic Risk ("), shown, F.lit(")")))) \
         .otherwise(F.array().cast("array<string>"))
 
 
-nlp = register(Detector("nlp", lambda input: input, _nlp_score, _nlp_findings))
+# Inputs: similarity and concept of the closest concept vector.
+nlp = register(Detector("nlp", _nlp_score, _nlp_findings))
 
 
 # --- redaction ------------------------------------------------------------

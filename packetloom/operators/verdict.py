@@ -14,7 +14,8 @@ IMAGE_MODULES = ("ocr", "semantic_clip", "object_detection", "stego")
 
 
 def _score(df: DataFrame, module: str) -> Column:
-    return F.coalesce(F.col(module)["score"], F.lit(0.0)) if module in df.columns else F.lit(0.0)
+    name = f"{module}_score"
+    return F.coalesce(F.col(name), F.lit(0.0)) if name in df.columns else F.lit(0.0)
 
 
 def _weighted(df: DataFrame, weights: dict[str, float]) -> Column:
@@ -27,13 +28,13 @@ def _weighted(df: DataFrame, weights: dict[str, float]) -> Column:
 
 def with_scores(df: DataFrame, modules: tuple[str, ...], weights: dict[str, float] | None = None) -> DataFrame:
     """Add max_score, weighted_score, findings and scores of the modules."""
-    present = [m for m in modules if m in df.columns]
+    present = [m for m in modules if f"{m}_score" in df.columns]
     scores = [_score(df, m) for m in present]
     none = F.array().cast("array<string>")
     return df.withColumns({
         "max_score": F.greatest(F.lit(0.0), *scores),
         "weighted_score": _weighted(df, weights) if weights else F.lit(None).cast("double"),
-        "findings": F.concat(*[F.coalesce(F.col(m)["findings"], none) for m in present]),
+        "findings": F.concat(*[F.coalesce(F.col(f"{m}_findings"), none) for m in present]),
         "scores": F.create_map(*[part for m, s in zip(present, scores) for part in (F.lit(m), s)]),
     })
 

@@ -32,7 +32,7 @@ _SIG_FINDINGS = """concat_ws('|', CASE WHEN eicar THEN 'YARA: EICAR_Test_String
 def signature_scan(spark, sf):
     docs = dv.documents_x(spark, sf).select("doc_id", F.expr(_SIG_BODY).cast("binary").alias("payload"))
     return detect(docs, {"malware": F.col("payload")}).select(
-        "doc_id", F.col("malware")["score"].alias("score"), F.array_join(F.col("malware")["findings"], "|").alias("findings"))
+        "doc_id", F.col("malware_score").alias("score"), F.array_join(F.col("malware_findings"), "|").alias("findings"))
 
 
 _INTEL = "intel AS (SELECT sha256(text) AS sha, max(toxic) AS malicious FROM d JOIN labels USING (doc_id) GROUP BY 1)"
@@ -48,7 +48,7 @@ def _intel(spark, sf):
   FROM d LEFT JOIN intel ON sha = sha256(text)""")
 def hash_intel(spark, sf):
     scanned = detect(dv.documents_x(spark, sf), {"malware": F.col("payload")})
-    return with_hash_intel(scanned, F.col("payload"), _intel(spark, sf)).select("doc_id", "intel_score", F.col("malware")["score"].alias("score"))
+    return with_hash_intel(scanned, F.col("payload"), _intel(spark, sf)).select("doc_id", "intel_score", F.col("malware_score").alias("score"))
 
 
 # --- metadata -------------------------------------------------------------
@@ -76,7 +76,7 @@ def _with_meta(df):
 def metadata_forensics(spark, sf):
     docs = _with_meta(dv.documents_x(spark, sf))
     return detect(docs, {"metadata": F.col("meta")}).select(
-        "doc_id", F.col("metadata")["score"].alias("score"), F.array_join(F.col("metadata")["findings"], "|").alias("findings"))
+        "doc_id", F.col("metadata_score").alias("score"), F.array_join(F.col("metadata_findings"), "|").alias("findings"))
 
 
 # --- structure ------------------------------------------------------------
@@ -99,11 +99,11 @@ def zip_entries(spark, sf):
 def office_structure(spark, sf):
     files = dv.office_files(spark, sf).withColumn("entries", st.container_entries(F.col("payload")))
     featured = files.withColumn("features", st.structure_features(F.col("payload"), F.col("entries")))
-    scored = detect(featured, {"structure": F.struct("features", F.lit(0.0).alias("anomaly"))})
+    scored = detect(featured, {"structure": {"features": F.col("features"), "anomaly": F.lit(0.0)}})
     return scored.select("doc_id", F.col("entries").isNotNull().alias("readable"),
                          *[F.coalesce(F.element_at("features", n), F.lit(0.0)).alias(n)
                            for n in ("object_count", "vba_project", "ole_object", "embedded_files", "external_rels")],
-                         F.col("structure")["score"].alias("score"))
+                         F.col("structure_score").alias("score"))
 
 
 @query("pdf_structure", """SELECT doc_id, (5 + (doc_id % 8 = 0)::INT)::DOUBLE AS object_count, 1.0::DOUBLE AS stream_count, 1.0::DOUBLE AS page_count,
@@ -114,9 +114,9 @@ def office_structure(spark, sf):
    CASE WHEN doc_id % 4 = 0 THEN 'Hard-rule structure trigger: ' || CASE WHEN doc_id % 8 = 0 THEN 'javascript, ' ELSE '' END || 'openaction' END) AS findings FROM documents""")
 def pdf_structure(spark, sf):
     featured = dv.pdf_files(spark, sf).withColumn("features", st.pdf_features(F.col("payload")))
-    scored = detect(featured, {"structure": F.struct("features", F.lit(0.0).alias("anomaly"))})
+    scored = detect(featured, {"structure": {"features": F.col("features"), "anomaly": F.lit(0.0)}})
     return scored.select("doc_id", *[F.element_at("features", n).alias(n) for n in ("object_count", "stream_count", "page_count", "javascript", "openaction", "acroform")],
-                         F.col("structure")["score"].alias("score"), F.array_join(F.col("structure")["findings"], "|").alias("findings"))
+                         F.col("structure_score").alias("score"), F.array_join(F.col("structure_findings"), "|").alias("findings"))
 
 
 @query("isolation_forest")
@@ -133,8 +133,8 @@ def isolation_forest(spark, sf):
 def structure_score(spark, sf):
     features = F.expr("map('object_count', cast(doc_id % 9 + 1 as double), 'entropy', 4.125D, 'openaction', if(doc_id % 5 = 0, 1D, 0D), 'vba_project', if(doc_id % 7 = 0, 1D, 0D))")
     table = dv.table(spark, sf, "documents").select("doc_id", features.alias("features"), F.expr("if(doc_id % 3 = 0, 0.25D, 0.9D)").alias("anomaly"))
-    return detect(table, {"structure": F.struct("features", "anomaly")}).select(
-        "doc_id", F.col("structure")["score"].alias("score"), F.array_join(F.col("structure")["findings"], "|").alias("findings"))
+    return detect(table, {"structure": {"features": F.col("features"), "anomaly": F.col("anomaly")}}).select(
+        "doc_id", F.col("structure_score").alias("score"), F.array_join(F.col("structure_findings"), "|").alias("findings"))
 
 
 # --- verdicts -------------------------------------------------------------
@@ -150,7 +150,7 @@ _DOC_JUDGE = """CASE WHEN hi > 0.8 OR weighted > 0.5 THEN 'block' ELSE 'allow' E
 def _document_results(spark, sf):
     docs = _with_meta(dv.documents_x(spark, sf))
     features = F.expr("map('openaction', if(doc_id % 5 = 0, 1D, 0D))")
-    found = detect(docs, {"structure": F.struct(features.alias("features"), F.lit(0.0).alias("anomaly")), "content": F.col("text"),
+    found = detect(docs, {"structure": {"features": features, "anomaly": F.lit(0.0)}, "content": F.col("text"),
                           "malware": F.col("payload"), "metadata": F.col("meta")})
     return with_hash_intel(found, F.col("payload"), _intel(spark, sf))
 

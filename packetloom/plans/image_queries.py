@@ -21,7 +21,7 @@ _OCR_HIT = " OR ".join(f"contains(lower(text), '{w}')" for w in _OCR_WORDS)
   concat_ws('|', {", ".join(f"CASE WHEN contains(lower(text), '{w}') THEN 'Sensitive keyword detected: {w}' END" for w in _OCR_WORDS)}) AS findings FROM d""")
 def ocr_keywords(spark, sf):
     return detect(dv.documents_x(spark, sf), {"ocr": F.col("text")}).select(
-        "doc_id", F.col("ocr")["score"].alias("score"), F.array_join(F.col("ocr")["findings"], "|").alias("findings"))
+        "doc_id", F.col("ocr_score").alias("score"), F.array_join(F.col("ocr_findings"), "|").alias("findings"))
 
 
 def _labels(spark, sf):
@@ -42,9 +42,9 @@ _CLIP = f"CASE WHEN {_IDENTITY} AND confidence > 0.4 THEN 0.95::DOUBLE WHEN {_SE
    WHEN 0.9 THEN '|CRITICAL: Sensitive Visual ''' || label || ''' + Sensitive Text Match' WHEN 0.5 THEN '|WARNING: Sensitive Visual ''' || label || ''' detected (No text confirmation)' ELSE '' END AS findings FROM r""")
 def image_label_risk(spark, sf):
     best = im.best_labels(_labels(spark, sf)).withColumn("ocr_score", F.expr("if(image_id % 2 = 0, 0.9D, 0D)"))
-    return detect(best, {"semantic_clip": F.struct("label", "confidence", "ocr_score")}).select(
-        "image_id", "label", F.round("confidence", 9).alias("confidence"), F.col("semantic_clip")["score"].alias("score"),
-        F.array_join(F.col("semantic_clip")["findings"], "|").alias("findings"))
+    return detect(best, {"semantic_clip": {c: F.col(c) for c in ("label", "confidence", "ocr_score")}}).select(
+        "image_id", "label", F.round("confidence", 9).alias("confidence"), F.col("semantic_clip_score").alias("score"),
+        F.array_join(F.col("semantic_clip_findings"), "|").alias("findings"))
 
 
 _BOX_SQL = """bx AS (SELECT l_orderkey AS image_id, l_linenumber AS box, l_partkey % 80 AS class_id, 'class-' || (l_partkey % 80) AS name, l_discount::DOUBLE * 10 AS conf FROM lineitem),
@@ -62,7 +62,7 @@ def _boxes(spark, sf):
 @query("object_risk", f"WITH {_BOX_SQL} SELECT * FROM ob")
 def object_risk(spark, sf):
     return im.object_results(_boxes(spark, sf)).select(
-        "image_id", F.col("object_detection")["score"].alias("score"), F.array_join(F.col("object_detection")["findings"], "|").alias("findings"))
+        "image_id", F.col("object_detection_score").alias("score"), F.array_join(F.col("object_detection_findings"), "|").alias("findings"))
 
 
 _PIXELS = "transform(embedding, x -> cast(floor(abs(cast(x as double)) * 1000) as int))"
@@ -72,7 +72,7 @@ _DENSITY = "list_sum(list_transform(embedding, lambda x: floor(abs(x::DOUBLE) *
 @query("lsb_stego", f"SELECT vec_id AS image_id, {_DENSITY} AS density, CASE WHEN abs({_DENSITY} - 0.5) < 0.005 THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END AS score FROM embeddings")
 def lsb_stego(spark, sf):
     pixels = dv.table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), F.expr(_PIXELS).alias("px"))
-    return detect(pixels, {"stego": F.col("px")}).select("image_id", im.lsb_density(F.col("px")).alias("density"), F.col("stego")["score"].alias("score"))
+    return detect(pixels, {"stego": F.col("px")}).select("image_id", im.lsb_density(F.col("px")).alias("density"), F.col("stego_score").alias("score"))
 
 
 IMAGE_VERDICT_SQL = f"""{_BEST}, {_BOX_SQL}, px AS (SELECT vec_id, {_DENSITY} AS density FROM embeddings), iv AS (SELECT best.image_id, ocr_score AS ocr, {_CLIP} AS clip, coalesce(ob.score, 0.0::DOUBLE) AS obj,
@@ -90,7 +90,7 @@ def image_results(spark, sf):
     pixels = dv.table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), F.expr(_PIXELS).alias("px"))
     joined = best.join(pixels, "image_id").join(im.object_results(_boxes(spark, sf)), "image_id", "left").withColumn("text", ocr_text)
     found = detect(joined, {"ocr": F.col("text"), "stego": F.col("px")})
-    found = detect(found, {"semantic_clip": F.struct("label", "confidence", F.col("ocr")["score"].alias("ocr_score"))})
+    found = detect(found, {"semantic_clip": {c: F.col(c) for c in ("label", "confidence", "ocr_score")}})
     return image_verdict(found)
 
 

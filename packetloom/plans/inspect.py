@@ -21,11 +21,11 @@ from packetloom.operators.structure import container_entries, feature_vector, st
 from packetloom.operators.text import code, context, pattern  # noqa: F401
 from packetloom.operators.verdict import document_verdict, text_verdict
 
-_VERDICT = ("max_score", "weighted_score", "findings", "scores", "status", "risk_level", "reason")
+_FIELDS = ("status", "risk_level", "reason", "findings")
 
 
-def inspect_text(df: DataFrame, text: Column, vector_match: Column | None = None, where: Column | None = None) -> DataFrame:
-    """Text verdict columns; ``vector_match`` is (similarity, concept)."""
+def inspect_text(df: DataFrame, text: Column, vector_match: dict[str, Column] | None = None, where: Column | None = None) -> DataFrame:
+    """Text verdict columns; ``vector_match`` has similarity and concept."""
     inputs = {"code": text, "pattern": text, "context": text}
     if vector_match is not None:
         inputs = {"nlp": vector_match, **inputs}
@@ -34,17 +34,17 @@ def inspect_text(df: DataFrame, text: Column, vector_match: Column | None = None
 
 def inspect_documents(df: DataFrame, payload: str = "payload", meta: str | None = None, extracted: str | None = None,
                       intel: DataFrame | None = None, forest: IsolationForest | None = None,
-                      where: Column | None = None) -> DataFrame:
+                      where: Column | None = None, entries: str | None = None) -> DataFrame:
     """Document verdict columns for a payload column.
 
     ``meta`` is an optional metadata map, ``extracted`` an optional column
-    with the text of PDFs. Without ``forest`` the structure score is its hard
+    with the text of PDFs, ``entries`` one with the listed container. Without ``forest`` the structure score is its hard
     rule alone, and no entropy has to be computed.
     """
     # Rows outside `where` carry a null payload, so nothing is computed for them.
     df = df.withColumn("_data", F.col(payload) if where is None else F.when(where, F.col(payload)))
     data = F.col("_data")
-    df = df.withColumn("_entries", container_entries(data))
+    df = df.withColumn("_entries", F.col(entries) if entries else container_entries(data))
     body = F.get(F.filter("_entries", lambda e: e["entry_name"] == "word/document.xml"), F.lit(0))["entry_text"]
     is_pdf, is_zip = F.startswith(data, byte_literal("%PDF")), F.startswith(data, byte_literal("PK\x03\x04"))
     text = (F.when(is_pdf, F.col(extracted) if extracted else F.lit(""))
@@ -56,7 +56,7 @@ def inspect_documents(df: DataFrame, payload: str = "payload", meta: str | None
     anomaly = forest_anomaly(df.sparkSession, forest, feature_vector(F.col("_features"))) if forest else F.lit(0.0)
     df = df.withColumn("_anomaly", anomaly)
     df = detect(df, {
-        "structure": F.struct(F.col("_features").alias("features"), F.col("_anomaly").alias("anomaly")),
+        "structure": {"features": F.col("_features"), "anomaly": F.col("_anomaly")},
         "content": F.col("_doc_text"), "malware": data, "metadata": F.col("_meta")})
     if intel is not None:
         df = with_hash_intel(df, data, intel).drop("intel_score")
@@ -71,33 +71,39 @@ def traffic_verdict(traffic: DataFrame, rules: DataFrame, image_verdicts: DataFr
     plan is free of shuffles while rules and image verdicts are small, and
     usable on a stream.
     """
-    base = match_rules(traffic, rules)
+    # Python runs first, below all native stages, so that those stay apart.
+    listed = container_entries(F.when(F.col("content_type") == "document", F.col("payload")))
+    base = match_rules(traffic.withColumn("_listed", listed), rules)
     undecided = F.col("rule").isNull()
     text_row = undecided & (F.col("content_type") == "text")
     document_row = undecided & (F.col("content_type") == "document") & F.col("payload").isNotNull()
-    kept = [*traffic.columns, "rule"]
+    kept = [*traffic.columns, "_listed", "rule"]
 
-    texts = inspect_text(base, F.col("text_content"), where=text_row)
-    texts = texts.select(*kept, F.when(text_row, F.struct(*_VERDICT)).alias("_text"))
-    both = inspect_documents(texts, where=document_row)
-    both = both.select(*kept, "_text", F.when(document_row, F.struct(*_VERDICT)).alias("_document"))
+    # One flat column per kind of row and verdict field; see operators.detector.
+    def keep(df: DataFrame, row: Column, prefix: str, earlier: list[str]) -> DataFrame:
+        return df.select(*kept, *earlier, *[F.when(row, F.col(name)).alias(f"{prefix}_{name}") for name in _FIELDS])
+
+    done = keep(inspect_text(base, F.col("text_content"), where=text_row), text_row, "_text", [])
+    text_fields = [f"_text_{name}" for name in _FIELDS]
+    done = keep(inspect_documents(done, where=document_row, entries="_listed"), document_row, "_document", text_fields)
+    prefixes = ["_text", "_document"]
     if image_verdicts is not None:
-        images = image_verdicts.select("id", F.struct("status", "risk_level", "reason").alias("_image"))
-        both = both.join(images, "id", "left")
+        images = image_verdicts.select("id", *[F.col(name).alias(f"_image_{name}") for name in ("status", "risk_level", "reason")])
         image_row = undecided & (F.col("content_type") == "image")
-        both = both.withColumn("_image", F.when(image_row, F.col("_image")))
+        done = done.join(images, "id", "left").withColumns(
+            {f"_image_{name}": F.when(image_row, F.col(f"_image_{name}")) for name in ("status", "risk_level", "reason")})
+        prefixes.append("_image")
     by_rule = rule_verdict(F.col("rule"))
 
     def first(name: str, default: str) -> Column:
-        image = [F.col("_image")[name]] if image_verdicts is not None else []
-        return F.coalesce(by_rule[name], F.col("_text")[name], F.col("_document")[name], *image, F.lit(default)).alias(name)
+        return F.coalesce(by_rule[name], *[F.col(f"{p}_{name}") for p in prefixes], F.lit(default)).alias(name)
 
-    return both.select(
+    return done.select(
         *traffic.columns,
         first("status", "allow"), first("risk_level", "safe"), first("reason", fv.DEFAULT_REASON),
         F.coalesce(by_rule["rule_label"], F.lit("AI-ANALYSIS")).alias("rule_label"),
         F.col("rule")["id"].alias("rule_id"),
-        F.coalesce(F.col("_text.findings"), F.col("_document.findings"), F.array().cast("array<string>")).alias("findings"))
+        F.coalesce("_text_findings", "_document_findings", F.array().cast("array<string>")).alias("findings"))
 
 
 def gateway_verdict(messages: DataFrame, rules: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from packetloom.functions.payload import markup_text, plain_document_text
-from packetloom.operators.content import best_bucket, bucket_hits
+from packetloom.operators.content import best_label, bucket_hits
 from packetloom.operators.detector import detect
 from packetloom.operators.text import best_concept, pii_table, redact
 from packetloom.operators.verdict import text_verdict
@@ -14,27 +14,27 @@ from packetloom.sources import derived as dv
 
 
 def _joined(module):
-    return F.array_join(F.col(module)["findings"], "|")
+    return F.array_join(f"{module}_findings", "|")
 
 
 @query("secret_scan", f"""WITH {sp.DOCS}, {sp.CODE} SELECT doc_id, {sp.CODE_SCORE} AS score, {sp.CODE_FINDINGS} AS findings FROM c""")
 def secret_scan(spark, sf):
     return detect(dv.documents_x(spark, sf), {"code": F.col("text")}).select(
-        "doc_id", F.col("code")["score"].alias("score"), _joined("code").alias("findings"))
+        "doc_id", F.col("code_score").alias("score"), _joined("code").alias("findings"))
 
 
 @query("rce_scan", f"""WITH {sp.DOCS}, {sp.CODE} SELECT doc_id, CASE WHEN aws OR google OR pkey OR generic THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS score
   FROM c WHERE rce""")
 def rce_scan(spark, sf):
     found = detect(dv.documents_x(spark, sf), {"code": F.col("text")})
-    return found.filter(F.array_contains(F.col("code")["findings"], "Potential RCE (Remote Code Execution) pattern")) \
-        .select("doc_id", F.col("code")["score"].alias("score"))
+    return found.filter(F.array_contains(F.col("code_findings"), "Potential RCE (Remote Code Execution) pattern")) \
+        .select("doc_id", F.col("code_score").alias("score"))
 
 
 @query("pii_scan", f"""WITH {sp.DOCS}, {sp.PII} SELECT doc_id, {sp.PII_SCORE} AS score, {sp.PII_FINDINGS} AS findings FROM p""")
 def pii_scan(spark, sf):
     return detect(dv.documents_x(spark, sf), {"pattern": F.col("text")}).select(
-        "doc_id", F.col("pattern")["score"].alias("score"), _joined("pattern").alias("findings"))
+        "doc_id", F.col("pattern_score").alias("score"), _joined("pattern").alias("findings"))
 
 
 @query("pii_spans", f"""WITH {sp.DOCS}, {sp.PII}
@@ -56,8 +56,8 @@ def semantic_match(spark, sf):
     concepts = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vec")) \
         .select(F.concat(F.lit("concept-"), "label").alias("concept"), "vec")
     matched = best_concept(vectors.select("vec_id", "embedding"), "embedding", concepts)
-    return detect(matched, {"nlp": F.struct("similarity", "concept")}).select(
-        "vec_id", F.round("similarity", 9).alias("similarity"), "concept", F.col("nlp")["score"].alias("score"), _joined("nlp").alias("findings"))
+    return detect(matched, {"nlp": {"similarity": F.col("similarity"), "concept": F.col("concept")}}).select(
+        "vec_id", F.round("similarity", 9).alias("similarity"), "concept", F.col("nlp_score").alias("score"), _joined("nlp").alias("findings"))
 
 
 @query("context_score", """SELECT doc_id, 0.1::DOUBLE AS max_score, 'allow' AS status FROM documents""")
@@ -68,12 +68,12 @@ def context_score(spark, sf):
 @query("keyword_buckets", f"""WITH {sp.DOCS}, {sp.CONTENT} SELECT doc_id, h0, h1, h2, h3, h4, coalesce(label, '') AS label, content_score AS score,
   {sp.CONTENT_FINDINGS} AS findings FROM content""")
 def keyword_buckets(spark, sf):
-    docs = dv.documents_x(spark, sf).withColumn("low", F.lower("text")).withColumn("hits", bucket_hits(F.col("low")))
-    best = best_bucket(F.col("hits"))
-    found = detect(docs, {"content": F.col("text")})
-    return found.select("doc_id", *[F.col("hits")[i].alias(f"h{i}") for i in range(5)],
-                        F.when(best["score"] > 0, best["label"]).otherwise("").alias("label"),
-                        F.col("content")["score"].alias("score"), _joined("content").alias("findings"))
+    docs = dv.documents_x(spark, sf).withColumn("low", F.lower("text"))
+    counted = docs.withColumns(bucket_hits(F.col("low")))
+    hits = {f"h{i}": F.col(f"h{i}") for i in range(5)}
+    found = detect(counted, {"content": F.col("text")})
+    return found.select("doc_id", *hits, F.coalesce(best_label(**hits), F.lit("")).alias("label"),
+                        F.col("content_score").alias("score"), _joined("content").alias("findings"))
 
 
 @query("text_verdict", f"""WITH {sp.DOCS}, {sp.CODE}, {sp.PII},
