@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def strip(text: Column) -> Column:
     """Trim all leading and trailing white space, not only blanks."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
 
 
 def contains_any(text: Column, words) -> Column:

@@ -25,7 +25,7 @@ from packetloom.functions.network import http_message
 from packetloom.functions.payload import as_latin1
 
 KEY = ("conn_id", "direction")
-RUN = 4096
+RUN = 65_536
 
 
 def missing_after_header(data: Column) -> Column:

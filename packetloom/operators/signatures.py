@@ -47,12 +47,12 @@ def signature_pack(rules: list[dict], module: str = "malware") -> Detector:
 malware = register(signature_pack(fv.SIGNATURES))
 
 
-def with_hash_intel(df: DataFrame, payload: Column, intel: DataFrame, key: str = "id") -> DataFrame:
+def with_hash_intel(df: DataFrame, payload: Column, intel: DataFrame) -> DataFrame:
     """Raise the ``malware`` result by a reputation table (sha256, malicious).
 
-    Only (key, hash) takes part in the join, so payload bytes are not
-    shuffled. The intel side has one row per hash; adaptive execution
-    broadcasts it when it is small and splits skewed hashes when it is not.
+    The intel side is reduced to one row per malicious hash, so the join never
+    multiplies rows. Adaptive execution broadcasts it while it is small and
+    splits partitions of a frequent hash when it is not.
     """
     known = intel.groupBy(F.lower("sha256").alias("_sha")).agg(F.max("malicious").alias("_malicious"))
     bad = known.filter(F.col("_malicious") > 0).select("_sha", F.lit(fv.HASH_INTEL_SCORE).alias("_intel"))

@@ -94,12 +94,13 @@ def top_counts(df: DataFrame, key: str, k: int, *extra: Column) -> DataFrame:
     """The k most frequent values; the value seen last wins a tie.
 
     Adds ``pct``: share of all rows with one decimal, ties to even. The total
-    is taken over the grouped rows, not over the input again.
+    is a scalar subquery that reads no columns, so a key with many distinct
+    values never meets in one task.
     """
     grouped = df.groupBy(key).agg(F.count("*").alias("hits"), F.max("ts").alias("_last"), *extra)
-    total = F.sum("hits").over(W.partitionBy(F.lit(1)))
-    return grouped.withColumn("pct", F.bround(F.col("hits") * 100 / total, 1)) \
-        .orderBy(F.desc("hits"), F.desc("_last"), key).limit(k).drop("_last")
+    total = df.agg(F.count("*").alias("total")).scalar()
+    top = grouped.orderBy(F.desc("hits"), F.desc("_last"), key).limit(k).drop("_last")
+    return top.withColumn("pct", F.bround(F.col("hits") * 100 / total, 1))
 
 
 def protocol_breakdown(log: DataFrame, k: int = fv.PROTOCOL_ROWS) -> DataFrame:
@@ -153,7 +154,7 @@ def p95_latency(latencies: DataFrame) -> DataFrame:
     return ranked.filter(F.col("upto") >= _p95_rank(F.col("samples"))).groupBy("service", "samples").agg(F.min("ms").alias("p95"))
 
 
-def rolling_p95(latencies: DataFrame, samples: int = fv.LATENCY_SAMPLES, slice_seconds: int = 3600) -> DataFrame:
+def rolling_p95(latencies: DataFrame, samples: int = fv.LATENCY_SAMPLES, slice_seconds: int = 600) -> DataFrame:
     """(service, id, ts, p95) of the last ``samples`` latencies at each row.
 
     A service may hold most rows, so it is cut into time slices; each slice
