@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,14 +105,26 @@ def fit_forest(spark: SparkSession, trees: int = fv.FOREST["trees"], sample: int
     return forest
 
 
-def forest_anomaly(spark: SparkSession, forest: IsolationForest, vector: Column) -> Column:
-    """Anomaly of a feature vector column, scored batch by batch."""
+def _vectors(features: pa.MapArray) -> np.ndarray:
+    """One row per map with its values in feature order, 0 where absent."""
+    data = np.zeros((len(features), len(fv.STRUCTURE_FEATURES)))
+    sizes = np.diff(features.offsets.to_numpy())
+    column = pc.index_in(features.keys, pa.array(fv.STRUCTURE_FEATURES)).to_numpy(zero_copy_only=False)
+    used = slice(features.offsets[0].as_py(), features.offsets[-1].as_py())
+    data[np.repeat(np.arange(len(features)), sizes), column[used].astype(int)] = features.items.to_numpy(zero_copy_only=False)[used]
+    return data
+
+
+def forest_anomaly(spark: SparkSession, forest: IsolationForest, features: Column) -> Column:
+    """Anomaly of a feature map column, scored batch by batch.
+
+    The map goes to the worker as it is; taking it apart into fifteen columns
+    first would evaluate the features once per column.
+    """
     shared = spark.sparkContext.broadcast(forest)
 
     @F.arrow_udf(T.DoubleType())
-    def score(vectors: pa.Array) -> pa.Array:
-        width = len(fv.STRUCTURE_FEATURES)
-        data = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), width)
-        return pa.array(shared.value.anomaly(data))
+    def score(maps: pa.Array) -> pa.Array:
+        return pa.array(shared.value.anomaly(_vectors(maps)))
 
-    return score(vector)
+    return score(F.coalesce(features, F.create_map().cast("map<string,double>")))

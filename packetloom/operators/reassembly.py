@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from packetloom import fixed_values as fv
 from packetloom.functions.network import http_message
 from packetloom.functions.payload import as_latin1
+from packetloom.session import cut_lineage
 
 KEY = ("conn_id", "direction")
 RUN = 65_536
@@ -129,7 +130,8 @@ def mark_chunks(chunks: DataFrame, run: int = RUN) -> DataFrame:
     start = F.expr("named_struct('missing', 0L, 'entries', cast(array() as array<struct<_run: bigint, _entering: bigint>>))")
     entries = summaries.groupBy(*KEY).agg(F.array_sort(F.collect_list("_s")).alias("_chain")) \
         .select(*KEY, F.inline(F.aggregate("_chain", start, chain, lambda s: s["entries"])))
-    marked = runs.join(entries, [*KEY, "_run"]).withColumn("_marks", _mark_udf()("_chunks", "_entering"))
+    # A few bytes per chunk, read several times below.
+    marked = cut_lineage(runs.join(entries, [*KEY, "_run"]).withColumn("_marks", _mark_udf()("_chunks", "_entering")))
     # One narrow row per run: messages completed in the runs before it.
     order = W.partitionBy(*KEY).orderBy("_run")
     done = marked.select(*KEY, "_run", F.size(F.filter("_marks", lambda m: m["last"])).alias("_n")) \

@@ -103,11 +103,6 @@ def structure_features(payload: Column, entries: Column, entropy: Column | None
     return F.map_concat(found, F.create_map(F.lit("entropy"), F.coalesce(entropy, F.lit(0.0))))
 
 
-def feature_vector(features: Column) -> Column:
-    """Features in their fixed order, 0 where absent."""
-    return F.array(*[F.coalesce(F.element_at(features, name), F.lit(0.0)) for name in fv.STRUCTURE_FEATURES])
-
-
 def _shown(value: Column) -> Column:
     whole = value == F.floor(value)
     return F.when(whole, value.cast("long").cast("string")).otherwise(F.bround(value, 3).cast("string"))

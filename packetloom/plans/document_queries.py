@@ -124,7 +124,7 @@ def isolation_forest(spark, sf):
     files = dv.pdf_files(spark, sf).unionByName(dv.office_files(spark, sf).withColumn("doc_id", -F.col("doc_id") - 1))
     featured = files.withColumn("features", st.structure_features(
         F.col("payload"), st.container_entries(F.col("payload")), byte_entropy(F.col("payload"))))
-    return featured.select("doc_id", forest_anomaly(spark, fit_forest(spark), st.feature_vector(F.col("features"))).alias("anomaly"))
+    return featured.select("doc_id", forest_anomaly(spark, fit_forest(spark), F.col("features")).alias("anomaly"))
 
 
 @query("structure_score", """SELECT doc_id, greatest(CASE WHEN doc_id % 3 = 0 THEN 0.25::DOUBLE ELSE 0.9::DOUBLE END, CASE WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END) AS score,

@@ -17,9 +17,10 @@ from packetloom.operators.forest import IsolationForest, forest_anomaly
 from packetloom.operators.metadata import office_metadata
 from packetloom.operators.rules import match_rules, rule_verdict
 from packetloom.operators.signatures import with_hash_intel
-from packetloom.operators.structure import container_entries, feature_vector, structure_features
+from packetloom.operators.structure import container_entries, structure_features
 from packetloom.operators.text import code, context, pattern  # noqa: F401
 from packetloom.operators.verdict import document_verdict, text_verdict
+from packetloom.session import cut_lineage
 
 _FIELDS = ("status", "risk_level", "reason", "findings")
 
@@ -53,7 +54,7 @@ def inspect_documents(df: DataFrame, payload: str = "payload", meta: str | None
     features = structure_features(data, F.col("_entries"), byte_entropy(data) if forest else None)
     df = df.withColumns({"_doc_text": text, "_meta": F.coalesce(F.col(meta), office) if meta else office,
                          "_features": F.when(data.isNotNull(), features)})
-    anomaly = forest_anomaly(df.sparkSession, forest, feature_vector(F.col("_features"))) if forest else F.lit(0.0)
+    anomaly = forest_anomaly(df.sparkSession, forest, F.col("_features")) if forest else F.lit(0.0)
     df = df.withColumn("_anomaly", anomaly)
     df = detect(df, {
         "structure": {"features": F.col("_features"), "anomaly": F.col("_anomaly")},
@@ -135,7 +136,8 @@ def packet_verdict(packets: DataFrame, rules: DataFrame, keys: tuple[str, ...])
 
     ``packets`` is traffic plus the flow ``keys``.
     """
-    rescans = flow_rescan(packets, keys)
+    # Narrow rows that are read twice below.
+    rescans = cut_lineage(flow_rescan(packets, keys))
     scans = packets.join(rescans.filter("rescan").select("id"), "id", "left_semi")
     routed = scans.withColumn("_route", route_payload(F.col("payload")))
     routed = routed.withColumns({"content_type": F.col("_route"), "text_content": F.when(
