@@ -90,6 +90,13 @@ def kpi_counters(log: DataFrame) -> DataFrame:
                    blocked.alias("blocked_24h"), (total - blocked).alias("active_sessions"))
 
 
+def overview_kpis(log: DataFrame, latencies: DataFrame) -> DataFrame:
+    """The headline numbers with the p95 of the last measured latencies."""
+    recent = latest(latencies, fv.LATENCY_SAMPLES).withColumn("service", F.lit("all"))
+    p95 = p95_latency(recent).select("p95").scalar()
+    return kpi_counters(log).select("throughput", "blocked_24h", "active_sessions", F.coalesce(p95, F.lit(0.0)).alias("p95_latency"))
+
+
 def top_counts(df: DataFrame, key: str, k: int, *extra: Column) -> DataFrame:
     """The k most frequent values; the value seen last wins a tie.
 
@@ -154,12 +161,27 @@ def p95_latency(latencies: DataFrame) -> DataFrame:
     return ranked.filter(F.col("upto") >= _p95_rank(F.col("samples"))).groupBy("service", "samples").agg(F.min("ms").alias("p95"))
 
 
-def rolling_p95(latencies: DataFrame, samples: int = fv.LATENCY_SAMPLES, slice_seconds: int = 600) -> DataFrame:
+SLICE_ROWS = 100_000
+
+
+def _slice_width(latencies: DataFrame) -> int:
+    """Seconds in which the busiest service has about ``SLICE_ROWS`` rows."""
+    stats = latencies.groupBy("service").agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b")) \
+        .agg(F.max("n").alias("n"), F.min("a").alias("a"), F.max("b").alias("b")).first()
+    if not stats["n"]:
+        return 1
+    span = int((stats["b"] - stats["a"]).total_seconds()) + 1
+    return max(1, span * SLICE_ROWS // stats["n"])
+
+
+def rolling_p95(latencies: DataFrame, samples: int = fv.LATENCY_SAMPLES, slice_seconds: int | None = None) -> DataFrame:
     """(service, id, ts, p95) of the last ``samples`` latencies at each row.
 
     A service may hold most rows, so it is cut into time slices; each slice
-    also receives the ``samples - 1`` rows before it.
+    also receives the ``samples - 1`` rows before it. The width follows the
+    rate of the busiest service unless it is given.
     """
+    slice_seconds = slice_seconds or _slice_width(latencies)
     rows = latencies.select("service", "id", "ts", F.bround("ms", 1).alias("ms"), bucket_start(F.col("ts"), slice_seconds).alias("_slice"))
     back = W.partitionBy("service", "_slice").orderBy(F.desc("ts"), F.desc("id"))
     tails = rows.withColumn("_back", F.row_number().over(back)).filter(F.col("_back") < samples)

@@ -10,7 +10,7 @@ from packetloom.plans import sql_parts as sp
 from packetloom.plans.registry import query
 from packetloom.session import scratch_path
 from packetloom.sources import derived as dv
-from packetloom.sources.sinks import export_reports, write_log, write_threats
+from packetloom.sources.sinks import export_reports, report_index, write_log, write_threats
 
 _L = f"WITH {sp.EVENTS}, {sp.LOG}"
 _T = f"{_L}, {sp.THREATS}"
@@ -142,6 +142,22 @@ def report_export(spark, sf):
     return union_all([spark.read.parquet(path).agg(F.count("*").alias("rows")).select(F.lit(name).alias("report"), "rows") for name, path in written.items()])
 
 
+@query("report_list", f"""{_L}, n AS (SELECT count(*) AS a, count(*) FILTER (level = 'BLOCK') AS b FROM l)
+  SELECT 'Weekly Threat Summary' AS name, 'All gateways' AS scope, 'Jan 24 – Jan 31' AS period, b || ' events' AS size, 'ready' AS status FROM n
+  UNION ALL SELECT 'Rule Hit Report', 'Static rules', 'Last 24h', a || ' rows', 'ready' FROM n UNION ALL SELECT 'Blocked Traffic Export', 'Blocked only', 'Last 24h', b || ' events', 'ready' FROM n
+  UNION ALL SELECT 'AI Intake Audit', 'Uploads', 'Session', a || ' files', 'ready' FROM n""")
+def report_list(spark, sf):
+    return report_index(dv.log_rows(spark, sf), _uploads(spark, sf), F.lit("2024-01-31 12:00:00").cast("timestamp_ntz"))
+
+
+@query("overview_kpis", f"""{_L}, n AS (SELECT count(*) AS total, count(*) FILTER (level = 'BLOCK') AS b FROM l),
+  x AS (SELECT round_even(value, 1) AS ms FROM events ORDER BY ts DESC, event_id DESC LIMIT 100), o AS (SELECT ms, row_number() OVER (ORDER BY ms) AS nth, count(*) OVER () AS c FROM x)
+  SELECT round_even(greatest(0.1::DOUBLE, total / 60.0::DOUBLE), 2) AS throughput, b AS blocked_24h, total - b AS active_sessions,
+  (SELECT ms FROM o WHERE nth = greatest(1, floor(c * 0.95::DOUBLE))) AS p95_latency FROM n""")
+def overview_kpis(spark, sf):
+    return tm.overview_kpis(dv.log_rows(spark, sf), dv.latencies(spark, sf))
+
+
 @query("kpi_counters", f"""{_L}, n AS (SELECT count(*) AS total, count(*) FILTER (level = 'BLOCK') AS b FROM l)
   SELECT total, total - b AS allowed, b AS blocked, b AS threats, round_even(greatest(0.1::DOUBLE, total / 60.0::DOUBLE), 2) AS throughput, b AS blocked_24h, total - b AS active_sessions FROM n""")
 def kpi_counters(spark, sf):

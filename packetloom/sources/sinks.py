@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packetloom.operators.rules import union_all
 from packetloom.operators.telemetry import to_threats
 
 
@@ -39,6 +40,24 @@ def report_tables(log: DataFrame, uploads: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def report_index(log: DataFrame, uploads: DataFrame, as_of: Column) -> DataFrame:
+    """(name, scope, period, size, status) of every report."""
+    def row(counted: DataFrame, name: str, scope: str, period: Column | str, unit: str) -> DataFrame:
+        size = F.concat(F.count("*").cast("string"), F.lit(f" {unit}"))
+        period = F.lit(period) if isinstance(period, str) else period
+        return counted.agg(size.alias("size")).select(F.lit(name).alias("name"), F.lit(scope).alias("scope"), period.alias("period"), "size",
+                                                      F.lit("ready").alias("status"))
+
+    week = F.concat(F.date_format(F.timestamp_add("DAY", F.lit(-7), as_of), "MMM dd"), F.lit(" – "), F.date_format(as_of, "MMM dd"))
+    blocked = log.filter("level = 'BLOCK'")
+    return union_all([
+        row(blocked, "Weekly Threat Summary", "All gateways", week, "events"),
+        row(log, "Rule Hit Report", "Static rules", "Last 24h", "rows"),
+        row(blocked, "Blocked Traffic Export", "Blocked only", "Last 24h", "events"),
+        row(uploads, "AI Intake Audit", "Uploads", "Session", "files"),
+    ])
+
+
 def export_reports(log: DataFrame, uploads: DataFrame, path: str, fmt: str = "parquet") -> dict[str, str]:
     """Write every report below ``path`` and return where each one is."""
     written = {}
