@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
+_SHIPPED: set[str] = set()
+
 # Tables up to this many rows may be used as literals or inlined relations.
 SMALL_TABLE_ROWS = 10_000
 
@@ -33,7 +36,20 @@ def build_session(app: str = "packetloom", master: str | None = None, **conf: st
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="packetloom-"), os.path.basename(package))
+        # Spark serves the archive from the driver to every executor.
+        context.addPyFile(shutil.make_archive(archive, "zip", os.path.dirname(package), os.path.basename(package)))
+        _SHIPPED.add(context.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,10 @@ from packetloom.operators.flows import FLOW
 from packetloom.operators.reassembly import missing_after_header
 from packetloom.plans.inspect import traffic_verdict
 
+# Spark also starts stateful processors in a worker on the driver, which does
+# not see shipped packages; their code therefore travels with the query.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
