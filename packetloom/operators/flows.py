@@ -2,8 +2,8 @@
 
 The cache is a fold over the ordered packets of a flow: after a scan, packets
 are served until 50 were served or 10 whole seconds passed; then the next
-packet is scanned. One flow may hold a large part of all packets, so a flow
-is cut into time slices which are processed apart:
+packet is scanned. One flow may hold a large part of all packets, so a busy
+flow is cut into time slices which are processed apart:
 
 1. every slice computes where it would leave the cache for each way in which
    the cache can enter it (the first scan falls on one of its first 51 packets);
@@ -15,9 +15,12 @@ The result is the same as one pass over the whole flow.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom import fixed_values as fv
@@ -108,19 +111,37 @@ def _replay_udf(packets: int, ttl: int):
     return replay
 
 
-def flow_rescan(packets: DataFrame, keys: tuple[str, ...] = FLOW, slice_seconds: int = 60,
+def _sliced(packets: DataFrame, keys: tuple[str, ...], slice_packets: int) -> DataFrame:
+    """(keys, _slice, micros, id): time slices of busy flows, others whole.
+
+    A flow with more than ``slice_packets`` packets is cut into slices of
+    equal time that hold about that many on average. There is at most one
+    size row per ``slice_packets`` packets, so that side of the join is small.
+    """
+    rows = packets.select(*keys, epoch_micros(F.col("ts")).alias("micros"), "id")
+    span = F.max("micros") - F.min("micros") + 1
+    width = F.greatest(F.lit(1).cast("bigint"), F.ceil(span * F.lit(float(slice_packets)) / F.count("*")))
+    busy = rows.groupBy(*keys).agg(F.count("*").alias("_n"), width.alias("_width")).filter(F.col("_n") > slice_packets) \
+        .select(*[F.col(k).alias(f"_key_{k}") for k in keys], "_width")
+    return rows.join(busy, _same(keys), "left").select(
+        *keys, F.coalesce(F.floor(F.col("micros") / F.col("_width")), F.lit(0)).cast("long").alias("_slice"), "micros", "id")
+
+
+def _same(keys: tuple[str, ...]) -> Column:
+    """Equality with the renamed keys of the other side; null equals null."""
+    return reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+
+
+def flow_rescan(packets: DataFrame, keys: tuple[str, ...] = FLOW, slice_packets: int = 100_000,
                 rescan_packets: int = fv.RESCAN_PACKETS, ttl: int = fv.CACHE_TTL_SECONDS) -> DataFrame:
     """(keys, id, ts, rescan, scan_id) for every packet (keys, id, ts).
 
-    ``scan_id`` is the id of the packet whose scan decides this packet. The
-    group of one task is one flow within ``slice_seconds``; the chain of a
-    flow has one small row per slice, so it grows with time, not packets.
+    ``scan_id`` is the id of the packet whose scan decides this packet. One
+    task group is one slice of a flow; the chain of a flow has one small row
+    per slice.
     """
-    micros = epoch_micros(F.col("ts"))
-    width = slice_seconds * 1_000_000
-    slices = packets.select(*keys, ((micros - F.pmod(micros, F.lit(width))) / F.lit(width)).cast("long").alias("_slice"),
-                            micros.alias("micros"), "id") \
-        .groupBy(*keys, "_slice").agg(F.array_sort(F.collect_list(F.struct("micros", "id"))).alias("_packets"))
+    slices = _sliced(packets, keys, slice_packets).groupBy(*keys, "_slice") \
+        .agg(F.array_sort(F.collect_list(F.struct("micros", "id"))).alias("_packets"))
     summaries = slices.select(*keys, "_slice", _summary_udf(rescan_packets, ttl)("_packets").alias("_s")) \
         .select(*keys, F.struct("_slice", "_s.*").alias("_s"))
 
@@ -142,7 +163,8 @@ def flow_rescan(packets: DataFrame, keys: tuple[str, ...] = FLOW, slice_seconds:
                    "cast(array() as array<struct<_slice: bigint, left: int, expiry: bigint, scan: bigint>>))")
     entries = summaries.groupBy(*keys).agg(F.array_sort(F.collect_list("_s")).alias("_chain")) \
         .select(*keys, F.inline(F.aggregate("_chain", start, chain, lambda s: s["entries"])))
-    replayed = slices.join(entries, [*keys, "_slice"]).select(
+    entries = entries.select(*[F.col(k).alias(f"_key_{k}") for k in (*keys, "_slice")], "left", "expiry", "scan")
+    replayed = slices.join(entries, _same((*keys, "_slice"))).select(
         *keys, F.inline(F.arrays_zip(F.col("_packets"), _replay_udf(rescan_packets, ttl)(
             "_packets", "left", "expiry", "scan").alias("_flags"))))
     return replayed.select(*keys, F.col("_packets.id").alias("id"),

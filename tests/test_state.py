@@ -26,18 +26,18 @@ def replay(packets):
     return out
 
 
-@pytest.mark.parametrize("slice_seconds", [1, 7, 60])
-def test_flow_rescan(spark, slice_seconds):
-    rng = random.Random(slice_seconds)
+@pytest.mark.parametrize("slice_packets", [1, 7, 60, 100_000])
+def test_flow_rescan(spark, slice_packets):
+    rng = random.Random(slice_packets)
     rows, number = [], 0
-    for flow, gap in (("hot", 0.05), ("mixed", None), ("sparse", 6.0), ("rare", 40.0)):
+    for flow, gap in (("hot", 0.05), ("mixed", None), ("sparse", 6.0), (None, 40.0)):
         at = rng.random() * 30
         for _ in range(900 if flow == "hot" else 250):
             at += rng.expovariate(1 / (gap or rng.choice([0.01, 0.2, 3, 15])))
             rows.append((flow, number, START + timedelta(microseconds=int(at * 1e6))))
             number += 1
     frame = spark.createDataFrame(rows, "k string, id long, ts timestamp_ntz")
-    found = {r["id"]: (r["rescan"], r["scan_id"]) for r in flow_rescan(frame, ("k",), slice_seconds).collect()}
+    found = {r["id"]: (r["rescan"], r["scan_id"]) for r in flow_rescan(frame, ("k",), slice_packets).collect()}
     wanted = {}
     for flow in {r[0] for r in rows}:
         wanted |= replay([(ts, i) for k, i, ts in rows if k == flow])
