@@ -112,7 +112,7 @@ def _replay_udf(packets: int, ttl: int):
 
 
 def _sliced(packets: DataFrame, keys: tuple[str, ...], slice_packets: int) -> DataFrame:
-    """(keys, _slice, micros, id): time slices of busy flows, others whole.
+    """(keys, _slice, _cut, micros, id): time slices of busy flows, others whole.
 
     A flow with more than ``slice_packets`` packets is cut into slices of
     equal time that hold about that many on average. There is at most one
@@ -124,7 +124,8 @@ def _sliced(packets: DataFrame, keys: tuple[str, ...], slice_packets: int) -> Da
     busy = rows.groupBy(*keys).agg(F.count("*").alias("_n"), width.alias("_width")).filter(F.col("_n") > slice_packets) \
         .select(*[F.col(k).alias(f"_key_{k}") for k in keys], "_width")
     return rows.join(busy, _same(keys), "left").select(
-        *keys, F.coalesce(F.floor(F.col("micros") / F.col("_width")), F.lit(0)).cast("long").alias("_slice"), "micros", "id")
+        *keys, F.coalesce(F.floor(F.col("micros") / F.col("_width")), F.lit(0)).cast("long").alias("_slice"),
+        F.col("_width").isNotNull().alias("_cut"), "micros", "id")
 
 
 def _same(keys: tuple[str, ...]) -> Column:
@@ -141,8 +142,9 @@ def flow_rescan(packets: DataFrame, keys: tuple[str, ...] = FLOW, slice_packets:
     per slice.
     """
     slices = _sliced(packets, keys, slice_packets).groupBy(*keys, "_slice") \
-        .agg(F.array_sort(F.collect_list(F.struct("micros", "id"))).alias("_packets"))
-    summaries = slices.select(*keys, "_slice", _summary_udf(rescan_packets, ttl)("_packets").alias("_s")) \
+        .agg(F.array_sort(F.collect_list(F.struct("micros", "id"))).alias("_packets"), F.max("_cut").alias("_cut"))
+    # A flow in one piece starts with an empty cache; only cut flows are chained.
+    summaries = slices.filter("_cut").select(*keys, "_slice", _summary_udf(rescan_packets, ttl)("_packets").alias("_s")) \
         .select(*keys, F.struct("_slice", "_s.*").alias("_s"))
 
     def chain(state, s):
@@ -164,7 +166,9 @@ def flow_rescan(packets: DataFrame, keys: tuple[str, ...] = FLOW, slice_packets:
     entries = summaries.groupBy(*keys).agg(F.array_sort(F.collect_list("_s")).alias("_chain")) \
         .select(*keys, F.inline(F.aggregate("_chain", start, chain, lambda s: s["entries"])))
     entries = entries.select(*[F.col(k).alias(f"_key_{k}") for k in (*keys, "_slice")], "left", "expiry", "scan")
-    replayed = slices.join(entries, _same((*keys, "_slice"))).select(
+    entered = slices.join(entries, _same((*keys, "_slice")), "left") \
+        .withColumns({"left": F.coalesce("left", F.lit(0)), "expiry": F.coalesce("expiry", F.lit(0))})
+    replayed = entered.select(
         *keys, F.inline(F.arrays_zip(F.col("_packets"), _replay_udf(rescan_packets, ttl)(
             "_packets", "left", "expiry", "scan").alias("_flags"))))
     return replayed.select(*keys, F.col("_packets.id").alias("id"),
