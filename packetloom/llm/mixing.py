@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from packetloom.llm.support import hex_number, word_count
 from packetloom.operators.telemetry import number_rows
-from packetloom.session import cut_lineage
+from packetloom.session import SMALL_TABLE_ROWS, cut_lineage
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -67,6 +67,8 @@ def mixing_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CA
     starts = placed.groupBy("source").agg(F.min("_n").alias("_first")).withColumnRenamed("source", "_start_source")
     targets = targets.join(starts, F.col("_source").eqNullSafe(F.col("_start_source"))).select(
         "_source", "source_size", "target", "_first")
+    if targets.limit(SMALL_TABLE_ROWS + 1).count() <= SMALL_TABLE_ROWS:
+        targets = F.broadcast(targets)  # else a join that adaptive execution can split
     rank = F.col("_n") - F.col("_first") + 1
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     # The offset is a multiple of 2^-20: a whole rate then gives whole steps.

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from packetloom.llm.fingerprints import fingerprint_edits
 from packetloom.llm.line_dedup import dedup_lines
 from packetloom.llm.mixing import mixing_plan
+from packetloom.llm.near_dedup import near_duplicates
 from packetloom.llm.packing import pack
 from packetloom.llm.sharding import assign_shards
+from packetloom.llm.substring_dedup import remove_repeats
 from packetloom.llm.topk_search import top_k
 from packetloom.llm.url_filter import filter_urls
 from packetloom.session import ship_package
@@ -145,3 +147,14 @@ SELECT query_id, CAST(n AS INT) AS rank, vec_id, score FROM r WHERE n <= 10"""
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+@query("op6_near_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_substring_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

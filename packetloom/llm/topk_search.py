@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,7 +51,7 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding"
 def _matrix(column: pa.Array, width: int, scale: int, exact: bool) -> np.ndarray:
     """Whole-number components, padded to ``width``; Python integers if 53 bits do not hold the scores."""
     flat = np.floor(scale * column.flatten().to_numpy(zero_copy_only=False))
-    lengths = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
     rows = np.repeat(np.arange(len(lengths)), lengths)
     columns = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     out = np.zeros((len(lengths), width), object if exact else np.float64)
@@ -178,7 +179,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
     path = scratch_path(spark, "top-k")
     for start in range(0, total, block):
         rows = asked.filter((F.col("_n") > start) & (F.col("_n") <= start + block)).select("vec_id", "v").toArrow()
-        widest = max(width, int(pa.compute.max(pa.compute.list_value_length(rows.column("v"))).as_py() or 0))
+        widest = max(width, int(pc.max(pc.list_value_length(rows.column("v"))).as_py() or 0))
         values = [abs(x) for v in rows.column("v").to_pylist() for x in v]
         base = max(widest, 1) * reach * (int(max(values, default=0) * scale) + 2)
         exact = 4 * base >= 1 << 53
