@@ -1,7 +1,75 @@
-"""Corpus pipeline."""
-STAGES = []
+"""Corpus pipeline: quality, line dedup, near-duplicate removal, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents it keeps;
+``run`` writes every stage's result as Parquet in the shared folder and reads
+it again for the next one. All stages but the last return the columns of
+``documents``.
+
+- quality: trained on ``labels``; documents scored below the threshold go.
+  Rows without id are scored and kept or dropped by the same rule.
+- lines: repeated chunks of lines are cut out of the texts. A document of
+  which no line is left goes, as all it held stands elsewhere; one that came
+  in empty stays.
+- near duplicates: the document with the least id of each group stays.
+- mix: a document appears as many times as the mix takes it.
+- pack: one row per piece, see ``packing.pack``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from packetloom.llm.line_dedup import dedup_lines
+from packetloom.llm.mixing import mix_documents
+from packetloom.llm.near_dedup import near_duplicates
+from packetloom.llm.packing import pack
+from packetloom.llm.quality import THRESHOLD, document_statistics, train, with_score
+from packetloom.llm.support import stored
+from packetloom.session import ship_package
+
+# Tokenizer ids and learnt scores are outside SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = train(stored(document_statistics(docs), "statistics"), labels)
+    return with_score(docs, model, score="_score").filter(F.col("_score") >= THRESHOLD).drop("_score")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    cleaned = dedup_lines(docs)
+    return cleaned.filter("n_removed = 0 OR n_removed < n_lines").select(
+        *[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    gone = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return mix_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality), ("line_dedup", lines), ("near_dedup", near), ("mixing", mix), ("packing", packed)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

@@ -10,6 +10,8 @@ each text stays and every other one is removed.
 Digests are counted with partial sums in every task, and which occurrences go
 is found by taking the first ones away from the flagged ones, so a passage that
 very many documents share never meets in one task. Texts are shuffled once.
+(Outer generators are used because plain ones make Spark evaluate the whole
+chain of expressions again in a filter below them.)
 
 Defined cases: a null text has no lines and stays null; an empty text is one
 empty line; a document's single remaining lines are never removed; rows that
@@ -23,8 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.support import hex_number
-from packetloom.session import cut_lineage
+from packetloom.llm.support import hex_number, stored
 
 # One pair of lines in so many ends a chunk.
 BOUNDARY_EVERY = 3
@@ -56,16 +57,17 @@ def dedup_lines(docs: DataFrame, every: int = BOUNDARY_EVERY, doc_id: str = "doc
     body = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     lines = F.split("_text", "\n", -1)
     chunked = with_chunks(body.filter("_text IS NOT NULL").select("_id", lines.alias("_lines")), "_lines", every)
-    digests = cut_lineage(chunked.select("_id", F.transform("_chunks", lambda c: F.struct(
+    digests = stored(chunked.select("_id", F.transform("_chunks", lambda c: F.struct(
         c["start"].alias("start"), c["size"].alias("size"),
-        F.unhex(F.md5(_chunk_text(c["start"], c["size"]))).alias("digest"))).alias("_c")).select("_id", F.inline("_c")))
+        F.unhex(F.md5(_chunk_text(c["start"], c["size"]))).alias("digest"))).alias("_c")).select(
+            "_id", F.inline_outer("_c")).filter("digest IS NOT NULL"), "chunk-digests")
     repeated = digests.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
     flagged = digests.join(repeated, "digest").groupBy("_id").agg(
         F.collect_set(F.struct("start", "size")).alias("_flagged"))
-    flagged = cut_lineage(flagged.withColumnRenamed("_id", "_flagged_id"))
+    flagged = stored(flagged.withColumnRenamed("_id", "_flagged_id"), "flagged-chunks")
     texts = body.join(flagged, F.col("_id").eqNullSafe(F.col("_flagged_id"))).filter("_text IS NOT NULL")
-    pieces = texts.select("_id", lines.alias("_lines"), "_flagged").select("_id", F.explode(F.transform(
-        "_flagged", lambda c: F.struct(c["start"].alias("start"), _chunk_text(c["start"], c["size"]).alias("chunk")))).alias("p"))
+    pieces = texts.select("_id", lines.alias("_lines"), "_flagged").select("_id", F.explode_outer(F.transform(
+        "_flagged", lambda c: F.struct(c["start"].alias("start"), _chunk_text(c["start"], c["size"]).alias("chunk")))).alias("p")).filter("p IS NOT NULL")
     firsts = pieces.groupBy("p.chunk").agg(F.min(F.struct("_id", "p.start")).alias("f"))
     firsts = firsts.groupBy(F.col("f._id").alias("_first_id")).agg(F.collect_set("f.start").alias("_firsts"))
     removed = flagged.join(firsts, F.col("_flagged_id").eqNullSafe(F.col("_first_id")), "left").select(

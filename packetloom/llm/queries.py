@@ -13,6 +13,7 @@ from packetloom.llm.line_dedup import dedup_lines
 from packetloom.llm.mixing import mixing_plan
 from packetloom.llm.near_dedup import near_duplicates
 from packetloom.llm.packing import pack
+from packetloom.llm.quality import classify
 from packetloom.llm.sharding import assign_shards
 from packetloom.llm.substring_dedup import remove_repeats
 from packetloom.llm.topk_search import top_k
@@ -158,3 +159,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op4_quality_classifier")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
