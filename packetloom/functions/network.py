@@ -107,7 +107,7 @@ def http_message(data: Column) -> Column:
     last_of_name = F.filter(pairs, lambda pair, i: ~F.exists(
         F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["key"] == pair["key"]))
     headers = F.map_from_entries(last_of_name)
-    length = F.coalesce(F.try_to_number(F.element_at(headers, "content-length"), F.lit("999999999999")).cast("long"), F.lit(0))
+    length = F.coalesce(F.element_at(headers, "content-length").try_cast("bigint"), F.lit(0))
     return F.when(cut > 0, F.struct(
         F.lit(True).alias("complete"),
         F.when(is_request, F.get(request, F.lit(0))).otherwise("").alias("method"),

@@ -41,11 +41,13 @@ def best_labels(labels: DataFrame) -> DataFrame:
     """(image_id, label, confidence) of the likeliest label per image.
 
     ``labels`` has (image_id, label, logit). The softmax of the best label is
-    exp(max) / sum(exp), one aggregation with map-side partial sums.
+    1 / sum(exp(logit - max)), which no logit can overflow.
     """
-    return labels.groupBy("image_id").agg(
-        F.max_by("label", F.struct("logit", "label")).alias("label"),
-        (F.exp(F.max("logit")) / F.sum(F.exp("logit"))).alias("confidence"))
+    most = labels.groupBy("image_id").agg(F.max("logit").alias("_most"), F.collect_list("logit").alias("_logits"),
+                                          F.max_by("label", F.struct("logit", "label")).alias("label"))
+    # One logit per label of the model: the list has a fixed length.
+    total = F.aggregate("_logits", F.lit(0.0), lambda sum_, x: sum_ + F.exp(x - F.col("_most")))
+    return most.select("image_id", "label", (F.lit(1.0) / total).alias("confidence"))
 
 
 def label_score(label: Column, confidence: Column, ocr_score: Column) -> Column:

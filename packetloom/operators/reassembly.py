@@ -4,7 +4,7 @@ A message ends at the chunk with which its body reaches the announced length;
 the next chunk starts a new message. Header lines are looked for in the chunk
 that holds the blank line; chunks before it belong to the message but not to
 its body. A message of which more than the buffer limit had to be held back is
-passed on without its body.
+marked as flushed; its body is kept all the same.
 
 A connection may be very long, so its chunks are cut into runs of ``run``
 chunks. What enters a run is one number, the body bytes still missing. Each
@@ -145,16 +145,17 @@ def mark_chunks(chunks: DataFrame, run: int = RUN) -> DataFrame:
 def reassemble(chunks: DataFrame, run: int = RUN, limit: int = fv.BUFFER_LIMIT_BYTES) -> DataFrame:
     """Complete messages (key, message, first_seq, last_seq, flushed, data).
 
-    ``data`` is header chunk plus body; null for messages of which more than
-    ``limit`` bytes were held back, so no group collects more than that.
+    ``data`` is header chunk plus body. ``flushed`` marks messages of which
+    more than ``limit`` bytes were held back before the last chunk.
     """
     marks = mark_chunks(chunks, run)
     messages = marks.groupBy(*KEY, "message").agg(
         F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.max("last").alias("complete"),
         (F.coalesce(F.sum(F.when(~F.col("last"), F.col("size"))), F.lit(0)) > limit).alias("flushed")) \
         .filter("complete").drop("complete")
-    kept = messages.filter("not flushed").select(*KEY, "message")
-    parts = marks.filter("live").join(chunks.select(*KEY, "seq", "data"), [*KEY, "seq"]).join(kept, [*KEY, "message"])
+    # Chunks of messages that never end are not collected.
+    parts = marks.filter("live").join(chunks.select(*KEY, "seq", "data"), [*KEY, "seq"]).join(
+        messages.select(*KEY, "message"), [*KEY, "message"], "left_semi")
     ordered = F.array_sort(F.collect_list(F.struct("seq", F.col("data").cast("string").alias("data"))))
     bodies = parts.groupBy(*KEY, "message").agg(
         F.array_join(F.transform(ordered, lambda p: p["data"]), "").cast("binary").alias("data"))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from packetloom import fixed_values as fv
 from packetloom.functions.strings import strip
+from packetloom.operators.telemetry import number_rows
 from packetloom.schemas import RULE_TABLE
 from packetloom.session import rows_if_small
 
@@ -41,7 +42,7 @@ def _rank_literal(rule: Row) -> Column:
 
 
 def _test(rule: Row, fields: dict[str, Column]) -> Column:
-    value = F.lit(rule["value"].strip().lower())
+    value = F.lower(strip(F.lit(rule["value"])))  # as _ranked folds it
     field = fields[rule["match_type"]]
     return F.contains(field, value) if rule["match_type"] in _SUBSTRING else field == value
 
@@ -145,7 +146,9 @@ def apply_rule_changes(base: DataFrame, changes: DataFrame) -> DataFrame:
     enabled, description) with op add, delete or toggle. Invalid adds are
     ignored. A delete removes what came before it; the state of a rule is its
     last add (or base row) plus the toggles that follow. Only aggregates per
-    rule id are shuffled, so one busy id does not pile up in one task.
+    rule id are shuffled, so one busy id does not pile up in one task. The
+    result is a rule table again: rules keep position, hits and time of
+    change, and added rules follow after all others in order of their adds.
     """
     ops = changes.filter((F.col("op") != "add") | valid_rule(F.col("action"), F.col("match_type"), F.col("value")))
     is_add, is_delete = F.col("op") == "add", F.col("op") == "delete"
@@ -157,21 +160,27 @@ def apply_rule_changes(base: DataFrame, changes: DataFrame) -> DataFrame:
             strip(F.col("value")).alias("value"), F.coalesce("priority", F.lit(fv.DEFAULT_PRIORITY)).alias("priority"),
             F.coalesce("enabled", F.lit(True)).alias("enabled"), strip(F.coalesce("description", F.lit(""))).alias("description"),
         ), F.when(is_add, F.col("change_ts"))).alias("new"))
-    start = last.join(base.select("id", F.struct("action", "match_type", "value", "priority", "enabled", "description").alias("old")),
+    start = last.join(base.select("id", F.struct("action", "match_type", "value", "priority", "enabled", "description", "hits24h", "updated", "seq").alias("old")),
                       "id", "full")
     fresh = F.col("added").isNotNull() & (F.col("deleted").isNull() | (F.col("added") > F.col("deleted")))
     kept = F.col("old").isNotNull() & F.col("deleted").isNull()
+    old = lambda name: F.when(~fresh, F.col("old")[name])
     live = start.filter(fresh | kept).select(
-        "id", F.when(fresh, F.col("new")).otherwise(F.col("old")).alias("r"),
+        "id", *[F.when(fresh, F.col("new")[name]).otherwise(F.col("old")[name]).alias(name)
+                for name in ("action", "match_type", "value", "priority", "enabled", "description")],
+        F.coalesce(old("hits24h"), F.lit(0)).cast("long").alias("hits24h"), old("updated").cast("string").alias("_updated"), old("seq").alias("seq"),
         F.when(fresh, F.col("added")).alias("since"))
     toggles = ops.filter("op = 'toggle'").select("id", "change_ts").join(live.select("id", "since"), "id") \
         .filter(F.col("since").isNull() | (F.col("change_ts") > F.col("since"))) \
         .groupBy("id").agg(F.count("*").alias("flips"), F.max("change_ts").alias("flipped"))
     flipped = F.coalesce(F.col("flips") % 2 == 1, F.lit(False))
-    return live.join(toggles, "id", "left").select(
-        "id", "r.action", "r.match_type", "r.value", "r.priority",
-        F.when(flipped, ~F.col("r.enabled")).otherwise(F.col("r.enabled")).alias("enabled"),
-        "r.description", F.coalesce("flipped", "since").alias("updated"))
+    added = number_rows(live.filter("since IS NOT NULL").select("id", "since"), "_nth", "since", "id").select("id", "_nth")
+    first = base.agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
+    return live.join(toggles, "id", "left").join(added, "id", "left").select(
+        "id", "action", "match_type", "value", F.col("priority").cast("int").alias("priority"),
+        F.when(flipped, ~F.col("enabled")).otherwise(F.col("enabled")).alias("enabled"), "description", "hits24h",
+        F.coalesce(F.coalesce("flipped", "since").cast("string"), "_updated").alias("updated"),
+        F.coalesce("seq", F.col("_nth") + F.lit(first - 1)).cast("int").alias("seq"))
 
 
 def rule_view(rules: DataFrame, as_of: Column) -> DataFrame:

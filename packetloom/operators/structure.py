@@ -15,18 +15,26 @@ from packetloom.functions.payload import as_latin1, byte_literal
 from packetloom.operators.detector import Detector, register
 
 _ENTRIES = pa.list_(pa.struct([("entry_name", pa.string()), ("entry_text", pa.string())]))
+_UNREADABLE = (zipfile.BadZipFile, OSError, EOFError, ValueError, RuntimeError, NotImplementedError, zipfile.zlib.error)
 _READ_PARTS = ("word/document.xml", "docProps/core.xml", "docProps/app.xml")
 
 
 def _list_container(data: bytes) -> list[dict] | None:
-    """Names of all parts; text of the parts the detectors read."""
+    """Names of all parts; text of the parts the detectors read.
+
+    A part that cannot be read is listed without text; the others count.
+    """
+    def text(archive: zipfile.ZipFile, name: str) -> str | None:
+        try:
+            return archive.read(name).decode("utf-8", errors="ignore")
+        except _UNREADABLE:
+            return None
+
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as archive:
-            return [{"entry_name": name,
-                     "entry_text": archive.read(name).decode("utf-8", errors="ignore")
-                     if name in _READ_PARTS or name.endswith(".rels") else None}
+            return [{"entry_name": name, "entry_text": text(archive, name) if name in _READ_PARTS or name.endswith(".rels") else None}
                     for name in archive.namelist()]
-    except (zipfile.BadZipFile, OSError, ValueError, RuntimeError, NotImplementedError, zipfile.zlib.error):
+    except _UNREADABLE:
         return None
 
 
@@ -56,7 +64,7 @@ def office_features(entries: Column) -> Column:
     marker = 'targetmode="external"'
     external = F.aggregate(
         F.filter(entries, lambda e: F.endswith(e["entry_name"], F.lit(".rels"))), F.lit(0),
-        lambda n, e: n + F.size(F.split(F.lower(e["entry_text"]), marker)) - 1).cast("double")
+        lambda n, e: n + F.size(F.split(F.lower(F.coalesce(e["entry_text"], F.lit(""))), marker)) - 1).cast("double")
     return F.when(entries.isNotNull(), F.create_map(
         F.lit("object_count"), count(lambda e: F.lit(True)),
         F.lit("vba_project"), count(lambda e: F.endswith(e["entry_name"], F.lit("vbaProject.bin"))),

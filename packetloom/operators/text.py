@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 from packetloom import fixed_values as fv
 from packetloom.functions.strings import contains_any, fixed2, labels_where
 from packetloom.operators.detector import Columns, Detector, register
-from packetloom.session import rows_if_small
+from packetloom.operators.telemetry import number_rows
+from packetloom.session import SMALL_TABLE_ROWS, rows_if_small
+
+# Lengths of vectors below this count as this.
+TINY = 1e-12
 
 
 # --- secrets and remote code execution -----------------------------------
@@ -121,26 +125,50 @@ context = register(Detector(
 def best_concept(df: DataFrame, vector: str, concepts: DataFrame) -> DataFrame:
     """Add ``similarity`` and ``concept`` of the closest concept vector.
 
-    ``concepts`` has columns (concept, vec) and is a list of phrases, so it is
-    multiplied with each Arrow batch as one matrix. Its size is checked.
+    ``concepts`` has columns (concept, vec). A list of phrases is multiplied
+    with each Arrow batch as one matrix; a longer table in blocks of rows, one
+    after the other, each with the best of the blocks before. A zero vector
+    has similarity 0; a null vector, or one of another length or with a null
+    component, has none.
     """
-    rows = rows_if_small(concepts.select("concept", "vec").orderBy("concept"))
-    if rows is None:
-        raise ValueError("the concept table is a list of phrases and must stay small")
+    known = concepts.select("concept", "vec").filter("concept IS NOT NULL AND vec IS NOT NULL")
+    rows = rows_if_small(known.orderBy("concept"))
+    if rows is not None:
+        blocks = [rows]
+    else:
+        numbered = number_rows(known, "_n", "concept")
+        starts = range(0, numbered.count(), SMALL_TABLE_ROWS)
+        blocks = (numbered.filter((F.col("_n") > i) & (F.col("_n") <= i + SMALL_TABLE_ROWS)).orderBy("_n").collect() for i in starts)
+    best = df.withColumns({"_similarity": F.lit(None).cast("double"), "_concept": F.lit(None).cast("string")})
+    for block in blocks:
+        found = _closest(block)(vector)
+        best = best.withColumn("_found", found).withColumn(
+            "_nearer", F.col("_similarity").isNull() | (F.col("_found.similarity") > F.col("_similarity")))
+        best = best.withColumns({"_concept": F.when(F.col("_nearer"), F.col("_found.concept")).otherwise(F.col("_concept")),
+                                 "_similarity": F.when(F.col("_nearer"), F.col("_found.similarity")).otherwise(F.col("_similarity"))})
+    return best.select(*df.columns, F.col("_similarity").alias("similarity"), F.col("_concept").alias("concept"))
+
+
+def _closest(rows: list):
+    """Arrow function: the closest of some concepts."""
     names = [row["concept"] for row in rows]
-    matrix = np.array([row["vec"] for row in rows], dtype=np.float64)
-    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    width = len(rows[0]["vec"]) if rows else 0
+    matrix = np.array([row["vec"] for row in rows], dtype=np.float64).reshape(len(rows), width)
+    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), TINY)
 
     @F.arrow_udf("struct<similarity: double, concept: string>")
     def closest(vectors: pa.Array) -> pa.Array:
-        batch = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
-        cosine = (batch @ matrix.T) / np.linalg.norm(batch, axis=1, keepdims=True)
-        best = cosine.argmax(axis=1)
-        return pa.StructArray.from_arrays(
-            [pa.array(cosine[np.arange(len(best)), best]), pa.array([names[i] for i in best], pa.string())],
-            names=["similarity", "concept"])
-
-    return df.withColumn("_closest", closest(vector)).select("*", "_closest.*").drop("_closest")
+        usable = [i for i, v in enumerate(vectors.to_pylist()) if names and v is not None and len(v) == width and None not in v]
+        batch = vectors.take(pa.array(usable, pa.int64())).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(usable), -1)
+        cosine = (batch @ matrix.T) / np.maximum(np.linalg.norm(batch, axis=1, keepdims=True), TINY)
+        best = cosine.argmax(axis=1) if usable else np.zeros(0, np.int64)
+        similarity, concept = [None] * len(vectors), [None] * len(vectors)
+        for i, at, row in zip(usable, best.tolist(), cosine):
+            similarity[i], concept[i] = float(row[at]), names[at]
+        return pa.StructArray.from_arrays([pa.array(similarity, pa.float64()), pa.array(concept, pa.string())],
+                                          names=["similarity", "concept"])
+
+    return closest
 
 
 def _nlp_score(similarity: Column, concept: Column) -> Column:

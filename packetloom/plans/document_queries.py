@@ -20,11 +20,11 @@ from packetloom.sources import derived as dv
 _SIG_BODY = """CASE doc_id % 7 WHEN 0 THEN '%PDF-1.4 /OpenAction /JS ' || text WHEN 1 THEN '%PDF-1.4 /EmbeddedFile MZ ' || text
  WHEN 2 THEN 'PK' || chr(3) || chr(4) || 'word/vbaProject.bin ' || text WHEN 3 THEN 'Equation Native ' || text WHEN 4 THEN ' /Launch ' || text ELSE text END"""
 _FLAGS = f"""{sp.DOCS}, s AS (SELECT doc_id, {sp.EICAR} AS eicar, doc_id % 7 AS k FROM d)"""
-_SIG_FINDINGS = """concat_ws('|', CASE WHEN eicar THEN 'YARA: EICAR_Test_String (test) — EICAR antivirus test signature (regression marker)' END,
-  CASE WHEN k = 2 THEN 'YARA: Office_VBA_Macro_Project (high) — Office document containing a VBA macro project (vbaProject.bin)' END,
-  CASE WHEN k = 0 THEN 'YARA: PDF_JavaScript_Launcher (high) — PDF containing /JavaScript or /OpenAction auto-launch keys' END,
-  CASE WHEN k = 1 THEN 'YARA: PDF_Embedded_Executable (critical) — PDF with embedded file stream containing Windows/Linux executable header' END,
-  CASE WHEN k = 3 THEN 'YARA: Office_Equation_Editor_CVE_2017_11882 (critical) — OLE equation editor object commonly abused for CVE-2017-11882' END)"""
+_SIG_TESTS = {"EICAR_Test_String": "eicar", "Office_VBA_Macro_Project": "k = 2", "PDF_JavaScript_Launcher": "k = 0",
+              "PDF_Embedded_Executable": "k = 1", "Office_Equation_Editor_CVE_2017_11882": "k = 3"}
+_SIG_FINDINGS = "concat_ws('|', " + ", ".join(
+    f"CASE WHEN {_SIG_TESTS[s['name']]} THEN 'YARA: {s['name']} ({s['severity']}) — {s['description']}' END"
+    for s in fv.SIGNATURES if s["name"] in _SIG_TESTS) + ")"
 
 
 @query("signature_scan", f"""WITH {_FLAGS} SELECT doc_id, CASE WHEN k IN (1, 3) THEN 0.99::DOUBLE WHEN eicar OR k IN (0, 2) THEN 0.95::DOUBLE ELSE 0.0::DOUBLE END AS score,

@@ -13,7 +13,7 @@ from packetloom.sources import derived as dv
 _PLAIN_LABELS = ("standard photo of nature or animals", "generic bar chart or graph", "plain photograph with no logos or branding")
 _LABELS = [*fv.SENSITIVE_IMAGE_LABELS, *_PLAIN_LABELS]
 _LABEL_LIST = "[" + ", ".join(f"'{label}'" for label in _LABELS) + "]"
-_OCR_WORDS = ["confidential", "secret", "password", "private key", "internal use only", "revenue", "q1", "q2", "q3", "q4", "budget", "ssn"]
+_OCR_WORDS = fv.OCR_KEYWORDS
 _OCR_HIT = " OR ".join(f"contains(lower(text), '{w}')" for w in _OCR_WORDS)
 
 
@@ -32,7 +32,7 @@ def _labels(spark, sf):
 
 _BEST = f"""lg AS (SELECT vec_id AS image_id, unnest({_LABEL_LIST}) AS label, unnest(list_transform(embedding[1:{len(_LABELS)}], lambda x: x::DOUBLE * 20)) AS logit FROM embeddings),
   best AS (SELECT image_id, arg_max(label, logit) AS label, exp(max(logit)) / sum(exp(logit)) AS confidence, CASE WHEN image_id % 2 = 0 THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END AS ocr_score FROM lg GROUP BY image_id)"""
-_IDENTITY = "regexp_matches(label, 'passport|id card|cnic|identity|nsfw|porn|nude|lingerie')"
+_IDENTITY = "(" + " OR ".join(f"contains(label, '{term}')" for term in fv.IDENTITY_TERMS) + ")"
 _SENSITIVE = "label NOT IN (" + ", ".join(f"'{x}'" for x in _PLAIN_LABELS) + ")"
 _CLIP = f"CASE WHEN {_IDENTITY} AND confidence > 0.4 THEN 0.95::DOUBLE WHEN {_SENSITIVE} AND confidence > 0.6 THEN CASE WHEN ocr_score > 0.5 THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END ELSE 0.0::DOUBLE END"
 

@@ -123,12 +123,13 @@ _CHANGES = f"""SELECT event_id AS change_ts, CASE event_id % 4 WHEN 0 THEN 'add'
     UNION ALL SELECT pr.id, pr.action, pr.match_type, pr.value, pr.priority, pr.enabled, pr.description, NULL FROM pr LEFT JOIN st ON st.id = pr.id
       WHERE st.del IS NULL AND st.ad IS NULL),
   tg AS (SELECT live.id, count(*) AS flips, max(change_ts) AS last FROM live JOIN ok ON ok.id = live.id AND ok.op = 'toggle' AND (since IS NULL OR change_ts > since) GROUP BY live.id)
-  SELECT live.id, action, match_type, value, priority, CASE WHEN coalesce(flips, 0) % 2 = 1 THEN NOT enabled ELSE enabled END AS enabled, description,
-    coalesce(last, since) AS updated FROM live LEFT JOIN tg ON tg.id = live.id""")
+  SELECT live.id, live.action, live.match_type, live.value, live.priority, CASE WHEN coalesce(flips, 0) % 2 = 1 THEN NOT live.enabled ELSE live.enabled END AS enabled,
+    live.description, CASE WHEN since IS NULL THEN hits24h ELSE 0 END AS hits24h,
+    coalesce(CAST(coalesce(last, since) AS VARCHAR), CAST(TIMESTAMP '2024-01-31 00:00:00' - to_seconds(age) AS VARCHAR)) AS updated,
+    CAST(CASE WHEN since IS NULL THEN seq ELSE (SELECT max(seq) FROM pr) + row_number() OVER (PARTITION BY since IS NULL ORDER BY since, live.id) END AS INT) AS seq
+  FROM live LEFT JOIN tg ON tg.id = live.id LEFT JOIN pr ON pr.id = live.id AND since IS NULL""")
 def rule_changes(spark, sf):
-    events = dv.table(spark, sf, "events")
-    events.createOrReplaceTempView("packetloom_events")
-    changes = spark.sql(_CHANGES.replace("FROM events", "FROM packetloom_events"))
+    changes = spark.sql(_CHANGES.replace("FROM events", "FROM {events}"), events=dv.table(spark, sf, "events"))
     return ru.apply_rule_changes(_page_rules(spark, sf), changes)
 
 

@@ -1,5 +1,6 @@
 """SQL fragments shared by the SQL counterparts of the queries."""
 
+from packetloom import fixed_values as fv
 from packetloom.sources import derived as dv
 
 DOCS = f"d AS (SELECT doc_id, {dv.TEXT_X} AS text FROM documents)"
@@ -39,25 +40,16 @@ def _hits(*patterns: str) -> str:
     return " + ".join(f"regexp_matches(low, '{p}')::INT" for p in patterns)
 
 
-CONTENT = f"""k AS (SELECT doc_id,
-  {_hits(r'\bbalance sheet\b', r'\bquarterly (?:revenue|earnings)\b', r'\binternal financial\b')} AS h0,
-  {_hits(r'\bconfidential\b', r'\bnon[- ]disclosure\b', r'\bnda\b', r'\battorney[- ]client\b')} AS h1,
-  {_hits(r'\bsalary\b', r'\bsocial security number\b', r'\bssn\b', r'\bpayroll\b')} AS h2,
-  {_hits(r'api[_ ]?key\s*[=:]', r'(?i)-----begin [a-z ]*private key-----', r'(?i)akia[0-9a-z]{16}')} AS h3,
-  {_hits(r'\b10\.\d{1,3}\.\d{1,3}\.\d{1,3}\b', r'\b192\.168\.\d{1,3}\.\d{1,3}\b', r'\b172\.(?:1[6-9]|2\d|3[01])\.\d{1,3}\.\d{1,3}\b')} AS h4
+# Patterns that are not written in lower case match the lower-cased text without regard to case.
+_BUCKETS = [(label, [p if p == p.lower() else f"(?i){p}" for p in patterns]) for label, patterns in fv.KEYWORD_BUCKETS]
+_MOST = "greatest(" + ", ".join(f"s{i}" for i in range(len(_BUCKETS))) + ")"
+CONTENT = f"""k AS (SELECT doc_id, {", ".join(f"{_hits(*patterns)} AS h{i}" for i, (_, patterns) in enumerate(_BUCKETS))}
   FROM (SELECT doc_id, lower(text) AS low FROM d)),
-ks AS (SELECT *, {", ".join(f"CASE WHEN h{i} > 0 THEN least(0.95::DOUBLE, 0.5::DOUBLE + 0.15::DOUBLE * (h{i} - 1)) ELSE 0.0::DOUBLE END AS s{i}" for i in range(5))} FROM k),
-content AS (SELECT *, greatest(s0, s1, s2, s3, s4) AS content_score,
-  CASE WHEN greatest(s0, s1, s2, s3, s4) = 0 THEN NULL WHEN s0 = greatest(s0, s1, s2, s3, s4) THEN 'internal financial balance sheet'
-  WHEN s1 = greatest(s0, s1, s2, s3, s4) THEN 'confidential legal contract'
-  WHEN s2 = greatest(s0, s1, s2, s3, s4) THEN 'employee personal record with salary'
-  WHEN s3 = greatest(s0, s1, s2, s3, s4) THEN 'source code listing with credentials'
-  ELSE 'network diagram with internal ip addresses' END AS label FROM ks)"""
+ks AS (SELECT *, {", ".join(f"CASE WHEN h{i} > 0 THEN least(0.95::DOUBLE, 0.5::DOUBLE + 0.15::DOUBLE * (h{i} - 1)) ELSE 0.0::DOUBLE END AS s{i}" for i in range(len(_BUCKETS)))} FROM k),
+content AS (SELECT *, {_MOST} AS content_score, CASE WHEN {_MOST} = 0 THEN NULL
+  {" ".join(f"WHEN s{i} = {_MOST} THEN '{label}'" for i, (label, _) in enumerate(_BUCKETS))} END AS label FROM ks)"""
 CONTENT_FINDINGS = "concat_ws('|', " + ", ".join(
-    f"CASE WHEN h{i} > 0 THEN 'Keyword bucket ''{label}'' matched ' || h{i} || ' pattern(s)' END"
-    for i, label in enumerate(["internal financial balance sheet", "confidential legal contract",
-                               "employee personal record with salary", "source code listing with credentials",
-                               "network diagram with internal ip addresses"])) + \
+    f"CASE WHEN h{i} > 0 THEN 'Keyword bucket ''{label}'' matched ' || h{i} || ' pattern(s)' END" for i, (label, _) in enumerate(_BUCKETS)) + \
     ", CASE WHEN label IS NOT NULL THEN 'Sensitive content (keywords): ' || label || ' (' || printf('%.2f', content_score) || ')' END)"
 
 EICAR = "contains(text, 'X5O!P%@AP[4' || chr(92) || 'PZX54(P^)7CC)7}$EICAR-STANDARD-ANTIVIRUS-TEST-FILE!$H+H*')"
@@ -65,30 +57,24 @@ EICAR = "contains(text, 'X5O!P%@AP[4' || chr(92) || 'PZX54(P^)7CC)7}$EICAR-STAND
 EVENTS = f"""e AS (SELECT event_id AS id, event_id, user_id, ts, value, {dv.SOURCE_IP} AS source_ip, {dv.DESTINATION} AS destination_ip,
   {dv.PORT} AS port, {dv.PROTO} AS proto, {dv.CONTENT_TYPE} AS content_type, {dv.STATUS} AS status, {dv.REASON} AS reason FROM events)"""
 
-THREAT_WORDS = ["sql", "xss", "injection", "malware", "eicar", "pii", "dlp", "brute", "scan", "credential", "phish", "nsfw", "api key", "api_key"]
-_THREAT = {
-    "type": ["SQL Injection", "Cross-Site Scripting", "Command Injection", "Malware Payload", "EICAR Test Signature", "PII Exfiltration",
-             "Data Loss Prevention", "Brute Force", "Port Scan", "Credential Stuffing", "Phishing Attempt", "NSFW Content", "API Key Leak", "API Key Leak"],
-    "severity": ["high", "high", "critical", "critical", "medium", "high", "high", "medium", "low", "high", "high", "medium", "critical", "critical"],
-    "confidence": [0.94, 0.90, 0.98, 0.96, 0.99, 0.92, 0.90, 0.85, 0.72, 0.91, 0.88, 0.86, 0.95, 0.95],
-}
+THREAT_WORDS = [word for word, *_ in fv.THREAT_LABELS]
 
 
 def threat(field: str) -> str:
-    default = {"type": "Anomalous Content", "severity": "medium", "confidence": 0.80}[field]
+    at = ("type", "severity", "confidence").index(field)
 
     def lit(v) -> str:
         return f"{v}::DOUBLE" if isinstance(v, float) else f"'{v}'"
 
-    return "CASE " + " ".join(f"WHEN contains(lower(reason), '{w}') THEN {lit(v)}" for w, v in zip(THREAT_WORDS, _THREAT[field])) \
-        + f" ELSE {lit(default)} END"
+    return "CASE " + " ".join(f"WHEN contains(lower(reason), '{word}') THEN {lit(labels[at])}" for word, *labels in fv.THREAT_LABELS) \
+        + f" ELSE {lit(fv.THREAT_DEFAULT[at])} END"
 
 
 def region(ip: str) -> str:
-    return f"""CASE WHEN {ip} IS NULL OR {ip} IN ('', 'unknown') THEN '??'
-  WHEN regexp_matches({ip}, '^(10\\.|192\\.168\\.|172\\.1[6-9]\\.|172\\.20\\.|127\\.)') THEN 'LAN'
+    lan = " OR ".join(f"starts_with({ip}, '{prefix}')" for prefix in fv.LAN_PREFIXES)
+    return f"""CASE WHEN {ip} IS NULL OR {ip} IN ('', 'unknown') THEN '??' WHEN {lan} THEN 'LAN'
   WHEN try_cast(split_part({ip}, '.', 1) AS INT) IS NULL THEN '??'
-  ELSE (['US','DE','GB','RU','CN','NL','BR','IN','FR','JP'])[try_cast(split_part({ip}, '.', 1) AS INT) % 10 + 1] END"""
+  ELSE ({list(fv.REGION_BUCKETS)})[try_cast(split_part({ip}, '.', 1) AS INT) % {len(fv.REGION_BUCKETS)} + 1] END"""
 
 
 LEVEL = "CASE status WHEN 'block' THEN 'BLOCK' WHEN 'censor' THEN 'WARN' ELSE 'ALLOW' END"

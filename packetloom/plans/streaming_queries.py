@@ -7,7 +7,7 @@ from packetloom.functions.network import http_message
 from packetloom.plans import sql_parts as sp
 from packetloom.plans.payload_queries import REASSEMBLY_SQL
 from packetloom.plans.registry import ORACLES, query
-from packetloom.plans.verdict_queries import RESCAN_SQL, TEXT_TRAFFIC_SQL
+from packetloom.plans.verdict_queries import RESCAN_SQL, VERDICT_SQL, image_verdicts
 from packetloom.session import scratch_path
 from packetloom.sources import derived as dv
 from packetloom.streaming import jobs
@@ -22,12 +22,11 @@ def _run(spark, stream, name, mode="append", start=start_batches, **options):
     return read_batches(spark, f"{path}/out")
 
 
-@query("stream_inspect", f"WITH {TEXT_TRAFFIC_SQL} SELECT id, level, src, dst, rule, status, risk_level, reason FROM tl")
+@query("stream_inspect", f"""WITH {VERDICT_SQL} SELECT id, CASE status WHEN 'block' THEN 'BLOCK' ELSE 'ALLOW' END AS level, source_ip AS src,
+  destination_ip AS dst, rule_label AS rule, status, risk_level, reason FROM tv""")
 def stream_inspect(spark, sf):
-    traffic = dv.traffic(spark, sf, stream=True)
-    # Only text and unknown content, so that the SQL stays short.
-    texts = traffic.withColumn("content_type", F.when(F.col("content_type") == "text", "text").otherwise("unknown"))
-    log = _run(spark, jobs.stream_verdicts(texts, dv.rules(spark)), "stream-log", start=start_log)
+    verdicts = jobs.stream_verdicts(dv.traffic(spark, sf, stream=True), dv.rules(spark), image_verdicts(spark, sf))
+    log = _run(spark, verdicts, "stream-log", start=start_log)
     return log.select("id", "level", "src", "dst", "rule", "status", "risk_level", "reason")
 
 

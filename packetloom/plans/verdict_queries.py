@@ -13,7 +13,7 @@ _TEXT_SCORES = f"""{sp.CODE}, {sp.PII}, {sp.CONTENT}, ts AS (SELECT c.doc_id, gr
   CASE WHEN {sp.EICAR.replace('text', 'c.text')} THEN 0.95::DOUBLE ELSE 0.0::DOUBLE END AS mal, content_score FROM c JOIN p USING (doc_id) JOIN content USING (doc_id))"""
 _TEXT_JUDGE = """CASE WHEN text_hi > 0.8 THEN 'critical' WHEN text_hi > 0.5 THEN 'medium' ELSE 'safe' END"""
 _BY_RULE = "CASE action WHEN 'block' THEN 'critical' WHEN 'allow' THEN 'safe' END"
-_VERDICT = f"""{sp.DOCS}, {sp.EVENTS}, {sp.TRAFFIC}, {sp.RULE_ROWS}, {sp.MATCHED}, {_TEXT_SCORES}, {IMAGE_VERDICT_SQL},
+VERDICT_SQL = f"""{sp.DOCS}, {sp.EVENTS}, {sp.TRAFFIC}, {sp.RULE_ROWS}, {sp.MATCHED}, {_TEXT_SCORES}, {IMAGE_VERDICT_SQL},
   j AS (SELECT m.*, text_hi, greatest(mal, content_score) AS doc_hi, mal * 0.4::DOUBLE + content_score * 0.2::DOUBLE AS doc_w, i.status AS istatus, i.risk_level AS irisk, i.reason AS ireason
     FROM m JOIN ts USING (doc_id) LEFT JOIN image_v i ON i.image_id = m.id),
   tv AS (SELECT id, ts, source_ip, destination_ip, proto, content_type, rule_id,
@@ -27,27 +27,20 @@ _VERDICT = f"""{sp.DOCS}, {sp.EVENTS}, {sp.TRAFFIC}, {sp.RULE_ROWS}, {sp.MATCHED
     CASE WHEN rule_id IS NOT NULL THEN 'R-' || rule_id ELSE 'AI-ANALYSIS' END AS rule_label FROM j)"""
 
 
-# Log rows of the traffic when only rules and text detectors are asked.
-TEXT_TRAFFIC_SQL = f"""{sp.DOCS}, {sp.EVENTS}, {sp.TRAFFIC}, {sp.RULE_ROWS}, {sp.MATCHED}, {_TEXT_SCORES},
-  tv AS (SELECT id, source_ip AS src, destination_ip AS dst, CASE WHEN rule_id IS NOT NULL THEN 'R-' || rule_id ELSE 'AI-ANALYSIS' END AS rule,
-    CASE WHEN rule_id IS NOT NULL THEN action WHEN content_type = 'text' AND text_hi > 0.5 THEN 'block' ELSE 'allow' END AS status,
-    CASE WHEN rule_id IS NOT NULL THEN {_BY_RULE} WHEN content_type = 'text' THEN {_TEXT_JUDGE} ELSE 'safe' END AS risk_level,
-    CASE WHEN rule_id IS NOT NULL THEN 'Static rule match (' || match_type || '=' || rule_value || '): ' || upper(action)
-      WHEN content_type = 'text' THEN 'Max threat score ' || text_hi ELSE 'No threats detected' END AS reason FROM m JOIN ts USING (doc_id)),
-  tl AS (SELECT *, CASE status WHEN 'block' THEN 'BLOCK' ELSE 'ALLOW' END AS level FROM tv)"""
+def image_verdicts(spark, sf):
+    return image_results(spark, sf).select(F.col("image_id").alias("id"), "status", "risk_level", "reason")
 
 
 def judged_traffic(spark, sf):
-    images = image_results(spark, sf).select(F.col("image_id").alias("id"), "status", "risk_level", "reason")
-    return traffic_verdict(dv.traffic(spark, sf), dv.rules(spark), images)
+    return traffic_verdict(dv.traffic(spark, sf), dv.rules(spark), image_verdicts(spark, sf))
 
 
-@query("traffic_verdict", f"WITH {_VERDICT} SELECT id, status, risk_level, reason, rule_label FROM tv")
+@query("traffic_verdict", f"WITH {VERDICT_SQL} SELECT id, status, risk_level, reason, rule_label FROM tv")
 def traffic_verdict_query(spark, sf):
     return judged_traffic(spark, sf).select("id", "status", "risk_level", "reason", "rule_label")
 
 
-@query("verdict_summary", f"WITH {_VERDICT} SELECT content_type, status, risk_level, count(*) AS events FROM tv GROUP BY ALL")
+@query("verdict_summary", f"WITH {VERDICT_SQL} SELECT content_type, status, risk_level, count(*) AS events FROM tv GROUP BY ALL")
 def verdict_summary(spark, sf):
     return judged_traffic(spark, sf).groupBy("content_type", "status", "risk_level").agg(F.count("*").alias("events"))
 

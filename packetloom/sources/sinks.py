@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.operators.rules import union_all
@@ -23,8 +24,20 @@ def write_log(log: DataFrame, path: str) -> None:
     append_by_day(log, path)
 
 
+def last_threat(spark: SparkSession, path: str) -> int:
+    """Number of the last threat written below ``path``, 0 before the first."""
+    try:
+        written = spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return 0
+    return written.agg(F.max(F.substring("threat_id", 3, 20).cast("long"))).first()[0] or 0
+
+
 def write_threats(log: DataFrame, path: str) -> None:
-    append_by_day(to_threats(log), path)
+    """Append the threats of a log; numbers go on where the last append ended."""
+    append_by_day(to_threats(log, last_threat(log.sparkSession, path)), path)
 
 
 def report_tables(log: DataFrame, uploads: DataFrame) -> dict[str, DataFrame]:

@@ -30,13 +30,13 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
 
 
-def stream_verdicts(traffic: DataFrame, rules: DataFrame) -> DataFrame:
+def stream_verdicts(traffic: DataFrame, rules: DataFrame, image_verdicts: DataFrame | None = None) -> DataFrame:
     """Verdicts of a traffic stream; the batch plan, which keeps no state.
 
     The rule table is read when the query starts; restart it to pick up
     changed rules.
     """
-    return traffic_verdict(traffic, rules)
+    return traffic_verdict(traffic, rules, image_verdicts)
 
 
 def stream_flow_totals(packets: DataFrame, keys: tuple[str, ...] = FLOW, idle: str | None = None) -> DataFrame:
@@ -53,10 +53,15 @@ def stream_flow_totals(packets: DataFrame, keys: tuple[str, ...] = FLOW, idle: s
                        F.sum("length").cast("long").alias("byte_count"), F.count("*").alias("packets"))
 
 
-def stream_series(log: DataFrame, seconds: int = fv.SERIES_SECONDS, late: str = "30 seconds") -> DataFrame:
-    """(bucket, events, blocked, allowed) per tumbling window of a log stream."""
+def stream_series(log: DataFrame, seconds: int = fv.SERIES_SECONDS, late: str | None = None) -> DataFrame:
+    """(bucket, events, blocked, allowed) per tumbling window of a log stream.
+
+    Without ``late`` no row is ever too late and all windows stay in the
+    state; with it (such as ``10 minutes``) windows leave the state, and rows
+    that come later than that are dropped.
+    """
     window = F.window("ts", f"{seconds} seconds")
-    counts = log.withWatermark("ts", late).groupBy(window).agg(
+    counts = (log.withWatermark("ts", late) if late else log).groupBy(window).agg(
         F.count("*").alias("events"), F.count_if(F.col("level") == "BLOCK").alias("blocked"),
         F.count_if(F.col("level") != "BLOCK").alias("allowed"))
     start = F.col("window")["start"].cast("timestamp_ntz")
@@ -123,15 +128,12 @@ class _Reassembly(StatefulProcessor):
                 missing -= chunk.size
             elif chunk.missing >= 0:
                 live, missing = True, chunk.missing
-            if live and held <= self.limit:
+            if live:
                 parts.append(bytes(chunk.data))
             if not live or missing > 0:
                 held += chunk.size
-                if held > self.limit:
-                    parts = []
                 continue
-            flushed = held > self.limit
-            done.append((*key, message, first, chunk.seq, flushed, None if flushed else b"".join(parts)))
+            done.append((*key, message, first, chunk.seq, held > self.limit, b"".join(parts)))
             message, missing, held, first, live, parts = message + 1, 0, 0, None, False, []
         self.open.update((int(message), int(missing), int(held), None if first is None else int(first), bool(live), b"".join(parts)))
         yield pd.DataFrame(done, columns=["conn_id", "direction", "message", "first_seq", "last_seq", "flushed", "data"])

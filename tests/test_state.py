@@ -59,7 +59,7 @@ def messages_of(chunks, limit):
             body += data
         if live and missing <= 0:
             flushed = held > limit
-            out.append((number, first, seq, flushed, None if flushed else body))
+            out.append((number, first, seq, flushed, body))
             number, first, held, body, live = number + 1, None, 0, b"", False
         else:
             held += len(data)
