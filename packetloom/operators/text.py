@@ -159,7 +159,7 @@ def _closest(rows: list):
     @F.arrow_udf("struct<similarity: double, concept: string>")
     def closest(vectors: pa.Array) -> pa.Array:
         usable = [i for i, v in enumerate(vectors.to_pylist()) if names and v is not None and len(v) == width and None not in v]
-        batch = vectors.take(pa.array(usable, pa.int64())).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(usable), -1)
+        batch = vectors.take(pa.array(usable, pa.int64())).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(usable), width)
         cosine = (batch @ matrix.T) / np.maximum(np.linalg.norm(batch, axis=1, keepdims=True), TINY)
         best = cosine.argmax(axis=1) if usable else np.zeros(0, np.int64)
         similarity, concept = [None] * len(vectors), [None] * len(vectors)

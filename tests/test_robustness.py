@@ -1,0 +1,121 @@
+"""Inputs that detectors, sinks, rules and streams must not trip over."""
+import io
+import random
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from packetloom.functions.network import http_message
+from packetloom.operators.image import best_labels
+from packetloom.operators.reassembly import reassemble
+from packetloom.operators.rules import apply_rule_changes, match_rules
+from packetloom.operators.structure import container_entries
+from packetloom.operators.text import best_concept
+from packetloom.schemas import RULE_TABLE
+from packetloom.sources import sinks
+from packetloom.streaming import jobs
+from packetloom.streaming.sinks import latest_update, read_batches, start_batches
+
+
+@pytest.mark.parametrize("given,length", [("1000000000000", 10**12), ("+7", 7), ("x", 0), ("", 0), (" 12 ", 12)])
+def test_content_length(spark, given, length):
+    data = spark.createDataFrame([(f"POST / HTTP/1.1\r\nContent-Length: {given}\r\n\r\nbody".encode(),)], "data binary")
+    assert data.select(http_message(F.col("data"))["content_length"]).first()[0] == length
+
+
+def test_long_bodies_are_kept(spark):
+    size, part = 11 << 20, 1 << 20
+    head = f"POST / HTTP/1.1\r\nContent-Length: {size + 6}\r\n\r\n".encode()
+    rows = [(1, "out", 0, head)] + [(1, "out", 1 + i, b"x" * part) for i in range(11)] + [(1, "out", 12, b" eval(")]
+    found = reassemble(spark.createDataFrame(rows, "conn_id long, direction string, seq long, data binary")).collect()
+    assert len(found) == 1 and found[0]["flushed"] and len(found[0]["data"]) == len(head) + size + 6
+    assert bytes(found[0]["data"]).endswith(b" eval(")
+
+
+def test_concepts_of_odd_vectors(spark, monkeypatch):
+    vectors = spark.createDataFrame([(0, [0.0, 0.0]), (1, None), (2, [1.0]), (3, [1.0, None]), (4, [3.0, 0.1])], "id long, v array<double>")
+    concepts = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("zero", [0.0, 0.0])], "concept string, vec array<double>")
+    few = {r.id: (r.similarity, r.concept) for r in best_concept(vectors, "v", concepts).collect()}
+    assert few[0][0] == 0 and few[1] == few[2] == few[3] == (None, None) and few[4][1] == "a"
+    from packetloom.operators import text
+    monkeypatch.setattr(text, "SMALL_TABLE_ROWS", 2)
+    monkeypatch.setattr(text, "rows_if_small", lambda rows: None)
+    assert {r.id: (r.similarity, r.concept) for r in best_concept(vectors, "v", concepts).collect()} == few
+
+
+def test_large_logits(spark):
+    rows = [(1, "a", 2000.0), (1, "b", 1999.0), (2, "a", -5000.0)]
+    found = {r.image_id: (r.label, r.confidence) for r in best_labels(spark.createDataFrame(rows, "image_id long, label string, logit double")).collect()}
+    assert found[1][0] == "a" and abs(found[1][1] - 0.7310585786) < 1e-9 and found[2] == ("a", 1.0)
+
+
+def test_damaged_part_does_not_hide_the_others(spark):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as archive:
+        archive.writestr("word/document.xml", "some text that is stored as it is")
+        archive.writestr("word/vbaProject.bin", b"macro")
+    data = out.getvalue().replace(b"stored as it is", b"STORED AS IT IS")
+    listed = spark.createDataFrame([(data,)], "p binary").select(container_entries(F.col("p")).alias("e")).first().e
+    assert [(e.entry_name, e.entry_text) for e in listed] == [("word/document.xml", None), ("word/vbaProject.bin", None)]
+
+
+def test_threat_numbers_go_on(spark, tmp_path):
+    log = spark.range(10).selectExpr(
+        "id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(id % 3, 0, 0, id) AS ts", "'BLOCK' AS level", "'1.2.3.4' AS src", "'d' AS dst",
+        "'r' AS rule", "'malware' AS reason", "'block' AS status", "'high' AS risk_level", "'TCP' AS proto", "'-' AS bytes", "'m' AS msg")
+    for part in (log.filter("id < 6"), log.filter("id >= 6")):
+        sinks.write_threats(part, str(tmp_path / "threats"))
+    numbers = sorted(r.threat_id for r in spark.read.parquet(str(tmp_path / "threats")).select("threat_id").collect())
+    assert numbers == [f"T-{n:05d}" for n in range(1, 11)]
+
+
+def rule(id, value, seq, kind="keyword", action="block", priority=10, enabled=True):
+    return (id, action, kind, value, priority, enabled, "", 3, None, seq)
+
+
+def events(spark, texts):
+    return spark.createDataFrame([(i, "1.1.1.1", "www.a.com", "80", t) for i, t in enumerate(texts)],
+                                 "id long, source_ip string, destination_ip string, port string, text_content string")
+
+
+def test_changed_rules_match(spark):
+    base = spark.createDataFrame([rule("a", "alpha", 0), rule("b", "beta", 1)], RULE_TABLE)
+    changes = spark.createDataFrame(
+        [(1, "delete", "a", None, None, None, None, None, None), (2, "add", "c", " Allow ", "keyword", " gamma ", 5, True, None),
+         (3, "add", "d", "block", "keyword", "delta", 10, True, None), (4, "toggle", "b", None, None, None, None, None, None)],
+        "change_ts long, op string, id string, action string, match_type string, value string, priority int, enabled boolean, description string")
+    changed = apply_rule_changes(base, changes)
+    assert sorted(changed.columns) == sorted(RULE_TABLE.fieldNames())
+    assert {r.id: (r.seq, r.hits24h, r.enabled) for r in changed.collect()} == {"b": (1, 3, False), "c": (2, 0, True), "d": (3, 0, True)}
+    found = match_rules(events(spark, ["alpha", "beta", "gamma delta", "delta"]), changed)
+    assert {r.id: r.rule and r.rule.id for r in found.collect()} == {0: None, 1: None, 2: "c", 3: "d"}
+
+
+@pytest.mark.parametrize("value,text", [(" secret", "a secret"), (" secret", "secret"), (" Secret\t", "SECRET x")])
+def test_both_matchers_fold_values_alike(spark, value, text):
+    rules = spark.createDataFrame([rule("a", value, 0)], RULE_TABLE)
+    found = [match_rules(events(spark, [text]), rules, chain_limit=n).first().rule for n in (0, 256)]
+    assert found[0] == found[1]
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_stream_series_over_shuffled_files(spark, tmp_path, files):
+    rows = [(i, i * 7919 % 5000) for i in range(1000)]
+    random.Random(1).shuffle(rows)
+    log = spark.createDataFrame(rows, "id long, second long").selectExpr(
+        "id", "timestamp_seconds(second) AS ts", "IF(id % 3 = 0, 'BLOCK', 'ALLOW') AS level").coalesce(1)
+    log.repartition(files).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    start_batches(jobs.stream_series(stream), str(tmp_path / "out"), str(tmp_path / "state"), mode="update").awaitTermination()
+    found = latest_update(read_batches(spark, str(tmp_path / "out")), "bucket")
+    assert found.agg(F.sum("events"), F.sum("blocked")).first() == (1000, 334)
+
+
+def test_streams_read_table_folders(spark, tmp_path):
+    from packetloom.sources import derived
+    table = spark.range(300).selectExpr("id AS event_id")
+    table.repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    stream = derived.table_stream(spark, str(tmp_path), "events")
+    start_batches(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert read_batches(spark, str(tmp_path / "out")).count() == 300
