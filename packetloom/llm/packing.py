@@ -17,6 +17,7 @@ are read.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -25,53 +26,105 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.support import split_words, text_slices
+from packetloom.llm.support import raw_texts, split_words, text_slices
 from packetloom.operators.telemetry import number_rows
 from packetloom.session import cut_lineage
 
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-# The ids of short words are kept per worker, up to this many words.
-CACHED_WORDS = 400_000
+# The ids of words and their stems are kept per worker, up to this many of either.
+CACHED = 400_000
 CACHED_BYTES = 40
-_CACHE: dict[str, tuple] = {}
+BATCH_WORDS = 200
+# Written between words that are encoded together; it is one token, and words that hold it go alone.
+SEPARATOR = b"\x01"
+TAIL = b".,!?%&#$*"
+_CODERS: dict[str, WordCoder] = {}
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                     ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
 
-def _tokenizer(name: str) -> tuple:
-    if name not in _CACHE:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        from tokenizers import Tokenizer
-        _CACHE[name] = (Tokenizer.from_file(name if os.path.isabs(name) else public_tokenizers.path(name)), {})
-    return _CACHE[name]
+def _ends_in_letter(stem: bytes) -> bool:
+    """Whether a stem ends in a Latin, Greek or Cyrillic letter that is one after normalising, too."""
+    last = unicodedata.normalize("NFC", stem[-4:].decode(errors="ignore")[-1:]).lower()
+    return last < "\u0530" and last[-1:].isalpha()
 
 
-def encode_words(texts: list[list[bytes]], name: str) -> Iterator[bytes]:
-    """Little-endian 32-bit ids of each text, given by its words.
+class WordCoder:
+    """Ids of words, by the tokenizer, as little-endian 32-bit numbers.
 
-    This tokenizer normalises, lower-cases and splits inside words only, so a
-    text's ids are its words' ids in turn.
+    The tokenizer normalises, lower-cases and splits inside words only, so a
+    text's ids are its words' ids in turn. It also splits letters from marks:
+    a word is looked up as a stem that ends in a letter or digit, and the
+    marks behind it.
     """
-    tokenizer, known = _tokenizer(name)
-    if len(known) > CACHED_WORDS:
-        known.clear()
-    new = list({word for words in texts for word in words if word not in known})
-    fresh = {}
-    for at in range(0, len(new), 50_000):
-        part = new[at:at + 50_000]
-        coded = tokenizer.encode_batch_fast([word.decode() for word in part], add_special_tokens=False)
-        fresh.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in coded), strict=True))
-    long = {word: fresh.pop(word) for word in new if len(word) > CACHED_BYTES}
-    known.update(fresh)
-    for words in texts:
-        if long:
-            yield b"".join([long[w] if w in long else known[w] for w in words])
-        else:
-            yield b"".join(map(known.__getitem__, words))
+
+    def __init__(self, name: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_file(name if os.path.isabs(name) else public_tokenizers.path(name))
+        self.separator = self.tokenizer.encode(SEPARATOR.decode(), add_special_tokens=False).ids
+        if len(self.separator) != 1:
+            raise ValueError("the separator is not one token")
+        self.known: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+
+    def alone(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def together(self, words: list[bytes]) -> Iterator[bytes]:
+        """Ids of many words that do not hold the separator."""
+        join = b" " + SEPARATOR + b" "
+        texts = [join.join([*words[i:i + BATCH_WORDS], b""]).decode() for i in range(0, len(words), BATCH_WORDS)]
+        for coded in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(coded.ids, "<u4")
+            raw, start = ids.tobytes(), 0
+            for end in (4 * np.nonzero(ids == self.separator[0])[0]).tolist():
+                yield raw[start:end]
+                start = end + 4
+
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Make all words known; the long ones among them, which are not kept."""
+        for table in (self.known, self.stems):
+            if len(table) > CACHED:
+                table.clear()
+        known, stems, parts, found = self.known, self.stems, [], {}
+        for word in words:
+            if word in known:
+                continue
+            if b"<|" in word or SEPARATOR in word:  # may be a special token
+                found[word] = self.alone(word)
+                continue
+            word_low = word.lower()
+            stem = word_low.rstrip(TAIL)
+            if stem and len(stem) < len(word_low) and not (stem[-1:].isalnum() or _ends_in_letter(stem)):
+                stem = word_low
+            parts.append((word, stem, word_low[len(stem):]))
+        new = list({p for _, stem, tail in parts for p in (stem, tail) if p and p not in stems})
+        stems.update(zip(new, self.together(new), strict=True))
+        stems[b""] = b""
+        found.update((word, stems[stem] + stems[tail]) for word, stem, tail in parts)
+        long = {word: found[word] for word in found if len(word) > CACHED_BYTES}
+        known.update(found)
+        return long
+
+    def encode(self, texts: list[list[bytes]]) -> list[bytes]:
+        """Ids of each text, given by its words."""
+        long = self.learn(set().union(*texts))
+        coded = [b"".join(map(self.known.__getitem__, words)) for words in texts]
+        for word in long:
+            del self.known[word]
+        return coded
+
+
+def word_coder(name: str) -> WordCoder:
+    """The worker's coder for a tokenizer file."""
+    if name not in _CODERS:
+        _CODERS[name] = WordCoder(name)
+    return _CODERS[name]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID,
@@ -83,8 +136,8 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CA
     def cut(batches):
         for batch in text_slices(batches):
             rows = []
-            texts = [split_words(t) for t in batch.column(1).to_pylist()]
-            for key, ids in zip(batch.column(0).to_pylist(), encode_words(texts, tokenizer), strict=True):
+            texts = [split_words(t) for t in raw_texts(batch.column(1))]
+            for key, ids in zip(batch.column(0).to_pylist(), word_coder(tokenizer).encode(texts), strict=True):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]

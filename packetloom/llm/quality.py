@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.support import stored, text_slices
+from packetloom.llm.support import raw_texts, stored, text_slices
 
 FEATURES = 256
 RIDGE = 1e-3
@@ -55,9 +55,8 @@ def held_out(doc_id: Column) -> Column:
     return fold(doc_id) == 0
 
 
-def statistics(text: str | None) -> list[float]:
-    """Numbers that describe a whole text."""
-    raw = (text or "").encode()
+def statistics(raw: bytes) -> list[float]:
+    """Numbers that describe a whole UTF-8 text."""
     words, lines = raw.split(), raw.split(b"\n")
     size, count = max(1, len(raw)), max(1, len(words))
     shares = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ _MARKS / size
@@ -116,7 +115,7 @@ def document_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     """doc_id and the statistics of its text."""
     def run(batches):
         for batch in text_slices(batches):
-            rows = [statistics(t) for t in batch.column(1).to_pylist()]
+            rows = [statistics(t) for t in raw_texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "stats"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
@@ -125,7 +124,7 @@ def document_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
 
 def train(stats: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "quality") -> Model:
     """Fit a model to ``document_statistics`` of all documents and the labels outside the held-out part."""
-    width = len(statistics(""))
+    width = len(statistics(b""))
     moments = stats.select([F.get("stats", F.lit(i)).alias(f"s{i}") for i in range(width)]).agg(
         *[F.avg(f"s{i}").alias(f"m{i}") for i in range(width)], *[F.stddev_pop(f"s{i}").alias(f"d{i}") for i in range(width)]).first()
     numbers = np.array([0.0 if v is None else v for v in moments])
@@ -186,7 +185,7 @@ def with_score(docs: DataFrame, model: Model, text: str = "text", score: str = "
 
     def run(batches):
         for batch in text_slices(batches, at):
-            rows = np.array([statistics(t) for t in batch.column(at).to_pylist()])
+            rows = np.array([statistics(t) for t in raw_texts(batch.column(at))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(state.value.score(rows))], names=[*names, "score"])
 
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
