@@ -9,13 +9,15 @@ dropped only when the estimate is ``MARGIN`` (six standard deviations) below
 the threshold. Every link is confirmed on the full shingle sets.
 
 Equal sets are one node from the start. Groups are then joined in three steps,
-none of which pairs all members of a bucket:
+none of which makes rows of all pairs of a bucket:
 
 1. every document against the least document of one of its buckets, the best
    by estimate, which joins most of a group along a tree;
 2. the remaining pairs of a document and the least of a bucket;
-3. for buckets that still hold several components, the untested pairs across
-   components. This step makes the result exact over all candidates.
+3. in buckets that still hold several components, all members across
+   components, in blocks of ``BLOCK`` against each other: a task counts common
+   shingles by a matrix product and reports one link per pair of components.
+   This step makes the result exact over all candidates.
 
 Defined cases: null and empty texts, and texts without words, have no
 shingles and no links; repeated rows of one doc_id count as one document; a
@@ -38,6 +40,8 @@ from packetloom.session import cut_lineage
 
 PERCENT = 75
 MARGIN = 0.2
+BLOCK = 2048
+_SHINGLES_AT_ONCE = 4096
 
 
 def estimated_similarity(a: Column, b: Column) -> Column:
@@ -54,7 +58,7 @@ def estimated_similarity(a: Column, b: Column) -> Column:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its least node) of every node of ``edges`` (a, b).
+    """node, component (its least node) of the nodes of ``edges`` (a, b) that are not the least themselves.
 
     Alternates connecting larger and smaller neighbours to the least one until
     nothing changes; the number of rounds grows with the logarithm of the size.
@@ -94,6 +98,53 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(test, "a long, b long")
 
 
+def _common(sizes: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """Number of common shingles of each two of the sets that ``shingles`` holds in a row."""
+    _, place, times = np.unique(shingles, return_inverse=True, return_counts=True)
+    shared = np.nonzero(times[place] > 1)[0]
+    number = np.cumsum(times > 1) - 1
+    row, column = np.repeat(np.arange(len(sizes)), sizes)[shared], number[place[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(sizes), len(sizes)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, _SHINGLES_AT_ONCE):
+        a, b = np.searchsorted(column, [start, start + _SHINGLES_AT_ONCE])
+        part = np.zeros((len(sizes), _SHINGLES_AT_ONCE), np.float32)
+        part[row[a:b], column[a:b] - start] = 1
+        part = part[:, :int(column[b - 1]) - start + 1]
+        common += part @ part.T
+    return common
+
+
+def _links_across(members: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components within buckets that hold several.
+
+    A bucket of two is left out: its one pair was tested as a star.
+    """
+    placed = _placed(members, "doc_id", groups, "c")
+    mixed = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).filter(
+        "low < high AND n > 2").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    dealt = placed.join(mixed, "bucket").select("bucket", "doc_id", "c", own.alias("own"), F.explode(
+        F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "bucket", "doc_id", "c", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def test(key: tuple, table: pa.Table) -> pa.Table:
+        raw = [s.as_buffer() for s in table.column("shingles")]
+        sizes = np.array([s.size // 8 for s in raw])
+        common = _common(sizes, np.frombuffer(b"".join(raw), np.uint64))
+        ids, c, own = (table.column(n).to_numpy() for n in ("doc_id", "c", "own"))
+        fine = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+        a, b = np.nonzero(fine & (c[:, None] < c[None, :]))
+        if key[1].as_py() != key[2].as_py():
+            across = own[a] != own[b]
+            a, b = a[across], b[across]
+        _, one = np.unique(np.stack([c[a], c[b]]), axis=1, return_index=True)
+        return pa.table({"a": ids[a[one]], "b": ids[b[one]]})
+
+    return dealt.join(sets, "doc_id").groupBy("bucket", "i", "j").applyInArrow(test, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -131,19 +182,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
         rest = cut_lineage(_across(stars.select("a", "b").join(tested, ["a", "b"], "left_anti"), groups).select("a", "b"))
         if rest.take(1):
             links = cut_lineage(links.union(confirm(rest, sets, percent)))
-            tested = cut_lineage(tested.union(rest))
             groups = cut_lineage(components(links))
-        placed = _placed(members.select("bucket", "doc_id"), "doc_id", groups, "c")
-        mixed = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("bucket")
-        placed = cut_lineage(placed.join(mixed, "bucket"))
-        if placed.take(1):
-            other = placed.select("bucket", F.col("doc_id").alias("other"), F.col("c").alias("d"))
-            pairs = placed.join(other, "bucket").filter("c < d").select(
-                F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
-            pairs = cut_lineage(likely(pairs.join(tested, ["a", "b"], "left_anti")).select("a", "b"))
-            more = cut_lineage(confirm(pairs, sets, percent))
-            if more.take(1):
-                groups = cut_lineage(components(links.union(more)))
+        more = stored(_links_across(members.select("bucket", "doc_id"), groups, sets, percent), "links-across")
+        if more.take(1):
+            groups = cut_lineage(components(links.union(more)))
         links = groups
     keyed = signed.join(classes.select(F.col("set_key").alias("_key"), "rep"),
                         (F.col("set_key") == F.col("_key")) & F.col("doc_id").isNotNull(), "left")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from packetloom.llm.support import mix, split_words, text_slices, word_hashes
+from packetloom.llm.support import WordTable, mix, text_slices
 
 WORDS = 5
 HASHES = 160
@@ -18,11 +18,10 @@ _BASE = np.uint64(0x9FB21C651E98DF25)
 _BLOCK = 512
 
 
-def shingle_sets(texts: list[str | None], words: int = WORDS) -> Iterator[np.ndarray]:
+def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
     """Distinct shingles of each text; a shorter text is one shingle, one without words has none."""
-    split = [split_words(t, lower=True) for t in texts]
-    counts = [len(s) for s in split]
-    ids = word_hashes([w for s in split for w in s])
+    table = WordTable(texts, lower=True)
+    counts, ids = np.diff(table.first).tolist(), table.hashes()
     rolled = np.zeros(max(0, len(ids) - words + 1), np.uint64)
     for i in range(words):
         rolled = rolled * _BASE + ids[i:i + len(rolled)]
@@ -68,7 +67,7 @@ def signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     xors, factors = permutations()
     for batch in text_slices(batches):
         sizes, keys, signatures = [], [], []
-        for shingles in shingle_sets(batch.column(1).to_pylist()):
+        for shingles in shingle_sets(batch.column(1)):
             sizes.append(len(shingles))
             keys.append(xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
             signatures.append(signature(shingles, xors, factors) if len(shingles) else None)
@@ -79,5 +78,5 @@ def signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Task: the whole shingle set of every document, as bytes."""
     for batch in text_slices(batches):
-        sets = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist())]
+        sets = [s.tobytes() for s in shingle_sets(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
