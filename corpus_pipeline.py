@@ -27,7 +27,7 @@ from packetloom.llm.mixing import mix_documents
 from packetloom.llm.near_dedup import near_duplicates
 from packetloom.llm.packing import pack
 from packetloom.llm.quality import THRESHOLD, document_statistics, train, with_score
-from packetloom.llm.support import stored
+from packetloom.llm.support import shielded, stored
 from packetloom.session import ship_package
 
 # Tokenizer ids and learnt scores are outside SQL.
@@ -38,20 +38,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train(stored(document_statistics(docs), "statistics"), labels)
-    return with_score(docs, model, score="_score").filter(F.col("_score") >= THRESHOLD).drop("_score")
+    plain, names = shielded(docs)
+    scored = with_score(plain, model, text=names["text"])
+    return scored.filter(F.col("score") >= THRESHOLD).drop("score").toDF(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    cleaned = dedup_lines(docs)
-    return cleaned.filter("n_removed = 0 OR n_removed < n_lines").select(
-        *[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    cleaned = dedup_lines(docs).filter("n_removed = 0 OR n_removed < n_lines")
+    return cleaned.select(
+        *[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     gone = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    plain, names = shielded(docs)
+    return plain.join(gone, F.col(names["doc_id"]) == F.col("_gone"), "left_anti").toDF(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

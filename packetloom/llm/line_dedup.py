@@ -17,7 +17,8 @@ Defined cases: a null text has no lines and stays null; an empty text is one
 empty line; a document's single remaining lines are never removed; rows that
 share a doc_id (null counts as one, ordered first) are one document here: the
 same chunk at the same line of both stays in both. Columns other than id and
-text are passed on untouched.
+text are passed on untouched, but for ``n_lines`` and ``n_removed``, which
+are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.support import hex_number, stored
+from packetloom.llm.support import hex_number, shielded, stored
 
 # One pair of lines in so many ends a chunk.
 BOUNDARY_EVERY = 3
@@ -74,15 +75,16 @@ def dedup_lines(docs: DataFrame, every: int = BOUNDARY_EVERY, doc_id: str = "doc
         "_flagged_id", F.filter("_flagged", lambda c: ~F.array_contains(
             F.coalesce("_firsts", F.array().cast("array<int>")), c["start"])).alias("_removed"))
     gone = F.flatten(F.transform("_removed", lambda c: F.sequence(c["start"], c["start"] + c["size"] - 1)))
-    out = docs.join(removed, F.col(doc_id).eqNullSafe(F.col("_flagged_id")), "left").withColumn("_lines", F.split(text, "\n", -1))
-    out = out.withColumn("_gone", F.when(F.size("_removed") > 0, F.map_from_arrays(
-        gone, F.transform(gone, lambda i: F.lit(True)))))
+    plain, names = shielded(docs)
+    own = names[text]
+    out = plain.join(removed, F.col(names[doc_id]).eqNullSafe(F.col("_flagged_id")), "left").withColumn(
+        "_lines", F.split(own, "\n", -1))
+    out = out.withColumn("_gone", F.when(F.size("_removed") > 0, gone))
     kept = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(
-        F.filter("_lines", lambda line, i: ~F.map_contains_key("_gone", i)))
+        F.filter("_lines", lambda line, i: ~F.array_contains("_gone", i)))
     out = out.withColumn("_kept", kept)
-    n_lines = F.coalesce(F.size("_lines"), F.lit(0))
-    n_lines = F.when(F.col(text).isNull(), F.lit(0)).otherwise(n_lines).cast("long")
-    left = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size("_kept")).cast("long")
+    count = lambda column: F.when(F.col(own).isNull(), F.lit(0)).otherwise(F.size(column)).cast("long")
+    passed = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     return out.select(
-        *[F.array_join("_kept", "\n").alias(c) if c == text else F.col(c) for c in docs.columns],
-        n_lines.alias("n_lines"), (n_lines - left).alias("n_removed"))
+        *[(F.array_join("_kept", "\n") if c == text else F.col(names[c])).alias(c) for c in passed],
+        count("_lines").alias("n_lines"), (count("_lines") - count("_kept")).alias("n_removed"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from packetloom.llm.support import hex_number, word_count
+from packetloom.llm.support import hex_number, shielded, word_count
 from packetloom.operators.telemetry import number_rows
 from packetloom.session import SMALL_TABLE_ROWS, cut_lineage
 
@@ -84,17 +84,17 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
     Rows of one doc_id, source and size are told apart by their number.
     """
-    same = ["_doc_id", "_source", "_size"]
-    options = {"doc_id": "doc_id", "text": "text", "source": "source"} | options
-    left = docs.withColumns({"_doc_id": F.col(options["doc_id"]), "_source": F.col(options["source"]),
-                             "_size": word_count(F.col(options["text"]))})
-    left = left.withColumn("_nth", F.row_number().over(W.partitionBy(*same).orderBy(options["text"])))
-    plan = mixing_plan(docs, **options).select(
-        F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
-    plan = plan.withColumn("_nth", F.row_number().over(W.partitionBy(*same).orderBy(F.desc("copies"))))
-    plan = plan.select(*[F.col(c).alias(f"{c}_p") for c in [*same, "_nth"]], F.col("copies").alias("_copies"))
+    same = ["doc_id", "source", "size"]
+    columns = {"doc_id": "doc_id", "text": "text", "source": "source"}
+    columns |= {k: options[k] for k in columns if k in options}
+    plain, names = shielded(docs)
+    doc_id, text, source = (F.col(names[columns[k]]) for k in ("doc_id", "text", "source"))
+    left = plain.withColumns({"doc_id": doc_id, "source": source, "size": word_count(text)})
+    left = left.withColumn("nth", F.row_number().over(W.partitionBy(*same).orderBy(text)))
+    plan = mixing_plan(docs, **options).withColumn("nth", F.row_number().over(W.partitionBy(*same).orderBy(F.desc("copies"))))
+    plan = plan.select(*[F.col(c).alias(f"plan_{c}") for c in [*same, "nth"]], "copies").filter("copies > 0")
     match = F.lit(True)
-    for c in [*same, "_nth"]:
-        match = match & F.col(c).eqNullSafe(F.col(f"{c}_p"))
-    joined = left.join(plan, match).filter("_copies > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    for c in [*same, "nth"]:
+        match = match & F.col(c).eqNullSafe(F.col(f"plan_{c}"))
+    copied = left.join(plan, match).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return copied.select(*names.values()).toDF(*docs.columns)

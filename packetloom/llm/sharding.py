@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.support import hex_number
+from packetloom.llm.support import hex_number, shielded
 from packetloom.session import cut_lineage, scratch_path
 
 SHARD_BYTES = 64 << 20
@@ -72,7 +72,8 @@ def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, doc_id: str = "doc_
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Write the documents as Parquet, one folder per shard; ids must be distinct here."""
-    shards = assign_shards(docs, limit, doc_id, text).select(F.col("doc_id").alias("_id"), "shard")
-    out = docs.join(shards, F.col(doc_id).eqNullSafe(F.col("_id"))).drop("_id")
-    out.repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write the documents as Parquet, one folder ``_shard=...`` per shard; ids must be distinct here."""
+    plain, names = shielded(docs)
+    shards = assign_shards(docs, limit, doc_id, text).select(F.col("doc_id").alias("_id"), F.col("shard").alias("_shard"))
+    out = plain.join(shards, F.col(names[doc_id]).eqNullSafe(F.col("_id"))).drop("_id").toDF(*docs.columns, "_shard")
+    out.repartition("_shard").write.partitionBy("_shard").parquet(path)
