@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from packetloom import fixed_values as fv
 from packetloom.functions.timestamps import epoch_micros, from_epoch_micros
+from packetloom.operators.telemetry import number_rows
+from packetloom.session import cut_lineage
 
 FLOW = ("src", "sport", "dst", "dport", "proto")
 _TCP_UDP = (6, 17)
@@ -111,21 +113,48 @@ def _replay_udf(packets: int, ttl: int):
     return replay
 
 
+def _chain(width: int, ttl: int):
+    """Task: what enters each slice, from the summaries in order of flow and slice."""
+    def run(batches):
+        flow, left, expiry, scan = None, 0, 0, None
+        for batch in batches:
+            keys = list(zip(*[c.to_pylist() for c in batch.columns[:width]]))
+            entering = []
+            for key, s in zip(keys, batch.select(batch.schema.names[width + 1:]).to_pylist()):
+                if key != flow:
+                    flow, left, expiry, scan = key, 0, 0, None
+                # Number of packets of this slice that the entering cache still serves.
+                alive = expiry > s["first"]
+                at = min(left, s["served"][min(expiry - s["first"], ttl) - 1]) if alive else 0
+                entering.append((left if alive else 0, expiry, scan))
+                if at >= s["n"]:
+                    left -= s["n"]
+                else:
+                    left, expiry, scan = s["left"][at], s["expiry"][at], s["scan"][at]
+            columns = zip(*entering) if entering else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:width + 1], *[pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64()))]],
+                names=[*batch.schema.names[:width + 1], "left", "expiry", "scan"])
+    return run
+
+
 def _sliced(packets: DataFrame, keys: tuple[str, ...], slice_packets: int) -> DataFrame:
-    """(keys, _slice, _cut, micros, id): time slices of busy flows, others whole.
+    """(keys, _slice, _cut, micros, id): slices of busy flows, others whole.
 
-    A flow with more than ``slice_packets`` packets is cut into slices of
-    equal time that hold about that many on average. There is at most one
-    size row per ``slice_packets`` packets, so that side of the join is small.
+    A flow with more than ``slice_packets`` packets is cut by the rank of its
+    packets, so that no slice is larger, however the packets lie in time.
     """
     rows = packets.select(*keys, epoch_micros(F.col("ts")).alias("micros"), "id")
-    span = F.max("micros") - F.min("micros") + 1
-    width = F.greatest(F.lit(1).cast("bigint"), F.ceil(span * F.lit(float(slice_packets)) / F.count("*")))
-    busy = rows.groupBy(*keys).agg(F.count("*").alias("_n"), width.alias("_width")).filter(F.col("_n") > slice_packets) \
-        .select(*[F.col(k).alias(f"_key_{k}") for k in keys], "_width")
-    return rows.join(busy, _same(keys), "left").select(
-        *keys, F.coalesce(F.floor(F.col("micros") / F.col("_width")), F.lit(0)).cast("long").alias("_slice"),
-        F.col("_width").isNotNull().alias("_cut"), "micros", "id")
+    busy = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > slice_packets)
+    busy = cut_lineage(busy.select(*[F.col(k).alias(f"_key_{k}") for k in keys]))
+    whole = rows.withColumns({"_slice": F.lit(0).cast("long"), "_cut": F.lit(False)})
+    if not busy.take(1):
+        return whole
+    numbered = number_rows(rows.join(busy, _same(keys), "left_semi"), "_n", *keys, "micros", "id")
+    first = numbered.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(F.min("_n").alias("_first"))
+    cut = numbered.join(first, _same(keys)).withColumns(
+        {"_slice": F.floor((F.col("_n") - F.col("_first")) / slice_packets), "_cut": F.lit(True)})
+    return whole.join(busy, _same(keys), "left_anti").unionByName(cut.select(*whole.columns))
 
 
 def _same(keys: tuple[str, ...]) -> Column:
@@ -145,26 +174,10 @@ def flow_rescan(packets: DataFrame, keys: tuple[str, ...] = FLOW, slice_packets:
         .agg(F.array_sort(F.collect_list(F.struct("micros", "id"))).alias("_packets"), F.max("_cut").alias("_cut"))
     # A flow in one piece starts with an empty cache; only cut flows are chained.
     summaries = slices.filter("_cut").select(*keys, "_slice", _summary_udf(rescan_packets, ttl)("_packets").alias("_s")) \
-        .select(*keys, F.struct("_slice", "_s.*").alias("_s"))
-
-    def chain(state, s):
-        # Number of packets of this slice that the entering cache still serves.
-        alive = state["expiry"] > s["first"]
-        until = F.get(s["served"], (F.least(state["expiry"] - s["first"], F.lit(ttl)) - 1).cast("int"))
-        at = F.when(alive, F.least(state["left"], until)).otherwise(0)
-        passes = at >= s["n"]
-        return F.struct(
-            F.when(passes, state["left"] - s["n"]).otherwise(F.get(s["left"], at)).alias("left"),
-            F.when(passes, state["expiry"]).otherwise(F.get(s["expiry"], at)).alias("expiry"),
-            F.when(passes, state["scan"]).otherwise(F.get(s["scan"], at)).alias("scan"),
-            F.array_append(state["entries"], F.struct(
-                s["_slice"].alias("_slice"), F.when(alive, state["left"]).otherwise(0).alias("left"),
-                state["expiry"].alias("expiry"), state["scan"].alias("scan"))).alias("entries"))
-
-    start = F.expr("named_struct('left', 0, 'expiry', 0L, 'scan', cast(null as bigint), 'entries', "
-                   "cast(array() as array<struct<_slice: bigint, left: int, expiry: bigint, scan: bigint>>))")
-    entries = summaries.groupBy(*keys).agg(F.array_sort(F.collect_list("_s")).alias("_chain")) \
-        .select(*keys, F.inline(F.aggregate("_chain", start, chain, lambda s: s["entries"])))
+        .select(*keys, "_slice", "_s.*")
+    kinds = ", ".join(f"{k} {summaries.schema[k].dataType.simpleString()}" for k in keys)
+    entries = summaries.repartition(*keys).sortWithinPartitions(*keys, "_slice").mapInArrow(
+        _chain(len(keys), ttl), f"{kinds}, _slice bigint, left int, expiry bigint, scan bigint")
     entries = entries.select(*[F.col(k).alias(f"_key_{k}") for k in (*keys, "_slice")], "left", "expiry", "scan")
     entered = slices.join(entries, _same((*keys, "_slice")), "left") \
         .withColumns({"left": F.coalesce("left", F.lit(0)), "expiry": F.coalesce("expiry", F.lit(0))})

@@ -14,6 +14,8 @@ steps are chained per connection, and each run is then marked on its own.
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -109,6 +111,22 @@ def _mark_udf():
     return mark
 
 
+def _chain(batches):
+    """Task: body bytes missing before each run, from the summaries in order of connection and run."""
+    connection, missing = None, 0
+    for batch in batches:
+        entering = []
+        for row in batch.to_pylist():
+            key = tuple(row[k] for k in KEY)
+            if key != connection:
+                connection, missing = key, 0
+            entering.append(missing)
+            step = bisect.bisect_left(row["limits"], missing)
+            missing = missing - row["total"] if missing > row["total"] else row["leaving"][step] if step < len(row["leaving"]) else 0
+        yield pa.RecordBatch.from_arrays([batch.column(n) for n in (*KEY, "_run")] + [pa.array(entering, pa.int64())],
+                                         names=[*KEY, "_run", "_entering"])
+
+
 def mark_chunks(chunks: DataFrame, run: int = RUN) -> DataFrame:
     """(key, seq, size, message, live, last) for chunks (key, seq, data).
 
@@ -118,18 +136,9 @@ def mark_chunks(chunks: DataFrame, run: int = RUN) -> DataFrame:
     facts = chunks.select(*KEY, "seq", F.octet_length("data").cast("bigint").alias("size"), missing_after_header(F.col("data")).alias("missing"))
     runs = facts.groupBy(*KEY, F.floor(F.col("seq") / F.lit(run)).alias("_run")) \
         .agg(F.array_sort(F.collect_list(F.struct("seq", "size", "missing"))).alias("_chunks"))
-    summaries = runs.select(*KEY, F.struct("_run", _summary_udf()("_chunks").alias("s")).alias("_s"))
-
-    def chain(state: Column, item: Column) -> Column:
-        s = item["s"]
-        step = F.size(F.filter(s["limits"], lambda limit: limit < state["missing"]))
-        after = F.when(state["missing"] > s["total"], state["missing"] - s["total"]).otherwise(F.coalesce(F.get(s["leaving"], step), F.lit(0)))
-        entry = F.struct(item["_run"].alias("_run"), state["missing"].alias("_entering"))
-        return F.struct(after.alias("missing"), F.array_append(state["entries"], entry).alias("entries"))
-
-    start = F.expr("named_struct('missing', 0L, 'entries', cast(array() as array<struct<_run: bigint, _entering: bigint>>))")
-    entries = summaries.groupBy(*KEY).agg(F.array_sort(F.collect_list("_s")).alias("_chain")) \
-        .select(*KEY, F.inline(F.aggregate("_chain", start, chain, lambda s: s["entries"])))
+    summaries = runs.select(*KEY, "_run", _summary_udf()("_chunks").alias("s")).select(*KEY, "_run", "s.*")
+    entries = summaries.repartition(*KEY).sortWithinPartitions(*KEY, "_run").mapInArrow(
+        _chain, "conn_id bigint, direction string, _run bigint, _entering bigint")
     # A few bytes per chunk, read several times below.
     marked = cut_lineage(runs.join(entries, [*KEY, "_run"]).withColumn("_marks", _mark_udf()("_chunks", "_entering")))
     # One narrow row per run: messages completed in the runs before it.

@@ -164,37 +164,22 @@ def p95_latency(latencies: DataFrame) -> DataFrame:
 SLICE_ROWS = 100_000
 
 
-def _slice_width(latencies: DataFrame) -> int:
-    """Seconds in which the busiest service has about ``SLICE_ROWS`` rows."""
-    stats = latencies.groupBy("service").agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b")) \
-        .agg(F.max("n").alias("n"), F.min("a").alias("a"), F.max("b").alias("b")).first()
-    if not stats["n"]:
-        return 1
-    span = int((stats["b"] - stats["a"]).total_seconds()) + 1
-    return max(1, span * SLICE_ROWS // stats["n"])
-
-
-def rolling_p95(latencies: DataFrame, samples: int = fv.LATENCY_SAMPLES, slice_seconds: int | None = None) -> DataFrame:
+def rolling_p95(latencies: DataFrame, samples: int = fv.LATENCY_SAMPLES, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(service, id, ts, p95) of the last ``samples`` latencies at each row.
 
-    A service may hold most rows, so it is cut into time slices; each slice
-    also receives the ``samples - 1`` rows before it. The width follows the
-    rate of the busiest service unless it is given.
+    All rows are numbered by service and time and cut into slices of equal
+    numbers, so neither a busy service nor a burst makes a large slice. The
+    last ``samples - 1`` rows of a slice also go to the next one.
     """
-    slice_seconds = slice_seconds or _slice_width(latencies)
-    rows = latencies.select("service", "id", "ts", F.bround("ms", 1).alias("ms"), bucket_start(F.col("ts"), slice_seconds).alias("_slice"))
-    back = W.partitionBy("service", "_slice").orderBy(F.desc("ts"), F.desc("id"))
-    tails = rows.withColumn("_back", F.row_number().over(back)).filter(F.col("_back") < samples)
-    # Tails have fewer than `samples` rows per slice: a small table per service.
-    before = W.partitionBy("service").orderBy("_slice", "ts", "id").rowsBetween(-(samples - 1), -1)
-    newest = W.partitionBy("service", "_slice").orderBy("ts", "id")
-    halo = tails.withColumn("_halo", F.collect_list(F.struct("id", "ts", "ms")).over(before)) \
-        .withColumn("_nth", F.row_number().over(newest)).filter("_nth = 1") \
-        .select("service", "_slice", F.inline("_halo")).withColumn("_own", F.lit(False))
-    all_rows = rows.withColumn("_own", F.lit(True)).unionByName(halo)
-    frame = newest.rowsBetween(-(samples - 1), 0)
-    window = F.array_sort(F.collect_list("ms").over(frame))
-    return all_rows.withColumn("_w", window).filter("_own").select(
+    slice_rows = max(slice_rows, samples)
+    rows = latencies.select("service", "id", "ts", F.bround("ms", 1).alias("ms"))
+    numbered = number_rows(rows, "_n", "service", "ts", "id")
+    own = F.floor((F.col("_n") - 1) / slice_rows)
+    halo = (F.col("_n") - 1) % slice_rows >= slice_rows - (samples - 1)
+    entry = lambda at, mine: F.struct(at.alias("_slice"), F.lit(mine).alias("_own"))
+    dealt = numbered.select("*", F.inline(F.when(halo, F.array(entry(own, True), entry(own + 1, False))).otherwise(F.array(entry(own, True)))))
+    frame = W.partitionBy("service", "_slice").orderBy("_n").rowsBetween(-(samples - 1), 0)
+    return dealt.withColumn("_w", F.array_sort(F.collect_list("ms").over(frame))).filter("_own").select(
         "service", "id", "ts", F.element_at("_w", _p95_rank(F.size("_w")).cast("int")).alias("p95"))
 
 
@@ -239,7 +224,7 @@ def _latency_at(latencies: DataFrame, first: int, newest: int, seconds: int) ->
     rows = latencies.withColumn("bucket", F.greatest(bucket, F.lit(first - seconds)))
     older = latest(rows.filter(F.col("bucket") < first), fv.LATENCY_SAMPLES)
     recent = rows.filter(F.col("bucket") >= first).unionByName(older)
-    every = rolling_p95(recent.withColumn("service", F.lit("all")), slice_seconds=seconds)
+    every = rolling_p95(recent.withColumn("service", F.lit("all")))
     return every.groupBy(F.greatest(bucket, F.lit(first - seconds)).alias("bucket")) \
         .agg(F.max_by("p95", F.struct("ts", "id")).alias("latency"))
 

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from packetloom.operators import telemetry as tm
-from packetloom.operators.flows import flow_rescan
+from packetloom.operators.flows import _sliced, flow_rescan
 from packetloom.operators.reassembly import reassemble
 
 START = datetime(2024, 1, 1)
@@ -36,7 +36,11 @@ def test_flow_rescan(spark, slice_packets):
             at += rng.expovariate(1 / (gap or rng.choice([0.01, 0.2, 3, 15])))
             rows.append((flow, number, START + timedelta(microseconds=int(at * 1e6))))
             number += 1
+    # One early packet, and then a burst.
+    rows += [("burst", number + i, START + timedelta(seconds=0 if i == 0 else 3600, microseconds=i)) for i in range(500)]
     frame = spark.createDataFrame(rows, "k string, id long, ts timestamp_ntz")
+    sizes = _sliced(frame, ("k",), slice_packets).groupBy("k", "_slice").count().agg({"count": "max"}).first()[0]
+    assert sizes <= slice_packets
     found = {r["id"]: (r["rescan"], r["scan_id"]) for r in flow_rescan(frame, ("k",), slice_packets).collect()}
     wanted = {}
     for flow in {r[0] for r in rows}:
@@ -87,12 +91,12 @@ def test_reassembly(spark, run, limit):
     assert {k: sorted(v, key=lambda m: m[0]) for k, v in found.items()} == wanted
 
 
-@pytest.mark.parametrize("slice_seconds", [5, 3600])
-def test_rolling_p95(spark, slice_seconds):
+@pytest.mark.parametrize("slice_rows", [1, 50, 10_000])
+def test_rolling_p95(spark, slice_rows):
     rng = random.Random(5)
     rows = [(rng.choice(["a", "a", "a", "b"]), i, START + timedelta(seconds=rng.randint(0, 60)), rng.random() * 100) for i in range(500)]
     frame = spark.createDataFrame(rows, "service string, id long, ts timestamp_ntz, ms double")
-    found = {r["id"]: r["p95"] for r in tm.rolling_p95(frame, 20, slice_seconds).collect()}
+    found = {r["id"]: r["p95"] for r in tm.rolling_p95(frame, 20, slice_rows).collect()}
     recent = {"a": deque(maxlen=20), "b": deque(maxlen=20)}
     for service, i, _, ms in sorted(rows, key=lambda r: (r[2], r[1])):
         recent[service].append(round(ms, 1))
