@@ -24,54 +24,63 @@ the id and text columns are read.
 
 from __future__ import annotations
 
-from hashlib import blake2b
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.llm.recompression import window_cores
-from packetloom.llm.support import split_words, stored, word_hashes
+from packetloom.llm.support import WordTable, byte_digests, stored
 from packetloom.session import cut_lineage
 
 WINDOW = 20
 GROUP_BYTES = 8 << 20
+_WORDS_AT_ONCE = 1 << 16
 _CORE, _COPY, _FIRST = 0, 1, 2
 
 
 class _Group:
-    """Words and windows of the documents of one group that are not later copies."""
+    """Words and windows of the documents of one group."""
 
-    def __init__(self, table: pa.Table, window: int, copies: set) -> None:
+    def __init__(self, table: pa.Table, window: int) -> None:
         self.ids = table.column("doc_id").to_pylist()
-        self.words = [split_words(t) for t in table.column("text").to_pylist()]
-        self.counts = np.array([len(w) for w in self.words], np.int64)
-        self.is_copy = np.array([i is not None and i in copies for i in self.ids], bool)
-        used = np.nonzero(~self.is_copy & (self.counts > 0))[0]
-        counts = self.counts[used]
-        self.starts = np.cumsum(counts) - counts
-        self.used = used
-        hashes = word_hashes([w for i in used for w in self.words[i]])
-        self.window, self.name, self.where = window_cores(hashes, self.starts, window)
-
-    def flagged(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Document (place in the group) and start of each window with a shared core."""
-        at = self.window[np.isin(self.name.view(np.int64), shared)]
-        nth = np.searchsorted(self.starts, at, side="right") - 1
-        return self.used[nth], at - self.starts[nth]
-
-    def digests(self, document: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
-        out = []
-        for i in np.unique(document):
-            words = self.words[i]
-            ends = np.cumsum([len(w) + 1 for w in words])
-            view = memoryview(b" ".join(words))
-            own = start[document == i]
-            first = (ends[own] - [len(words[s]) + 1 for s in own]).tolist()
-            last = (ends[own + window - 1] - 1).tolist()
-            out += [blake2b(view[a:b], digest_size=16).digest() for a, b in zip(first, last, strict=True)]
-        return np.frombuffer(b"".join(out), "<i8").reshape(-1, 2)
+        self.words = WordTable(table.column("text"))
+        self.first, self.size = self.words.first, window
+
+    def is_copy(self, copies: set) -> np.ndarray:
+        return np.array([i is not None and i in copies for i in self.ids], bool)
+
+    def cores(self, copies: set) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of windows with one core: first window, its name, its place; and no windows of later copies."""
+        window, name, where = self.windows()
+        if copies:
+            used = ~self.is_copy(copies)[self.document(window)]
+            window, name, where = window[used], name[used], where[used]
+        self.window = window
+        new = np.ones(len(window), bool)
+        new[1:] = (name[1:] != name[:-1]) | (where[1:] != where[:-1])
+        self.run = np.nonzero(new)[0]
+        return self.run, name[self.run], where[self.run]
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``window_cores`` of all documents, some at a time so that the arrays stay in the processor's cache."""
+        hashes, starts = self.words.hashes(), np.unique(self.first[:-1])
+        cuts = np.unique(np.searchsorted(starts, np.arange(0, len(hashes), _WORDS_AT_ONCE)))
+        found = []
+        for a, b in zip(cuts, np.append(cuts[1:], len(starts)), strict=True):
+            low, high = starts[a], starts[b] if b < len(starts) else len(hashes)
+            window, name, where = window_cores(hashes[low:high], starts[a:b] - low, self.size)
+            found.append((window + low, name, where + (low << 5)))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else window_cores(hashes, starts, self.size)
+
+    def document(self, word: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, word, side="right") - 1
+
+    def flagged(self, shared: np.ndarray, copies: set) -> np.ndarray:
+        """First words of the windows with a shared core."""
+        run, name, _ = self.cores(copies)
+        lengths = np.diff(np.append(run, len(self.window)))
+        return self.window[np.repeat(np.isin(name.view(np.int64), shared), lengths)]
 
 
 def _columns(side: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,52 +106,58 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, group_bytes: int = GRO
         group, F.lit(_COPY).alias("kind"), F.col("doc_id").alias("a"), F.lit(0).cast("long").alias("b"))
 
     def name_cores(key: tuple, table: pa.Table, side: pa.Table) -> pa.Table:
-        found = _Group(table, window, set(side.column("a").to_pylist()))
-        places = np.unique(np.stack([found.name, found.where.astype(np.uint64)]), axis=1)
-        names, seen = np.unique(places[0], return_counts=True)
-        return pa.table({"g": pa.array(np.full(len(names), key[0].as_py()), pa.int64()),
-                         "name": names.view(np.int64), "n": np.minimum(seen, 2).astype(np.int32)})
+        _, name, where = _Group(table, window).cores(set(side.column("a").to_pylist()))
+        order = np.argsort(name)
+        name, where = name[order].view(np.int64), where[order]
+        new = np.nonzero(np.append(True, name[1:] != name[:-1])[:len(name)])[0]
+        places = np.ones(len(new), np.int32)
+        if len(new):
+            places += np.minimum.reduceat(where, new) != np.maximum.reduceat(where, new)
+        return pa.table({"g": pa.array(np.full(len(new), key[0].as_py()), pa.int64()), "name": name[new], "n": places})
 
     def digest_windows(key: tuple, table: pa.Table, side: pa.Table) -> pa.Table:
         kind, a, _ = _columns(side)
-        found = _Group(table, window, set(a[kind == _COPY].tolist()))
-        document, start = found.flagged(a[kind == _CORE])
-        digests = found.digests(document, start, window)
-        return pa.table({"high": digests[:, 0], "low": digests[:, 1], "doc_id": _ids(found.ids, document), "start": start})
+        group = _Group(table, window)
+        at = group.flagged(a[kind == _CORE], set(a[kind == _COPY].tolist()))
+        view, starts, ends = group.words.joined()
+        digests = byte_digests(view, starts[at], ends[at + window - 1])
+        document = group.document(at)
+        return pa.table({"high": digests[:, 0], "low": digests[:, 1], "doc_id": _ids(group.ids, document),
+                         "start": at - group.first[document]})
 
     def cut(key: tuple, table: pa.Table, side: pa.Table) -> pa.Table:
         kind, a, b = _columns(side)
         known = side.column("a").is_valid().to_numpy()
-        found = _Group(table, window, set(a[kind == _COPY].tolist()))
-        document, start = found.flagged(a[kind == _CORE])
-        firsts: dict = {}
-        for i, s, ok in zip(a[kind == _FIRST].tolist(), b[kind == _FIRST].tolist(), known[kind == _FIRST].tolist(), strict=True):
-            firsts.setdefault(int(i) if ok else None, set()).add(s)
-        starts: dict[int, list[int]] = {}
-        for i, s in zip(document.tolist(), start.tolist(), strict=True):
-            if s not in firsts.get(found.ids[i], ()):
-                starts.setdefault(i, []).append(s)
-        texts, removed, spans = [], [], []
-        for i, words in enumerate(found.words):
-            gone = np.zeros(len(words) + 1, np.int64)
-            if found.is_copy[i]:
-                gone[:-1] = len(words) >= window
-            elif i in starts:
-                np.add.at(gone, starts[i], 1)
-                np.add.at(gone, np.array(starts[i]) + window, -1)
-                gone = np.cumsum(gone)
-            gone = gone[:-1] > 0
-            edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-            opened, closed = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
-            kept, at = [], 0
-            for o, c in zip(opened.tolist(), closed.tolist(), strict=True):
-                kept += words[at:o]
-                at = c
-            texts.append(b" ".join(kept + words[at:]).decode())
-            removed.append(int(gone.sum()))
-            spans.append([{"first": o, "words": c - o} for o, c in zip(opened.tolist(), closed.tolist(), strict=True)])
-        return pa.table({"doc_id": _ids(found.ids, np.arange(len(texts))), "n_words": found.counts,
-                         "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(texts, pa.string()),
+        group = _Group(table, window)
+        copies = set(a[kind == _COPY].tolist())
+        at = group.flagged(a[kind == _CORE], copies)
+        # Places of the first windows, in every row of their document.
+        rows: dict = {}
+        for i, key_ in enumerate(group.ids):
+            rows.setdefault(key_, []).append(i)
+        first = kind == _FIRST
+        stay = [group.first[r] + s for i, s, ok in zip(a[first].tolist(), b[first].tolist(), known[first].tolist(), strict=True)
+                for r in rows[int(i) if ok else None]]
+        at = np.setdiff1d(at, np.array(stay, np.int64), assume_unique=False)
+        count = len(group.words.starts)
+        cover = np.bincount(at, minlength=count + 1)[:count + 1] - np.bincount(at + window, minlength=count + 1)[:count + 1]
+        gone = np.cumsum(cover[:count]) > 0
+        sizes = np.diff(group.first)
+        gone |= np.repeat(group.is_copy(copies) & (sizes >= window), sizes)
+        removed = np.diff(np.append(0, np.cumsum(gone))[group.first])
+        edge = np.ones(count + 1, bool)
+        edge[1:-1] = gone[1:] != gone[:-1]
+        edge[group.first] = True
+        edges = np.nonzero(edge)[0]  # stretches of words that stay or go together, within a document
+        view, starts, ends = group.words.joined()
+        kept, spans = [[] for _ in group.ids], [[] for _ in group.ids]
+        for o, c, document in zip(edges[:-1].tolist(), edges[1:].tolist(), group.document(edges[:-1]).tolist(), strict=True):
+            if gone[o]:
+                spans[document].append({"first": o - int(group.first[document]), "words": c - o})
+            else:
+                kept[document].append(view[starts[o]:ends[c - 1]])
+        return pa.table({"doc_id": _ids(group.ids, np.arange(len(kept))), "n_words": sizes, "n_removed": removed,
+                         "kept_text": pa.array([b" ".join(k) for k in kept], pa.binary()).cast(pa.string()),
                          "spans": pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())])))})
 
     names = dealt.groupBy("g").cogroup(copies.groupBy("g")).applyInArrow(name_cores, "g long, name long, n int")
