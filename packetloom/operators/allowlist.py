@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.functions.strings import glob_to_regex, strip
-from packetloom.session import rows_if_small
+from packetloom.operators.telemetry import number_rows
+from packetloom.session import cut_lineage, rows_if_small
 
 _GLOB = r"[*?\[]"
 # A glob that is "*." followed by plain text is answered by host suffixes.
@@ -39,7 +40,7 @@ def host_allowed(host: Column, patterns: list[str]) -> Column:
     return F.coalesce((low != "") & test, F.lit(False))
 
 
-def _allowed_by_join(df: DataFrame, host: str, hosts: DataFrame) -> DataFrame:
+def _allowed_by_join(df: DataFrame, host: str, hosts: DataFrame, literals: int = LITERAL_LIMIT) -> DataFrame:
     """Same answer for a list of any size.
 
     Events are first reduced to distinct hosts, so a popular host costs one
@@ -53,10 +54,12 @@ def _allowed_by_join(df: DataFrame, host: str, hosts: DataFrame) -> DataFrame:
     by_suffix = names.filter(F.contains("_h", F.lit("."))).select("_h", F.explode(dot_suffixes(F.col("_h"))).alias("_s")) \
         .join(suffix, "_s", "left_semi").select("_h")
     odd = listed.filter(F.rlike("_p", F.lit(_GLOB)) & ~F.rlike("_p", F.lit(_SUFFIX_GLOB)))
-    rest = rows_if_small(odd)
-    if rest is None:
-        raise ValueError("too many free-form globs; use plain hosts or *.suffix entries")
-    by_glob = names.filter(host_allowed(F.col("_h"), [r["_p"] for r in rest])) if rest else names.limit(0)
+    numbered = number_rows(odd, "_n", "_p")
+    names = cut_lineage(names)
+    by_glob = names.limit(0)
+    for start in range(0, numbered.count(), literals):
+        block = numbered.filter((F.col("_n") > start) & (F.col("_n") <= start + literals)).collect()
+        by_glob = by_glob.union(names.filter(host_allowed(F.col("_h"), [r["_p"] for r in block])))
     allowed = exact.union(by_suffix).union(by_glob).distinct().withColumn("_ok", F.lit(True))
     return df.withColumn("_h", F.lower(strip(F.col(host)))).join(allowed, "_h", "left") \
         .withColumn("allowed", F.coalesce("_ok", F.lit(False))).drop("_h", "_ok")

@@ -13,7 +13,7 @@ from packetloom import fixed_values as fv
 from packetloom.functions.strings import strip
 from packetloom.operators.telemetry import number_rows
 from packetloom.schemas import RULE_TABLE
-from packetloom.session import rows_if_small
+from packetloom.session import SMALL_TABLE_ROWS, rows_if_small
 
 _EQUAL = {"ip_src": F.lower, "ip_dst": F.lower, "port": lambda c: c}
 _COLUMN = {"ip_src": "source_ip", "ip_dst": "destination_ip", "port": "port",
@@ -64,28 +64,84 @@ def _grams(text: pa.Array) -> pa.Array:
     return pa.array([_grams_of(value.as_py()) for value in text], pa.list_(pa.string()))
 
 
+def _rarest(filed: DataFrame) -> DataFrame:
+    """(_v, _rank, _gram): each rule under the one of its longest grams that the fewest rules share."""
+    long = F.least(F.lit(_ANCHOR), F.length("_v"))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_v") - _ANCHOR + 1))
+    grams = F.array_distinct(F.transform(starts, lambda i: F.substring("_v", i, long)))
+    each = filed.select("_v", "_rank", F.explode(grams).alias("_gram"))
+    shared = each.groupBy("_gram").agg(F.count("*").alias("_n"))
+    best = F.min_by(F.col("_gram"), F.struct("_n", "_gram")).alias("_gram")
+    return each.join(shared, "_gram").groupBy("_v", "_rank").agg(best)
+
+
+def _automaton(rules: list[Row]) -> Column:
+    """Number of the winning rule in ``rules``, which come in order; -1 without one.
+
+    Addresses and ports are looked up, domains and keywords found by one pass
+    over a text for all of them.
+    """
+    import ahocorasick
+    equal: dict[str, dict[str, int]] = {kind: {} for kind in _EQUAL}
+    parts: dict[str, dict[str, int]] = {kind: {} for kind in _SUBSTRING}
+    for number, rule in enumerate(rules):
+        (equal if rule["match_type"] in equal else parts)[rule["match_type"]].setdefault(rule["_v"], number)
+
+    def build(values: dict[str, int]):
+        machine = ahocorasick.Automaton()
+        for value, number in values.items():
+            if value:
+                machine.add_word(value, number)
+        machine.make_automaton()
+        return machine
+
+    none = len(rules)
+
+    @F.arrow_udf("int")
+    def winner(src: pa.Array, dst: pa.Array, port: pa.Array, text: pa.Array) -> pa.Array:
+        machines = {kind: build(values) for kind, values in parts.items()}
+        out = []
+        for s, d, p, t in zip(src.to_pylist(), dst.to_pylist(), port.to_pylist(), text.to_pylist()):
+            best = min(equal["ip_src"].get(s, none), equal["ip_dst"].get(d, none), equal["port"].get(p, none))
+            for kind, value in (("domain", d), ("keyword", t)):
+                if value is not None:
+                    best = min(best, parts[kind].get("", none))
+                    if len(machines[kind]):
+                        best = min(best, min((n for _, n in machines[kind].iter(value)), default=none))
+            out.append(best if best < none else -1)
+        return pa.array(out, pa.int32())
+
+    return winner(F.lower("source_ip"), F.lower("destination_ip"), F.col("port"), F.lower("text_content"))
+
+
 def substring_matches(df: DataFrame, key: str, ranked: DataFrame, kind: str) -> DataFrame:
     """(key, rank) of the best substring rule, for rule tables of any size.
 
-    Every rule is filed under its first characters; an event meets only the
-    rules whose anchor occurs in its text, and the full value is verified
-    after the join, so the result is exact.
+    Every rule is filed under its rarest characters; a text meets only the
+    rules whose anchor occurs in it, and the full value is verified after the
+    join, so the result is exact. Equal texts (such as destinations) are
+    matched once.
     """
-    filed = ranked.filter(F.col("match_type") == kind).select("_v", "_rank", F.substring("_v", 1, _ANCHOR).alias("_gram"))
+    filed = _rarest(ranked.filter(F.col("match_type") == kind).groupBy("_v").agg(F.min("_rank").alias("_rank")))
     text = df.select(key, F.lower(_COLUMN[kind]).alias("_text"))
-    pairs = text.select(key, F.explode(_grams("_text")).alias("_gram")).join(filed, "_gram").drop("_gram")
-    return (pairs.join(text, key).filter(F.contains("_text", F.col("_v")))
-            .groupBy(key).agg(F.min("_rank").alias(f"_rule_{kind}")))
+    once = text.filter("_text IS NOT NULL").select("_text", F.md5("_text").alias("_hash")).dropDuplicates(["_hash"])
+    pairs = once.select("_hash", F.explode(_grams("_text")).alias("_gram")).join(filed, "_gram").select("_hash", "_v", "_rank").distinct()
+    found = pairs.join(once, "_hash").filter(F.contains("_text", F.col("_v"))).groupBy("_hash").agg(
+        F.min("_rank").alias(f"_rule_{kind}"))
+    return text.select(key, F.md5("_text").alias("_hash")).join(found, "_hash").drop("_hash")
 
 
-def match_rules(df: DataFrame, rules: DataFrame, key: str = "id", chain_limit: int = CHAIN_LIMIT) -> DataFrame:
+def match_rules(df: DataFrame, rules: DataFrame, key: str = "id", chain_limit: int = CHAIN_LIMIT,
+                table_limit: int | None = None) -> DataFrame:
     """Add ``rule``: the winning rule of each event, or null.
 
     A short rule list becomes one chain of literal tests in priority order:
-    no join, no shuffle, usable on streams. Longer lists are split by kind.
-    Address and port rules are equality joins against one row per compared
-    value, so they never multiply events; domain and keyword rules, which are
-    substring tests, are joined by anchors.
+    no join, no shuffle, usable on streams. A list that still fits a task
+    becomes lookups and one search automaton, which keep no state either.
+    Longer tables are split by kind: address and port rules are equality
+    joins against one row per compared value, so they never multiply events;
+    domain and keyword rules, which are substring tests, are joined by anchors.
+    Values are folded by the same functions everywhere.
     """
     known = rows_if_small(rules.select(*RULE_TABLE.fieldNames()).filter("enabled"))
     if known is not None:
@@ -97,6 +153,12 @@ def match_rules(df: DataFrame, rules: DataFrame, key: str = "id", chain_limit: i
             fields = {"ip_src": F.col("_src"), "ip_dst": F.col("_dst"), "domain": F.col("_dst"),
                       "port": F.col("port"), "keyword": F.col("_text")}
             return df.withColumn("rule", _chain(known, fields)).drop("_src", "_dst", "_text")
+        if table_limit is None or len(known) <= table_limit:
+            ordered = _ranked(rules).filter(F.col("match_type").isin(*_COLUMN)).orderBy("_rank.priority", "_rank.seq").collect()
+            numbered = df.sparkSession.createDataFrame([(i, r["_rank"]) for i, r in enumerate(ordered)], f"_number int, rule {_RANK_TYPE}")
+            return df.withColumn("_number", _automaton(ordered)).join(F.broadcast(numbered), "_number", "left").drop("_number")
+    if df.isStreaming:
+        raise ValueError(f"a stream takes up to {SMALL_TABLE_ROWS} rules; more need joins that keep state")
     ranked, found = _ranked(rules), []
     for kind, fold in _EQUAL.items():
         best = ranked.filter(F.col("match_type") == kind).groupBy("_v").agg(F.min("_rank").alias(f"_rule_{kind}"))

@@ -95,8 +95,26 @@ def test_changed_rules_match(spark):
 @pytest.mark.parametrize("value,text", [(" secret", "a secret"), (" secret", "secret"), (" Secret\t", "SECRET x")])
 def test_both_matchers_fold_values_alike(spark, value, text):
     rules = spark.createDataFrame([rule("a", value, 0)], RULE_TABLE)
-    found = [match_rules(events(spark, [text]), rules, chain_limit=n).first().rule for n in (0, 256)]
-    assert found[0] == found[1]
+    found = [match_rules(events(spark, [text]), rules, chain_limit=n, table_limit=m).first().rule for n, m in ((0, 0), (0, None), (256, None))]
+    assert found[0] == found[1] == found[2]
+
+
+@pytest.mark.parametrize("table_limit", [None, 0])
+def test_many_rules_with_one_start(spark, table_limit):
+    rules = spark.createDataFrame([rule(f"r{i}", f"www.site{i}.", i, "domain") for i in range(5000)], RULE_TABLE)
+    traffic = events(spark, ["x"] * 40).withColumn("destination_ip", F.concat(F.lit("www.site"), F.col("id") * 150, F.lit(".com")))
+    found = match_rules(traffic, rules, table_limit=table_limit).collect()
+    assert len(found) == 40
+    assert all((r.rule and r.rule.id) == (f"r{r.id * 150}" if r.id * 150 < 5000 else None) for r in found)
+
+
+def test_stream_with_many_rules(spark, tmp_path):
+    events(spark, ["word7 x", "nothing", "a word299"]).write.parquet(str(tmp_path / "in"))
+    rules = spark.createDataFrame([rule(f"r{i}", f"word{i}", i) for i in range(300)], RULE_TABLE)
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+    matched = match_rules(stream, rules).selectExpr("id", "rule.id AS rule_id")
+    start_batches(matched, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert {r.id: r.rule_id for r in read_batches(spark, str(tmp_path / "out")).collect()} == {0: "r7", 1: None, 2: "r2"}
 
 
 @pytest.mark.parametrize("files", [1, 5])

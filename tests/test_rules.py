@@ -22,8 +22,8 @@ def expected(event, rules):
     return None
 
 
-@pytest.mark.parametrize("chain_limit", [256, 0])
-def test_first_match_agrees_with_a_scan(spark, chain_limit):
+@pytest.mark.parametrize("chain_limit,table_limit", [(256, None), (0, None), (0, 0)])
+def test_first_match_agrees_with_a_scan(spark, chain_limit, table_limit):
     rng = random.Random(3)
     words = ["eval(", "a", "", " Ab ", "xyz", "shop", "Éte", "zz"]
     rules = [(f"r{i}", rng.choice(["allow", "block"]), rng.choice(["ip_src", "ip_dst", "port", "domain", "keyword"]), "", rng.choice([1, 5, 5, 100]),
@@ -35,7 +35,7 @@ def test_first_match_agrees_with_a_scan(spark, chain_limit):
     frame = spark.createDataFrame(events, "id long, source_ip string, destination_ip string, port string, text_content string")
     for subset in (rules, rules[:12], rules[:1]):
         table = spark.createDataFrame(subset, RULE_TABLE)
-        found = {r["id"]: r["rule"] and r["rule"]["id"] for r in match_rules(frame, table, chain_limit=chain_limit).select("id", "rule").collect()}
+        found = {r["id"]: r["rule"] and r["rule"]["id"] for r in match_rules(frame, table, chain_limit=chain_limit, table_limit=table_limit).select("id", "rule").collect()}
         assert found == {e[0]: expected(e, subset) for e in events}
 
 
