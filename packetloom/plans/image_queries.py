@@ -25,12 +25,16 @@ def ocr_keywords(spark, sf):
 
 
 def _labels(spark, sf):
-    """(image_id, label, logit): the first vector components as logits."""
-    pairs = dv.table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), F.posexplode(F.slice("embedding", 1, len(_LABELS))).alias("i", "x"))
-    return pairs.select("image_id", F.get(F.array(*[F.lit(x) for x in _LABELS]), F.col("i")).alias("label"), (F.col("x").cast("double") * 20).alias("logit"))
+    """(image_id, label, logit): the vector components, dealt to the labels in turn, as logits."""
+    part = lambda i: F.coalesce(F.get("embedding", i).cast("double"), F.lit(0.0))
+    logit = F.transform(F.sequence(F.lit(0), F.lit(len(_LABELS) - 1)), lambda i: (
+        part(i) + part(i + len(_LABELS)) + part(i + 2 * len(_LABELS))) * 20)
+    pairs = dv.table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), F.posexplode(logit).alias("i", "logit"))
+    return pairs.select("image_id", F.get(F.array(*[F.lit(x) for x in _LABELS]), F.col("i")).alias("label"), "logit")
 
 
-_BEST = f"""lg AS (SELECT vec_id AS image_id, unnest({_LABEL_LIST}) AS label, unnest(list_transform(embedding[1:{len(_LABELS)}], lambda x: x::DOUBLE * 20)) AS logit FROM embeddings),
+_BEST = f"""lg AS (SELECT vec_id AS image_id, unnest({_LABEL_LIST}) AS label, unnest(list_transform(range(1, {len(_LABELS) + 1}), lambda i:
+    (coalesce(embedding[i]::DOUBLE, 0) + coalesce(embedding[i + {len(_LABELS)}]::DOUBLE, 0) + coalesce(embedding[i + {2 * len(_LABELS)}]::DOUBLE, 0)) * 20)) AS logit FROM embeddings),
   best AS (SELECT image_id, arg_max(label, logit) AS label, exp(max(logit)) / sum(exp(logit)) AS confidence, CASE WHEN image_id % 2 = 0 THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END AS ocr_score FROM lg GROUP BY image_id)"""
 _IDENTITY = "(" + " OR ".join(f"contains(label, '{term}')" for term in fv.IDENTITY_TERMS) + ")"
 _SENSITIVE = "label NOT IN (" + ", ".join(f"'{x}'" for x in _PLAIN_LABELS) + ")"

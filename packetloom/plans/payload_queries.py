@@ -7,7 +7,6 @@ from packetloom.functions.payload import (byte_entropy, is_obfuscated, mentions_
                                           sniff_type, triage)
 from packetloom.operators.reassembly import reassemble
 from packetloom.plans import sql_parts as sp
-from packetloom.plans.inspect import http_verdict
 from packetloom.plans.registry import query
 from packetloom.sources import derived as dv
 from packetloom.sources.tables import normal_traffic, parse_connections, read_files
@@ -153,21 +152,6 @@ def ipv4(spark, sf):
     return packets.select("id", ipv4_tuple(F.col("data")).alias("t")).select("id", "t.*")
 
 
-@query("http_verdict", f"""WITH x AS (SELECT conv_id * 100 + turn AS id, CASE WHEN turn % 2 = 0 THEN 'h' || (conv_id % 7) || '.google.com' ELSE '' END AS server_name, text FROM conversations)
-  SELECT id, 'h' || ((id // 100) % 7) || '.shop.com' AS destination_ip, CASE WHEN id % 5 = 1 THEN 'block' ELSE 'allow' END AS status,
-  CASE WHEN id % 5 = 1 THEN 'Static rule match (keyword=eval(): BLOCK' ELSE 'Max threat score 0.1' END AS reason FROM x
-  WHERE NOT (server_name <> '' AND id % 3 = 0)""")
-def http_verdict_query(spark, sf):
-    crlf = "'\\r\\n'"
-    data = F.expr(f"""concat('POST /x HTTP/1.1', {crlf}, 'Host: h', conv_id % 7, '.shop.com', {crlf}, 'Content-Length: 9', {crlf}, {crlf},
-        if((conv_id * 100 + turn) % 5 = 1, 'a eval(b)', 'harmless.'))""")
-    messages = dv.table(spark, sf, "conversations").select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit("192.168.1.9").alias("client_ip"),
-        F.lit("93.1.1.1").alias("dest_ip"), F.expr("if(turn % 2 = 0, concat('h', conv_id % 7, '.google.com'), '')").alias("server_name"),
-        F.lit(443).alias("port"), ((F.col("conv_id") * 100 + F.col("turn")) % 3 == 0).alias("is_tls"), data.cast("binary").alias("data"))
-    return http_verdict(messages, dv.allowlist(spark), dv.rules(spark)).select("id", "destination_ip", "status", "reason")
-
-
 @query("dns_text", f"""WITH {sp.EVENTS} SELECT id, 'DNS_QUERY:' || destination_ip AS text_content FROM e WHERE port = '53' AND id % 5 <> 0""")
 def dns(spark, sf):
     queries = dv.events_x(spark, sf).filter("port = '53'").withColumn("qr", F.expr("if(id % 5 = 0, 1, 0)"))

@@ -253,13 +253,13 @@ def latest_n(spark, sf):
     return tm.latest(dv.log_rows(spark, sf), 1000).select("id", "ts", "level", "msg")
 
 
-@query("union_events", f"""WITH {sp.EVENTS} SELECT 'connection' AS kind, id, 'http' AS text_content, destination_ip FROM e WHERE id % 2 = 0
+@query("union_events", f"""WITH {sp.EVENTS} SELECT 'connection' AS kind, id, 'http' AS text_content, destination_ip FROM e
   UNION ALL SELECT 'dns', id, 'DNS_QUERY:' || destination_ip, NULL FROM e WHERE port = '53'
   UNION ALL SELECT 'upload', doc_id, NULL, NULL FROM documents UNION ALL SELECT 'http', conv_id, text, NULL FROM conversations""")
 def union_events(spark, sf):
     events = dv.events_x(spark, sf)
     return union_all([
-        events.filter("id % 2 = 0").select(F.lit("connection").alias("kind"), "id", F.lit("http").alias("text_content"), "destination_ip"),
+        events.select(F.lit("connection").alias("kind"), "id", F.lit("http").alias("text_content"), "destination_ip"),
         events.filter("port = '53'").select(F.lit("dns").alias("kind"), "id", F.concat(F.lit("DNS_QUERY:"), "destination_ip").alias("text_content")),
         dv.table(spark, sf, "documents").select(F.lit("upload").alias("kind"), F.col("doc_id").alias("id")),
         dv.table(spark, sf, "conversations").select(F.lit("http").alias("kind"), F.col("conv_id").alias("id"), F.col("text").alias("text_content")),

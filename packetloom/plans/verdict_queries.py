@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from packetloom.operators.flows import flow_rescan, flow_table, zero_ports
+from packetloom.operators.reassembly import reassemble
 from packetloom.plans import sql_parts as sp
 from packetloom.plans.image_queries import IMAGE_VERDICT_SQL, image_results
-from packetloom.plans.inspect import gateway_verdict, packet_verdict, traffic_verdict
+from packetloom.plans.inspect import gateway_verdict, http_verdict, packet_verdict, traffic_verdict
 from packetloom.plans.registry import query
 from packetloom.sources import derived as dv
 
@@ -88,3 +89,34 @@ def flow_rescan_query(spark, sf):
 def packet_verdict_query(spark, sf):
     packets = dv.traffic(spark, sf).drop("ts").join(dv.flow_packets(spark, sf), "id")
     return packet_verdict(packets, dv.rules(spark), ("k",)).select("id", "rescan", "scan_id", "status")
+
+
+# Reassembled turns of the conversations, some with planted code, through allowlist, triage and inspection.
+_HTTP_TEXT = "CASE WHEN (conv_id * 100 + turn) % 5 = 1 THEN text || ' eval(b)' ELSE text END"
+
+
+@query("http_verdict", f"""WITH d AS (SELECT conv_id * 100 + turn AS doc_id, conv_id, turn, {_HTTP_TEXT} AS text FROM conversations),
+  kn AS (SELECT doc_id AS id, doc_id, 'h' || (conv_id % 7) || '.shop.com' AS destination_ip, text AS body, CASE WHEN text = '' THEN 'empty' WHEN starts_with(text, 'MZ') THEN 'executable'
+    WHEN octet_length(encode(text)) <= 1024 OR substr(hex(encode(text)), 2049, 1) NOT IN ('8','9','A','B') THEN 'text' ELSE 'binary_unknown' END AS kind
+    FROM d WHERE NOT (turn % 2 = 0 AND doc_id % 3 = 0)),
+  tr AS (SELECT id, '192.168.1.9' AS source_ip, destination_ip, '443' AS port, doc_id, body AS text_content FROM kn WHERE kind = 'text'), {sp.RULE_ROWS}, {sp.MATCHED}, {_TEXT_SCORES}
+  SELECT id, destination_ip, CASE kind WHEN 'executable' THEN 'block' ELSE 'allow' END AS status,
+    CASE kind WHEN 'executable' THEN 'Executable detected' ELSE 'No threats detected' END AS reason FROM kn WHERE kind <> 'text'
+  UNION ALL SELECT id, destination_ip, CASE WHEN rule_id IS NOT NULL THEN action WHEN text_hi > 0.5 THEN 'block' ELSE 'allow' END,
+    CASE WHEN rule_id IS NOT NULL THEN 'Static rule match (' || match_type || '=' || rule_value || '): ' || upper(action) ELSE 'Max threat score ' || text_hi END
+    FROM m JOIN ts USING (doc_id)""")
+def http_verdict_query(spark, sf):
+    turns = dv.table(spark, sf, "conversations").select("conv_id", "turn", F.expr(_HTTP_TEXT).alias("text"))
+    id_ = F.col("conv_id") * 100 + F.col("turn")
+    crlf = "\r\n"
+    head = F.concat(F.lit(f"POST /x HTTP/1.1{crlf}Host: h"), F.col("conv_id") % 7, F.lit(f".shop.com{crlf}Content-Length: "),
+                    F.octet_length("text"), F.lit(crlf * 2))
+    # Two chunks per message: the header, then the body.
+    chunks = turns.select(id_.alias("conn_id"), F.lit("outbound").alias("direction"), F.posexplode(
+        F.array(head.cast("binary"), F.col("text").cast("binary"))).alias("seq", "data"))
+    whole = reassemble(chunks.withColumn("seq", F.col("seq").cast("long"))).select("conn_id", "data")
+    facts = turns.select(id_.alias("id"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit("192.168.1.9").alias("client_ip"),
+                         F.lit("93.1.1.1").alias("dest_ip"), F.expr("if(turn % 2 = 0, concat('h', conv_id % 7, '.google.com'), '')").alias("server_name"),
+                         F.lit(443).alias("port"), (id_ % 3 == 0).alias("is_tls"))
+    messages = facts.join(whole, F.col("id") == F.col("conn_id")).drop("conn_id")
+    return http_verdict(messages, dv.allowlist(spark), dv.rules(spark)).select("id", "destination_ip", "status", "reason")
