@@ -18,9 +18,9 @@ from packetloom.operators.metadata import office_metadata
 from packetloom.operators.rules import match_rules, rule_verdict
 from packetloom.operators.signatures import with_hash_intel
 from packetloom.operators.structure import container_entries, structure_features
-from packetloom.operators.text import code, context, pattern  # noqa: F401
+from packetloom.operators.text import best_concept, code, context, pattern  # noqa: F401
 from packetloom.operators.verdict import document_verdict, text_verdict
-from packetloom.session import cut_lineage
+from packetloom.session import SMALL_TABLE_ROWS, cut_lineage
 
 _FIELDS = ("status", "risk_level", "reason", "findings")
 
@@ -64,17 +64,26 @@ def inspect_documents(df: DataFrame, payload: str = "payload", meta: str | None
     return document_verdict(df).drop("_data", "_entries", "_doc_text", "_meta", "_features", "_anomaly")
 
 
-def traffic_verdict(traffic: DataFrame, rules: DataFrame, image_verdicts: DataFrame | None = None) -> DataFrame:
+def traffic_verdict(traffic: DataFrame, rules: DataFrame, image_verdicts: DataFrame | None = None, *,
+                    vector: str | None = None, concepts: DataFrame | None = None, meta: str | None = None,
+                    extracted: str | None = None, intel: DataFrame | None = None, forest: IsolationForest | None = None) -> DataFrame:
     """Verdict of every traffic row: rule, else detectors by content type.
 
     Detectors run only on rows that no rule decided. ``image_verdicts`` has
-    (id, status, risk_level, reason) computed from image-model outputs. The
-    plan is free of shuffles while rules and image verdicts are small, and
-    usable on a stream.
+    (id, status, risk_level, reason) computed from image-model outputs. With
+    ``concepts`` texts are also compared by their ``vector``; ``meta``,
+    ``extracted``, ``intel`` and ``forest`` are passed to ``inspect_documents``.
+    The plan is free of shuffles while rules, image verdicts and reputation
+    table are small, and usable on a stream.
     """
     # Python runs first, below all native stages, so that those stay apart.
     listed = container_entries(F.when(F.col("content_type") == "document", F.col("payload")))
-    base = match_rules(traffic.withColumn("_listed", listed), rules)
+    ready, match = traffic.withColumn("_listed", listed), None
+    if concepts is not None:
+        matched = best_concept(ready.withColumn("_vector", F.when(F.col("content_type") == "text", F.col(vector))), "_vector", concepts)
+        ready = matched.withColumnsRenamed({"similarity": "_similarity", "concept": "_concept"}).drop("_vector")
+        match = {"similarity": F.col("_similarity"), "concept": F.col("_concept")}
+    base = match_rules(ready, rules)
     undecided = F.col("rule").isNull()
     text_row = undecided & (F.col("content_type") == "text")
     document_row = undecided & (F.col("content_type") == "document") & F.col("payload").isNotNull()
@@ -84,13 +93,16 @@ def traffic_verdict(traffic: DataFrame, rules: DataFrame, image_verdicts: DataFr
     def keep(df: DataFrame, row: Column, prefix: str, earlier: list[str]) -> DataFrame:
         return df.select(*kept, *earlier, *[F.when(row, F.col(name)).alias(f"{prefix}_{name}") for name in _FIELDS])
 
-    done = keep(inspect_text(base, F.col("text_content"), where=text_row), text_row, "_text", [])
+    done = keep(inspect_text(base, F.col("text_content"), match, text_row), text_row, "_text", [])
     text_fields = [f"_text_{name}" for name in _FIELDS]
-    done = keep(inspect_documents(done, where=document_row, entries="_listed"), document_row, "_document", text_fields)
+    documents = inspect_documents(done, meta=meta, extracted=extracted, intel=intel, forest=forest, where=document_row, entries="_listed")
+    done = keep(documents, document_row, "_document", text_fields)
     prefixes = ["_text", "_document"]
     if image_verdicts is not None:
         images = image_verdicts.select("id", *[F.col(name).alias(f"_image_{name}") for name in ("status", "risk_level", "reason")])
         image_row = undecided & (F.col("content_type") == "image")
+        # Broadcast behind a check of the row count, so that payloads are not shuffled for it.
+        images = F.broadcast(images) if images.limit(SMALL_TABLE_ROWS + 1).count() <= SMALL_TABLE_ROWS else images
         done = done.join(images, "id", "left").withColumns(
             {f"_image_{name}": F.when(image_row, F.col(f"_image_{name}")) for name in ("status", "risk_level", "reason")})
         prefixes.append("_image")
@@ -107,11 +119,12 @@ def traffic_verdict(traffic: DataFrame, rules: DataFrame, image_verdicts: DataFr
         F.coalesce("_text_findings", "_document_findings", F.array().cast("array<string>")).alias("findings"))
 
 
-def gateway_verdict(messages: DataFrame, rules: DataFrame) -> DataFrame:
+def gateway_verdict(messages: DataFrame, rules: DataFrame, image_verdicts: DataFrame | None = None, **options) -> DataFrame:
     """Verdict of captured message bodies: triage first, then inspection.
 
     ``messages`` is traffic with the body as ``payload``. Bodies blocked by
     triage are written with rule GATEWAY; document bodies take the text path.
+    ``image_verdicts`` and ``options`` are those of ``traffic_verdict``.
     """
     sniffed = messages.withColumn("_kind", sniff_type(F.col("payload")))
     sniffed = sniffed.withColumn("_entropy", byte_entropy(needs_entropy(F.col("payload"), F.col("_kind"))))
@@ -119,7 +132,7 @@ def gateway_verdict(messages: DataFrame, rules: DataFrame) -> DataFrame:
     decided = sniffed.withColumns({"_gateway": decision, "content_type": F.coalesce(service, F.lit("unknown"))})
     decided = decided.withColumn("text_content", F.when(F.col("content_type") == "text", plain_document_text(F.col("payload"))).otherwise(""))
     # One pass over all rows: what triage decided replaces the later verdict.
-    judged = traffic_verdict(decided, rules)
+    judged = traffic_verdict(decided, rules, image_verdicts, **options)
     stopped, passed = F.col("_gateway") == "block", F.col("_gateway") == "allow"
     reason = F.when(F.col("_kind") == "executable", "Executable detected").otherwise("High entropy text")
 
@@ -131,10 +144,12 @@ def gateway_verdict(messages: DataFrame, rules: DataFrame) -> DataFrame:
         final("reason", reason, fv.DEFAULT_REASON), final("rule_label", "GATEWAY", "GATEWAY"))
 
 
-def packet_verdict(packets: DataFrame, rules: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+def packet_verdict(packets: DataFrame, rules: DataFrame, keys: tuple[str, ...], image_verdicts: DataFrame | None = None,
+                   **options) -> DataFrame:
     """Verdict of every packet; only the packets that a flow rescans are inspected.
 
-    ``packets`` is traffic plus the flow ``keys``.
+    ``packets`` is traffic plus the flow ``keys``; ``image_verdicts`` and
+    ``options`` are those of ``traffic_verdict``.
     """
     # Narrow rows that are read twice below.
     rescans = cut_lineage(flow_rescan(packets, keys))
@@ -142,12 +157,15 @@ def packet_verdict(packets: DataFrame, rules: DataFrame, keys: tuple[str, ...])
     routed = scans.withColumn("_route", route_payload(F.col("payload")))
     routed = routed.withColumns({"content_type": F.col("_route"), "text_content": F.when(
         F.col("_route") == "text", F.col("payload").cast("string")).otherwise("")})
-    fast = routed.filter("_route = 'block'").select("id", F.lit("block").alias("status"))
-    slow = traffic_verdict(routed.filter("_route <> 'block'").drop("_route"), rules).select("id", "status")
-    return with_scan_verdicts(rescans, fast.unionByName(slow))
+    # One pass: packets that the route blocks go along without content.
+    blocked = F.col("_route") == "block"
+    judged = traffic_verdict(routed.withColumn("content_type", F.when(blocked, "unknown").otherwise(F.col("content_type"))), rules,
+                             image_verdicts, **options)
+    status = F.when(blocked, "block").otherwise(F.col("status")).alias("status")
+    return with_scan_verdicts(rescans, judged.select("id", status))
 
 
-def http_verdict(messages: DataFrame, hosts: DataFrame, rules: DataFrame) -> DataFrame:
+def http_verdict(messages: DataFrame, hosts: DataFrame, rules: DataFrame, image_verdicts: DataFrame | None = None, **options) -> DataFrame:
     """Verdict of reassembled HTTP messages.
 
     ``messages`` has (id, ts, client_ip, dest_ip, server_name, port, is_tls,
@@ -160,4 +178,4 @@ def http_verdict(messages: DataFrame, hosts: DataFrame, rules: DataFrame) -> Dat
         real_destination(F.element_at("_m.headers", "host"), F.col("server_name"), F.col("dest_ip")).alias("destination_ip"),
         F.col("port").cast("string").alias("port"), F.lit("TCP").alias("proto"), F.lit("unknown").alias("content_type"),
         F.lit("").alias("text_content"), F.col("_m.body").alias("payload"))
-    return gateway_verdict(traffic, rules)
+    return gateway_verdict(traffic, rules, image_verdicts, **options)
