@@ -7,9 +7,6 @@ operators only read them; most operators also take them as parameters.
 """
 
 # --- value sets -----------------------------------------------------------
-CONTENT_TYPES = ("image", "document", "text", "unknown")
-STATUSES = ("allow", "block", "censor")
-RISK_LEVELS = ("safe", "low", "medium", "high", "critical")
 RULE_ACTIONS = ("allow", "block")
 RULE_MATCH_TYPES = ("ip_src", "ip_dst", "port", "domain", "keyword")
 DEFAULT_PRIORITY = 100
@@ -64,15 +61,6 @@ PII_PATTERNS = {
 
 SEMANTIC_HIGH = (0.5, 0.8)    # similarity above -> score
 SEMANTIC_LOW = (0.35, 0.4)
-CONCEPTS = [
-    "leak confidential internal data",
-    "attack corporate network infrastructure",
-    "bypass firewall security controls",
-    "steal password and credentials",
-    "proprietary algorithm source code",
-    "financial revenue report q3",
-    "employee salary list",
-]
 
 # --- document content classes --------------------------------------------
 KEYWORD_BUCKETS = [
@@ -265,6 +253,5 @@ NO_BYTES = "\u2014"
 RESCAN_PACKETS, CACHE_TTL_SECONDS = 50, 10
 SERIES_SECONDS, SERIES_POINTS = 3, 48
 LATENCY_SAMPLES, P95 = 100, 0.95
-LOG_ROWS, THREAT_ROWS, UPLOAD_ROWS, THREAT_VIEW_ROWS = 1000, 1000, 100, 100
 PROTOCOL_ROWS, REGION_ROWS = 6, 8
 BUFFER_LIMIT_BYTES = 10 * 1024 * 1024

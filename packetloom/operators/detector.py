@@ -12,11 +12,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Columns = dict[str, Column]
+_GIVEN = "given"
 
 
 def _as_is(**inputs: Column) -> Columns:
@@ -46,7 +49,7 @@ def detect(df: DataFrame, inputs: dict[str, Column | Columns], where: Column | N
 
     ``inputs`` maps a module to the column it reads, or to several columns by
     name. Rows outside ``where`` are not matched. A detector that yields
-    nothing scores 0.
+    nothing scores 0; if it was given something, a finding says so.
     """
     kept = [F.col(c) for c in df.columns]
 
@@ -58,12 +61,21 @@ def detect(df: DataFrame, inputs: dict[str, Column | Columns], where: Column | N
     given = {m: value if isinstance(value, dict) else {"input": value} for m, value in inputs.items()}
     if where is not None:
         given = {m: {part: F.when(where, column) for part, column in parts.items()} for m, parts in given.items()}
-    df, prepared = stage(df, {m: REGISTRY[m].prepare(**parts) for m, parts in given.items()}, "in")
-    df, signals = stage(df, {m: REGISTRY[m].signals(**parts) for m, parts in prepared.items()}, "hit")
+    # Whether a detector was given anything travels with its columns.
+    asked = {m: {_GIVEN: reduce(or_, [c.isNotNull() for c in parts.values()])} for m, parts in given.items()}
+    df, prepared = stage(df, {m: REGISTRY[m].prepare(**parts) | asked[m] for m, parts in given.items()}, "in")
+    flags = {m: parts.pop(_GIVEN) for m, parts in prepared.items()}
+    df, signals = stage(df, {m: REGISTRY[m].signals(**parts) | {_GIVEN: flags[m]} for m, parts in prepared.items()}, "hit")
     none = F.array().cast("array<string>")
-    return df.select(*kept, *[column for m, parts in signals.items() for column in (
-        F.coalesce(REGISTRY[m].score(**parts), F.lit(0.0)).alias(f"{m}_score"),
-        F.coalesce(REGISTRY[m].findings(**parts), none).alias(f"{m}_findings"))])
+    flags = {m: parts.pop(_GIVEN) for m, parts in signals.items()}
+    scores = {m: REGISTRY[m].score(**parts) for m, parts in signals.items()}
+
+    def findings(m: str) -> Column:
+        found = F.coalesce(REGISTRY[m].findings(**signals[m]), none)
+        return F.when(flags[m] & scores[m].isNull(), F.array_append(found, F.lit(f"error: {m} could not read its input"))).otherwise(found)
+
+    return df.select(*kept, *[column for m in signals for column in (
+        F.coalesce(scores[m], F.lit(0.0)).alias(f"{m}_score"), findings(m).alias(f"{m}_findings"))])
 
 
 def long_form(df: DataFrame, key: str, modules: list[str]) -> DataFrame:
