@@ -75,16 +75,21 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     # Narrow: ids in order, with the characters each needs of the next one.
-    sizes = base.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.length("text")).alias("n_chars"))
+    sizes = base.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.max(F.length("text")).alias("n_chars"), F.count("*").alias("rows"))
     ids = number_rows(sizes, "n", "doc_id")
-    total = ids.agg(F.max("n")).first()[0] or 1
+    total, rows = ids.agg(F.max("n"), F.max("rows")).first()
+    total = total or 1
     after = ids.select(F.col("doc_id").alias("next_id"), F.col("n").alias("next_n"))
     pairs = ids.join(after, F.col("n") % total + 1 == F.col("next_n")).select(
         "next_id", F.col("doc_id").alias("before_id"), F.floor(F.col("n_chars") / 2).cast("int").alias("need"))
-    heads = base.withColumn("nth", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).filter("nth = 1")
-    heads = heads.join(pairs, F.col("doc_id") == F.col("next_id")).select(
+    heads = base
+    if (rows or 0) > 1:
+        heads = base.withColumn("nth", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).filter("nth = 1")
+    # Null-safe on both sides, which leaves one shuffle of the texts for both joins.
+    heads = heads.join(pairs, F.col("doc_id").eqNullSafe(F.col("next_id"))).select(
         "before_id", F.left("text", F.col("need")).alias("head"), F.md5("text").alias("next_md5"), _grains(F.col("text")).alias("next_grains"))
-    joined = base.join(heads, F.col("doc_id") == F.col("before_id"), "left")
+    joined = base.join(heads, F.col("doc_id").eqNullSafe(F.col("before_id")), "left")
     half = F.floor(F.length("text") / 2).cast("int")
     joined = joined.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.concat(
         F.left("text", F.length("text") - half), F.left(F.coalesce("head", F.lit("")), half)))
