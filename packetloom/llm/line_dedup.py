@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.support import hex_number, shielded, stored
+from packetloom.llm.support import hex_number, join_counted, shielded, stored
 
 # One pair of lines in so many ends a chunk.
 BOUNDARY_EVERY = 3
@@ -62,11 +62,13 @@ def dedup_lines(docs: DataFrame, every: int = BOUNDARY_EVERY, doc_id: str = "doc
         c["start"].alias("start"), c["size"].alias("size"),
         F.unhex(F.md5(_chunk_text(c["start"], c["size"]))).alias("digest"))).alias("_c")).select(
             "_id", F.inline_outer("_c")).filter("digest IS NOT NULL"), "chunk-digests")
-    repeated = digests.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
-    flagged = digests.join(repeated, "digest").groupBy("_id").agg(
+    repeated = stored(digests.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1"), "repeated-chunks")
+    flagged = join_counted(digests, repeated, "digest").groupBy("_id").agg(
         F.collect_set(F.struct("start", "size")).alias("_flagged"))
     flagged = stored(flagged.withColumnRenamed("_id", "_flagged_id"), "flagged-chunks")
-    texts = body.join(flagged, F.col("_id").eqNullSafe(F.col("_flagged_id"))).filter("_text IS NOT NULL")
+    # What is flagged grows with the corpus, so both joins sort and merge at every size; they read
+    # one shuffle of the texts where the documents have no further columns.
+    texts = body.join(flagged.hint("merge"), F.col("_id").eqNullSafe(F.col("_flagged_id")))
     pieces = texts.select("_id", lines.alias("_lines"), "_flagged").select("_id", F.explode_outer(F.transform(
         "_flagged", lambda c: F.struct(c["start"].alias("start"), _chunk_text(c["start"], c["size"]).alias("chunk")))).alias("p")).filter("p IS NOT NULL")
     firsts = pieces.groupBy("p.chunk").agg(F.min(F.struct("_id", "p.start")).alias("f"))
@@ -77,7 +79,7 @@ def dedup_lines(docs: DataFrame, every: int = BOUNDARY_EVERY, doc_id: str = "doc
     gone = F.flatten(F.transform("_removed", lambda c: F.sequence(c["start"], c["start"] + c["size"] - 1)))
     plain, names = shielded(docs)
     own = names[text]
-    out = plain.join(removed, F.col(names[doc_id]).eqNullSafe(F.col("_flagged_id")), "left").withColumn(
+    out = plain.join(removed.hint("merge"), F.col(names[doc_id]).eqNullSafe(F.col("_flagged_id")), "left").withColumn(
         "_lines", F.split(own, "\n", -1))
     out = out.withColumn("_gone", F.when(F.size("_removed") > 0, gone))
     kept = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(

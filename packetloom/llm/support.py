@@ -17,6 +17,8 @@ from packetloom.session import scratch_path
 # bytes.split() cuts at exactly these six bytes.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 SLICE_BYTES = 4 << 20
+HOT_SHARE = 10_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def word_count(text: Column) -> Column:
@@ -133,6 +135,19 @@ def byte_digests(view: memoryview, starts: np.ndarray, ends: np.ndarray) -> np.n
     return np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
 
 
+def join_counted(rows: DataFrame, keys: DataFrame, on: str, count: str = "n") -> DataFrame:
+    """``rows`` joined with ``keys``, one row per value of ``on`` with its number of rows.
+
+    Values that hold more than one in ``HOT_SHARE`` of all rows, of which
+    there are fewer than ``HOT_SHARE``, are broadcast; the rest is joined by
+    a shuffle in which no value weighs much. Read both sides from storage.
+    """
+    limit = rows.count() // HOT_SHARE
+    hot = F.broadcast(keys.filter(F.col(count) > limit).drop(count))
+    cold = rows.join(hot.select(on), on, "left_anti")
+    return rows.join(hot, on).unionByName(cold.join(keys.filter(F.col(count) <= limit).drop(count), on))
+
+
 def shielded(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with neutral column names, and the neutral name of each column.
 
@@ -152,8 +167,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
     Cuts the lineage as a checkpoint does, in a tenth of the space for wide or
-    repetitive rows.
+    repetitive rows. Shuffle files of the write go when it has ended.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = scratch_path(spark, name), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
