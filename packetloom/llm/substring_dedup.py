@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.llm.recompression import window_cores
-from packetloom.llm.support import WordTable, byte_digests, stored
+from packetloom.llm.support import WordTable, byte_digests, join_counted, stored
 from packetloom.session import cut_lineage
 
 WINDOW = 20
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 6 << 20
 _WORDS_AT_ONCE = 1 << 16
 _CORE, _COPY, _FIRST = 0, 1, 2
 
@@ -95,14 +95,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, group_bytes: int = GRO
                    doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_text, spans (first word, words) removed, of every document."""
     body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    whole = cut_lineage(body.select("doc_id", F.unhex(F.md5("text")).alias("digest"), F.octet_length("text").alias("bytes")))
+    whole = stored(body.select("doc_id", F.unhex(F.md5("text")).alias("digest"), F.octet_length("text").alias("bytes")), "whole-texts")
     size = whole.agg(F.sum("bytes")).first()[0] or 0
     groups = max(size // group_bytes + 1, 2 * docs.sparkSession.sparkContext.defaultParallelism)
     group = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g")
     dealt = body.select(group, "doc_id", "text")
     first = whole.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("digest", "first")
-    copies = cut_lineage(whole.join(first, "digest").filter("doc_id > first").select("doc_id").distinct()).select(
+        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("first < last").drop("last")
+    copies = cut_lineage(join_counted(whole, stored(first, "copied-texts"), "digest").filter("doc_id > first").select("doc_id").distinct()).select(
         group, F.lit(_COPY).alias("kind"), F.col("doc_id").alias("a"), F.lit(0).cast("long").alias("b"))
 
     def name_cores(key: tuple, table: pa.Table, side: pa.Table) -> pa.Table:
@@ -170,5 +170,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, group_bytes: int = GRO
         digest_windows, "high long, low long, doc_id long, start long")
     firsts = digests.groupBy("high", "low").agg(F.min(F.struct("doc_id", "start")).alias("f")).select("f.*").select(
         group, F.lit(_FIRST).alias("kind"), F.col("doc_id").alias("a"), F.col("start").alias("b"))
+    firsts = stored(firsts, "first-windows")
     return dealt.groupBy("g").cogroup(side.union(firsts).groupBy("g")).applyInArrow(
         cut, "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<first: long, words: long>>")
