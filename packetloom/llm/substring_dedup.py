@@ -66,6 +66,7 @@ class _Group:
         """``window_cores`` of all documents, some at a time so that the arrays stay in the processor's cache."""
         hashes, starts = self.words.hashes(), np.unique(self.first[:-1])
         cuts = np.unique(np.searchsorted(starts, np.arange(0, len(hashes), _WORDS_AT_ONCE)))
+        cuts = cuts[cuts < len(starts)]  # no document starts behind the last long one
         found = []
         for a, b in zip(cuts, np.append(cuts[1:], len(starts)), strict=True):
             low, high = starts[a], starts[b] if b < len(starts) else len(hashes)

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +110,19 @@ def test_substring_dedup(docs, corpus):
     assert all(sum(s["words"] for s in r.spans) == r.n_removed for r in found)
 
 
+def test_substring_dedup_of_long_documents(spark):
+    """Documents of more words than are named at once, alone and last in a group."""
+    long = " ".join(f"w{i}" for i in range(200_000))
+    repeat = " ".join(f"w{i}" for i in range(150_000, 150_100))
+    for rows in ([(1, long)], [(i, "a few words") for i in range(5)] + [(5, long)], [(1, repeat), (2, long)]):
+        group = substring_dedup._Group(pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]}), 20)
+        assert sorted(group.windows()[0][-199_981:] - group.first[-2]) == list(range(199_981))
+        found = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+        gone = 100 if rows[0][1] == repeat else 0
+        assert sorted((r.doc_id, r.n_words, r.n_removed) for r in found) == [
+            (i, len(t.split()), gone if t == long else 0) for i, t in rows]
+
+
 # --- quality --------------------------------------------------------------
 def test_quality(spark):
     rows = [(i, ("good words in a row. " if i % 3 else "BAD!! %%% ### ") * (1 + i % 17)) for i in range(600)] + [
