@@ -123,6 +123,31 @@ def test_substring_dedup_of_long_documents(spark):
             (i, len(t.split()), gone if t == long else 0) for i, t in rows]
 
 
+def test_substring_dedup_of_texts_under_one_id(spark):
+    """A text is judged by its own windows, whatever other rows of its id hold."""
+    say = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    copied, own, other, head = say("c", 40), say("o", 40), say("p", 60), say("h", 30)
+    big = (1 << 60) + 1
+    rows = [(1, copied), (2, copied), (2, own), (3, own), (4, other), (5, head + " " + say("x", 40)), (5, head + " " + other), (5, "short"),
+            (6, say("x", 40)), (7, copied), (7, None), (None, say("n", 50)), (None, other), (big, say("n", 50)), (big, say("y", 30)), (big, own)]
+    first, expected = {}, Counter()
+    for i, text in rows:
+        w = words_of(text)
+        for k in range(len(w) - 19):
+            key, at = tuple(w[k:k + 20]), (i is not None, i or 0, k)
+            first[key] = min(first.get(key, at), at)
+    for i, text in rows:
+        w = words_of(text)
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            if first[tuple(w[k:k + 20])] != (i is not None, i or 0, k):
+                gone[k:k + 20] = [True] * 20
+        expected[(i, len(w), " ".join(x.decode() for x, g in zip(w, gone, strict=True) if not g))] += 1
+    assert expected[(2, 40, own)] == 1 and expected[(2, 40, "")] == 1
+    found = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.n_words, r.kept_text) for r in found) == expected
+
+
 # --- quality --------------------------------------------------------------
 def test_quality(spark):
     rows = [(i, ("good words in a row. " if i % 3 else "BAD!! %%% ### ") * (1 + i % 17)) for i in range(600)] + [
