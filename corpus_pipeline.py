@@ -7,7 +7,8 @@ it again for the next one. All stages but the last return the columns of
 
 - quality: trained on ``labels``; documents scored below the threshold go.
   Rows without id are scored and kept or dropped by the same rule.
-- lines: repeated chunks of lines are cut out of the texts. A document of
+- lines: repeated chunks of lines are cut out of the texts; no line of a text
+  of several lines is a chunk by itself. A document of
   which no line is left goes, as all it held stands elsewhere; one that came
   in empty stays.
 - near duplicates: the document with the least id of each group stays.
@@ -45,7 +46,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    cleaned = dedup_lines(docs).filter("n_removed = 0 OR n_removed < n_lines")
+    cleaned = dedup_lines(docs, joined=True).filter("n_removed = 0 OR n_removed < n_lines")
     return cleaned.select(
         *[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 

@@ -7,6 +7,12 @@ all documents. For the repeated digests alone the texts of the chunks are
 grouped byte by byte; the first occurrence (least doc_id, then least line) of
 each text stays and every other one is removed.
 
+By the plain rule a chunk may be a single line; these are never compared, so
+about one in nine lines of a repeated passage stays. With ``joined``, which
+the corpus pipeline uses, a chunk ends only when it holds two lines or more,
+and a last single line belongs to the chunk before it: every line of a text of
+several lines is compared.
+
 Digests are counted with partial sums in every task, and which occurrences go
 is found by taking the first ones away from the flagged ones, so a passage that
 very many documents share never meets in one task. Texts are shuffled once.
@@ -14,7 +20,7 @@ very many documents share never meets in one task. Texts are shuffled once.
 chain of expressions again in a filter below them.)
 
 Defined cases: a null text has no lines and stays null; an empty text is one
-empty line; a document's single remaining lines are never removed; rows that
+empty line; single-line chunks and texts of one line are never removed; rows that
 share a doc_id (null counts as one, ordered first) are one document here: the
 same chunk at the same line of both stays in both. Columns other than id and
 text are passed on untouched, but for ``n_lines`` and ``n_removed``, which
@@ -37,13 +43,27 @@ def line_hash(line: Column) -> Column:
     return hex_number(F.md5(line), 1, 8)
 
 
-def with_chunks(docs: DataFrame, lines: str, every: int = BOUNDARY_EVERY) -> DataFrame:
+def _joined_ends(ends: str, last: Column) -> Column:
+    """Of the ascending ``ends`` those that leave no line alone; ``last`` is always one.
+
+    An end directly on another one goes, so of neighbouring ends every second
+    stays; which these are depends on the lines next to them only.
+    """
+    first = F.filter(ends, lambda e, k: (k == 0) | (F.get(ends, k - 1) < e - 1))
+    final = F.filter(ends, lambda e, k: (k == F.size(ends) - 1) | (F.get(ends, k + 1) > e + 1))
+    apart = F.flatten(F.zip_with(first, final, lambda a, b: F.sequence(a, b, F.lit(2))))
+    return F.concat(F.filter(apart, lambda e: e < last - 1), F.array(last))
+
+
+def with_chunks(docs: DataFrame, lines: str, every: int = BOUNDARY_EVERY, joined: bool = False) -> DataFrame:
     """Add ``_chunks``: (start, size) of the chunks of two or more lines."""
     hashed = docs.withColumn("_h", F.transform(lines, line_hash))
     last = F.size("_h") - 1
     ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (
         (i > 0) & ((F.get("_h", i - 1) * MULTIPLIER + F.get("_h", i)) % every == 0)))
     ended = hashed.withColumn("_ends", F.when(F.size("_h") > 0, ends).otherwise(F.array().cast("array<int>")))
+    if joined:
+        ended = ended.withColumn("_ends", F.when(F.size("_h") > 0, _joined_ends("_ends", last)).otherwise(F.col("_ends")))
     starts = F.transform("_ends", lambda e, i: F.when(i == 0, F.lit(0)).otherwise(F.get("_ends", i - 1) + 1))
     chunks = F.zip_with(starts, "_ends", lambda s, e: F.struct(s.alias("start"), (e - s + 1).alias("size")))
     return ended.withColumn("_chunks", F.filter(chunks, lambda c: c["size"] > 1)).drop("_h", "_ends")
@@ -53,11 +73,12 @@ def _chunk_text(start: Column, size: Column) -> Column:
     return F.array_join(F.slice("_lines", start + 1, size), "\n")
 
 
-def dedup_lines(docs: DataFrame, every: int = BOUNDARY_EVERY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, every: int = BOUNDARY_EVERY, doc_id: str = "doc_id", text: str = "text",
+                joined: bool = False) -> DataFrame:
     """``docs`` with the text that stays, and n_lines and n_removed."""
     body = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     lines = F.split("_text", "\n", -1)
-    chunked = with_chunks(body.filter("_text IS NOT NULL").select("_id", lines.alias("_lines")), "_lines", every)
+    chunked = with_chunks(body.filter("_text IS NOT NULL").select("_id", lines.alias("_lines")), "_lines", every, joined)
     digests = stored(chunked.select("_id", F.transform("_chunks", lambda c: F.struct(
         c["start"].alias("start"), c["size"].alias("size"),
         F.unhex(F.md5(_chunk_text(c["start"], c["size"]))).alias("digest"))).alias("_c")).select(

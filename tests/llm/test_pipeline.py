@@ -26,6 +26,20 @@ def test_stages(spark):
     assert copies == pieces and max(copies.values()) <= 3
 
 
+def test_no_line_of_a_copied_text_stays(spark):
+    texts = ["\n".join(f"text {n} line {k}" for k in range(n)) for n in range(2, 60)]
+    passage = "\n".join(f"passage {k}" for k in range(40))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(texts)] + [
+        (200, passage), (201, f"own first\nown second\n{passage}\nown third\nown fourth")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, SF).collect()}
+    assert {i: t for i, t in kept.items() if i < 100} == dict(enumerate(texts))
+    assert sorted(i for i in kept if i >= 100) == [200, 201]
+    # Chunks cross the edges of a passage; inside it no line stays.
+    assert "own first" in kept[201] and "own fourth" in kept[201] and not any(
+        f"passage {k}\n" in kept[201] for k in range(15, 25))
+
+
 def test_stages_take_odd_rows(spark):
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "some text\nof lines\nhere", "en", "a", 9), (3, "x\ny\nz", None, "b", 5),
             (3, "x\ny\nz", None, "b", 5), (4, "x\ny\nz", None, "b", 5)]
