@@ -15,7 +15,8 @@ none of which makes rows of all pairs of a bucket:
    by estimate, which joins most of a group along a tree;
 2. the remaining pairs of a document and the least of a bucket;
 3. in buckets that still hold several components, all members across
-   components, in blocks of ``BLOCK`` against each other: a task counts common
+   components, in blocks that hold on average at most ``BLOCK`` members and
+   ``BLOCK_SHINGLES`` shingles against each other: a task counts common
    shingles by a matrix product and reports one link per pair of components.
    This step makes the result exact over all candidates.
 
@@ -41,6 +42,8 @@ from packetloom.session import cut_lineage
 PERCENT = 75
 MARGIN = 0.2
 BLOCK = 2048
+# Shingles of a block, about.
+BLOCK_SHINGLES = 1 << 21
 _SHINGLES_AT_ONCE = 4096
 
 
@@ -116,18 +119,24 @@ def _common(sizes: np.ndarray, shingles: np.ndarray) -> np.ndarray:
     return common
 
 
-def _links_across(members: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components within buckets that hold several.
+def _dealt(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """``members`` (bucket, doc_id, n shingles) of buckets with several components, once for each two blocks i, j to test.
 
     A bucket of two is left out: its one pair was tested as a star.
     """
     placed = _placed(members, "doc_id", groups, "c")
-    mixed = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).filter(
-        "low < high AND n > 2").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    mixed = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"), F.sum("n").alias("shingles")).filter(
+        "low < high AND n > 2").select("bucket", F.ceil(F.greatest(
+            F.col("n") / BLOCK, F.least(F.col("shingles") / BLOCK_SHINGLES, F.col("n")))).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    dealt = placed.join(mixed, "bucket").select("bucket", "doc_id", "c", own.alias("own"), F.explode(
+    return placed.join(mixed, "bucket").select("bucket", "doc_id", "n", "c", own.alias("own"), F.explode(
         F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "bucket", "doc_id", "c", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        "bucket", "doc_id", "n", "c", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def _links_across(members: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components within buckets that hold several."""
+    dealt = _dealt(members, groups).drop("n")
 
     def test(key: tuple, table: pa.Table) -> pa.Table:
         raw = [s.as_buffer() for s in table.column("shingles")]
@@ -153,8 +162,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
     classes = stored(usable.groupBy("set_key").agg(
         F.min("doc_id").alias("rep"), F.min_by("n_shingles", "doc_id").alias("n"), F.min_by("signature", "doc_id").alias("sig")), "classes")
 
-    members = classes.select(F.col("rep").alias("doc_id"), F.posexplode("sig").alias("band", "value")).select(
-        "doc_id", (F.shiftleft(F.col("band").cast("long"), 32) + F.col("value")).alias("bucket"))
+    members = classes.select(F.col("rep").alias("doc_id"), "n", F.posexplode("sig").alias("band", "value")).select(
+        "doc_id", "n", (F.shiftleft(F.col("band").cast("long"), 32) + F.col("value")).alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
     members = stored(members.join(buckets.select("bucket", "least"), "bucket"), "buckets")
 
@@ -183,7 +192,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
         if rest.take(1):
             links = cut_lineage(links.union(confirm(rest, sets, percent)))
             groups = cut_lineage(components(links))
-        more = stored(_links_across(members.select("bucket", "doc_id"), groups, sets, percent), "links-across")
+        more = stored(_links_across(members.select("bucket", "doc_id", "n"), groups, sets, percent), "links-across")
         if more.take(1):
             groups = cut_lineage(components(links.union(more)))
         links = groups

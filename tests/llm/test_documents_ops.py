@@ -271,6 +271,17 @@ def test_components_of_random_graphs(spark):
     assert found == {i: top(i) for e in edges for i in e if top(i) != i}
 
 
+def test_blocks_are_bounded_by_shingles(spark):
+    members = spark.range(600).selectExpr("1L AS bucket", "id AS doc_id", "50000L AS n")
+    none = spark.createDataFrame([], "node long, component long")
+    dealt = near_dedup._dealt(members, none)
+    tasks = dealt.groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
+    assert max(r.n for r in tasks) < 3 * near_dedup.BLOCK_SHINGLES < 600 * 50000
+    # Every two members meet.
+    own = {r.doc_id: r.own for r in dealt.collect()}
+    assert {(r.i, r.j) for r in tasks} == {(a, b) for a in set(own.values()) for b in set(own.values()) if a <= b}
+
+
 # --- mixing ---------------------------------------------------------------
 def test_mixing(docs, corpus):
     size = Counter()
