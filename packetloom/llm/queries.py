@@ -8,13 +8,16 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packetloom.llm.decontamination import contamination
 from packetloom.llm.fingerprints import fingerprint_edits
+from packetloom.llm.lexical_search import lexical_search
 from packetloom.llm.line_dedup import dedup_lines
 from packetloom.llm.mixing import mixing_plan
 from packetloom.llm.near_dedup import near_duplicates
 from packetloom.llm.packing import pack
 from packetloom.llm.quality import classify
 from packetloom.llm.sharding import assign_shards
+from packetloom.llm.spelling import DAMAGE, spelling_variants
 from packetloom.llm.substring_dedup import remove_repeats
 from packetloom.llm.topk_search import top_k
 from packetloom.llm.url_filter import filter_urls
@@ -189,3 +192,77 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_quality_classifier")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+RANK_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents WHERE text IS NOT NULL),
+s AS (SELECT count(*)::BIGINT AS total, sum(len(terms))::BIGINT AS length FROM d WHERE len(terms) > 0),
+p AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d) GROUP BY ALL),
+q AS (SELECT item_id, term, count(*)::BIGINT AS times FROM (SELECT item_id, unnest(regexp_extract_all(
+  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+f AS (SELECT term, count(*)::BIGINT AS df FROM p WHERE term IN (SELECT term FROM q) GROUP BY term),
+w AS (SELECT term, floor(1000 * ln((2 * total + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM f, s),
+c AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * total) // length))) AS part FROM p JOIN w USING (term), s),
+r AS (SELECT item_id, doc_id, sum(part * times)::BIGINT AS score FROM q JOIN c USING (term) GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS n FROM r WHERE score > 0)
+SELECT item_id, CAST(n AS INT) AS rank, doc_id, score FROM o WHERE n <= 10"""
+
+
+@query("op11_lexical_search", RANK_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# The checksum is written out (polynomial 0xEDB88320), as DuckDB has no function for it. Two words are one
+# edit apart if one is the other without a letter, or both are equal without the letter at one place.
+SPELLING_SQL = """
+WITH RECURSIVE k AS (SELECT list(list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda x, s:
+  xor(x >> 1, (x & 1) * 3988292384)) ORDER BY i) AS t FROM (SELECT unnest(range(256))::BIGINT AS i)),
+u AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+g AS (SELECT doc_id, run, count(*) AS times, hex(encode(doc_id || ':' || run)) AS raw FROM u WHERE length(run) >= 7 GROUP BY doc_id, run),
+h AS (SELECT run, times, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(len(raw) // 2),
+  lambda i: ('0x' || raw[2 * i + 1:2 * i + 2])::BIGINT)), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) AS h FROM g, k),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM h),
+n AS (SELECT word, sum(times)::BIGINT AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+c AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM n)),
+e AS (SELECT a.word AS a, b.word AS b FROM c a JOIN c b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, n.word FROM c JOIN n ON c.rest = n.word UNION SELECT n.word, c.word FROM c JOIN n ON c.rest = n.word),
+b AS (SELECT a, b, f.n AS fn, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY f.n DESC, encode(b)) AS nth
+  FROM e JOIN n f ON f.word = b),
+m AS (SELECT n.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN fn >= 10 * n THEN b END AS form, CASE WHEN fn >= 10 * n THEN fn END AS form_n
+  FROM n LEFT JOIN b ON a = n.word AND nth = 1),
+r AS (SELECT word, word AS root, form FROM m UNION ALL SELECT r.word, m.word, m.form FROM r JOIN m ON m.word = r.form)
+SELECT word, n, n_near, m.form, form_n, root FROM m JOIN (SELECT word, root FROM r WHERE form IS NULL) USING (word)"""
+
+
+@query("op12_spelling_variants", SPELLING_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), damage=DAMAGE)
+
+
+LEAK_SQL = """
+WITH t AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i:i + 9], ' ') AS gram
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM t WHERE len(w) > 0)),
+d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM documents),
+z AS (SELECT DISTINCT size FROM g),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+h AS (SELECT doc_id, i, z.size, gram, item_id FROM p JOIN z ON i + z.size - 1 <= len(w)
+  JOIN g ON g.size = z.size AND gram = array_to_string(w[i:i + z.size - 1], ' ')),
+x AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM h) GROUP BY doc_id),
+o AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM h GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN x USING (doc_id) LEFT JOIN o USING (doc_id)"""
+
+
+@query("op13_decontamination", LEAK_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(
+        F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -77,7 +77,8 @@ _LONG_WORD = 256
 class WordTable:
     """The words of a column of texts, by numpy: places in the bytes, counts per text, hashes."""
 
-    def __init__(self, column: pa.Array | pa.ChunkedArray, lower: bool = False) -> None:
+    def __init__(self, column: pa.Array | pa.ChunkedArray, lower: bool = False, breaks: np.ndarray = _BLANK) -> None:
+        """``breaks`` tells of each byte whether it parts words."""
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
         column = pc.fill_null(column.cast(pa.large_binary()), b"")
@@ -91,7 +92,7 @@ class WordTable:
         self.bytes = np.zeros(size + 8, np.uint8)  # room for reading 8 bytes from any place
         self.bytes[:size] = _LOWER[data] if lower else data
         blank = np.ones(size + 2, bool)
-        blank[1:-1] = _BLANK[data]
+        blank[1:-1] = breaks[data]
         edge = np.zeros(size + 1, bool)
         edge[offsets] = True  # texts part words, too
         inside = self._inside = ~blank[1:-1]
