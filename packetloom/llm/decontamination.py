@@ -160,7 +160,7 @@ def _without(text: Column, spans: Column) -> Column:
     starts = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
     ends = F.concat(F.transform(spans, lambda s: s["first"]), F.array(F.size(words)))
     kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.zip_with(
-        F.slice(gaps, a + 1, b - a), F.slice(words, a + 1, b - a), F.concat)))
+        F.slice(gaps, a + 1, b - a), F.slice(words, a + 1, b - a), lambda x, y: F.concat(x, y))))
     return F.concat(F.array_join(kept, ""), F.element_at(gaps, -1))
 
 
