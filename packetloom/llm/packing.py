@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.support import raw_texts, split_words, text_slices
+from packetloom.llm.support import WordTable, text_slices
 from packetloom.operators.telemetry import number_rows
 from packetloom.session import cut_lineage
 
@@ -111,15 +111,30 @@ class WordCoder:
         known.update(found)
         return long
 
-    def encode(self, texts: list[list[bytes]]) -> list[bytes]:
-        """Ids of each text, given by its words."""
-        long = self.learn(set().union(*texts))
-        coded = [b"".join(map(self.known.__getitem__, words)) for words in texts]
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each of the distinct ``words``."""
+        long = self.learn(set(words))
+        coded = list(map(self.known.__getitem__, words))
         for word in long:
             del self.known[word]
         return coded
 
 
+def text_ids(coder: WordCoder, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row, and where each text's ids start; distinct words are encoded once."""
+    table = WordTable(texts)
+    _, sample, word = np.unique(table.hashes(), return_index=True, return_inverse=True)
+    view = memoryview(table.bytes)
+    coded = coder.encode([bytes(view[a:b]) for a, b in zip(table.starts[sample].tolist(), table.ends[sample].tolist(), strict=True)])
+    sizes = np.array([len(c) >> 2 for c in coded], np.int64)
+    known = np.frombuffer(b"".join(coded), "<u4")
+    before = np.cumsum(sizes) - sizes
+    counts = sizes[word]
+    ends = np.cumsum(counts)
+    ids = known[np.arange(ends[-1] if len(ends) else 0) + np.repeat(before[word] - (ends - counts), counts)]
+    return ids, np.concatenate([[0], ends])[table.first]
+
+
 def word_coder(name: str) -> WordCoder:
     """The worker's coder for a tokenizer file."""
     if name not in _CODERS:
@@ -136,9 +151,9 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CA
     def cut(batches):
         for batch in text_slices(batches):
             rows = []
-            texts = [split_words(t) for t in raw_texts(batch.column(1))]
-            for key, ids in zip(batch.column(0).to_pylist(), word_coder(tokenizer).encode(texts), strict=True):
-                ids += end
+            found, first = text_ids(word_coder(tokenizer), batch.column(1))
+            for i, key in enumerate(batch.column(0).to_pylist()):
+                ids = found[first[i]:first[i + 1]].tobytes() + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     rows.append((key, piece, at // 4, len(part) // 4, zlib.crc32(part), part)[:len(schema)])

@@ -54,11 +54,6 @@ def raw_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [text or b"" for text in column.cast(pa.binary()).to_pylist()]
 
 
-def split_words(text: bytes, lower: bool = False) -> list[bytes]:
-    """Words of a UTF-8 text; ``lower`` folds A-Z only."""
-    return (text.lower() if lower else text).split()
-
-
 def mix(values: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values so that all bits depend on all bits."""
     values = (values ^ (values >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)

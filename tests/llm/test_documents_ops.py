@@ -1,5 +1,6 @@
 """The document operators against plain Python on a small corpus, with the edge cases their docstrings define."""
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -361,8 +362,16 @@ def test_plan_is_best_fit_and_bounded():
 def test_words_encode_as_whole_texts():
     coder = packing.word_coder(packing.TOKENIZER)
     texts = ["a <|startoftext|> b<|ENDOFTEXT|>c d'S e's.. \x01 x\x01y Ünï… “quoted”.. don't!! é... 3.14,, İ. ﬁne!!", "", "ẞẞ!! ΑΣ, ΑΣΣ.", "é!! ́, a b"]
-    for text, ids in zip(texts, coder.encode([t.encode().split() for t in texts]), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+    random.seed(4)
+    ranges = [(33, 127), (160, 400), (0x370, 0x530), (0x1E00, 0x2100), (0x2010, 0x2040), (0x4E00, 0x4F00), (0xAC00, 0xAD00), (0x1F600, 0x1F640)]
+    for _ in range(300):
+        low, high = random.choice(ranges)
+        mixed = lambda: chr(random.randrange(low, high)) if random.random() < 0.6 else random.choice("aZ9.,!'é\u0301 ")
+        texts.append(" ".join("".join(mixed() for _ in range(random.randint(1, 9))) for _ in range(12)))
+    ids, first = packing.text_ids(coder, pa.array([*texts, None]))
+    for i, text in enumerate(texts):
+        assert ids[first[i]:first[i + 1]].tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert first[-1] == first[-2] == len(ids)
 
 
 # --- all ------------------------------------------------------------------
