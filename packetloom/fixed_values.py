@@ -165,6 +165,8 @@ PDF_KEYS = [
     ("/AA", "aa"), ("/Launch", "launch"), ("/EmbeddedFile", "embeddedfile"),
     ("/XFA", "xfa"), ("/AcroForm", "acroform"),
 ]
+# Pages of a PDF whose text is read.
+PDF_PAGES = 5
 HARD_STRUCTURE_FEATURES = ("javascript", "openaction", "vba_project")
 HARD_STRUCTURE_SCORE = 0.7
 FOREST = dict(trees=200, sample=256, rows=1024, contamination=0.05, seed=42, gain=5.0)

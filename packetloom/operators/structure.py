@@ -75,13 +75,19 @@ def office_features(entries: Column) -> Column:
     ))
 
 
-def pdf_features(payload: Column) -> Column:
-    """Feature map of a PDF from its uncompressed objects.
+def pdf_features(payload: Column, packed: Column | None = None) -> Column:
+    """Feature map of a PDF from its objects.
 
-    The bytes are cut at ``endobj``; keys inside compressed object streams
-    are not seen. The object count includes the free entry 0.
+    The bytes are cut at ``endobj``; of an object with a stream only what
+    stands before the stream is searched for keys. ``packed`` has the sources
+    of the objects in compressed object streams (``operators.pdf``); without
+    it they are not seen. The object count includes the free entry 0.
     """
-    objects = F.filter(F.split(as_latin1(payload), "endobj"), lambda o: F.contains(o, F.lit(" obj")))
+    written = F.filter(F.split(as_latin1(payload), "endobj"), lambda o: F.contains(o, F.lit(" obj")))
+    streams = F.size(F.filter(written, lambda o: F.contains(o, F.lit("stream")))).cast("double")
+    objects = F.transform(written, lambda o: F.substring_index(o, "stream", 1))
+    if packed is not None:
+        objects = F.concat(objects, F.coalesce(packed, F.array().cast("array<string>")))
 
     def count(test) -> Column:
         return F.size(F.filter(objects, test)).cast("double")
@@ -96,16 +102,16 @@ def pdf_features(payload: Column) -> Column:
     pairs = {
         "object_count": F.size(objects).cast("double") + 1.0,
         "page_count": count(lambda o: F.rlike(o, F.lit(r"/Type\s*/Page(?![A-Za-z])"))),
-        "stream_count": containing("stream"),
+        "stream_count": streams,
         **keys,
     }
     flat = [part for name, value in pairs.items() for part in (F.lit(name), value)]
     return F.when(F.startswith(payload, byte_literal("%PDF")), F.create_map(*flat))
 
 
-def structure_features(payload: Column, entries: Column, entropy: Column | None = None) -> Column:
+def structure_features(payload: Column, entries: Column, entropy: Column | None = None, packed: Column | None = None) -> Column:
     """Feature map of any payload; other kinds only have their entropy."""
-    found = F.coalesce(pdf_features(payload), office_features(entries), F.create_map().cast("map<string,double>"))
+    found = F.coalesce(pdf_features(payload, packed), office_features(entries), F.create_map().cast("map<string,double>"))
     if entropy is None:
         return found
     return F.map_concat(found, F.create_map(F.lit("entropy"), F.coalesce(entropy, F.lit(0.0))))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from packetloom import fixed_values as fv
@@ -162,6 +165,21 @@ def p95_latency(latencies: DataFrame) -> DataFrame:
 
 
 SLICE_ROWS = 100_000
+_WINDOWS_AT_ONCE = 8192
+
+
+def _sliding_p95(ms: np.ndarray, samples: int) -> np.ndarray:
+    """p95 of the last ``samples`` values at each value; missing ones (NaN) do not count."""
+    known = np.concatenate([np.zeros(samples, np.int64), np.cumsum(~np.isnan(ms))])
+    rank = np.maximum(1, np.floor((known[samples:] - known[:-samples]) * fv.P95).astype(np.int64))
+    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(samples - 1, np.nan), ms]), samples)
+    out = np.empty(len(ms))
+    for at in range(0, len(ms), _WINDOWS_AT_ONCE):
+        part, place = windows[at:at + _WINDOWS_AT_ONCE], rank[at:at + _WINDOWS_AT_ONCE] - 1
+        # Missing values go last; nearly all windows are full and have the same rank.
+        ordered = np.partition(part, np.unique(place), axis=1)
+        out[at:at + len(part)] = ordered[np.arange(len(part)), place]
+    return out
 
 
 def rolling_p95(latencies: DataFrame, samples: int = fv.LATENCY_SAMPLES, slice_rows: int = SLICE_ROWS) -> DataFrame:
@@ -169,7 +187,8 @@ def rolling_p95(latencies: DataFrame, samples: int = fv.LATENCY_SAMPLES, slice_r
 
     All rows are numbered by service and time and cut into slices of equal
     numbers, so neither a busy service nor a burst makes a large slice. The
-    last ``samples - 1`` rows of a slice also go to the next one.
+    last ``samples - 1`` rows of a slice also go to the next one. A task slides
+    one window over a slice.
     """
     slice_rows = max(slice_rows, samples)
     rows = latencies.select("service", "id", "ts", F.bround("ms", 1).alias("ms"))
@@ -178,9 +197,18 @@ def rolling_p95(latencies: DataFrame, samples: int = fv.LATENCY_SAMPLES, slice_r
     halo = (F.col("_n") - 1) % slice_rows >= slice_rows - (samples - 1)
     entry = lambda at, mine: F.struct(at.alias("_slice"), F.lit(mine).alias("_own"))
     dealt = numbered.select("*", F.inline(F.when(halo, F.array(entry(own, True), entry(own + 1, False))).otherwise(F.array(entry(own, True)))))
-    frame = W.partitionBy("service", "_slice").orderBy("_n").rowsBetween(-(samples - 1), 0)
-    return dealt.withColumn("_w", F.array_sort(F.collect_list("ms").over(frame))).filter("_own").select(
-        "service", "id", "ts", F.element_at("_w", _p95_rank(F.size("_w")).cast("int")).alias("p95"))
+
+    def slide(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_n")
+        service = table.column("service").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        ms = table.column("ms").to_numpy().astype(np.float64)
+        edges = [0, *(np.nonzero(service[1:] != service[:-1])[0] + 1).tolist(), len(service)]
+        p95 = np.concatenate([_sliding_p95(ms[a:b], samples) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+        out = table.select(["service", "id", "ts"]).append_column("p95", pa.array(p95, from_pandas=True))
+        return out.filter(table.column("_own"))
+
+    schema = T.StructType([rows.schema[n] for n in ("service", "id", "ts")] + [T.StructField("p95", T.DoubleType())])
+    return dealt.groupBy("_slice").applyInArrow(slide, schema)
 
 
 # --- time series ----------------------------------------------------------

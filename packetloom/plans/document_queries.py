@@ -8,6 +8,7 @@ from packetloom.operators.content import content  # noqa: F401
 from packetloom.operators.detector import detect, long_form
 from packetloom.operators.forest import fit_forest, forest_anomaly
 from packetloom.operators.metadata import metadata  # noqa: F401
+from packetloom.operators.pdf import pdf_parts
 from packetloom.operators.signatures import with_hash_intel
 from packetloom.operators import structure as st
 from packetloom.operators.verdict import DOCUMENT_MODULES, document_verdict, verdict_of_long
@@ -119,6 +120,31 @@ def pdf_structure(spark, sf):
                          F.col("structure_score").alias("score"), F.array_join(F.col("structure_findings"), "|").alias("findings"))
 
 
+# Per document: objects 4 and 6, two for each line, and the packed ones; entry 0 is free.
+@query("pdf_packed_structure", """WITH p AS (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS pages, doc_id % 11 <> 5 AS whole FROM documents),
+  f AS (SELECT doc_id, (3 + 2 * pages + CASE WHEN whole THEN 3 + (doc_id % 4 = 0)::INT ELSE 0 END)::DOUBLE AS object_count, (2 + pages)::DOUBLE AS stream_count,
+    pages::DOUBLE AS page_count, CASE WHEN whole AND doc_id % 4 = 0 THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END AS javascript,
+    CASE WHEN whole AND doc_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS openaction FROM p)
+  SELECT *, CASE WHEN javascript + openaction > 0 THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END AS score FROM f""")
+def pdf_packed_structure(spark, sf):
+    files = dv.packed_pdf_files(spark, sf).withColumn("parts", pdf_parts(F.col("payload")))
+    featured = files.withColumn("features", st.pdf_features(F.col("payload"), F.col("parts.packed")))
+    scored = detect(featured, {"structure": {"features": F.col("features"), "anomaly": F.lit(0.0)}})
+    return scored.select("doc_id", *[F.element_at("features", n).alias(n) for n in ("object_count", "stream_count", "page_count", "javascript", "openaction")],
+                         F.col("structure_score").alias("score"))
+
+
+# Texts of the first five pages; in files with one-byte codes other letters are question marks.
+# With a damaged object stream there is no map to Unicode, so those with two-byte codes are left out.
+@query("pdf_text", """WITH l AS (SELECT doc_id, array_to_string(string_split(coalesce(text, ''), chr(10))[1:5], chr(10)) AS shown FROM documents
+    WHERE doc_id % 11 <> 5 OR doc_id % 2 = 0),
+  t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN shown ELSE regexp_replace(shown, '[^\x00-\xFF]', '?', 'g') END AS text FROM l)
+  SELECT doc_id, length(text) AS n_chars, sha256(text) AS text_sha256 FROM t""")
+def pdf_text(spark, sf):
+    read = dv.packed_pdf_files(spark, sf).filter("doc_id % 11 <> 5 OR doc_id % 2 = 0").select("doc_id", pdf_parts(F.col("payload"))["text"].alias("text"))
+    return read.select("doc_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 @query("isolation_forest")
 def isolation_forest(spark, sf):
     files = dv.pdf_files(spark, sf).unionByName(dv.office_files(spark, sf).withColumn("doc_id", -F.col("doc_id") - 1))

@@ -15,6 +15,7 @@ from packetloom.operators.detector import detect
 from packetloom.operators.flows import flow_rescan, with_scan_verdicts
 from packetloom.operators.forest import IsolationForest, forest_anomaly
 from packetloom.operators.metadata import office_metadata
+from packetloom.operators.pdf import pdf_parts
 from packetloom.operators.rules import match_rules, rule_verdict
 from packetloom.operators.signatures import with_hash_intel
 from packetloom.operators.structure import container_entries, structure_features
@@ -35,23 +36,26 @@ def inspect_text(df: DataFrame, text: Column, vector_match: dict[str, Column] |
 
 def inspect_documents(df: DataFrame, payload: str = "payload", meta: str | None = None, extracted: str | None = None,
                       intel: DataFrame | None = None, forest: IsolationForest | None = None,
-                      where: Column | None = None, entries: str | None = None) -> DataFrame:
+                      where: Column | None = None, entries: str | None = None, parts: str | None = None) -> DataFrame:
     """Document verdict columns for a payload column.
 
     ``meta`` is an optional metadata map, ``extracted`` an optional column
-    with the text of PDFs, ``entries`` one with the listed container. Without ``forest`` the structure score is its hard
+    with the text of PDFs where another reader gave it, ``entries`` and
+    ``parts`` columns with the listed container and the read PDF. Without ``forest`` the structure score is its hard
     rule alone, and no entropy has to be computed.
     """
     # Rows outside `where` carry a null payload, so nothing is computed for them.
     df = df.withColumn("_data", F.col(payload) if where is None else F.when(where, F.col(payload)))
     data = F.col("_data")
-    df = df.withColumn("_entries", F.col(entries) if entries else container_entries(data))
+    df = df.withColumns({"_entries": F.col(entries) if entries else container_entries(data),
+                         "_parts": F.col(parts) if parts else pdf_parts(data)})
     body = F.get(F.filter("_entries", lambda e: e["entry_name"] == "word/document.xml"), F.lit(0))["entry_text"]
     is_pdf, is_zip = F.startswith(data, byte_literal("%PDF")), F.startswith(data, byte_literal("PK\x03\x04"))
-    text = (F.when(is_pdf, F.col(extracted) if extracted else F.lit(""))
+    shown = F.coalesce(F.col("_parts.text"), F.lit(""))
+    text = (F.when(is_pdf, F.coalesce(F.col(extracted), shown) if extracted else shown)
             .when(is_zip, F.coalesce(markup_text(body), F.lit(""))).otherwise(plain_document_text(data)))
     office = office_metadata(F.col("_entries"))
-    features = structure_features(data, F.col("_entries"), byte_entropy(data) if forest else None)
+    features = structure_features(data, F.col("_entries"), byte_entropy(data) if forest else None, F.col("_parts.packed"))
     df = df.withColumns({"_doc_text": text, "_meta": F.coalesce(F.col(meta), office) if meta else office,
                          "_features": F.when(data.isNotNull(), features)})
     anomaly = forest_anomaly(df.sparkSession, forest, F.col("_features")) if forest else F.lit(0.0)
@@ -61,7 +65,7 @@ def inspect_documents(df: DataFrame, payload: str = "payload", meta: str | None
         "content": F.col("_doc_text"), "malware": data, "metadata": F.col("_meta")})
     if intel is not None:
         df = with_hash_intel(df, data, intel).drop("intel_score")
-    return document_verdict(df).drop("_data", "_entries", "_doc_text", "_meta", "_features", "_anomaly")
+    return document_verdict(df).drop("_data", "_entries", "_parts", "_doc_text", "_meta", "_features", "_anomaly")
 
 
 def traffic_verdict(traffic: DataFrame, rules: DataFrame, image_verdicts: DataFrame | None = None, *,
@@ -77,8 +81,8 @@ def traffic_verdict(traffic: DataFrame, rules: DataFrame, image_verdicts: DataFr
     table are small, and usable on a stream.
     """
     # Python runs first, below all native stages, so that those stay apart.
-    listed = container_entries(F.when(F.col("content_type") == "document", F.col("payload")))
-    ready, match = traffic.withColumn("_listed", listed), None
+    document = F.when(F.col("content_type") == "document", F.col("payload"))
+    ready, match = traffic.withColumns({"_listed": container_entries(document), "_read": pdf_parts(document)}), None
     if concepts is not None:
         matched = best_concept(ready.withColumn("_vector", F.when(F.col("content_type") == "text", F.col(vector))), "_vector", concepts)
         ready = matched.withColumnsRenamed({"similarity": "_similarity", "concept": "_concept"}).drop("_vector")
@@ -87,7 +91,7 @@ def traffic_verdict(traffic: DataFrame, rules: DataFrame, image_verdicts: DataFr
     undecided = F.col("rule").isNull()
     text_row = undecided & (F.col("content_type") == "text")
     document_row = undecided & (F.col("content_type") == "document") & F.col("payload").isNotNull()
-    kept = [*traffic.columns, "_listed", "rule"]
+    kept = [*traffic.columns, "_listed", "_read", "rule"]
 
     # One flat column per kind of row and verdict field; see operators.detector.
     def keep(df: DataFrame, row: Column, prefix: str, earlier: list[str]) -> DataFrame:
@@ -95,7 +99,7 @@ def traffic_verdict(traffic: DataFrame, rules: DataFrame, image_verdicts: DataFr
 
     done = keep(inspect_text(base, F.col("text_content"), match, text_row), text_row, "_text", [])
     text_fields = [f"_text_{name}" for name in _FIELDS]
-    documents = inspect_documents(done, meta=meta, extracted=extracted, intel=intel, forest=forest, where=document_row, entries="_listed")
+    documents = inspect_documents(done, meta=meta, extracted=extracted, intel=intel, forest=forest, where=document_row, entries="_listed", parts="_read")
     done = keep(documents, document_row, "_document", text_fields)
     prefixes = ["_text", "_document"]
     if image_verdicts is not None:

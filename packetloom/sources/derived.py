@@ -176,6 +176,55 @@ def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir, "documents").select("doc_id", body.cast("binary").alias("payload"))
 
 
+def packed_pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PDFs with one page per line of the documents, objects in object streams and text in content streams.
+
+    By doc_id keys are planted in the object stream, the stream is damaged, and
+    texts are written in two-byte codes with a map to Unicode.
+    """
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zlib
+
+        def flate(number: int, entries: str, body: bytes, damaged: bool = False) -> bytes:
+            body = zlib.compress(body)
+            body = body[:2] + b"\xff" * (len(body) - 2) if damaged else body
+            return b"%d 0 obj\n<< %s /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream\nendobj\n" % (
+                number, entries.encode(), len(body), body)
+
+        def literal(line: str) -> bytes:
+            raw = line.encode("latin-1", errors="replace")
+            return b"(" + raw.replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)").replace(b"\r", b"\\r") + b")"
+
+        cmap = b"1 begincodespacerange\n<0000> <FFFF>\nendcodespacerange\n1 beginbfrange\n<0000> <FFFF> <0000>\nendbfrange"
+        for batch in batches:
+            out = []
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                lines = (text or "").split("\n")
+                wide = doc_id % 2 == 1
+                show = (lambda line: b"<" + line.encode("utf-16-be", errors="ignore").hex().encode() + b">") if wide else literal
+                kids = " ".join(f"{100 + 2 * i} 0 R" for i in range(len(lines)))
+                packed = [(1, "<< /Type /Catalog /Pages 2 0 R" + (" /OpenAction 5 0 R" if doc_id % 3 == 0 else "") + " >>"),
+                          (2, f"<< /Type /Pages /Kids [{kids}] /Resources << /Font << /F1 3 0 R >> >> >>"),
+                          (3, "<< /Type /Font" + (" /ToUnicode 6 0 R" if wide else "") + " >>")]
+                if doc_id % 4 == 0:
+                    packed.append((5, "<< /S /JavaScript /JS (x) >>"))
+                head, body = "", ""
+                for number, source in packed:
+                    head += f"{number} {len(body)} "
+                    body += source + " "
+                # A damaged object stream loses the catalog; pages are then taken in order of their numbers.
+                file = b"%PDF-1.5\n" + flate(4, f"/Type /ObjStm /N {len(packed)} /First {len(head)}", (head + body).encode(), doc_id % 11 == 5)
+                file += flate(6, "", cmap)
+                for i, line in enumerate(lines):
+                    file += b"%d 0 obj\n<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>\nendobj\n" % (100 + 2 * i, 101 + 2 * i)
+                    file += flate(101 + 2 * i, "", b"BT /F1 9 Tf 1 0 0 1 50 700 Tm " + show(line) + b" Tj ET")
+                out.append(file + b"trailer\n%%EOF")
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "payload": out})
+
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.mapInPandas(pack, "doc_id bigint, payload binary")
+
+
 def office_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Office containers around the documents; parts are planted by doc_id."""
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
