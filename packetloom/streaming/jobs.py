@@ -143,7 +143,7 @@ class _Series(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows))
         held = pd.DataFrame(list(self.counts.get()) if self.counts.exists() else [], columns=["bucket", "a", "b", "c"], dtype="int64")
-        ring = pd.DataFrame(list(self.latencies.get()) if self.latencies.exists() else [], columns=["bucket", "a", "b", "ms"])
+        ring = pd.DataFrame(list(self.latencies.get()) if self.latencies.exists() else [], columns=["bucket", "a", "b", "ms"], dtype="float64")
         counts = pd.concat([held, new.loc[new["kind"] == _COUNTS, ["bucket", "a", "b", "c"]]]).assign(key="")
         ring = pd.concat([ring, new.loc[new["kind"] == _LATENCY, ["bucket", "a", "b", "ms"]]]).astype(
             {"bucket": "int64", "a": "int64", "b": "int64", "ms": "float64"}).assign(key="")
@@ -294,6 +294,7 @@ def stream_reassembly(chunks: DataFrame, limit: int = fv.BUFFER_LIMIT_BYTES, idl
 
     ``idle_ms`` drops the state of a connection that had no chunk for that
     many milliseconds of processing time; its messages count from 0 again.
+    With it Spark runs on for its timers, also under ``availableNow``.
     """
     use_rocksdb(chunks.sparkSession)
     rows = chunks.select("conn_id", "direction", "seq", F.octet_length("data").alias("size"),
