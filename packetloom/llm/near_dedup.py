@@ -37,7 +37,6 @@ from pyspark.sql import functions as F
 
 from packetloom.llm.shingles import HASHES, SIGNED_DDL, set_rows, signed_rows
 from packetloom.llm.support import stored
-from packetloom.session import cut_lineage
 
 PERCENT = 75
 MARGIN = 0.2
@@ -74,7 +73,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut_lineage(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -178,23 +177,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
             F.col("likeness") >= percent / 100 - MARGIN)
 
     stars = members.filter("doc_id > least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
-    stars = cut_lineage(likely(stars))
+    stars = stored(likely(stars), "stars")
     if not stars.take(1) and not members.take(1):
         links = None
     else:
         wanted = members.select("doc_id").distinct()
         sets = stored(body.join(wanted, "doc_id", "left_semi").mapInArrow(set_rows, "doc_id long, shingles binary"), "shingles")
         best = stars.groupBy("b").agg(F.max_by("a", "likeness").alias("a")).select("a", "b")
-        tested = cut_lineage(best)
-        links = cut_lineage(confirm(tested, sets, percent))
-        groups = cut_lineage(components(links))
-        rest = cut_lineage(_across(stars.select("a", "b").join(tested, ["a", "b"], "left_anti"), groups).select("a", "b"))
+        tested = stored(best, "tested")
+        links = stored(confirm(tested, sets, percent), "links")
+        groups = stored(components(links), "groups")
+        rest = stored(_across(stars.select("a", "b").join(tested, ["a", "b"], "left_anti"), groups).select("a", "b"), "rest")
         if rest.take(1):
-            links = cut_lineage(links.union(confirm(rest, sets, percent)))
-            groups = cut_lineage(components(links))
+            links = stored(links.union(confirm(rest, sets, percent)), "links")
+            groups = stored(components(links), "groups")
         more = stored(_links_across(members.select("bucket", "doc_id", "n"), groups, sets, percent), "links-across")
         if more.take(1):
-            groups = cut_lineage(components(links.union(more)))
+            groups = stored(components(links.union(more)), "groups")
         links = groups
     keyed = signed.join(classes.select(F.col("set_key").alias("_key"), "rep"),
                         (F.col("set_key") == F.col("_key")) & F.col("doc_id").isNotNull(), "left")
