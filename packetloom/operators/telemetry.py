@@ -45,16 +45,25 @@ def number_rows(df: DataFrame, name: str, *order: str) -> DataFrame:
         name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_at", "_before")
 
 
-def to_threats(log: DataFrame, after: int = 0) -> DataFrame:
-    """Threat rows of the blocked log rows, numbered in log order from ``after`` on."""
-    blocked = number_rows(log.filter("level = 'BLOCK'"), "n", "ts", "id")
-    return blocked.withColumn("t", classify_threat(F.col("reason"))).select(
+def number_blocked(log: DataFrame) -> DataFrame:
+    """The blocked rows of a log, numbered ``n`` in log order."""
+    return number_rows(log.filter("level = 'BLOCK'"), "n", "ts", "id")
+
+
+def threat_rows(numbered: DataFrame, after: int = 0) -> DataFrame:
+    """Threat rows of numbered blocked rows, from number ``after + 1`` on."""
+    return numbered.withColumn("t", classify_threat(F.col("reason"))).select(
         F.format_string("T-%05d", F.col("n") + after).alias("threat_id"), F.col("id").alias("event_id"), "ts",
         F.col("t.severity").alias("severity"), F.col("t.type").alias("type"), "src",
         source_region(F.col("src")).alias("src_region"), "dst", "rule",
         F.lit("Blocked").alias("action"), F.col("t.confidence").alias("confidence"))
 
 
+def to_threats(log: DataFrame, after: int = 0) -> DataFrame:
+    """Threat rows of the blocked log rows, numbered in log order from ``after`` on."""
+    return threat_rows(number_blocked(log), after)
+
+
 def latest(df: DataFrame, n: int, ts: str = "ts", key: str = "id") -> DataFrame:
     """Newest ``n`` rows; a per-task top-k, not a full sort."""
     return df.orderBy(F.desc(ts), F.desc(key)).limit(n)

@@ -14,7 +14,7 @@ from packetloom.session import scratch_path
 from packetloom.sources import derived as dv
 from packetloom.sources.rule_store import change_rules, publish_rules
 from packetloom.streaming import jobs
-from packetloom.streaming.sinks import latest_update, read_batches, start_batches, start_log
+from packetloom.streaming.sinks import latest_update, read_batches, start_batches, start_log, start_threats
 
 
 def _run(spark, stream, name, mode="append", start=start_batches, **options):
@@ -68,6 +68,20 @@ def stream_live_rules(spark, sf):
     return read_batches(spark, f"{path}/out").select("id", "rule_id", "status", "rule_version")
 
 
+@query("stream_threats", f"""WITH {sp.EVENTS}, {sp.LOG} SELECT printf('T-%05d', row_number() OVER (ORDER BY id % {_PARTS}, ts, id)) AS threat_id, id AS event_id,
+  {sp.threat('severity')} AS severity, {sp.threat('type')} AS type FROM l WHERE level = 'BLOCK'""")
+def stream_threats(spark, sf):
+    """Four appends to one sink, in turn by two streams."""
+    path = scratch_path(spark, "stream-threats")
+    verdicts = dv.events_x(spark, sf).select("id", "ts", "source_ip", "destination_ip", "proto", "status", F.lit("high").alias("risk_level"), "reason")
+    for part in range(_PARTS):
+        name = f"{path}/in-{part % 2}"
+        verdicts.filter(F.col("id") % _PARTS == part).write.mode("append").parquet(name)
+        stream = spark.readStream.schema(verdicts.schema).parquet(name)
+        start_threats(stream, f"{path}/threats", f"{path}/checkpoint-{part % 2}").awaitTermination()
+    return spark.read.parquet(f"{path}/threats").select("threat_id", "event_id", "severity", "type")
+
+
 @query("stream_live_series", ORACLES["series_48"])
 def stream_live_series(spark, sf):
     log = dv.events_x(spark, sf, stream=True).select("ts", "id", log_level(F.col("status")).alias("level"), F.col("value").alias("ms"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from packetloom.operators.telemetry import to_log
+from packetloom.sources.sinks import write_threats
 
 
 def _batch_writer(path: str):
@@ -23,11 +24,20 @@ def start_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
 
 
 def start_log(verdicts: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Write the log rows of a stream of verdicts.
+    """Write the log rows of a stream of verdicts; ``start_threats`` writes its threats."""
+    return start_batches(to_log(verdicts), path, checkpoint, trigger=trigger)
+
+
+def start_threats(verdicts: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Append the numbered threats of a stream of verdicts to a threat sink.
 
-    The threat feed is a view of the log; see ``operators.telemetry.to_threats``.
+    Other streams and batch jobs may append to the same sink.
     """
-    return start_batches(to_log(verdicts), path, checkpoint, trigger=trigger)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_threats(batch, path, source=checkpoint, batch=batch_id)
+
+    writer = to_log(verdicts).writeStream.option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).foreachBatch(write).start()
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from packetloom.operators.rules import match_rules
 from packetloom.operators.telemetry import recent_series
 from packetloom.schemas import RULE_TABLE
-from packetloom.sources import commit_log
+from packetloom.sources import commit_log, sinks
 from packetloom.sources.rule_store import change_rules, current_version, publish_rules, read_version
 from packetloom.streaming import jobs
 from packetloom.streaming.sinks import latest_update, read_batches, start_batches
@@ -212,3 +212,31 @@ def test_rolling_p95_with_missing_values(spark):
         seen = sorted(x for x in range(max(0, i - 9), i + 1) if x % 3 == 0)
         assert found[i] == seen[max(0, int(len(seen) * 0.95) - 1)]
     assert [found[100 + i] for i in range(3)] == [None] * 3
+
+
+def blocked_log(spark, ids):
+    return spark.createDataFrame([(i,) for i in ids], "id long").selectExpr(
+        "id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(id % 3, 0, 0, id) AS ts", "IF(id % 4 = 0, 'ALLOW', 'BLOCK') AS level", "'1.2.3.4' AS src", "'d' AS dst",
+        "'r' AS rule", "'malware' AS reason", "'block' AS status", "'high' AS risk_level", "'TCP' AS proto", "'-' AS bytes", "'m' AS msg")
+
+
+def test_threat_numbers_of_several_writers_and_a_replay(spark, tmp_path):
+    sink = str(tmp_path / "threats")
+    assert sinks.last_threat(spark, sink) == 0
+    sinks.write_threats(blocked_log(spark, range(0, 20)), sink)
+    sinks.write_threats(blocked_log(spark, range(20, 30)), sink, "one", 0)
+    sinks.write_threats(blocked_log(spark, range(30, 40)), sink, "two", 0)
+    sinks.write_threats(blocked_log(spark, [40, 44]), sink, "two", 1)  # nothing blocked
+    before = {r.event_id: r.threat_id for r in spark.read.parquet(sink).collect()}
+    # Replays, also of a stream that another one has overtaken.
+    sinks.write_threats(blocked_log(spark, range(20, 30)), sink, "one", 0)
+    sinks.write_threats(blocked_log(spark, [40, 44]), sink, "two", 1)
+    sinks.write_threats(blocked_log(spark, range(50, 60)), sink, "one", 1)
+    rows = spark.read.parquet(sink).collect()
+    after = {r.event_id: r.threat_id for r in rows}
+    assert len(rows) == len(after) == sum(i % 4 > 0 for i in [*range(40), *range(50, 60)])
+    assert before.items() <= after.items()
+    assert sorted(after.values()) == [f"T-{n:05d}" for n in range(1, len(rows) + 1)]
+    assert sinks.last_threat(spark, sink) == len(rows)
+    with pytest.raises(ValueError):
+        sinks.write_threats(blocked_log(spark, [1]), sink, "one", 1)
