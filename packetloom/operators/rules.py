@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +15,7 @@ from packetloom import fixed_values as fv
 from packetloom.functions.strings import strip
 from packetloom.operators.telemetry import number_rows
 from packetloom.schemas import RULE_TABLE
-from packetloom.session import SMALL_TABLE_ROWS, rows_if_small
+from packetloom.session import SMALL_TABLE_ROWS, cut_lineage, rows_if_small
 
 _EQUAL = {"ip_src": F.lower, "ip_dst": F.lower, "port": lambda c: c}
 _COLUMN = {"ip_src": "source_ip", "ip_dst": "destination_ip", "port": "port",
@@ -23,6 +25,8 @@ _SUBSTRING = ("domain", "keyword")
 CHAIN_LIMIT = 256
 _RANK_TYPE = "struct<priority:int,seq:int,id:string,action:string,match_type:string,value:string>"
 _ANCHOR = 3
+# Largest filter of anchors: 8 MB.
+_FILTER_BITS = 26
 
 
 def rules_by_priority(rules: DataFrame) -> DataFrame:
@@ -53,15 +57,62 @@ def _chain(rules: list[Row], fields: dict[str, Column]) -> Column:
     return F.coalesce(*[F.when(_test(r, fields), _rank_literal(r)) for r in ordered])
 
 
-def _grams_of(text: str | None) -> list[str]:
-    """All distinct substrings of one to ``_ANCHOR`` characters, and ''."""
-    text = text or ""
-    return list({text[i:i + n] for n in range(1, _ANCHOR + 1) for i in range(len(text) - n + 1)} | {""})
+def _gram_key(gram: Column) -> Column:
+    """Number of a gram of up to ``_ANCHOR`` characters; 0 for the empty one."""
+    return F.when(gram == "", F.lit(0).cast("long")).otherwise(F.aggregate(
+        F.split(gram, ""), F.lit(0).cast("long"), lambda key, char: F.shiftleft(key, 21) + F.ascii(char) + 1))
 
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def _grams(text: pa.Array) -> pa.Array:
-    return pa.array([_grams_of(value.as_py()) for value in text], pa.list_(pa.string()))
+def _gram_keys(text: str | None) -> np.ndarray:
+    """Numbers of all distinct substrings of one to ``_ANCHOR`` characters, and of the empty one."""
+    chars = np.frombuffer((text or "").encode("utf-32-le", errors="surrogatepass"), "<u4").astype(np.int64) + 1
+    keys, longer = [np.zeros(1, np.int64)], np.zeros(len(chars), np.int64)
+    for size in range(min(_ANCHOR, len(chars))):
+        longer = (longer[:len(chars) - size] << 21) + chars[size:]
+        keys.append(longer)
+    return np.unique(np.concatenate(keys))
+
+
+def _places(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Two places of each key in a filter of ``2 ** bits`` bits."""
+    mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    shift = np.uint64(64 - bits)
+    return np.stack([mixed >> shift, (mixed << np.uint64(bits)) >> shift]).astype(np.int64)
+
+
+def _anchor_filter(filed: DataFrame) -> tuple[int, np.ndarray]:
+    """Bloom filter of the anchors: 16 bits or more for each, up to ``_FILTER_BITS`` in all."""
+    bits = min(_FILTER_BITS, max(10, (16 * filed.count()).bit_length()))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _places(batch.column(0).to_numpy(), bits).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.int64(1) << (at & 63))], names=["word", "bits"])
+
+    # At most one row per 64 bits of the filter.
+    words = filed.select("_key").distinct().mapInArrow(fill, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return bits, out
+
+
+def _anchors_in(spark: SparkSession, filed: DataFrame):
+    """Function from texts to the keys of their grams that may be anchors."""
+    known = spark.sparkContext.broadcast(_anchor_filter(filed))
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def anchors(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bits, words = known.value
+        for batch in texts:
+            rows = []
+            for value in batch:
+                keys = _gram_keys(value.as_py())
+                at = _places(keys, bits)
+                rows.append(keys[((words[at >> 6] >> (at & 63)) & 1).all(axis=0)])
+            yield pa.array(rows, pa.list_(pa.int64()))
+
+    return anchors
 
 
 def _rarest(filed: DataFrame) -> DataFrame:
@@ -98,22 +149,32 @@ def _automaton(rules: list[Row]) -> Column:
     none = len(rules)
 
     @F.arrow_udf("int")
-    def winner(src: pa.Array, dst: pa.Array, port: pa.Array, text: pa.Array) -> pa.Array:
-        machines = {kind: build(values) for kind, values in parts.items()}
-        out = []
-        for s, d, p, t in zip(src.to_pylist(), dst.to_pylist(), port.to_pylist(), text.to_pylist()):
-            best = min(equal["ip_src"].get(s, none), equal["ip_dst"].get(d, none), equal["port"].get(p, none))
-            for kind, value in (("domain", d), ("keyword", t)):
-                if value is not None:
-                    best = min(best, parts[kind].get("", none))
-                    if len(machines[kind]):
-                        best = min(best, min((n for _, n in machines[kind].iter(value)), default=none))
-            out.append(best if best < none else -1)
-        return pa.array(out, pa.int32())
+    def winner(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        machines = {kind: build(values) for kind, values in parts.items()}  # once per task
+        for batch in batches:
+            out = []
+            for s, d, p, t in zip(*[column.to_pylist() for column in batch]):
+                best = min(equal["ip_src"].get(s, none), equal["ip_dst"].get(d, none), equal["port"].get(p, none))
+                for kind, value in (("domain", d), ("keyword", t)):
+                    if value is not None:
+                        best = min(best, parts[kind].get("", none))
+                        if len(machines[kind]):
+                            best = min(best, min((n for _, n in machines[kind].iter(value)), default=none))
+                out.append(best if best < none else -1)
+            yield pa.array(out, pa.int32())
 
     return winner(F.lower("source_ip"), F.lower("destination_ip"), F.col("port"), F.lower("text_content"))
 
 
+def anchored_texts(once: DataFrame, filed: DataFrame) -> DataFrame:
+    """(_hash, _key) of the grams of each text that are, or look in a filter like, the anchor of a rule.
+
+    The filter is tested where the text is read, so a text gives about as many
+    rows as it holds anchors, not one for every gram.
+    """
+    return once.select("_hash", F.explode(_anchors_in(once.sparkSession, filed)("_text")).alias("_key"))
+
+
 def substring_matches(df: DataFrame, key: str, ranked: DataFrame, kind: str) -> DataFrame:
     """(key, rank) of the best substring rule, for rule tables of any size.
 
@@ -123,9 +184,10 @@ def substring_matches(df: DataFrame, key: str, ranked: DataFrame, kind: str) ->
     matched once.
     """
     filed = _rarest(ranked.filter(F.col("match_type") == kind).groupBy("_v").agg(F.min("_rank").alias("_rank")))
+    filed = cut_lineage(filed.withColumn("_key", _gram_key(F.col("_gram"))).drop("_gram"))
     text = df.select(key, F.lower(_COLUMN[kind]).alias("_text"))
     once = text.filter("_text IS NOT NULL").select("_text", F.md5("_text").alias("_hash")).dropDuplicates(["_hash"])
-    pairs = once.select("_hash", F.explode(_grams("_text")).alias("_gram")).join(filed, "_gram").select("_hash", "_v", "_rank").distinct()
+    pairs = anchored_texts(once, filed).join(filed, "_key").select("_hash", "_v", "_rank").distinct()
     found = pairs.join(once, "_hash").filter(F.contains("_text", F.col("_v"))).groupBy("_hash").agg(
         F.min("_rank").alias(f"_rule_{kind}"))
     return text.select(key, F.md5("_text").alias("_hash")).join(found, "_hash").drop("_hash")

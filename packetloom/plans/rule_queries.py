@@ -83,7 +83,7 @@ def rules_by_priority(spark, sf):
     return number_rows(ru.rules_by_priority(_page_rules(spark, sf)), "place", "priority", "seq").select("id", "priority", "seq", "place")
 
 
-@query("rule_first_match", f"""WITH {sp.DOCS}, {sp.EVENTS}, {sp.TRAFFIC}, {sp.RULE_ROWS}, {sp.MATCHED}
+@query("rule_first_match", f"""WITH {sp.DOCS}, {sp.EVENTS}, {sp.TRAFFIC_IDS}, {sp.RULE_ROWS}, {sp.MATCHED_IDS}
   SELECT id, rule_id, CASE action WHEN 'block' THEN 'block' WHEN 'allow' THEN 'allow' END AS status,
   CASE action WHEN 'block' THEN 'critical' WHEN 'allow' THEN 'safe' END AS risk_level,
   'Static rule match (' || match_type || '=' || rule_value || '): ' || upper(action) AS reason, 'R-' || rule_id AS rule_label FROM m""")

@@ -93,4 +93,11 @@ TRAFFIC = """tr AS (SELECT e.*, doc_id, text AS text_content FROM e JOIN d ON d.
 MATCHED = f"""m AS (SELECT tr.*, w.rule_id, w.action, w.match_type, w.rule_value FROM tr LEFT JOIN (
   SELECT tr.id AS eid, r.id AS rule_id, r.action, r.match_type, r.value AS rule_value,
     row_number() OVER (PARTITION BY tr.id ORDER BY r.priority, r.seq) AS nth FROM tr JOIN r ON {RULE_TEST}) w ON w.eid = tr.id AND w.nth = 1)"""
+# The same over ids alone: each document meets the keyword rules once, and events carry no texts.
+TRAFFIC_IDS = "tr AS (SELECT e.*, doc_id FROM e JOIN (SELECT doc_id FROM documents) ON doc_id = e.event_id % (SELECT count(*) FROM documents))"
+MATCHED_IDS = """kw AS (SELECT doc_id AS kd, r.id AS kr FROM d JOIN r ON r.match_type = 'keyword' AND contains(lower(text), r.value)),
+w AS (SELECT tr.id AS eid, r.id AS rule_id, r.action, r.match_type, r.value AS rule_value, row_number() OVER (PARTITION BY tr.id ORDER BY r.priority, r.seq) AS nth
+  FROM tr CROSS JOIN r LEFT JOIN kw ON kd = tr.doc_id AND kr = r.id WHERE CASE r.match_type WHEN 'ip_src' THEN lower(source_ip) = r.value
+    WHEN 'ip_dst' THEN lower(destination_ip) = r.value WHEN 'port' THEN port = r.value WHEN 'domain' THEN contains(lower(destination_ip), r.value) ELSE kr IS NOT NULL END),
+m AS (SELECT tr.*, rule_id, action, match_type, rule_value FROM tr LEFT JOIN w ON eid = tr.id AND nth = 1)"""
 ALLOWED = r"""regexp_matches(host, '^.*\.(whatsapp\.net|whatsapp\.com|snapchat\.com|sc-cdn\.net|fortinet\.net|google\.com|wicar\.org)$')"""

@@ -14,7 +14,7 @@ _TEXT_SCORES = f"""{sp.CODE}, {sp.PII}, {sp.CONTENT}, ts AS (SELECT c.doc_id, gr
   CASE WHEN {sp.EICAR.replace('text', 'c.text')} THEN 0.95::DOUBLE ELSE 0.0::DOUBLE END AS mal, content_score FROM c JOIN p USING (doc_id) JOIN content USING (doc_id))"""
 _TEXT_JUDGE = """CASE WHEN text_hi > 0.8 THEN 'critical' WHEN text_hi > 0.5 THEN 'medium' ELSE 'safe' END"""
 _BY_RULE = "CASE action WHEN 'block' THEN 'critical' WHEN 'allow' THEN 'safe' END"
-VERDICT_SQL = f"""{sp.DOCS}, {sp.EVENTS}, {sp.TRAFFIC}, {sp.RULE_ROWS}, {sp.MATCHED}, {_TEXT_SCORES}, {IMAGE_VERDICT_SQL},
+VERDICT_SQL = f"""{sp.DOCS}, {sp.EVENTS}, {sp.TRAFFIC_IDS}, {sp.RULE_ROWS}, {sp.MATCHED_IDS}, {_TEXT_SCORES}, {IMAGE_VERDICT_SQL},
   j AS (SELECT m.*, text_hi, greatest(mal, content_score) AS doc_hi, mal * 0.4::DOUBLE + content_score * 0.2::DOUBLE AS doc_w, i.status AS istatus, i.risk_level AS irisk, i.reason AS ireason
     FROM m JOIN ts USING (doc_id) LEFT JOIN image_v i ON i.image_id = m.id),
   tv AS (SELECT id, ts, source_ip, destination_ip, proto, content_type, rule_id,

@@ -61,3 +61,26 @@ def test_config_files(spark, tmp_path):
     assert [r["host"] for r in read_allowlist(spark, str(tmp_path / "hosts.json")).collect()] == ["a.com", "*.b.net"]
     files = read_files(spark, str(tmp_path), "*.json").select("name", F.length("content").alias("n"), "length").collect()
     assert {f["name"] for f in files} == {"rules.json", "hosts.json"} and all(f["n"] == f["length"] for f in files)
+
+
+def test_texts_give_rows_for_their_anchors_only(spark):
+    """50,000 keyword rules: few grams of a text leave the task, and all matches are found."""
+    import random
+
+    from packetloom.operators import rules as ru
+    from packetloom.schemas import RULE_TABLE
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzé🙂", k=rng.randint(5, 9)))
+    values = [word() for _ in range(50_000)]
+    values[7], values[8] = "", "x"
+    table = spark.createDataFrame([(f"r{i}", "block", "keyword", v, 10, i not in (7, 8), "", 0, None, i) for i, v in enumerate(values)], RULE_TABLE)
+    texts = [" ".join(rng.choice(values) if rng.random() < 0.1 else str(rng.randrange(10**6)) for _ in range(200)) for _ in range(30)] + ["", None, "12 34"]
+    rows = spark.createDataFrame([(i, "1.1.1.1", "a.com", "80", t) for i, t in enumerate(texts)],
+                                 "id long, source_ip string, destination_ip string, port string, text_content string")
+    found = {r.id: r.rule and r.rule.id for r in ru.match_rules(rows, table).collect()}
+    live = [(v, f"r{i}") for i, v in enumerate(values) if i not in (7, 8)]
+    assert found == {i: next((r for v, r in live if t is not None and v in t), None) for i, t in enumerate(texts)}
+    filed = spark.createDataFrame([(v,) for v in ("abc", "q", "é🙂z", "")], "g string").select(ru._gram_key(ru.F.col("g")).alias("_key"))
+    once = rows.filter("text_content IS NOT NULL").selectExpr("text_content AS _text", "id AS _hash")
+    true = sum(len({g for g in ("abc", "q", "é🙂z", "") if g in t}) for t in texts if t is not None)
+    assert true <= ru.anchored_texts(once, filed).count() <= 1.2 * true + 5
