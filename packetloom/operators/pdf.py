@@ -150,27 +150,38 @@ def _tokens(data: bytes) -> Iterator[tuple[str, bytes]]:
             yield ("name", word[1:]) if char == b"/" else ("word", word)
 
 
-def _to_unicode(cmap: bytes) -> tuple[int, dict[int, str]]:
-    """Bytes per code and the text of each code."""
-    def text(digits: bytes) -> str:
-        return _unhex(digits).decode("utf-16-be", errors="ignore")
-
-    space = re.search(rb"begincodespacerange\s*<([0-9A-Fa-f]+)>", cmap)
-    width, known = (len(space[1]) + 1) // 2 if space else 1, {}
-    for block in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.S):
-        pairs = _HEX.findall(block)
-        known.update((int.from_bytes(_unhex(a)), text(b)) for a, b in zip(pairs[::2], pairs[1::2]))
-    for block in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.S):
-        for low, high, first, several in re.findall(rb"<(\w+)>\s*<(\w+)>\s*(?:<(\w+)>|\[(.*?)\])", block, re.S):
-            low, high = int(low, 16), min(int(high, 16), int(low, 16) + 0xFFFF)
-            if first:
-                start = _unhex(first)
-                head, last = start[:-2], int.from_bytes(start[-2:])
-                known.update((code, (head + ((last + code - low) & 0xFFFF).to_bytes(min(2, len(start)))).decode("utf-16-be", errors="ignore"))
-                             for code in range(low, high + 1))
-            else:
-                known.update(zip(range(low, high + 1), map(text, _HEX.findall(several))))
-    return max(1, width), known
+class _CodeMap(dict):
+    """Text of each code of a font; codes in ranges are looked up when they are met."""
+
+    def __init__(self, cmap: bytes) -> None:
+        super().__init__()
+        space = re.search(rb"begincodespacerange\s*<([0-9A-Fa-f]+)>", cmap)
+        self.width = max(1, (len(space[1]) + 1) // 2 if space else 1)
+        self.ranges: list[tuple[int, int, bytes]] = []
+        for block in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.S):
+            pairs = _HEX.findall(block)
+            self.update((int.from_bytes(_unhex(a)), _utf16(_unhex(b))) for a, b in zip(pairs[::2], pairs[1::2]))
+        for block in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.S):
+            for low, high, first, several in re.findall(rb"<(\w+)>\s*<(\w+)>\s*(?:<(\w+)>|\[(.*?)\])", block, re.S):
+                if first:
+                    self.ranges.append((int(low, 16), int(high, 16), _unhex(first)))
+                else:
+                    self.update(zip(range(int(low, 16), int(high, 16) + 1), (_utf16(_unhex(x)) for x in _HEX.findall(several))))
+
+    def __missing__(self, code: int) -> str:
+        text = ""
+        for low, high, first in self.ranges:
+            if low <= code <= high:
+                # The last unit of the first text counts on.
+                last = int.from_bytes(first[-2:]) + code - low
+                text = _utf16(first[:-2] + (last & 0xFFFF).to_bytes(2))
+                break
+        self[code] = text
+        return text
+
+
+def _utf16(raw: bytes) -> str:
+    return raw.decode("utf-16-be", errors="ignore")
 
 
 class _Pages:
@@ -181,7 +192,7 @@ class _Pages:
         self.packed = packed_objects(self.objects)
         for number, source in self.packed.items():
             self.objects.setdefault(number, (source, None))
-        self.fonts: dict[int, tuple[int, dict[int, str]] | None] = {}
+        self.fonts: dict[int | None, _CodeMap | None] = {}
 
     def source(self, number: int) -> bytes:
         return self.objects.get(number, (b"", None))[0]
@@ -221,19 +232,18 @@ class _Pages:
                 return {name: int(ref) for name, ref in _NAMED.findall(listed.split(b">>", 1)[0])}
         return {}
 
-    def code_map(self, font: int | None) -> tuple[int, dict[int, str]] | None:
+    def code_map(self, font: int | None) -> _CodeMap | None:
         if font not in self.fonts:
             found = re.search(rb"/ToUnicode\s+(\d{1,10})\s+\d+\s+R", self.source(font)) if font is not None else None
             cmap = _inflate(*self.objects.get(int(found[1]), (b"", None))) if found else None
-            self.fonts[font] = _to_unicode(cmap) if cmap else None
+            self.fonts[font] = _CodeMap(cmap) if cmap else None
         return self.fonts[font]
 
     def shown(self, raw: bytes, font: int | None) -> str:
         known = self.code_map(font)
         if known is None:
             return raw.decode("cp1252", errors="ignore")
-        width, texts = known
-        return "".join(texts.get(int.from_bytes(raw[i:i + width]), "") for i in range(0, len(raw), width))
+        return "".join(known[int.from_bytes(raw[i:i + known.width])] for i in range(0, len(raw), known.width))
 
     def text(self, path: list[int]) -> str:
         source = self.source(path[-1])
