@@ -73,14 +73,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Small enough that buckets split at several depths in small tables, too.
-SHARD_BYTES = 256 << 10
+SHARD_BYTES = 160 << 10
 SHARD_SQL = """
 WITH d AS (SELECT doc_id, coalesce(strlen(text), 0) AS bytes,
   lpad(bin(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT)), 60, '0') AS address FROM documents),
 p AS (SELECT t AS depth, substr(address, 1, t) AS shard, sum(bytes)::BIGINT AS shard_bytes
   FROM d, range(0, 25) r(t) GROUP BY ALL),
 f AS (SELECT doc_id, bytes, shard, depth, shard_bytes, row_number() OVER (PARTITION BY doc_id ORDER BY depth) AS nth
-  FROM d JOIN p ON p.shard = substr(d.address, 1, p.depth) WHERE shard_bytes <= 262144)
+  FROM d JOIN p ON p.shard = substr(d.address, 1, p.depth) WHERE shard_bytes <= 163840)
 SELECT doc_id, bytes, shard, CAST(depth AS INT) AS depth, shard_bytes, false AS oversized FROM f WHERE nth = 1"""
 
 
