@@ -77,16 +77,22 @@ def test_sharding(docs, corpus, limit):
 
 
 def test_shards_are_written(docs, tmp_path):
-    distinct = with_clashes(docs).filter("doc_id <> 20")
-    sharding.write_shards(distinct, str(tmp_path / "s"), 2000)
+    given = with_clashes(docs)
+    sharding.write_shards(given, str(tmp_path / "s"), 2000)
     again = docs.sparkSession.read.parquet(str(tmp_path / "s"))
-    assert again.count() == distinct.count() and again.select("_shard").distinct().count() > 5
+    rows = lambda df: Counter(map(tuple, df.select("doc_id", "text", "source", "size").collect()))
+    assert rows(again) == rows(given) and again.select("_shard").distinct().count() > 5
 
 
-def test_repeated_rows_are_split(spark):
-    rows = spark.createDataFrame([(1, "x" * 10)] * 40, "doc_id long, text string")
+def test_repeated_rows_are_split(spark, tmp_path):
+    """Rows of one id share 60 bits of their address; each goes to one shard all the same."""
+    rows = spark.createDataFrame([(1, "x" * 10)] * 40 + [(i, "y" * 10) for i in range(2, 30)], "doc_id long, text string")
     found = sharding.assign_shards(rows, 25).collect()
-    assert len(found) == 40 and max(r.shard_bytes for r in found) <= 25
+    assert len(found) == 68 and max(r.shard_bytes for r in found) <= 25
+    assert min(r.depth for r in found if r.doc_id == 1) > sharding.HASH_BITS > max(r.depth for r in found if r.doc_id > 1)
+    sharding.write_shards(rows, str(tmp_path / "s"), 25)
+    sizes = spark.read.parquet(str(tmp_path / "s")).groupBy("_shard").agg(F.sum(F.length("text")).alias("n"), F.count("*").alias("rows")).collect()
+    assert sum(r.rows for r in sizes) == 68 and max(r.n for r in sizes) <= 25
 
 
 # --- substring dedup ------------------------------------------------------
