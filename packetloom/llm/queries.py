@@ -51,12 +51,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 LINE_SQL = """
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
-h AS (SELECT doc_id, lines, list_transform(lines, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS h FROM d),
-e AS (SELECT doc_id, lines, list_filter(range(1, len(lines) + 1), lambda i: i = len(lines) OR
-   (i > 1 AND (h[i - 1] * 31 + h[i]) % 3 = 0)) AS ends FROM h),
-c AS (SELECT doc_id, lines, unnest(list_transform(range(1, len(ends) + 1), lambda k: struct_pack(
-   a := CASE WHEN k = 1 THEN 1 ELSE ends[k - 1] + 1 END, b := ends[k]))) AS s FROM e),
-t AS (SELECT doc_id, s.a AS a, s.b AS b, array_to_string(lines[s.a:s.b], chr(10)) AS chunk FROM c WHERE s.b > s.a),
+h AS (SELECT doc_id, len(lines) AS n, list_transform(lines, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS h FROM d),
+e AS (SELECT doc_id, n, unnest(list_filter(range(3, n + 1), lambda i:
+   ((h[i - 2] * 961 + h[i - 1] * 31 + h[i]) % 1000003) % 3 = 0)) AS e FROM h),
+u AS (SELECT *, e - row_number() OVER (PARTITION BY doc_id ORDER BY e) AS run FROM e),
+s AS (SELECT doc_id, e FROM (SELECT *, (e - min(e) OVER (PARTITION BY doc_id, run)) % 2 = 0 AS apart FROM u) WHERE apart AND e < n - 1
+   UNION ALL SELECT doc_id, n FROM h),
+c AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY e), 0) + 1 AS a, e AS b FROM s),
+t AS (SELECT doc_id, a, b, array_to_string(lines[a:b], chr(10)) AS chunk FROM c JOIN d USING (doc_id) WHERE b > a),
 r AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, a) AS nth FROM t),
 g AS (SELECT doc_id, flatten(list(range(a, b + 1))) AS gone FROM r WHERE nth > 1 GROUP BY doc_id),
 k AS (SELECT d.doc_id, len(lines) AS n_lines, CASE WHEN gone IS NULL THEN lines ELSE
