@@ -1,13 +1,15 @@
 """Merkle fingerprints of documents; DataFrame functions only.
 
-A tree has the paragraphs (lines) of a text as leaves. Sections are runs of
-paragraphs that end where a paragraph's own digest says so, which keeps them
-in place when paragraphs are added elsewhere. A section's digest is made of
-its paragraphs' digests and the root of the sections' digests, so equal roots
-mean equal texts, and differing branches lead to the edited paragraphs. Below
-the paragraphs short digests of ``GRAIN`` characters within sentences measure
-how alike two texts are: the share of distinct grains in common, out of the
-larger side.
+A tree has short digests of ``GRAIN`` characters within sentences as leaves,
+the paragraphs (lines) of a text above them, then sections and the root.
+Sections are runs of paragraphs that end where a paragraph's own digest says
+so, which keeps them in place when paragraphs are added elsewhere. A section's
+digest is made of its paragraphs and the root of the sections' digests, so
+equal roots mean equal texts, and differing branches lead to the edited
+paragraphs. A fingerprint is the tree written out:
+``root/section=paragraph:grains,...;...``, grains of 8 digits each. The
+likeness of two fingerprints is the share of distinct grains in common, out
+of the larger side, and can be taken from the two strings alone.
 
 Defined cases: a null text is an empty one, of one empty paragraph; equal
 texts have likeness 1; a text of empty paragraphs only has no grains and
@@ -29,15 +31,22 @@ _SHORT = 12
 
 
 def _grains(text: Column) -> Column:
-    pieces = F.regexp_extract_all(text, F.lit("[^.!?\n]{1,%d}[.!?]*" % GRAIN), F.lit(0))
-    return F.array_distinct(F.transform(pieces, lambda p: F.shiftright(F.xxhash64(p), 32).cast("int")))
+    """For every paragraph its grains."""
+    return F.transform(F.split(text, "\n", -1), lambda p: F.transform(
+        F.regexp_extract_all(p, F.lit("[^.!?\n]{1,%d}[.!?]*" % GRAIN), F.lit(0)), lambda g: F.shiftright(F.xxhash64(g), 32).cast("int")))
+
+
+def _digits(grain: Column) -> Column:
+    return F.lpad(F.hex(grain.cast("long").bitwiseAND(F.lit((1 << 32) - 1))), 8, "0")
 
 
 def with_tree(df: DataFrame, text: str, prefix: str) -> DataFrame:
     """Add ``<prefix>_print`` (the tree as text), ``<prefix>_root`` and ``<prefix>_grains``."""
     leaves, sections = f"{prefix}_leaves", f"{prefix}_sections"
-    df = df.withColumn(leaves, F.transform(F.split(text, "\n", -1), lambda p: F.md5(p)))
-    # A section is written as its paragraphs' digests; ';' parts sections.
+    df = df.withColumn(f"{prefix}_grains", _grains(F.col(text)))
+    df = df.withColumn(leaves, F.zip_with(F.split(text, "\n", -1), f"{prefix}_grains", lambda p, g: F.concat(
+        F.md5(p), F.lit(":"), F.array_join(F.transform(g, _digits), ""))))
+    # A section is written as its paragraphs; ';' parts sections.
     joined = F.array_join(F.transform(leaves, lambda d: F.concat(d, F.when(
         F.lit(SECTION_ENDS).contains(F.substring(d, 1, 1)), F.lit(";")).otherwise(F.lit(",")))), "")
     df = df.withColumn(sections, F.split(F.regexp_replace(joined, "[;,]$", ""), ";"))
@@ -45,9 +54,9 @@ def with_tree(df: DataFrame, text: str, prefix: str) -> DataFrame:
     df = df.withColumn(f"{prefix}_root", F.md5(F.array_join(f"{prefix}_digests", "")))
     shown = F.zip_with(f"{prefix}_digests", sections, lambda d, s: F.concat(
         F.substring(d, 1, _SHORT), F.lit("="), F.array_join(F.transform(
-            F.split(s, ","), lambda p: F.substring(p, 1, _SHORT)), ",")))
+            F.split(s, ","), lambda p: F.concat(F.substring(p, 1, _SHORT), F.substring(p, 33, 1 << 30))), ",")))
     df = df.withColumn(f"{prefix}_print", F.concat(f"{prefix}_root", F.lit("/"), F.array_join(shown, ";")))
-    return df.withColumn(f"{prefix}_grains", _grains(F.col(text))).drop(leaves, sections, f"{prefix}_digests")
+    return df.withColumn(f"{prefix}_grains", F.array_distinct(F.flatten(f"{prefix}_grains"))).drop(leaves, sections, f"{prefix}_digests")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -62,11 +71,12 @@ def edited_paragraphs(a: Column, b: Column) -> Column:
     """Paragraph digests of fingerprint ``a`` that fingerprint ``b`` lacks: sections that ``b`` has are skipped whole."""
     sections = lambda c: F.split(F.substring_index(c, "/", -1), ";")
     paragraphs = lambda c: F.flatten(F.transform(c, lambda s: F.split(F.substring_index(s, "=", -1), ",")))
-    return F.array_except(paragraphs(F.array_except(sections(a), sections(b))), paragraphs(sections(b)))
+    lacking = F.array_except(paragraphs(F.array_except(sections(a), sections(b))), paragraphs(sections(b)))
+    return F.transform(lacking, lambda p: F.substring(p, 1, _SHORT))
 
 
 def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fingerprints of every text and of its edited text, and how near both are.
+    """Fingerprints of every text and of its edited text, how near both are, and which paragraphs the edit took.
 
     The edited text has its last floor(n_chars / 2) characters replaced by as
     many from the start of the next document (ascending doc_id, the first
@@ -88,7 +98,7 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         heads = base.withColumn("nth", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).filter("nth = 1")
     # Null-safe on both sides, which leaves one shuffle of the texts for both joins.
     heads = heads.join(pairs, F.col("doc_id").eqNullSafe(F.col("next_id"))).select(
-        "before_id", F.left("text", F.col("need")).alias("head"), F.md5("text").alias("next_md5"), _grains(F.col("text")).alias("next_grains"))
+        "before_id", F.left("text", F.col("need")).alias("head"), F.md5("text").alias("next_md5"), F.array_distinct(F.flatten(_grains(F.col("text")))).alias("next_grains"))
     joined = base.join(heads, F.col("doc_id").eqNullSafe(F.col("before_id")), "left")
     half = F.floor(F.length("text") / 2).cast("int")
     joined = joined.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.concat(
@@ -99,4 +109,5 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     return joined.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("own_print").alias("fingerprint"),
         F.col("edited_print").alias("edited_fingerprint"), likeness("own", "edited").alias("near_edited"),
-        likeness("own", "next").alias("near_next"))
+        likeness("own", "next").alias("near_next"),
+        edited_paragraphs(F.col("own_print"), F.col("edited_print")).alias("edited_paragraphs"))

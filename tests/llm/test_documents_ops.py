@@ -1,6 +1,8 @@
 """The document operators against plain Python on a small corpus, with the edge cases their docstrings define."""
 import hashlib
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -8,6 +10,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from packetloom.llm import fingerprints, line_dedup, mixing, near_dedup, packing, quality, sharding, substring_dedup
@@ -27,9 +30,12 @@ def with_clashes(docs):
 def chunks(text):
     lines = text.split("\n")
     h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-    start = 0
+    start, last = 0, None
     for i in range(len(lines)):
-        if i == len(lines) - 1 or (i and (h[i - 1] * 31 + h[i]) % 3 == 0):
+        wanted = i > 1 and (h[i - 2] * 961 + h[i - 1] * 31 + h[i]) % 1000003 % 3 == 0 and last != i - 1
+        if wanted:
+            last = i
+        if i == len(lines) - 1 or (wanted and i < len(lines) - 2):
             yield start, lines[start:i + 1]
             start = i + 1
 
@@ -55,6 +61,21 @@ def test_line_dedup(docs, corpus):
     assert found.columns.count("n_lines") == 1 and "copies" in found.columns
 
 
+def test_lines_of_one_id_and_of_long_texts(spark):
+    """Different texts of one id have their own chunks; whole copies leave no line; time grows with the lines."""
+    say = lambda name, n: "\n".join(f"{name} {k}" for k in range(n))
+    long = say("long", 200_000)
+    rows = [(1, say("a", 9)), (2, say("b", 12)), (2, say("a", 9)), (3, long), (4, long), (5, say("a", 9)), (6, "one line"), (7, "one line"),
+            (None, say("c", 5)), (8, say("c", 5)), (None, say("d", 4))]
+    started = time.time()
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert time.time() - started < 60
+    gone = {(2, 9), (4, 200_000), (5, 9), (8, 5)}
+    assert sorted((r.doc_id or 0, r.n_lines, r.n_removed) for r in found) == sorted(
+        (i or 0, n, n if (i, n) in gone else 0) for i, t in rows for n in [len(t.split("\n"))])
+    assert all(r.text == "" for r in found if r.n_removed)
+
+
 # --- sharding -------------------------------------------------------------
 @pytest.mark.parametrize("limit", [2000, 1 << 30])
 def test_sharding(docs, corpus, limit):
@@ -187,6 +208,26 @@ def test_without_labels_scores_are_even(spark, docs):
 
 
 # --- fingerprints ---------------------------------------------------------
+def tree(text):
+    """Paragraphs as (digest, grains), by plain Python."""
+    grain = lambda g: f"{xxhash.xxh64_intdigest(g.encode(), 42) >> 32:08X}"
+    return [(hashlib.md5(p.encode()).hexdigest()[:12], [grain(g) for g in re.findall(r"[^.!?\n]{1,24}[.!?]*", p)]) for p in text.split("\n")]
+
+
+def written(fingerprint):
+    """The paragraphs that a fingerprint spells out."""
+    paragraphs = [p for s in fingerprint.split("/")[1].split(";") for p in s.split("=")[1].split(",")]
+    return [(p.split(":")[0], re.findall("." * 8, p.split(":")[1])) for p in paragraphs]
+
+
+def alike(a, b):
+    """Likeness of two fingerprints by their strings alone."""
+    if a.split("/")[0] == b.split("/")[0]:
+        return 1.0
+    a, b = ({g for _, grains in written(x) for g in grains} for x in (a, b))
+    return len(a & b) / max(len(a), len(b)) if a or b else 0.0
+
+
 def test_fingerprints(docs, corpus):
     by_id = defaultdict(list)
     for i, text, *_ in corpus:
@@ -196,6 +237,7 @@ def test_fingerprints(docs, corpus):
     rows = fingerprints.fingerprint_edits(with_clashes(docs)).collect()
     assert Counter(r.doc_id for r in rows) == Counter(i for i, *_ in corpus)
     prints, near_e, near_n = {}, [], []
+    own = {r.doc_id: r.fingerprint for r in rows}
     for r in rows:
         texts = by_id[r.doc_id]
         text = texts[0]
@@ -206,7 +248,12 @@ def test_fingerprints(docs, corpus):
             assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
             assert (r.fingerprint == r.edited_fingerprint) == (edited == text)
             assert prints.setdefault(r.fingerprint, text) == text
-            assert (r.near_edited == 1) >= (edited == text)
+            assert written(r.fingerprint) == tree(text) and written(r.edited_fingerprint) == tree(edited)
+            assert r.near_edited == pytest.approx(alike(r.fingerprint, r.edited_fingerprint))
+            if r.doc_id is not None and len(set(by_id[after[r.doc_id]])) == 1:
+                assert r.near_next == pytest.approx(alike(r.fingerprint, own[after[r.doc_id]]))
+            left = {d for d, _ in tree(edited)}
+            assert r.edited_paragraphs == list(dict.fromkeys(d for d, _ in tree(text) if d not in left))
             if half > 60 and r.doc_id != 6:
                 near_e.append(r.near_edited)
                 near_n.append(r.near_next)
