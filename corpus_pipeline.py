@@ -7,13 +7,18 @@ it again for the next one. All stages but the last return the columns of
 
 - quality: trained on ``labels``; documents scored below the threshold go.
   Rows without id are scored and kept or dropped by the same rule.
-- lines: repeated chunks of lines are cut out of the texts; no line of a text
-  of several lines is a chunk by itself. A document of
+- lines: repeated chunks of lines are cut out of the texts. A document of
   which no line is left goes, as all it held stands elsewhere; one that came
   in empty stays.
-- near duplicates: the document with the least id of each group stays.
+- near duplicates: the document with the least id of each group stays. Rows
+  are judged one by one by their text: of equal rows of one id (ties) one
+  stays, and of different texts of one id only those that are linked to an
+  earlier one go. Rows without id stay.
 - mix: a document appears as many times as the mix takes it.
 - pack: one row per piece, see ``packing.pack``.
+
+Texts are worked on whole, of any length; a stage's operator states in its
+module how it splits long ones. Empty tables pass through.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ from packetloom.llm.near_dedup import near_duplicates
 from packetloom.llm.packing import pack
 from packetloom.llm.quality import THRESHOLD, document_statistics, train, with_score
 from packetloom.llm.support import shielded, stored
+from packetloom.operators.telemetry import number_rows
 from packetloom.session import ship_package
 
 # Tokenizer ids and learnt scores are outside SQL.
@@ -53,9 +59,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    gone = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     plain, names = shielded(docs)
-    return plain.join(gone, F.col(names["doc_id"]) == F.col("_gone"), "left_anti").toDF(*docs.columns)
+    own = names["doc_id"]
+    keyed = plain.withColumns({"_key": F.md5(names["text"]), "_number": F.col(own).cast("long")})
+    repeated = keyed.filter(f"{own} IS NOT NULL").groupBy(own).agg(F.count("*").alias("n")).filter("n > 1").select(F.col(own).alias("_id"))
+    if repeated.take(1):
+        # Ids name rows no more: different texts are numbered in the order of their ids.
+        rows = keyed.drop("_number").filter(f"{own} IS NOT NULL").dropDuplicates([own, "_key"])
+        numbers = stored(number_rows(rows.select(F.col(own).alias("_id"), F.col("_key").alias("_text")), "_number", "_id", "_text"), "numbers")
+        numbered = rows.join(numbers, (F.col(own) == F.col("_id")) & F.col("_key").eqNullSafe(F.col("_text"))).drop("_id", "_text")
+        keyed = stored(numbered.unionByName(keyed.filter(f"{own} IS NULL")), "numbered-documents")
+    gone = near_duplicates(keyed, doc_id="_number", text=names["text"]).filter("NOT kept").select(F.col("doc_id").alias("_gone"))
+    return keyed.join(gone, F.col("_number") == F.col("_gone"), "left_anti").drop("_number", "_key").toDF(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
