@@ -107,8 +107,9 @@ def dedup_lines(docs: DataFrame, every: int = BOUNDARY_EVERY, doc_id: str = "doc
     flagged = join_counted(digests, repeated, "digest").groupBy("_id", "_key").agg(F.collect_set("place").alias("_flagged"))
     flagged = stored(flagged.withColumnsRenamed({"_id": "_flagged_id", "_key": "_flagged_key"}), "flagged-chunks")
     # What is flagged grows with the corpus, so both joins sort and merge at every size; they read
-    # one shuffle of the texts where the documents have no further columns.
-    texts = body.join(flagged.hint("merge"), F.col("_id").eqNullSafe(F.col("_flagged_id")) & (F.col("_key") == F.col("_flagged_key")))
+    # one shuffle of the texts where the documents have no further columns. Null-safe keys on both
+    # sides, as a filter of nulls below one of them would make it another shuffle.
+    texts = body.join(flagged.hint("merge"), F.col("_id").eqNullSafe(F.col("_flagged_id")) & F.col("_key").eqNullSafe(F.col("_flagged_key")))
     pieces = texts.select("_id", lines.alias("_lines"), "_flagged").select("_id", F.explode_outer(F.transform(
         "_flagged", lambda p: F.struct(p.alias("place"), _chunk_text(_start(p), _size(p)).alias("chunk")))).alias("p")).filter("p IS NOT NULL")
     firsts = pieces.groupBy("p.chunk").agg(F.min(F.struct("_id", "p.place")).alias("f"))
@@ -119,7 +120,7 @@ def dedup_lines(docs: DataFrame, every: int = BOUNDARY_EVERY, doc_id: str = "doc
     plain, names = shielded(docs)
     own = names[text]
     out = plain.withColumn("_key", F.md5(own)).join(
-        removed.hint("merge"), F.col(names[doc_id]).eqNullSafe(F.col("_flagged_id")) & (F.col("_key") == F.col("_flagged_key")), "left")
+        removed.hint("merge"), F.col(names[doc_id]).eqNullSafe(F.col("_flagged_id")) & F.col("_key").eqNullSafe(F.col("_flagged_key")), "left")
     out = out.withColumn("_lines", F.split(own, "\n", -1)).withColumn(
         "_kept", F.when(F.size("_removed") > 0, _between("_lines", "_removed")).otherwise(F.col("_lines")))
     count = lambda column: F.when(F.col(own).isNull(), F.lit(0)).otherwise(F.size(column)).cast("long")
