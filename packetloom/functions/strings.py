@@ -62,3 +62,8 @@ def glob_to_regex(glob: str) -> str:
             out.append(char if char.isalnum() else "\\" + char if ord(char) < 128 else char)
     out.append("$")
     return "".join(out)
+
+
+def glob_literal(glob: str) -> str:
+    """Longest piece of a glob that every match holds as it is."""
+    return max(re.split(r"[*?]|\[(?:!.|[^!])[^\]]*\]", glob, flags=re.DOTALL), key=len)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from packetloom.functions.strings import glob_to_regex, strip
-from packetloom.operators.telemetry import number_rows
-from packetloom.session import cut_lineage, rows_if_small
+from packetloom.functions.strings import glob_literal, glob_to_regex, strip
+from packetloom.operators.rules import anchored_texts, filed_by_anchor
+from packetloom.session import rows_if_small
 
 _GLOB = r"[*?\[]"
 # A glob that is "*." followed by plain text is answered by host suffixes.
@@ -40,27 +42,43 @@ def host_allowed(host: Column, patterns: list[str]) -> Column:
     return F.coalesce((low != "") & test, F.lit(False))
 
 
-def _allowed_by_join(df: DataFrame, host: str, hosts: DataFrame, literals: int = LITERAL_LIMIT) -> DataFrame:
+@F.arrow_udf(T.StructType([T.StructField("literal", T.StringType()), T.StructField("regex", T.StringType())]))
+def _glob_parts(globs: pa.Array) -> pa.Array:
+    """What every match of a glob holds, and its regex."""
+    globs = globs.to_pylist()
+    return pa.StructArray.from_arrays([pa.array([glob_literal(g) for g in globs], pa.string()),
+                                       pa.array([glob_to_regex(g) for g in globs], pa.string())], names=["literal", "regex"])
+
+
+def _allowed_by_glob(names: DataFrame, globs: DataFrame) -> DataFrame:
+    """The ``names`` (_h) that match one of ``globs`` (_p), for any number of globs.
+
+    A glob is filed under the rarest characters of its longest literal piece.
+    A host meets only the globs whose anchor it holds, and their regexes are
+    tested after the join. Globs without a literal piece meet every host.
+    """
+    parts = globs.select(_glob_parts("_p").alias("_parts"))
+    filed = filed_by_anchor(parts.select(F.col("_parts.literal").alias("_v"), F.col("_parts.regex").alias("_rank")))
+    once = names.select(F.col("_h").alias("_text"), F.md5("_h").alias("_hash"))
+    pairs = anchored_texts(once, filed).join(filed, "_key").select("_hash", F.col("_rank").alias("_regex"))
+    return pairs.join(once, "_hash").filter(F.rlike("_text", F.col("_regex"))).select(F.col("_text").alias("_h"))
+
+
+def _allowed_by_join(df: DataFrame, host: str, hosts: DataFrame) -> DataFrame:
     """Same answer for a list of any size.
 
     Events are first reduced to distinct hosts, so a popular host costs one
-    row. Names and suffix globs are equality joins; the few remaining globs
-    are filed under nothing and tested as literals, batch by batch.
+    row. Names and suffix globs are equality joins; the remaining globs are
+    joined by an index of their literal pieces.
     """
-    listed = hosts.select(F.col("host").alias("_p")).distinct()
+    listed = hosts.select(F.col("host").alias("_p")).filter("_p IS NOT NULL").distinct()
     names = df.select(F.lower(strip(F.col(host))).alias("_h")).filter("_h <> ''").distinct()
     exact = names.join(listed, F.col("_h") == F.col("_p"), "left_semi")
     suffix = listed.filter(F.rlike("_p", F.lit(_SUFFIX_GLOB))).select(F.expr("substring(_p, 2)").alias("_s"))
     by_suffix = names.filter(F.contains("_h", F.lit("."))).select("_h", F.explode(dot_suffixes(F.col("_h"))).alias("_s")) \
         .join(suffix, "_s", "left_semi").select("_h")
     odd = listed.filter(F.rlike("_p", F.lit(_GLOB)) & ~F.rlike("_p", F.lit(_SUFFIX_GLOB)))
-    numbered = number_rows(odd, "_n", "_p")
-    names = cut_lineage(names)
-    by_glob = names.limit(0)
-    for start in range(0, numbered.count(), literals):
-        block = numbered.filter((F.col("_n") > start) & (F.col("_n") <= start + literals)).collect()
-        by_glob = by_glob.union(names.filter(host_allowed(F.col("_h"), [r["_p"] for r in block])))
-    allowed = exact.union(by_suffix).union(by_glob).distinct().withColumn("_ok", F.lit(True))
+    allowed = exact.union(by_suffix).union(_allowed_by_glob(names, odd)).distinct().withColumn("_ok", F.lit(True))
     return df.withColumn("_h", F.lower(strip(F.col(host)))).join(allowed, "_h", "left") \
         .withColumn("allowed", F.coalesce("_ok", F.lit(False))).drop("_h", "_ok")
 

@@ -166,6 +166,11 @@ def _automaton(rules: list[Row]) -> Column:
     return winner(F.lower("source_ip"), F.lower("destination_ip"), F.col("port"), F.lower("text_content"))
 
 
+def filed_by_anchor(values: DataFrame) -> DataFrame:
+    """(_v, _rank, _key): ``values`` (_v, _rank), each under the number of its rarest characters."""
+    return cut_lineage(_rarest(values).withColumn("_key", _gram_key(F.col("_gram"))).drop("_gram"))
+
+
 def anchored_texts(once: DataFrame, filed: DataFrame) -> DataFrame:
     """(_hash, _key) of the grams of each text that are, or look in a filter like, the anchor of a rule.
 
@@ -183,8 +188,7 @@ def substring_matches(df: DataFrame, key: str, ranked: DataFrame, kind: str) ->
     join, so the result is exact. Equal texts (such as destinations) are
     matched once.
     """
-    filed = _rarest(ranked.filter(F.col("match_type") == kind).groupBy("_v").agg(F.min("_rank").alias("_rank")))
-    filed = cut_lineage(filed.withColumn("_key", _gram_key(F.col("_gram"))).drop("_gram"))
+    filed = filed_by_anchor(ranked.filter(F.col("match_type") == kind).groupBy("_v").agg(F.min("_rank").alias("_rank")))
     text = df.select(key, F.lower(_COLUMN[kind]).alias("_text"))
     once = text.filter("_text IS NOT NULL").select("_text", F.md5("_text").alias("_hash")).dropDuplicates(["_hash"])
     pairs = anchored_texts(once, filed).join(filed, "_key").select("_hash", "_v", "_rank").distinct()

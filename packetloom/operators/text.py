@@ -14,10 +14,12 @@ from packetloom import fixed_values as fv
 from packetloom.functions.strings import contains_any, fixed2, labels_where
 from packetloom.operators.detector import Columns, Detector, register
 from packetloom.operators.telemetry import number_rows
-from packetloom.session import SMALL_TABLE_ROWS, rows_if_small
+from packetloom.session import SMALL_TABLE_ROWS, cut_lineage, rows_if_small
 
 # Lengths of vectors below this count as this.
 TINY = 1e-12
+# Vectors that a task compares at once.
+_AT_ONCE = 512
 
 
 # --- secrets and remote code execution -----------------------------------
@@ -126,27 +128,62 @@ def best_concept(df: DataFrame, vector: str, concepts: DataFrame) -> DataFrame:
     """Add ``similarity`` and ``concept`` of the closest concept vector.
 
     ``concepts`` has columns (concept, vec). A list of phrases is multiplied
-    with each Arrow batch as one matrix; a longer table in blocks of rows, one
-    after the other, each with the best of the blocks before. A zero vector
-    has similarity 0; a null vector, or one of another length or with a null
-    component, has none.
+    with each Arrow batch as one matrix; a longer table in cells of numbered
+    vectors and concepts, one plan for any number of them (not for streams).
+    Ties go to the first concept by name. A zero vector has similarity 0; a
+    null vector, or one of another length or with a null component, has none.
     """
     known = concepts.select("concept", "vec").filter("concept IS NOT NULL AND vec IS NOT NULL")
     rows = rows_if_small(known.orderBy("concept"))
-    if rows is not None:
-        blocks = [rows]
-    else:
-        numbered = number_rows(known, "_n", "concept")
-        starts = range(0, numbered.count(), SMALL_TABLE_ROWS)
-        blocks = (numbered.filter((F.col("_n") > i) & (F.col("_n") <= i + SMALL_TABLE_ROWS)).orderBy("_n").collect() for i in starts)
-    best = df.withColumns({"_similarity": F.lit(None).cast("double"), "_concept": F.lit(None).cast("string")})
-    for block in blocks:
-        found = _closest(block)(vector)
-        best = best.withColumn("_found", found).withColumn(
-            "_nearer", F.col("_similarity").isNull() | (F.col("_found.similarity") > F.col("_similarity")))
-        best = best.withColumns({"_concept": F.when(F.col("_nearer"), F.col("_found.concept")).otherwise(F.col("_concept")),
-                                 "_similarity": F.when(F.col("_nearer"), F.col("_found.similarity")).otherwise(F.col("_similarity"))})
-    return best.select(*df.columns, F.col("_similarity").alias("similarity"), F.col("_concept").alias("concept"))
+    if rows is None:
+        return _closest_by_cells(df, vector, known)
+    found = df.withColumn("_found", _closest(rows)(vector))
+    return found.select(*df.columns, F.col("_found.similarity").alias("similarity"), F.col("_found.concept").alias("concept"))
+
+
+def _closest_by_cells(df: DataFrame, vector: str, known: DataFrame) -> DataFrame:
+    """The closest concepts where there are too many for one matrix.
+
+    Equal vectors are worked on once. Vectors and concepts are numbered and
+    dealt evenly into parts of at most ``SMALL_TABLE_ROWS``; each part of vectors
+    meets each part of concepts in a task, which leaves one row per vector.
+    """
+    named = cut_lineage(number_rows(known.filter("NOT exists(vec, x -> x IS NULL)"), "_c", "concept", "vec"))
+    asked = df.select(F.col(vector).cast("array<double>").alias("_v")).filter("_v IS NOT NULL AND NOT exists(_v, x -> x IS NULL)").distinct()
+    asked = cut_lineage(number_rows(asked, "_n", "_v"))
+    parts, blocks = [-(-d.count() // SMALL_TABLE_ROWS) or 1 for d in (asked, named)]
+    zero = F.lit(0).cast("long")
+    left = asked.select("_n", F.col("_v").alias("_vec"), F.size("_v").alias("_width"), F.pmod("_n", F.lit(parts)).alias("_part"),
+                        F.explode(F.sequence(zero, F.lit(blocks - 1).cast("long"))).alias("_block"))
+    right = named.select("_c", F.col("vec").cast("array<double>").alias("_vec"), F.size("vec").alias("_width"),
+                         F.pmod("_c", F.lit(blocks)).alias("_block"),
+                         F.explode(F.sequence(zero, F.lit(parts - 1).cast("long"))).alias("_part"))
+    cell = ("_width", "_part", "_block")
+    near = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_closest_in_cell, "_n long, similarity double, _c long")
+    # The smaller number is the first by name.
+    best = near.groupBy("_n").agg(F.max(F.struct("similarity", (-F.col("_c")).alias("_less"))).alias("_best"))
+    found = best.select("_n", F.col("_best.similarity").alias("similarity"), (-F.col("_best._less")).alias("_c")) \
+        .join(named.select("_c", "concept"), "_c").join(asked, "_n").select(F.col("_v").alias("_key"), "similarity", "concept")
+    return df.join(found, F.col(vector).cast("array<double>") == F.col("_key"), "left").select(*[df[c] for c in df.columns], "similarity", "concept")
+
+
+def _closest_in_cell(vectors: pa.Table, concepts: pa.Table) -> pa.Table:
+    def matrix(table: pa.Table) -> np.ndarray:
+        column = table.column("_vec").combine_chunks()
+        out = column.flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), TINY)
+
+    numbers, order = vectors.column("_n"), np.argsort(concepts.column("_c").to_numpy())
+    if not len(vectors) or not len(concepts):
+        return pa.table({"_n": numbers[:0], "similarity": pa.array([], pa.float64()), "_c": pa.array([], pa.int64())})
+    known, asked = matrix(concepts)[order], matrix(vectors)
+    at, similarity = np.zeros(len(asked), np.int64), np.zeros(len(asked))
+    for start in range(0, len(asked), _AT_ONCE):
+        cosine = asked[start:start + _AT_ONCE] @ known.T
+        part = slice(start, start + len(cosine))
+        at[part] = cosine.argmax(axis=1)
+        similarity[part] = cosine[np.arange(len(cosine)), at[part]]
+    return pa.table({"_n": numbers, "similarity": similarity, "_c": concepts.column("_c").to_numpy()[order][at]})
 
 
 def _closest(rows: list):

@@ -3,6 +3,7 @@ import io
 import random
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +45,21 @@ def test_concepts_of_odd_vectors(spark, monkeypatch):
     assert {r.id: (r.similarity, r.concept) for r in best_concept(vectors, "v", concepts).collect()} == few
 
 
+def test_many_concepts(spark):
+    rng = np.random.default_rng(3)
+    names, known = [f"c{i:05d}" for i in range(30_000)], rng.normal(size=(30_000, 8)).round(3)
+    known[20_000] = known[5]  # a tie
+    asked = np.concatenate([rng.normal(size=(200, 8)).round(3), known[[5, 20_000, 29_999, 29_999]]])
+    concepts = spark.createDataFrame(list(zip(names, known.tolist())), "concept string, vec array<double>")
+    vectors = spark.createDataFrame(list(enumerate(asked.tolist())), "id long, v array<double>")
+    found = {r.id: (r.concept, r.similarity) for r in best_concept(vectors, "v", concepts).collect()}
+    cosine = (asked / np.linalg.norm(asked, axis=1, keepdims=True)) @ (known / np.linalg.norm(known, axis=1, keepdims=True)).T
+    assert len(found) == len(asked)
+    for i, row in enumerate(cosine):
+        assert abs(found[i][1] - row.max()) < 1e-9 and row[names.index(found[i][0])] > row.max() - 1e-9
+    assert found[200][0] == found[201][0] == "c00005"
+
+
 def test_large_logits(spark):
     rows = [(1, "a", 2000.0), (1, "b", 1999.0), (2, "a", -5000.0)]
     found = {r.image_id: (r.label, r.confidence) for r in best_labels(spark.createDataFrame(rows, "image_id long, label string, logit double")).collect()}

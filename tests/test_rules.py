@@ -5,6 +5,7 @@ from fnmatch import fnmatch
 import pytest
 from pyspark.sql import functions as F
 
+from packetloom.functions.strings import glob_literal
 from packetloom.operators.allowlist import with_allowed
 from packetloom.operators.rules import match_rules
 from packetloom.schemas import RULE_TABLE
@@ -51,6 +52,24 @@ def test_allowlist_agrees_with_fnmatch(spark, limit):
         assert found[host] == (bool(low) and any(low == p or fnmatch(low, p) for p in patterns)), host
 
 
+@pytest.mark.parametrize("glob,literal", [("a?bcd*e", "bcd"), ("*", ""), ("[ab]", ""), ("[!a]xy", "xy"), ("[]]x", "x"), ("we[ird", "we[ird"), ("[!]", "[!]"), ("[!]]q", "q")])
+def test_literal_of_globs(glob, literal):
+    assert glob_literal(glob) == literal
+
+
+def test_allowlist_of_many_globs(spark):
+    draw = random.Random(5)
+    globs = [f"h?{i:05d}*.[a-c]om" for i in range(30_000)] + ["??", "[x-z]*q", "*.net"]
+    hosts = [f"h{draw.choice('xyz')}{draw.randrange(40_000):05d}{draw.choice(['', 'w'])}.{draw.choice('abd')}om" for _ in range(300)] + ["ab", "yq", "a.net", "net"]
+    frame = spark.createDataFrame([(h,) for h in hosts], "host string")
+    table = spark.createDataFrame([(g,) for g in globs], "host string")
+    number = {g[2:7] for g in globs[:30_000]}
+    def allowed(h):
+        return any(fnmatch(h, g) for g in globs[30_000:]) or h[2:7] in number and fnmatch(h, f"h?{h[2:7]}*.[a-c]om")
+    found = with_allowed(frame, "host", table).collect()
+    assert len(found) == len(hosts) and {r["host"]: r["allowed"] for r in found} == {h: allowed(h) for h in hosts}
+
+
 def test_config_files(spark, tmp_path):
     (tmp_path / "rules.json").write_text(json.dumps({"rules": [
         {"id": "x", "action": "block", "match_type": "port", "value": "22", "odd": 1},
