@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.session import ship_package
+from packetloom.session import bound_batches, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,6 +23,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         @wraps(function)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship_package(spark)
+            bound_batches(spark)
             return function(spark, sf_dir)
 
         QUERIES[name] = run

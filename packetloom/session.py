@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, Row, SparkSession
 
 _SHIPPED: set[str] = set()
 
+# What a Python worker gets at once. With rows alone as the limit, a batch of
+# files grows with the table until it has all rows that fit.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
 # Tables up to this many rows may be used as literals or inlined relations.
 SMALL_TABLE_ROWS = 10_000
 
@@ -31,6 +35,7 @@ def build_session(app: str = "packetloom", master: str | None = None, **conf: st
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+        BATCH_BYTES[0]: BATCH_BYTES[1],
         "spark.sql.parquet.filterPushdown": "true",
         **{key.replace("__", "."): value for key, value in conf.items()},
     }
@@ -52,6 +57,13 @@ def ship_package(spark: SparkSession) -> None:
         _SHIPPED.add(context.applicationId)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the batches of Python workers in a session that has no bound of its own."""
+    key, size = BATCH_BYTES
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, size)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, from ``spark.checkpoint.dir``.
 
