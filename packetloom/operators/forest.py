@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 
 from packetloom import fixed_values as fv
 
+# Rows scored at once; each takes some numbers per tree.
+_SCORED_ROWS = 256
 _NODES = "tree int, node int, feature int, split double, path double"
 
 
@@ -66,6 +68,10 @@ class IsolationForest:
         self.offset = 0.0
 
     def score_samples(self, data: np.ndarray) -> np.ndarray:
+        parts = [self._score(data[at:at + _SCORED_ROWS]) for at in range(0, len(data), _SCORED_ROWS)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _score(self, data: np.ndarray) -> np.ndarray:
         trees = np.arange(self.feature.shape[0])[None, :]
         node = np.zeros((len(data), self.feature.shape[0]), dtype=np.int64)
         for _ in range(int(np.ceil(np.log2(self.sample)))):

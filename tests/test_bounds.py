@@ -1,8 +1,12 @@
 """What Python workers and micro-batches hold at once does not follow the size of a table."""
+import tracemalloc
+
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from packetloom.operators.forest import IsolationForest
 from packetloom.plans.registry import QUERIES, query
 from packetloom.session import BATCH_BYTES
 
@@ -36,3 +40,20 @@ def test_batches_of_named_queries_are_bounded_by_bytes(spark, plain):
         assert max(r.size for r in QUERIES["_batch_sizes"](plain, "").collect()) < LIMIT // 2
     finally:
         del QUERIES["_batch_sizes"]
+
+
+def test_forest_scores_few_rows_at_once():
+    rng = np.random.default_rng(1)
+    trees, nodes = 200, 511
+    feature = np.full((trees, nodes), -1, dtype=np.int64)
+    feature[:, :255] = rng.integers(0, 15, (trees, 255))
+    forest = IsolationForest(feature, rng.random((trees, nodes)), rng.random((trees, nodes)) * 8, 256)
+    data = rng.random((10_000, 15))
+    tracemalloc.start()
+    scores = forest.anomaly(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20
+    one_by_one = np.concatenate([forest.anomaly(data[i:i + 1]) for i in (0, 255, 256, 9_999)])
+    assert np.allclose(scores[[0, 255, 256, 9_999]], one_by_one)
+    assert len(forest.anomaly(data[:0])) == 0
