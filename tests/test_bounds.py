@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from packetloom.operators import pdf, structure
 from packetloom.operators.forest import IsolationForest
 from packetloom.plans.registry import QUERIES, query
 from packetloom.session import BATCH_BYTES
@@ -57,3 +58,10 @@ def test_forest_scores_few_rows_at_once():
     one_by_one = np.concatenate([forest.anomaly(data[i:i + 1]) for i in (0, 255, 256, 9_999)])
     assert np.allclose(scores[[0, 255, 256, 9_999]], one_by_one)
     assert len(forest.anomaly(data[:0])) == 0
+
+
+def test_containers_and_pdf_files_are_read_by_one_worker(spark):
+    files = spark.createDataFrame([(bytearray(b"PK\x03\x04"),), (bytearray(b"%PDF-1.4"),), (None,)], "payload binary")
+    read = files.select(structure.container_entries(F.col("payload")).alias("e"), pdf.pdf_parts(F.col("payload")).alias("p"))
+    assert read._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [(r.e, r.p and r.p.text) for r in read.collect()] == [(None, None), (None, ""), (None, None)]
