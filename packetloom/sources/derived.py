@@ -46,8 +46,9 @@ REASON = """CASE event_id % 11 WHEN 0 THEN 'SQL statement seen' WHEN 1 THEN 'ref
  WHEN 7 THEN 'api key in body' WHEN 8 THEN 'phishing page' WHEN 9 THEN 'nsfw picture' ELSE 'Max threat score 0.9' END"""
 STATUS = "CASE WHEN event_id % 7 = 0 THEN 'block' WHEN event_id % 7 = 1 THEN 'censor' ELSE 'allow' END"
 
-# Files of a streamed table per micro-batch.
-FILES_PER_BATCH = 2
+# Bytes of a streamed table per micro-batch, one file at least. A micro-batch has a fixed cost in every
+# state partition, so their number must not follow the number of files.
+BYTES_PER_BATCH = 64 << 20
 
 # (id, action, match_type, value, priority, enabled)
 RULES = [
@@ -69,7 +70,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The files of a table, which is one file or a folder of files, as a stream."""
     found = table(spark, sf_dir, name)
-    reader = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", FILES_PER_BATCH)
+    reader = spark.readStream.schema(found.schema).option("maxBytesPerTrigger", BYTES_PER_BATCH)
     # A stream source is a folder: the table itself, or the folder of its one file.
     whole = f"/{name}.parquet"
     if all(file.endswith(whole) for file in found.inputFiles()[:1]):

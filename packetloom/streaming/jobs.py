@@ -250,7 +250,7 @@ class _Reassembly(StatefulProcessor):
         self.parts = handle.getListState("parts", "data binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        message, missing, held, first, live = self.open.get() if self.open.exists() else (0, 0, 0, None, False)
+        message, missing, held, first, live = self.open.get() or (0, 0, 0, None, False)
         # Whether parts of the open message are stored, and what this batch adds to them.
         stored, new, done = bool(live), [], []
         for chunk in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
@@ -277,7 +277,8 @@ class _Reassembly(StatefulProcessor):
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield pd.DataFrame(done, columns=["conn_id", "direction", "message", "first_seq", "last_seq", "flushed", "data"])
+        if done:
+            yield pd.DataFrame(done, columns=["conn_id", "direction", "message", "first_seq", "last_seq", "flushed", "data"])
 
     def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
         """A connection without chunks for long is dead; its open message will never be complete."""

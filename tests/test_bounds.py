@@ -10,6 +10,7 @@ from packetloom.operators import pdf, structure
 from packetloom.operators.forest import IsolationForest
 from packetloom.plans.registry import QUERIES, query
 from packetloom.session import BATCH_BYTES
+from packetloom.sources import derived as dv
 
 LIMIT = 4 << 20
 
@@ -65,3 +66,11 @@ def test_containers_and_pdf_files_are_read_by_one_worker(spark):
     read = files.select(structure.container_entries(F.col("payload")).alias("e"), pdf.pdf_parts(F.col("payload")).alias("p"))
     assert read._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     assert [(r.e, r.p and r.p.text) for r in read.collect()] == [(None, None), (None, ""), (None, None)]
+
+
+def test_many_small_files_are_few_micro_batches(spark, tmp_path):
+    spark.range(0, 90, 1, 9).selectExpr("id AS event_id").write.parquet(str(tmp_path / "events.parquet"))
+    seen = []
+    stream = dv.table_stream(spark, str(tmp_path), "events").writeStream.option("checkpointLocation", str(tmp_path / "state"))
+    stream.trigger(availableNow=True).foreachBatch(lambda batch, _: seen.append(batch.count())).start().awaitTermination()
+    assert seen == [90]
