@@ -17,6 +17,7 @@ are read.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -26,106 +27,153 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.support import WordTable, text_slices
+from packetloom.llm.support import LOWER, WordTable, text_slices
 from packetloom.operators.telemetry import number_rows
 from packetloom.session import cut_lineage
 
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-# The ids of words and their stems are kept per worker, up to this many of either.
-CACHED = 400_000
+# The ids of stems and marks are kept per worker, up to this many.
+CACHED = 600_000
 CACHED_BYTES = 40
 BATCH_WORDS = 200
-# Written between words that are encoded together; it is one token, and words that hold it go alone.
+# Written between parts that are encoded together; it is one token, and parts that hold it go alone.
 SEPARATOR = b"\x01"
 TAIL = b".,!?%&#$*"
+TAIL_BYTES = 16
 _CODERS: dict[str, WordCoder] = {}
+_IS_TAIL, _IS_ALNUM, _IS_MARK = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_IS_TAIL[list(TAIL)] = True
+_IS_ALNUM[list(b"0123456789abcdefghijklmnopqrstuvwxyz")] = True
+_IS_MARK[[0xCC, 0xCD]] = True  # first bytes of combining marks
+# Letters of the usual alphabets that normalising leaves as they are.
+_PLAIN = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+_PLAIN_WORD = re.compile(f"[{_PLAIN}]+")
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                     ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
 
-def _ends_in_letter(stem: bytes) -> bool:
-    """Whether a stem ends in a Latin, Greek or Cyrillic letter that is one after normalising, too."""
-    last = unicodedata.normalize("NFC", stem[-4:].decode(errors="ignore")[-1:]).lower()
-    return last < "\u0530" and last[-1:].isalpha()
+def _two_byte_letters() -> np.ndarray:
+    """Of each code point below 2048 whether it is a Latin, Greek or Cyrillic letter, after normalising, too."""
+    normal = [unicodedata.normalize("NFC", chr(c)).lower() for c in range(2048)]
+    return np.array([c >= 128 and last < "\u0530" and last[-1:].isalpha() for c, last in enumerate(normal)])
+
+
+_IS_LETTER = _two_byte_letters()
 
 
 class WordCoder:
-    """Ids of words, by the tokenizer, as little-endian 32-bit numbers.
+    """Ids of words and parts of words, by the tokenizer, as little-endian 32-bit numbers.
 
     The tokenizer normalises, lower-cases and splits inside words only, so a
     text's ids are its words' ids in turn. It also splits letters from marks:
     a word is looked up as a stem that ends in a letter or digit, and the
-    marks behind it.
+    marks behind it (``word_parts``). Words of plain letters pass its steps
+    before the merges unchanged, so these are left out for them.
     """
 
     def __init__(self, name: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(name if os.path.isabs(name) else public_tokenizers.path(name))
-        self.separator = self.tokenizer.encode(SEPARATOR.decode(), add_special_tokens=False).ids
-        if len(self.separator) != 1:
-            raise ValueError("the separator is not one token")
+        from tokenizers import Tokenizer, pre_tokenizers
+        path = name if os.path.isabs(name) else public_tokenizers.path(name)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        bytes_only = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        normalizer, split = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.has_plain = (normalizer is None or normalizer.normalize_str(_PLAIN) == _PLAIN) and (
+            split is not None and split.pre_tokenize_str(_PLAIN) == bytes_only.pre_tokenize_str(_PLAIN))
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), bytes_only])
         self.known: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
 
     def alone(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def together(self, words: list[bytes]) -> Iterator[bytes]:
+    def together(self, words: list[bytes], tokenizer) -> Iterator[bytes]:
         """Ids of many words that do not hold the separator."""
+        separator = tokenizer.encode(SEPARATOR.decode(), add_special_tokens=False).ids
+        if len(separator) != 1:
+            raise ValueError("the separator is not one token")
         join = b" " + SEPARATOR + b" "
         texts = [join.join([*words[i:i + BATCH_WORDS], b""]).decode() for i in range(0, len(words), BATCH_WORDS)]
-        for coded in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+        for coded in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             ids = np.array(coded.ids, "<u4")
             raw, start = ids.tobytes(), 0
-            for end in (4 * np.nonzero(ids == self.separator[0])[0]).tolist():
+            for end in (4 * np.nonzero(ids == separator[0])[0]).tolist():
                 yield raw[start:end]
                 start = end + 4
 
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Make all words known; the long ones among them, which are not kept."""
-        for table in (self.known, self.stems):
-            if len(table) > CACHED:
-                table.clear()
-        known, stems, parts, found = self.known, self.stems, [], {}
+    def learn(self, words: list[bytes]) -> None:
+        """Make words known."""
+        plain, other = [], []
         for word in words:
-            if word in known:
-                continue
-            if b"<|" in word or SEPARATOR in word:  # may be a special token
-                found[word] = self.alone(word)
-                continue
-            word_low = word.lower()
-            stem = word_low.rstrip(TAIL)
-            if stem and len(stem) < len(word_low) and not (stem[-1:].isalnum() or _ends_in_letter(stem)):
-                stem = word_low
-            parts.append((word, stem, word_low[len(stem):]))
-        new = list({p for _, stem, tail in parts for p in (stem, tail) if p and p not in stems})
-        stems.update(zip(new, self.together(new), strict=True))
-        stems[b""] = b""
-        found.update((word, stems[stem] + stems[tail]) for word, stem, tail in parts)
-        long = {word: found[word] for word in found if len(word) > CACHED_BYTES}
-        known.update(found)
-        return long
+            if self.has_plain and (word.isalpha() and word.islower() or not word.isascii() and _PLAIN_WORD.fullmatch(word.decode())):
+                plain.append(word)
+            elif b"<|" in word or SEPARATOR in word:  # may be a special token
+                self.known[word] = self.alone(word)
+            else:
+                other.append(word)
+        self.known.update(zip(plain, self.together(plain, self.plain), strict=True))
+        self.known.update(zip(other, self.together(other, self.tokenizer), strict=True))
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         """Ids of each of the distinct ``words``."""
-        long = self.learn(set(words))
+        if len(self.known) > CACHED:
+            self.known.clear()
+        new = [word for word in words if word not in self.known]
+        self.learn(new)
         coded = list(map(self.known.__getitem__, words))
-        for word in long:
-            del self.known[word]
+        for word in new:
+            if len(word) > CACHED_BYTES:
+                del self.known[word]
         return coded
 
 
+def word_parts(table: WordTable) -> None:
+    """Lower the letters A to Z of a table's words, and part the marks at their ends from them.
+
+    Words that may hold special tokens or combining marks, which change with
+    the letters before them, are left as they are.
+    """
+    raw, starts, ends = table.bytes, table.starts, table.ends
+    special = np.nonzero((raw[:-1] == ord("<")) & (raw[1:] == ord("|")) | _IS_MARK[raw[:-1]])[0]
+    whole = np.unique(np.searchsorted(starts, special, side="right") - 1)
+    low = LOWER[raw]
+    for a, b in zip(starts[whole].tolist(), ends[whole].tolist(), strict=True):
+        low[a:b] = raw[a:b]
+    stem = ends.copy()
+    at = np.nonzero(_IS_TAIL[low[ends - 1]])[0]
+    for _ in range(TAIL_BYTES):
+        stem[at] -= 1
+        at = at[stem[at] > starts[at]]
+        at = at[_IS_TAIL[low[stem[at] - 1]]]
+        if not len(at):
+            break
+    stem[at] = ends[at]
+    stem[whole] = ends[whole]
+    cut = np.nonzero((stem < ends) & (stem > starts))[0]
+    last, before = low[stem[cut] - 1], low[np.maximum(stem[cut] - 2, starts[cut])]
+    letter = (before >> 5 == 6) & (last >> 6 == 2) & _IS_LETTER[(before & 31).astype(np.int64) << 6 | last & 63]
+    cut = cut[_IS_ALNUM[last] | letter]
+    # Part p of a word with marks is its stem, part p + 1 the marks.
+    number = np.zeros(len(starts) + 1, np.int64)
+    number[1:] = 1
+    number[cut + 1] = 2
+    number = np.cumsum(number)
+    table.bytes, table.first = low, number[table.first]
+    table.starts, table.ends = np.repeat(starts, np.diff(number)), np.repeat(ends, np.diff(number))
+    table.starts[number[cut] + 1] = table.ends[number[cut]] = stem[cut]
+
+
 def text_ids(coder: WordCoder, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts in a row, and where each text's ids start; distinct words are encoded once."""
+    """Ids of all texts in a row, and where each text's ids start; distinct parts of words are encoded once."""
     table = WordTable(texts)
+    word_parts(table)
     _, sample, word = np.unique(table.hashes(), return_index=True, return_inverse=True)
-    view = memoryview(table.bytes)
-    coded = coder.encode([bytes(view[a:b]) for a, b in zip(table.starts[sample].tolist(), table.ends[sample].tolist(), strict=True)])
+    view = table.bytes.tobytes()
+    coded = coder.encode([view[a:b] for a, b in zip(table.starts[sample].tolist(), table.ends[sample].tolist(), strict=True)])
     sizes = np.array([len(c) >> 2 for c in coded], np.int64)
     known = np.frombuffer(b"".join(coded), "<u4")
     before = np.cumsum(sizes) - sizes

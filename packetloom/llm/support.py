@@ -63,8 +63,8 @@ def mix(values: np.ndarray) -> np.ndarray:
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _PIECE_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 _LONG_WORD = 256
 
@@ -85,7 +85,7 @@ class WordTable:
         offsets = offsets - offsets[0]
         size = len(data)
         self.bytes = np.zeros(size + 8, np.uint8)  # room for reading 8 bytes from any place
-        self.bytes[:size] = _LOWER[data] if lower else data
+        self.bytes[:size] = LOWER[data] if lower else data
         blank = np.ones(size + 2, bool)
         blank[1:-1] = breaks[data]
         edge = np.zeros(size + 1, bool)

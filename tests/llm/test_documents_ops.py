@@ -427,6 +427,19 @@ def test_words_encode_as_whole_texts():
     assert first[-1] == first[-2] == len(ids)
 
 
+def test_marks_that_join_capital_letters():
+    coder = packing.word_coder(packing.TOKENIZER)
+    text = "H\u0331 H\u0331ab, T\u0308!! W\u030A Y\u030A. J\u030C I\u0307 E\u0301 " + "#" * 40 + " a" + "." * 40
+    assert packing.text_ids(coder, pa.array([text]))[0].tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_words_with_other_marks_are_encoded_once():
+    coder = packing.WordCoder(packing.TOKENIZER)
+    ids, first = packing.text_ids(coder, pa.array(["Word, word. WORD!! wordé", "word#%& wordé,,", "wordÉ?"]))
+    assert set(coder.known) == {"word".encode(), "wordé".encode(), "wordÉ".encode(), b",", b".", b"!!", b"#%&", b",,", b"?"}
+    assert coder.has_plain and first.tolist()[-1] == len(ids)
+
+
 # --- all ------------------------------------------------------------------
 @pytest.mark.parametrize("operator", [
     line_dedup.dedup_lines, sharding.assign_shards, substring_dedup.remove_repeats, fingerprints.fingerprint_edits,
