@@ -2,6 +2,7 @@
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -74,3 +75,36 @@ def test_many_small_files_are_few_micro_batches(spark, tmp_path):
     stream = dv.table_stream(spark, str(tmp_path), "events").writeStream.option("checkpointLocation", str(tmp_path / "state"))
     stream.trigger(availableNow=True).foreachBatch(lambda batch, _: seen.append(batch.count())).start().awaitTermination()
     assert seen == [90]
+
+
+def test_files_of_short_lines_leave_in_small_frames(monkeypatch):
+    class Documents:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, pack, schema):
+            return pack
+
+    monkeypatch.setattr(dv, "texts", lambda *_: Documents())
+    docs = pd.DataFrame({"doc_id": range(60), "text": [None, "", *["a\n" * 2000] * 58]})
+    frames = list(dv.packed_pdf_files(None, "")(iter([docs, docs[:0]])))
+    sizes = [frame["payload"].map(len).sum() for frame in frames]
+    assert sum(sizes) > 3 * LIMIT and max(sizes) < 2 * LIMIT
+    assert [i for frame in frames for i in frame["doc_id"]] == list(range(60))
+    assert b"".join(pdf.packed_objects(pdf.written_objects(frames[0]["payload"][2])).values()).count(b" 0 R") == 2001 + 2
+
+
+def test_functions_of_columns_get_few_bytes_at_once(spark, plain):
+    @F.arrow_udf("long")
+    def together(payload: pa.Array) -> pa.Array:
+        return pa.array([payload.nbytes] * len(payload), pa.int64())
+
+    def sizes(session, sf_dir):
+        return session.range(0, 1500, 1, 1).select(together(F.expr("cast(repeat('a', 10000 + id % 2) as binary)")).alias("size"))
+
+    query("_column_sizes")(sizes)
+    try:
+        assert max(r.size for r in sizes(plain, "").collect()) > 2 * LIMIT
+        assert max(r.size for r in QUERIES["_column_sizes"](plain, "").collect()) < 2 * LIMIT
+    finally:
+        del QUERIES["_column_sizes"]
