@@ -43,6 +43,8 @@ MARGIN = 0.2
 BLOCK = 2048
 # Shingles of a block, about.
 BLOCK_SHINGLES = 1 << 21
+# Rows of a stored table of ids per file, about.
+FILE_ROWS = 1 << 18
 _SHINGLES_AT_ONCE = 4096
 
 
@@ -59,12 +61,23 @@ def estimated_similarity(a: Column, b: Column) -> Column:
     return (agreeing - 1 / 256) / (1 - 1 / 256)
 
 
+def in_few_files(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of ids and about ``rows`` rows, in no more partitions than ``FILE_ROWS`` calls for.
+
+    Few rows in as many files as a shuffle has partitions cost more to write
+    than to make: on a local disk Hadoop starts a process for each file.
+    """
+    return df.coalesce(rows // FILE_ROWS + 1)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) of the nodes of ``edges`` (a, b) that are not the least themselves.
 
     Alternates connecting larger and smaller neighbours to the least one until
     nothing changes; the number of rounds grows with the logarithm of the size.
+    Give ``edges`` from storage: they are counted and read more than once.
     """
+    rows = edges.count()
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     before = None
     while True:
@@ -73,12 +86,12 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        edges = stored(in_few_files(small.union(least.select("u", F.col("m").alias("v"))).distinct(), rows), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    return in_few_files(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")), rows)
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -184,10 +197,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
         wanted = members.select("doc_id").distinct()
         sets = stored(body.join(wanted, "doc_id", "left_semi").mapInArrow(set_rows, "doc_id long, shingles binary"), "shingles")
         best = stars.groupBy("b").agg(F.max_by("a", "likeness").alias("a")).select("a", "b")
-        tested = stored(best, "tested")
+        starred = stars.count()
+        tested = stored(in_few_files(best, starred), "tested")
         links = stored(confirm(tested, sets, percent), "links")
         groups = stored(components(links), "groups")
-        rest = stored(_across(stars.select("a", "b").join(tested, ["a", "b"], "left_anti"), groups).select("a", "b"), "rest")
+        rest = _across(stars.select("a", "b").join(tested, ["a", "b"], "left_anti"), groups).select("a", "b")
+        rest = stored(in_few_files(rest, starred), "rest")
         if rest.take(1):
             links = stored(links.union(confirm(rest, sets, percent)), "links")
             groups = stored(components(links), "groups")

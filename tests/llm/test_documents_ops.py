@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from packetloom.llm import fingerprints, line_dedup, mixing, near_dedup, packing, quality, sharding, substring_dedup
+from packetloom.llm.support import stored
 
 
 def words_of(text):
@@ -325,6 +326,30 @@ def test_components_of_random_graphs(spark):
     assert found == {i: top(i) for e in edges for i in e if top(i) != i}
 
 
+@pytest.mark.parametrize(("rows", "most"), [(1 << 18, 1), (20, 3)])
+def test_files_of_components_follow_rows(spark, monkeypatch, rows, most):
+    """Not the partitions of a shuffle, of which there are four here."""
+    files = []
+
+    def counted(df, name):
+        df = stored(df, name)
+        files.append(len(df.inputFiles()))
+        return df
+
+    monkeypatch.setattr(near_dedup, "stored", counted)
+    monkeypatch.setattr(near_dedup, "FILE_ROWS", rows)
+    merged = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(merged)
+    spark.conf.set(merged, "false")
+    try:
+        edges = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
+        found = {r.node: r.component for r in counted(near_dedup.components(edges), "groups").collect()}
+    finally:
+        spark.conf.set(merged, before)
+    assert found == dict.fromkeys(range(1, 51), 0)
+    assert len(files) > 2 and max(files) == most
+
+
 def test_blocks_are_bounded_by_shingles(spark):
     members = spark.range(600).selectExpr("1L AS bucket", "id AS doc_id", "50000L AS n")
     none = spark.createDataFrame([], "node long, component long")
